@@ -102,18 +102,21 @@ def extent_pages(col: str | Column) -> Column:
     return F.coalesce(last, first) + 7 - first + 1
 
 
-def render_template(template: str | Column, values: dict[str, Column], registry: list[str]) -> Column:
+def render_template(df: DataFrame, template: str, values: dict[str, Column], registry: list[str], out: str = "rendered") -> DataFrame:
     """Replace each registered ``{%NAME%}`` token; registered names without a value become ''.
 
     As with nested ``replace``, a null value makes the result null, but only when its token
     occurs in the template.
     """
-    out = _col(template)
+    text, lost = F.col(template), F.lit(False)
     for name in registry:
         token = F.lit("{%" + name + "%}")
-        value = values.get(name, F.lit(""))
-        out = F.when(F.contains(out, token), F.replace(out, token, value.cast("string"))).otherwise(out)
-    return out
+        value = values.get(name, F.lit("")).cast("string")
+        # the running text is used once per step, so the expression grows linearly
+        text = F.replace(text, token, F.coalesce(value, F.lit("")))
+        if name in values:
+            lost = lost | (value.isNull() & F.contains(F.col(template), token))
+    return df.withColumn(out, F.when(~lost, text))
 
 
 def code_label(col: str | Column, labels: dict, default: str | None = None) -> Column:
