@@ -141,16 +141,23 @@ def resolve_items(requests: DataFrame, items: DataFrame, updated: str = "update_
     A request has (request_id, item_name, item_version, publisher_name); null, blank or
     LATEST versions and a null publisher match anything. The highest version wins, then the
     newest update. Versions compare as text unless ``numeric_versions``.
+
+    The items are first reduced to one best row for every (name, version or any, publisher
+    or any), so each request meets one row at most: a popular name with many versions and
+    many requests never multiplies out.
     """
+    version, publisher = F.col("item_version"), F.col("publisher_name")
+    combos = [F.struct(v.alias("_v"), p.alias("_p")) for v in (version, F.lit(None)) for p in (publisher, F.lit(None))]
+    rank = F.transform(F.split(version, r"\."), lambda p: p.try_cast("long")) if numeric_versions else version
+    offered = items.withColumn("_k", F.explode(F.array(*combos))).select("*", "_k._v", "_k._p").drop("_k")
+    best = first_per_key(offered, ["item_name", "_v", "_p"], [rank.desc(), F.col(updated).desc()])
+    asked = F.col("item_version")
+    any_version = asked.isNull() | (F.upper(asked) == "LATEST") | (F.length(F.trim(asked)) == 0)
     wanted = requests.select(
         "request_id",
-        "item_name",
-        F.col("item_version").alias("_v"),
-        F.col("publisher_name").alias("_p"),
-    )
-    any_version = F.col("_v").isNull() | (F.upper("_v") == "LATEST") | (F.length(F.trim("_v")) == 0)
-    pairs = wanted.join(items, "item_name").where(
-        (any_version | (F.col("_v") == F.col("item_version"))) & (F.col("_p").isNull() | (F.col("_p") == F.col("publisher_name")))
+        F.col("item_name").alias("_n"),
+        F.when(~any_version, asked).alias("_rv"),
+        F.col("publisher_name").alias("_rp"),
     )
-    version = F.transform(F.split("item_version", r"\."), lambda p: p.try_cast("long")) if numeric_versions else F.col("item_version")
-    return first_per_key(pairs, ["request_id"], [version.desc(), F.col(updated).desc()]).drop("_v", "_p")
+    same = (F.col("_n") == F.col("item_name")) & F.col("_rv").eqNullSafe(F.col("_v")) & F.col("_rp").eqNullSafe(F.col("_p"))
+    return wanted.join(best, same).drop("_n", "_rv", "_rp", "_v", "_p")
