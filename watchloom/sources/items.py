@@ -13,6 +13,7 @@ def ingest_items(spark: SparkSession, glob: str, defaults: dict | None = None) -
     d = {"item_type": "POWERSHELL", "item_version": None, "tags": None, "description": None, "is_enabled": True, **(defaults or {})}
     files = spark.read.format("binaryFile").load(glob)
     return files.select(
+        "path",
         file_name("path").alias("item_name"),
         F.col("content").alias("item_content"),
         F.col("length").alias("item_bytes"),
