@@ -1 +1,319 @@
-"""Queries."""
+"""Rule-pack queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchloom.operators.aggregates import non_uniform
+from watchloom.operators.rule_packs import policy_pack, posture_pack
+from watchloom.operators.rules import Rule, constraint_rules, dictionary_match, rule_details, run_rules, secret_candidates, table_advisor
+from watchloom.operators.rules import COMMON_SECRETS
+from watchloom.operators.joins import orphans
+from watchloom.plans.adapters import ORDERS_AS_OF
+from watchloom.plans.registry import query
+from watchloom.session import load
+
+
+def driver_tables(spark, sf):
+    return {t: load(spark, sf, t) for t in ("customer", "supplier", "part", "orders", "lineitem", "documents", "labels")}
+
+
+def data_rules():
+    return [
+        Rule(1, "Quality", "Negative balance", "customer", "c_acctbal < 0", detail=("c_custkey", "c_mktsegment")),
+        Rule(2, "Quality", "Unknown segment", "customer", "c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')", detail=("c_custkey",)),
+        Rule(3, "Quality", "Negative supplier", "supplier", "s_acctbal < 0", detail=("s_suppkey",)),
+        Rule(4, "Quality", "Discount over nine percent", "lineitem", "l_discount > 0.09", detail=("l_orderkey", "l_linenumber", "l_partkey")),
+        Rule(5, "Integrity", "Documents without label", build=lambda t: orphans(t["documents"], t["labels"], "doc_id", "doc_id"), needs=("documents", "labels"), detail=("doc_id",)),
+        Rule(6, "Uniformity", "Orders shipped on different days", build=lambda t: non_uniform(t["lineitem"], "l_orderkey", "l_shipdate"), needs=("lineitem",), detail=("l_orderkey",)),
+        Rule(7, "Code", "Documents with mail addresses", "documents", "contains(text, '@')", detail=("doc_id", "source")),
+        Rule(8, "Quality", "Needs a table nobody has", "no_such_table", "true"),
+    ]
+
+
+COUNTS_SQL = """
+n AS (
+  SELECT 1 AS code, 'Quality' AS category, 'Negative balance' AS title, count(*) AS issues FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 2, 'Quality', 'Unknown segment', count(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')
+  UNION ALL SELECT 3, 'Quality', 'Negative supplier', count(*) FROM supplier WHERE s_acctbal < 0
+  UNION ALL SELECT 4, 'Quality', 'Discount over nine percent', count(*) FROM lineitem WHERE l_discount > 0.09::DOUBLE
+  UNION ALL SELECT 5, 'Integrity', 'Documents without label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT 6, 'Uniformity', 'Orders shipped on different days', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_shipdate) <> max(l_shipdate))
+  UNION ALL SELECT 7, 'Code', 'Documents with mail addresses', count(*) FROM documents WHERE contains(text, '@')
+  UNION ALL SELECT 8, 'Quality', 'Needs a table nobody has', NULL),
+rep AS (SELECT *, CASE WHEN issues IS NULL THEN 'Not supported' WHEN issues = 0 THEN 'OK' ELSE 'Possible issue found (' || issues || ')' END AS result FROM n)
+"""
+
+
+@query("rule_report", f"WITH {COUNTS_SQL} SELECT code, category, title, result, issues FROM rep")
+def q_rule_report(spark, sf):
+    return run_rules(driver_tables(spark, sf), data_rules(), issues_only=False).drop("how_to_fix")
+
+
+@query("rule_issues", f"WITH {COUNTS_SQL} SELECT code, category, title, result, issues FROM rep WHERE result NOT IN ('OK', 'Info')")
+def q_rule_issues(spark, sf):
+    return run_rules(driver_tables(spark, sf), data_rules(), issues_only=True).drop("how_to_fix")
+
+
+@query(
+    "rule_details",
+    """
+    SELECT 1 AS code, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS detail FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 2, '{"c_custkey":' || c_custkey || '}' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')
+    UNION ALL SELECT 3, '{"s_suppkey":' || s_suppkey || '}' FROM supplier WHERE s_acctbal < 0
+    UNION ALL SELECT 4, '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}' FROM lineitem WHERE l_discount > 0.09::DOUBLE
+    UNION ALL SELECT 5, '{"doc_id":' || doc_id || '}' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 6, '{"l_orderkey":' || l_orderkey || '}' FROM lineitem GROUP BY l_orderkey HAVING min(l_shipdate) <> max(l_shipdate)
+    UNION ALL SELECT 7, '{"doc_id":' || doc_id || ',"source":"' || source || '"}' FROM documents WHERE contains(text, '@')
+    """,
+)
+def q_rule_details(spark, sf):
+    return rule_details(driver_tables(spark, sf), data_rules())
+
+
+SETTING_NAMES = [
+    "Ad Hoc Distributed Queries", "cross db ownership chaining", "default trace enabled", "xp_cmdshell",
+    "clr enabled", "remote admin connections",
+]
+
+
+def inventory(spark, sf):
+    """A fleet's inventory made from the driver tables: one server per nation."""
+    c, s, o, e = (load(spark, sf, t) for t in ("customer", "supplier", "orders", "events"))
+    key = F.col("c_custkey")
+    server = F.concat(F.lit("srv"), F.col("c_nationkey").cast("string")).alias("server")
+    name = F.concat(F.lit("db"), key.cast("string"))
+    login = F.concat(F.lit("Login"), key.cast("string"))
+    number = F.col("s_suppkey")
+    settings = s.select(
+        F.concat(F.lit("srv"), number.cast("string")).alias("server"),
+        F.posexplode(F.array(*[F.lit(n) for n in SETTING_NAMES])).alias("i", "name"),
+    ).withColumn("value", ((F.col("i") + F.length("server")) % 2).cast("int"))
+    secret = F.when(key % 7 == 0, "dragon").when(key % 7 == 1, F.reverse(login)).when(key % 7 == 2, F.upper(login)).when(key % 7 == 3, "7777")
+    return {
+        "settings": settings.drop("i"),
+        "databases": c.select(
+            server,
+            name.alias("name"),
+            F.when(F.col("c_acctbal") < 0, "OFFLINE").otherwise("ONLINE").alias("state"),
+            (key % 8 == 0).alias("is_trustworthy"),
+            F.when(key % 9 == 0, "NONE").otherwise("CHECKSUM").alias("page_verify"),
+            (key % 6 % 2).cast("int").alias("containment"),
+            (key % 4 == 1).alias("is_auto_close"),
+            (key % 3 == 0).alias("is_encrypted"),
+            F.when(key % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"),
+            F.lit("1999-01-01").cast("timestamp_ntz").alias("created"),
+        ),
+        "logins": c.select(
+            server,
+            (key + 1).alias("login_id"),
+            login.alias("name"),
+            F.when(key % 5 == 0, "G").otherwise("S").alias("type"),
+            (key % 11 == 0).alias("is_disabled"),
+            (key % 2 == 0).alias("is_policy_checked"),
+            (key % 3 == 0).alias("is_expiration_checked"),
+            F.when(key % 13 == 0, 10).alias("days_until_expiration"),
+            F.date_sub(F.lit("2001-12-01").cast("date"), (key % 400).cast("int")).alias("password_set"),
+            F.sha2(F.coalesce(secret, F.concat(F.lit("s3cret!"), key.cast("string"))), 256).alias("password_hash"),
+            key.alias("sid"),
+        ),
+        "db_users": o.select(
+            F.lit("srv1").alias("server"),
+            F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("database"),
+            F.col("o_orderkey").alias("user_id"),
+            F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("name"),
+            F.lit("S").alias("type"),
+            F.lit("INSTANCE").alias("auth"),
+            (F.col("o_orderkey") % 4000).alias("sid"),
+            F.lit(False).alias("is_fixed_role"),
+        ),
+        "server_permissions": s.select(
+            F.lit("srv1").alias("server"),
+            F.concat(F.lit("Login"), ((number * 7 + 3) % 90).cast("string")).alias("grantee"),
+            F.when(number % 10 == 0, "Control Server").otherwise("IMPERSONATE").alias("permission"),
+            F.lit("G").alias("state"),
+            F.when(number % 10 == 0, "SERVER").otherwise("SERVER_PRINCIPAL").alias("class"),
+            F.concat(F.lit("Login"), number.cast("string")).alias("target"),
+        ),
+        "role_members": s.where("s_suppkey % 25 = 1").select(
+            F.lit("srv1").alias("server"),
+            F.lit(None).cast("string").alias("database"),
+            F.lit("sysadmin").alias("role"),
+            F.concat(F.lit("Login"), number.cast("string")).alias("member"),
+        ),
+        "modules": load(spark, sf, "documents").select(
+            F.lit("srv1").alias("server"),
+            F.col("source").alias("database"),
+            F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("name"),
+            F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, " Execute(@q)").otherwise("")).alias("definition"),
+            (F.col("doc_id") % 20 == 0).alias("is_shipped"),
+            (F.col("doc_id") % 100 == 3).alias("is_auto_executed"),
+            F.when(F.col("doc_id") % 50 == 7, "dbo").when(F.col("doc_id") % 50 == 8, "owner").alias("execute_as"),
+        ),
+        "backups": o.select(
+            F.concat(F.lit("srv"), (F.col("o_custkey") % 1).cast("string")).alias("server"),
+            F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("database"),
+            F.when(F.col("o_orderstatus") == "P", "L").otherwise("D").alias("type"),
+            F.col("o_orderdate").alias("start"),
+            F.col("o_orderdate").alias("finish"),
+            F.when(F.col("o_orderstatus") == "O", 7).otherwise(2).alias("device_type"),
+            F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".bak").otherwise(".saf")).alias("path"),
+            (F.col("o_orderkey") % 3 == 0).alias("is_encrypted"),
+        ),
+        "log": e.select(
+            F.lit("srv1").alias("server"),
+            F.col("ts").alias("log_date"),
+            F.lit("Logon").alias("process"),
+            F.when(F.col("event_type") == "error", "Login FAILED for user").otherwise("fine").alias("text"),
+        ),
+    }
+
+
+REPORTED = (1, 4, 5, 7, 8, 12, 18, 100, 101, 102, 103, 104, 105, 200, 202, 300, 302, 305, 404, 500, 501, 504, 600)
+
+
+@query(
+    "posture_report",
+    """
+    WITH RECURSIVE st AS (
+      SELECT name, CAST((i - 1 + length('srv' || s_suppkey)) % 2 AS INTEGER) AS value FROM supplier, (VALUES ('Ad Hoc Distributed Queries', 1),
+        ('cross db ownership chaining', 2), ('default trace enabled', 3), ('xp_cmdshell', 4), ('clr enabled', 5), ('remote admin connections', 6)) t(name, i)),
+    g AS (SELECT 'Login' || (s_suppkey * 7 + 3) % 90 AS grantee, 'Login' || s_suppkey AS target, s_suppkey % 10 = 0 AS control FROM supplier),
+    r AS (SELECT grantee AS node FROM g WHERE control UNION SELECT 'Login' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 1
+          UNION SELECT g.grantee FROM r JOIN g ON g.target = r.node AND NOT g.control)
+    SELECT 1 AS code, (SELECT count(*) FROM customer WHERE c_custkey % 8 = 0) AS issues
+    UNION ALL SELECT 4, (SELECT count(*) FROM st WHERE name = 'Ad Hoc Distributed Queries' AND value = 1)
+    UNION ALL SELECT 5, (SELECT count(*) FROM st WHERE name = 'cross db ownership chaining' AND value = 1)
+    UNION ALL SELECT 7, (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0 AND c_acctbal >= 0)
+    UNION ALL SELECT 8, (SELECT count(*) FROM st WHERE name = 'default trace enabled' AND value = 0)
+    UNION ALL SELECT 12, (SELECT count(*) FROM st WHERE name = 'remote admin connections' AND value = 0)
+    UNION ALL SELECT 18, (SELECT count(*) FROM customer WHERE c_custkey % 6 % 2 = 1 AND c_custkey % 4 = 1)
+    UNION ALL SELECT 100, (SELECT count(*) FROM events WHERE event_type = 'error')
+    UNION ALL SELECT 101, (SELECT count(*) FROM customer WHERE c_custkey = 0 AND c_custkey % 11 <> 0)
+    UNION ALL SELECT 102, (SELECT count(*) FROM orders WHERE o_orderkey > 4 AND o_orderkey % 4000 NOT IN (SELECT c_custkey FROM customer))
+    UNION ALL SELECT 103, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND (c_custkey % 2 <> 0 OR c_custkey % 3 <> 0))
+    UNION ALL SELECT 104, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 400 > 180)
+    UNION ALL SELECT 105, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 IN (0, 1, 2, 3))
+    UNION ALL SELECT 200, (SELECT count(*) FROM st WHERE name = 'xp_cmdshell' AND value = 1)
+    UNION ALL SELECT 202, (SELECT count(*) FROM st WHERE name = 'clr enabled' AND value = 1)
+    UNION ALL SELECT 300, (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal >= 0)
+    UNION ALL SELECT 302, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0)
+    UNION ALL SELECT 305, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 2 = 0 AND o_orderdate >= TIMESTAMP '2001-11-24')
+    UNION ALL SELECT 404, (SELECT count(*) FROM r)
+    UNION ALL SELECT 500, (SELECT count(*) FROM documents WHERE doc_id % 50 = 8 AND doc_id % 20 <> 0)
+    UNION ALL SELECT 501, (SELECT count(*) FROM (SELECT lower(text || CASE WHEN doc_id % 10 = 0 THEN ' Execute(@q)' ELSE '' END) AS d FROM documents WHERE doc_id % 20 <> 0)
+       WHERE contains(d, 'exec (') OR contains(d, 'exec(') OR contains(d, 'execute (') OR contains(d, 'execute(') OR contains(d, 'sp_executesql'))
+    UNION ALL SELECT 504, (SELECT count(*) FROM documents WHERE doc_id % 100 = 3)
+    """,
+)
+def q_posture_report(spark, sf):
+    pack = [r for r in posture_pack(ORDERS_AS_OF) if r.code in REPORTED]
+    return run_rules(inventory(spark, sf), pack, issues_only=False).select("code", "issues")
+
+
+@query("posture_details")
+def q_posture_details(spark, sf):
+    return rule_details(inventory(spark, sf), posture_pack(ORDERS_AS_OF))
+
+
+@query(
+    "policy_checks",
+    """
+    WITH f AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN -1 ELSE p_partkey * 50000 END AS m, CASE WHEN p_size % 6 = 0 THEN 'Percent' ELSE 'KB' END AS g, p_size * 30 AS mb FROM part)
+    SELECT 1001 AS code, (SELECT count(*) FROM f WHERE m = -1 OR m > 83886080 OR g = 'Percent') AS issues
+    UNION ALL SELECT 1002, (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM supplier WHERE s_suppkey + 1100 = 1118 AND s_acctbal > 1e12)
+    UNION ALL SELECT 1003, (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM nation WHERE n_name = 'version')
+    UNION ALL SELECT 1004, (SELECT count(*) FROM f WHERE mb < 64 OR mb > 1024)
+    """,
+)
+def q_policy_checks(spark, sf):
+    key = F.col("p_partkey")
+    tables = {
+        "data_files": load(spark, sf, "part").select(
+            F.lit("srv1").alias("server"),
+            F.concat(F.lit("D:\\"), key.cast("string")).alias("path"),
+            F.when(key % 9 == 0, -1).otherwise(key * 50000).alias("max_size_kb"),
+            F.when(F.col("p_size") % 6 == 0, "Percent").otherwise("KB").alias("growth_type"),
+            (F.col("p_size") * 30).alias("growth_mb"),
+        ),
+        "trace_flags": load(spark, sf, "supplier").select((F.col("s_suppkey") + 1100).alias("flag"), (F.col("s_acctbal") > 1e12).alias("is_global")),
+        "properties": load(spark, sf, "nation").select(F.col("n_name").alias("name")),
+    }
+    return run_rules(tables, policy_pack(), issues_only=False).select("code", "issues")
+
+
+@query(
+    "dictionary_match",
+    f"""
+    WITH RECURSIVE common(word) AS (VALUES {", ".join(f"('{w}')" for w in COMMON_SECRETS)}),
+    rep AS (SELECT repeat(chr(CAST(c AS INTEGER)), CAST(k AS INTEGER)) AS word FROM range(12, 126) a(c), range(1, 10) b(k)),
+    runs AS (SELECT substr('01234567890', 1, CAST(n AS INTEGER)) AS word FROM range(1, 12) t(n)
+             UNION ALL SELECT substr('1234567890', 1, CAST(n AS INTEGER)) FROM range(1, 11) t(n)),
+    w AS (SELECT * FROM common UNION SELECT word FROM rep UNION SELECT word FROM runs UNION SELECT c_name FROM customer
+          UNION SELECT lower(c_name) FROM customer UNION SELECT upper(c_name) FROM customer),
+    cand AS (SELECT word FROM w UNION SELECT reverse(word) FROM w),
+    s AS (SELECT c_custkey, c_name, CASE c_custkey % 8 WHEN 0 THEN 'dragon' WHEN 1 THEN reverse(upper(c_name)) WHEN 2 THEN lower(c_name) WHEN 3 THEN '99999'
+             WHEN 4 THEN '987654321' WHEN 5 THEN 'nogard' ELSE 'Str0ng' || c_custkey END AS secret FROM customer)
+    SELECT c_custkey, word FROM s JOIN cand ON word = secret
+    """,
+)
+def q_dictionary_match(spark, sf):
+    c, key = load(spark, sf, "customer"), F.col("c_custkey")
+    secret = (
+        F.when(key % 8 == 0, "dragon").when(key % 8 == 1, F.reverse(F.upper("c_name"))).when(key % 8 == 2, F.lower("c_name"))
+        .when(key % 8 == 3, "99999").when(key % 8 == 4, "987654321").when(key % 8 == 5, "nogard")
+        .otherwise(F.concat(F.lit("Str0ng"), key.cast("string")))
+    )
+    logins = c.select("c_custkey", F.sha2(secret, 256).alias("password_hash"))
+    return dictionary_match(logins, "password_hash", secret_candidates(c.select("c_name"))).select("c_custkey", "word")
+
+
+@query(
+    "table_advisor",
+    """
+    WITH st AS (SELECT p_partkey, (p_partkey * 7 % 1000) / 10.0::DOUBLE AS f, p_partkey * 37 % 100000 AS pages, p_partkey * 60000 AS rows, p_partkey % 3 * 1000 AS modified,
+                       CASE WHEN p_size % 10 = 0 THEN 'LOB_DATA' ELSE 'IN_ROW_DATA' END AS stored, p_size % 12 = 0 AS cs, p_size % 5 <> 0 AS locks FROM part),
+    m AS (SELECT *, pages * 8 / 1024.0::DOUBLE AS mb FROM st WHERE pages >= 9),
+    t AS (SELECT *, f BETWEEN 5 AND 30 OR (stored <> 'LOB_DATA' AND mb > 400 AND mb * f > 80 AND rows * f > 500000) AS tidy FROM m)
+    SELECT p_partkey, CASE WHEN tidy AND (locks OR cs) THEN 'REORGANIZE' WHEN tidy THEN 'ATTENTION' WHEN f > 30 AND cs THEN 'REORGANIZE' WHEN f > 30 THEN 'REBUILD' ELSE 'NONE' END AS action,
+           CASE WHEN f <= 30 THEN 100 WHEN f <= 50 THEN 90 ELSE 70 END AS fill_factor,
+           CASE WHEN rows > 100 AND modified > 0 THEN CASE WHEN rows + modified < 500000 THEN '100 PERCENT' WHEN rows + modified < 1000000 THEN '50 PERCENT'
+             WHEN rows + modified < 5000000 THEN '25 PERCENT' WHEN rows + modified < 10000000 THEN '10 PERCENT' WHEN rows + modified < 50000000 THEN '2 PERCENT'
+             WHEN rows + modified < 100000000 THEN '1 PERCENT' ELSE '3000000 ROWS' END END AS sample
+    FROM t
+    """,
+)
+def q_table_advisor(spark, sf):
+    key = F.col("p_partkey")
+    stats = load(spark, sf, "part").select(
+        "p_partkey",
+        (key * 7 % 1000 / 10.0).alias("fragmentation"),
+        (key * 37 % 100000).alias("pages"),
+        (key * 60000).alias("rows"),
+        (key % 3 * 1000).alias("modified"),
+        F.when(F.col("p_size") % 10 == 0, "LOB_DATA").otherwise("IN_ROW_DATA").alias("stored_type"),
+        (F.col("p_size") % 12 == 0).alias("is_columnstore"),
+        (F.col("p_size") % 5 != 0).alias("allow_page_locks"),
+    )
+    return table_advisor(stats).select("p_partkey", "action", "fill_factor", "sample")
+
+
+@query(
+    "constraint_rules",
+    """
+    SELECT 'segments' AS rule, 'enum' AS kind, (SELECT count(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS violations
+    UNION ALL SELECT 'line_key', 'unique', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+    UNION ALL SELECT 'open_customer', 'unique', (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey HAVING count(*) > 1))
+    UNION ALL SELECT 'one_label', 'once', (SELECT count(*) FROM (SELECT 1 FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(*) > 1))
+    UNION ALL SELECT 'labelled', 'foreign_key', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+    """,
+)
+def q_constraint_rules(spark, sf):
+    spec = [
+        {"name": "segments", "kind": "enum", "table": "customer", "column": "c_mktsegment", "values": ["BUILDING", "MACHINERY"]},
+        {"name": "line_key", "kind": "unique", "table": "lineitem", "columns": ["l_orderkey", "l_linenumber"]},
+        {"name": "open_customer", "kind": "unique", "table": "orders", "columns": ["o_custkey"], "where": "o_orderstatus = 'O'"},
+        {"name": "one_label", "kind": "once", "table": "labels", "columns": ["doc_id"]},
+        {"name": "labelled", "kind": "foreign_key", "table": "documents", "column": "doc_id", "parent": "labels", "key": "doc_id"},
+    ]
+    return constraint_rules(driver_tables(spark, sf), spec)

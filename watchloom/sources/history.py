@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.calendar import ts_key
@@ -35,3 +35,9 @@ def purge_history(df: DataFrame, ts: str, days: int, as_of: datetime, partition:
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch under its own partition; a replay replaces it instead of adding."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_history(spark: SparkSession, path: str, partition: str = "log_date") -> DataFrame:
+    """A history written by ``append_snapshot``; ``partition`` is a date and prunes."""
+    df = spark.read.parquet(path)
+    return df.withColumn(partition, F.col(partition).cast("date"))
