@@ -22,3 +22,93 @@ def choose_keys(index_cols: DataFrame) -> DataFrame:
     )
     order = [F.col("cluster_columns").desc(), F.col("columns"), F.col("total_length"), F.col("group_id")]
     return choose_best(stats, "object_id", order)
+
+
+def table_inventory(columns: DataFrame, index_columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """One row per table: its columns, key flags and names, and its load order.
+
+    ``columns``: (object_id, column_id, column_name, is_identity, is_rowguid, is_filestream,
+    is_sparse, is_lob); ``index_columns``: (object_id, index_id, kind PK / UQ / UX,
+    column_name, key_ordinal) without disabled or filtered indexes; ``foreign_keys``:
+    (master, slave). Tables on a key cycle keep their row with a null order.
+    """
+    from watchloom.operators.aggregates import column_profile, concat_rows
+    from watchloom.operators.graph import topo_levels
+
+    listed = concat_rows(columns, ["object_id"], "column_name", ",", ["column_id"], "table_columns")
+    flags = columns.withColumnsRenamed({f"is_{f}": f for f in ("identity", "rowguid", "filestream", "sparse", "lob")})
+    profile = column_profile(flags, "object_id", ["identity", "rowguid", "filestream", "sparse", "lob"]).drop("lob_column")
+    sets = concat_rows(index_columns, ["object_id", "kind", "index_id"], "column_name", ",", ["key_ordinal"], "cols")
+    keys = sets.groupBy("object_id").agg(
+        *[F.min(F.when(F.col("kind") == k, F.col("cols"))).alias(name) for k, name in (("PK", "pk_columns"), ("UQ", "uq_columns"), ("UX", "ux_columns"))]
+    )
+    levels = topo_levels(foreign_keys, columns.select("object_id").distinct()).select(
+        F.col("node").alias("object_id"), F.col("level").alias("table_order")
+    )
+    out = listed.join(profile, "object_id").join(keys, "object_id", "left").join(levels, "object_id", "left")
+    return out.withColumns(
+        {f"has_{short}": F.col(c).isNotNull() for short, c in (("pk", "pk_columns"), ("uq", "uq_columns"), ("ux", "ux_columns"))}
+    )
+
+
+def copy_tables(
+    spark: SparkSession,
+    sources: dict[str, DataFrame],
+    dst: str,
+    except_: tuple[str, ...] = (),
+    skip_columns: dict[str, list[str]] | None = None,
+    sort_keys: dict[str, list[str]] | None = None,
+    partition_by: dict[str, list[str]] | None = None,
+    batch_rows: int = 10_000,
+) -> DataFrame:
+    """Copy tables to ``dst`` and report (object_name, columns, row_count, batch_count, size_kb).
+
+    The loop is over tables, never rows. Computed and row-version columns named in
+    ``skip_columns`` stay behind. Files are sorted on the table's best key inside each task:
+    narrow value ranges per file without a shuffle. Row counts come from the copying job.
+    """
+    report = []
+    for name, df in sources.items():
+        if name in except_:
+            continue
+        kept = [c for c in df.columns if c not in (skip_columns or {}).get(name, [])]
+        out = df.select(*kept)
+        if (sort_keys or {}).get(name):
+            out = out.sortWithinPartitions(*sort_keys[name])
+        seen = Observation()
+        writer = out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+        if (partition_by or {}).get(name):
+            writer = writer.partitionBy(*partition_by[name])
+        writer.parquet(f"{dst}/{name}")
+        rows = int(seen.get["n"])
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        size = files.load(f"{dst}/{name}").agg(F.sum("length")).first()[0]
+        batches = -(-rows // batch_rows) if batch_rows > 0 else 1
+        report.append((name, ",".join(kept), rows, batches, (size or 0) // 1024))
+    return spark.createDataFrame(report, "object_name string, columns string, row_count long, batch_count long, size_kb long")
+
+
+def clear_partition(spark: SparkSession, path: str, partition: str) -> None:
+    """Empty one ``column=value`` partition of a partitioned table, leaving the others alone."""
+    part_path = f"{path}/{partition}"
+    schema = spark.read.parquet(part_path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(part_path)
+
+
+def permission_report(members: DataFrame, grants: DataFrame, principals: DataFrame, logins: DataFrame) -> DataFrame:
+    """(database, principal, kind, name, state, object): role memberships and explicit grants.
+
+    ``principals``: (database, principal_id, name, type, sid). Only principals with a login
+    count; the owner's memberships and plain connect rights are left out.
+    """
+    p = principals.join(logins.select("sid").distinct(), "sid", "left_semi")
+    users = p.select("database", F.col("principal_id").alias("member_id"), F.col("name").alias("principal")).where("principal <> 'dbo'")
+    roles = principals.where("type = 'R'").select("database", F.col("principal_id").alias("role_id"), F.col("name").alias("name"))
+    by_role = members.join(users, ["database", "member_id"]).join(roles, ["database", "role_id"])
+    by_role = by_role.select(
+        "database", "principal", F.lit("ROLE").alias("kind"), "name", F.lit("MEMBER").alias("state"), F.lit(None).cast("string").alias("object")
+    )
+    grantees = p.select("database", F.col("principal_id").alias("grantee_id"), F.col("name").alias("principal"))
+    explicit = grants.where("type <> 'CO'").join(grantees, ["database", "grantee_id"])
+    explicit = explicit.select("database", "principal", F.lit("GRANT").alias("kind"), F.col("permission").alias("name"), "state", "object")
+    return by_role.unionByName(explicit)
