@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.operators.filters import drop_benign
+from watchloom.session import materialize
 
 
 def share_profile(df: DataFrame, key: str, total_ms: str, part_ms: str, count: str, benign: list[str] | None = None) -> DataFrame:
@@ -23,6 +24,8 @@ def share_profile(df: DataFrame, key: str, total_ms: str, part_ms: str, count: s
         F.sum(part_ms).cast("decimal(20,0)").alias("_s"),
         F.sum(count).cast("long").alias("wait_count"),
     )
+    # one row per category, kept so that the total and the rows share a single source scan
+    waits = materialize(waits, "profile")
     grand = waits.select(F.sum("_t")).scalar().cast("decimal(20,0)")
     n = F.col("wait_count").cast("decimal(18,0)")
 
@@ -89,8 +92,8 @@ def day_pivot(df: DataFrame, keys: list[str], ts: str, as_of: datetime, days: in
     Groups seen only outside the columns' days stay, all null.
     """
     ago = F.datediff(F.lit(as_of.date()), F.to_date(ts))
-    cols = [F.sum(F.when(F.col("_ago") == n, F.col("_n"))).alias(f"d{n}") for n in range(days + 1)]
-    return df.groupBy(*keys, ago.alias("_ago")).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(*cols)
+    cols = [F.nullif(F.count_if(ago == n), F.lit(0)).alias(f"d{n}") for n in range(days + 1)]
+    return df.groupBy(*keys).agg(*cols)
 
 
 def stale_having(
@@ -168,16 +171,22 @@ def long_report(df: DataFrame, ids: list[str], items: dict[str, str | None]) ->
     return df.select(*ids, F.inline(F.array(*entries)))
 
 
-def counter_delta(history: DataFrame, snapshot_id: str, ts: str, keys: list[str], counters: list[str]) -> DataFrame:
+def counter_delta(
+    history: DataFrame, snapshot_id: str, ts: str, keys: list[str], counters: list[str], partition: str | None = None
+) -> DataFrame:
     """Counter growth between the last two snapshots.
 
     Entities new in the last snapshot keep their absolute values; entities gone from it are
     left out. ``is_reset`` marks a counter that went backwards. One pass: the two ids come
     from a tiny aggregate and are pushed into the scan as literals, then a single
-    aggregation per entity replaces the self joins.
+    aggregation per entity replaces the self joins. With a date ``partition`` column only
+    its two newest values are read at all: they hold two snapshots at least.
     """
     from watchloom.operators.ranking import last_two
 
+    if partition:
+        newest = history.select(partition).distinct().orderBy(F.col(partition).desc()).limit(2).collect()
+        history = history.where(F.col(partition).isin([r[0] for r in newest]))
     ids = last_two(history, snapshot_id, ts).first()
     last, prev = ids["last_id"], ids["prev_id"]
     if last is None or last == prev:
@@ -197,12 +206,12 @@ def counter_delta(history: DataFrame, snapshot_id: str, ts: str, keys: list[str]
     return out.withColumns({"is_reset": reset, "duration_sec": F.lit(seconds).cast("long")})
 
 
-def io_latency(history: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+def io_latency(history: DataFrame, files: DataFrame, keys: list[str], partition: str | None = None) -> DataFrame:
     """Latency report over the last two snapshots of IO counters, slowest writes first."""
     from watchloom.functions.numbers import safe_ratio
 
     counters = ["num_reads", "stall_read_ms", "num_writes", "stall_write_ms", "stall_ms", "bytes_read", "bytes_written"]
-    d = counter_delta(history, "snapshot_id", "log_time", keys, counters).join(files, keys)
+    d = counter_delta(history, "snapshot_id", "log_time", keys, counters, partition).join(files, keys)
     return d.withColumns(
         {
             "read_latency_ms": safe_ratio("stall_read_ms", "num_reads"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.session import materialize
 from watchloom.sources.alerts import alert_rows
 
 # Fixed values: (alert, metric, comparison, bound, quiet seconds).
@@ -58,15 +61,20 @@ def time_of(second: str) -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(second).cast("decimal(18,6)"))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fires of one island: the first second, then each first second past the quiet time."""
-    secs = np.sort(pdf["sec"].to_numpy())
-    quiet = int(pdf["quiet"].iloc[0])
-    fires, i = [], 0
-    while i < len(secs):
-        fires.append(secs[i])
-        i = int(np.searchsorted(secs, secs[i] + quiet))
-    return pd.DataFrame({"alert": pdf["alert"].iloc[0], "sec": fires})
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fires of sorted islands: the first second of each, then every first one past the quiet time.
+
+    Rows stream by in (alert, island, sec) order; only the last fire is remembered.
+    """
+    current, last = None, 0
+    for pdf in frames:
+        keep = np.zeros(len(pdf), dtype=bool)
+        columns = (pdf[c].to_list() for c in ("alert", "island", "quiet", "sec"))
+        for n, (alert, island, quiet, sec) in enumerate(zip(*columns)):
+            if current != (alert, island) or sec >= last + quiet:
+                current, last = (alert, island), sec
+                keep[n] = True
+        yield pdf.loc[keep, ["alert", "sec"]]
 
 
 def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None) -> DataFrame:
@@ -75,16 +83,17 @@ def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None) -> DataFr
     Alerts are evaluated once a second, so breaches shrink first to distinct seconds per
     alert, however many rows one alert holds. A gap of a quiet time or more always fires
     anew, which cuts an alert's seconds into independent islands; gaps are found inside
-    (alert, day) and stitched over day boundaries from one row per day. Only an island,
-    bounded by its own length in seconds, is folded in order. ``last_fires`` (alert, sec)
-    silences breaches still inside an earlier fire's quiet time.
+    (alert, day) and stitched over day boundaries from one row per day. An island, at most
+    one row per second of its length, streams through one task in order without being
+    held. ``last_fires`` (alert, sec) silences breaches still inside an earlier quiet time.
     """
     always = hits.where("quiet = 0").select("alert", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("fired_at")).distinct()
     secs = hits.where("quiet > 0").select("alert", "quiet", second_of("ts").alias("sec")).distinct()
     if last_fires is not None:
         prior = last_fires.select("alert", F.col("sec").alias("_last"))
         secs = secs.join(prior, "alert", "left").where(F.col("_last").isNull() | (F.col("sec") >= F.col("_last") + F.col("quiet"))).drop("_last")
-    secs = secs.withColumn("day", F.floor(F.col("sec") / 86400))
+    # the distinct seconds feed three steps below, the samples are read once
+    secs = materialize(secs.withColumn("day", F.floor(F.col("sec") / 86400)), "seconds")
     in_day = Window.partitionBy("alert", "day").orderBy("sec")
     over_days = Window.partitionBy("alert").orderBy("day")
     ends = secs.groupBy("alert", "day").agg(F.max("sec").alias("_end"))
@@ -97,7 +106,8 @@ def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None) -> DataFr
     heads = heads.select("alert", "day", F.max("_h").over(earlier).alias("_prev_head"))
     running = F.max("_head").over(in_day.rowsBetween(Window.unboundedPreceding, 0))
     islands = marked.join(heads, ["alert", "day"]).withColumn("island", F.coalesce(running, F.col("_prev_head")))
-    folded = islands.select("alert", "island", "quiet", "sec").groupBy("alert", "island").applyInPandas(_fold, "alert string, sec long")
+    islands = islands.select("alert", "island", "quiet", "sec").repartition("alert", "island").sortWithinPartitions("alert", "island", "sec")
+    folded = islands.mapInPandas(_fold, "alert string, sec long")
     return folded.select("alert", time_of("sec").alias("fired_at")).unionByName(always)
 
 

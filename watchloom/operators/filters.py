@@ -54,9 +54,12 @@ def drop_benign(df: DataFrame, col: str, names: list[str] | None = None) -> Data
 
 
 def long_running(df: DataFrame, start: str, as_of: datetime, secs: int, state: str | None = None, is_user: str | None = None) -> DataFrame:
-    """Active user work that started at least ``secs`` seconds before ``as_of``."""
-    elapsed = F.timestamp_diff("SECOND", F.col(start).cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz"))
-    cond = elapsed >= secs
+    """Active user work that started at least ``secs`` seconds before ``as_of``.
+
+    Seconds are counted in crossed boundaries; the bound is a literal that reaches the scan.
+    """
+    limit = as_of.replace(microsecond=0) - timedelta(seconds=secs - 1)
+    cond = F.col(start) < F.lit(limit).cast("timestamp_ntz")
     if state:
         cond = cond & (F.col(state) != "sleeping")
     if is_user:

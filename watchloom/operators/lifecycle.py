@@ -22,9 +22,11 @@ KINDS = {"FULL": "D", "LOG": "L", "DIFF": "I"}
 def expired(sets: DataFrame, media: DataFrame, as_of: datetime) -> DataFrame:
     """Media families whose newest expiry lies before today: their last path and expiry, newest first.
 
-    Dates are compared as dates. Sets are filtered before the join.
+    A set expires on a day before today, that is before today's midnight; the bound is a
+    literal that reaches the scan.
     """
-    old = sets.where(F.to_date("expiration_date") < F.lit(as_of.date()))
+    midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    old = sets.where(F.col("expiration_date") < F.lit(midnight).cast("timestamp_ntz"))
     return (
         media.join(old.select("media_set_id", "expiration_date"), "media_set_id")
         .groupBy("media_family_id")

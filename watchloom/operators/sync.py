@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import has_any_tag
+from watchloom.session import materialize
 
 
 def merge_frames(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,6 +191,7 @@ def drift_actions(log: DataFrame, drift: DataFrame) -> DataFrame:
     Replay is all or nothing: one database lacking its base record stops every replay.
     """
     low = F.lit(-(2**63)).cast("long")
+    drift = materialize(drift, "drift")
     blocked = drift.where("state = 'BEHIND' AND NOT has_base").agg(F.count(F.lit(1)).alias("n")).scalar()
     d = drift.where(F.col("state").isin("AHEAD", "BEHIND"))
     j = log.where("is_usable").join(d, "database")

@@ -28,16 +28,17 @@ from watchloom.session import load
 @query(
     "new_entities",
     """
-    SELECT DISTINCT l_partkey FROM lineitem l
+    SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l
     WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND NOT EXISTS (
-      SELECT 1 FROM lineitem p WHERE p.l_partkey = l.l_partkey AND p.l_shipdate < TIMESTAMP '2001-01-01')
+      SELECT 1 FROM lineitem p WHERE p.l_partkey = l.l_partkey AND p.l_suppkey = l.l_suppkey AND p.l_shipdate < TIMESTAMP '2001-01-01')
     """,
 )
 def q_new_entities(spark, sf):
-    l = load(spark, sf, "lineitem").select("l_partkey", "l_shipdate")
+    lines = load(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
     cut = F.lit(datetime(2001, 1, 1)).cast("timestamp_ntz")
-    now, before = l.where(F.col("l_shipdate") >= cut), l.where(F.col("l_shipdate") < cut)
-    return new_entities(now.select("l_partkey").distinct(), before, ["l_partkey"])
+    now, before = lines.where(F.col("l_shipdate") >= cut), lines.where(F.col("l_shipdate") < cut)
+    key = ["l_partkey", "l_suppkey"]
+    return new_entities(now.select(*key).distinct(), before, key)
 
 
 @query("orphans", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

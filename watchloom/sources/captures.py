@@ -12,6 +12,7 @@ REPORT_SCHEMA = (
     "`blocked-process` struct<process: struct<_spid: string, _ecid: string, inputbuf: string>>, "
     "`blocking-process` struct<process: struct<_spid: string, _ecid: string, inputbuf: string>>"
 )
+END_TAG = "</event>"
 TRACE_EVENT_SCHEMA = "_name string, Column array<struct<_name: string, _VALUE: string>>"
 
 
@@ -21,26 +22,37 @@ def event_time(text: Column, offset_min: int = 0) -> Column:
     return utc + F.expr(f"INTERVAL '{int(offset_min)}' MINUTE") if offset_min else utc
 
 
-def _shape(events: DataFrame, offset_min: int, categories: list[str] | None) -> DataFrame:
-    if categories:
-        events = events.where(F.col("event._name").isin(list(categories)))
+def _shape(events: DataFrame, offset_min: int) -> DataFrame:
     stamped = events.withColumn("log_ts", event_time(F.col("event._timestamp"), offset_min))
     return stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", F.col("event._name").alias("category"), "event")
 
 
 def read_event_capture(
-    spark: SparkSession, glob: str, offset_min: int = 0, categories: list[str] | None = None, streaming: bool = False
+    spark: SparkSession,
+    glob: str,
+    offset_min: int = 0,
+    categories: list[str] | None = None,
+    streaming: bool = False,
+    whole_files: bool = False,
 ) -> DataFrame:
-    """(log_date, log_ts, category, event) rows of XML capture files.
+    """(log_date, log_ts, category, event) rows of XML capture files, in batch or as a stream.
 
-    ``multiLine`` is off so that large files are split between tasks at ``<event>`` tags.
-    The streaming twin reads one event per line.
+    Files are read as text records ending in ``</event>``, so one large file is split
+    between tasks and unwanted categories are dropped before any XML is parsed. Use
+    ``whole_files`` for exports that carry that tag inside CDATA: the XML reader is exact
+    there but takes each file in one task.
     """
-    if streaming:
-        lines = spark.readStream.text(glob)
-        return capture_from_text(lines, "value", offset_min, categories)
-    raw = spark.read.format("xml").options(rowTag="event", multiLine="false").schema(EVENT_SCHEMA).load(glob)
-    return _shape(raw.select(F.struct("*").alias("event")), offset_min, categories)
+    if whole_files:
+        raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(glob)
+        shaped = _shape(raw.select(F.struct("*").alias("event")), offset_min)
+        return shaped.where(F.col("category").isin(list(categories))) if categories else shaped
+    reader = spark.readStream if streaming else spark.read
+    chunks = reader.option("lineSep", END_TAG).text(glob)
+    # a chunk is what follows the last end tag: perhaps a prologue or events without
+    # content, then one event lacking its end tag
+    pieces = F.split(F.concat("value", F.lit(END_TAG)), r"(?=<event[\s/>])")
+    events = chunks.select(F.explode(F.filter(pieces, lambda p: p.rlike(r"^<event[\s/>]"))).alias("xml"))
+    return capture_from_text(events, "xml", offset_min, categories)
 
 
 def capture_from_text(df: DataFrame, xml_col: str, offset_min: int = 0, categories: list[str] | None = None) -> DataFrame:
@@ -51,7 +63,7 @@ def capture_from_text(df: DataFrame, xml_col: str, offset_min: int = 0, categori
     if categories:
         head = F.regexp_extract(F.col(xml_col), r"^\s*<event[^>]*\bname=\"([^\"]*)\"", 1)
         df = df.where(head.isin(list(categories)))
-    return _shape(df.select(parse_event(xml_col).alias("event")), offset_min, None)
+    return _shape(df.select(parse_event(xml_col).alias("event")), offset_min)
 
 
 def normalise_block_reports(df: DataFrame, kind: str, xml: str = "xml", end_time: str | None = None) -> DataFrame:
