@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,17 @@ def _col(c: str | Column) -> Column:
 
 def _div(a: Column, b: int) -> Column:
     """Integer division of non-negative values."""
-    return F.floor(a / F.lit(b)).cast("int")
+    return F.call_function("div", a, F.lit(b)).cast("int")
+
+
+def _two(c: Column) -> Column:
+    """A number below 100 as two digits."""
+    return F.lpad(c.cast("string"), 2, "0")
 
 
 def _pad2(c: Column) -> Column:
     """Zero-pad to two digits; longer numbers stay as they are."""
-    text = c.cast("string")
-    return F.when(F.length(text) < 2, F.concat(F.lit("0"), text)).otherwise(text)
+    return F.format_string("%02d", c)
 
 
 def is_leap(year: str | Column) -> Column:
@@ -35,32 +41,61 @@ def is_leap(year: str | Column) -> Column:
     return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
 
 
-def _jalali_parts(d: Column) -> tuple[Column, Column, Column]:
+def _counted_date(d: Column) -> Column:
     # In Gregorian years 384 mod 400 the forward rule runs one day late, and 1 March
     # falls back over 29 February.
     late = F.year(d) % 400 == 384
-    d = F.when(late & (F.month(d) == 3) & (F.dayofmonth(d) == 1), F.date_sub(d, 2)).when(late, F.date_sub(d, 1)).otherwise(d)
-    gy, doy = F.year(d), F.dayofyear(d)
-    # The Jalali year starts on Gregorian day-of-year 80; days before it count on from the
-    # previous year, whose length follows the plain four-year rule.
+    leap_day = (F.month(d) == 3) & (F.dayofmonth(d) == 1)
+    return F.date_sub(d, F.when(late & leap_day, 2).when(late, 1).otherwise(0))
+
+
+def _year_offset(gy: Column, doy: Column) -> tuple[Column, Column]:
+    """Jalali year and 0-based day in it.
+
+    The Jalali year starts on Gregorian day-of-year 80; days before it count on from the
+    previous year, whose length follows the plain four-year rule.
+    """
     previous_length = F.when((gy - 1) % 4 == 0, 366).otherwise(365)
-    offset = F.when(doy >= 80, doy - 80).otherwise(doy - 80 + previous_length)
-    year = F.when(doy >= 80, gy - 621).otherwise(gy - 622)
-    # six months of 31 days, then months of 30
+    year = gy - F.when(doy >= 80, 621).otherwise(622)
+    return year, doy - 80 + F.when(doy >= 80, 0).otherwise(previous_length)
+
+
+def _month_day(offset: Column) -> tuple[Column, Column]:
+    """Six months of 31 days, then months of 30."""
     month = F.when(offset < 186, _div(offset, 31) + 1).otherwise(_div(offset - 186, 30) + 7)
     day = F.when(offset < 186, offset % 31 + 1).otherwise((offset - 186) % 30 + 1)
-    return year, month, day
+    return month, day
+
+
+def _jalali_text(y: Column, m: Column, d: Column, delimiter: str) -> Column:
+    return F.concat(y.cast("string"), F.lit(delimiter), _two(m), F.lit(delimiter), _two(d))
+
+
+def add_jalali(df: DataFrame, col: str, delimiter: str = "/", prefix: str = "jalali_") -> DataFrame:
+    """Columns <prefix>year, month, day and text of the Jalali date of a date or timestamp.
+
+    Built in steps that Spark keeps apart, so each intermediate is computed once per row.
+    """
+    out = df.withColumn("_d", _counted_date(F.to_date(col)))
+    out = out.withColumns({"_gy": F.year("_d"), "_doy": F.dayofyear("_d")})
+    year, offset = _year_offset(F.col("_gy"), F.col("_doy"))
+    out = out.withColumns({f"{prefix}year": year, "_off": offset})
+    month, day = _month_day(F.col("_off"))
+    out = out.withColumns({f"{prefix}month": month, f"{prefix}day": day})
+    parts = [F.col(f"{prefix}{p}") for p in ("year", "month", "day")]
+    return out.withColumn(f"{prefix}text", _jalali_text(*parts, delimiter)).drop("_d", "_gy", "_doy", "_off")
 
 
 def to_jalali(col: str | Column, delimiter: str = "/") -> Column:
-    """Struct (year, month, day, text) of the Jalali date of a date or timestamp."""
-    y, m, d = _jalali_parts(F.to_date(_col(col)))
-    text = F.concat_ws(delimiter, y.cast("string"), _pad2(m), _pad2(d))
+    """Struct (year, month, day, text) of the Jalali date; ``add_jalali`` is the faster form."""
+    d = _counted_date(F.to_date(_col(col)))
+    y, offset = _year_offset(F.year(d), F.dayofyear(d))
+    m, dd = _month_day(offset)
     return F.struct(
         y.cast("int").alias("year"),
         m.cast("int").alias("month"),
-        d.cast("int").alias("day"),
-        F.when(y.isNotNull(), text).alias("text"),
+        dd.cast("int").alias("day"),
+        _jalali_text(y, m, dd, delimiter).alias("text"),
     )
 
 
@@ -79,14 +114,12 @@ def from_jalali(col: str | Column, delimiter: str = "/") -> Column:
 
     Two- and three-digit years (below 1300) are taken as 13xx; years over 9999 give null.
     """
-    parts = F.split(_col(col), F.lit("\\Q" + delimiter + "\\E"), -1)
-    y, m, d = (F.get(parts, F.lit(i)) for i in range(3))
-    ok = (F.size(parts) == 3) & (F.length(d) != 4)
-    for p in (y, m, d):
-        ok = ok & p.rlike("^[0-9]+$")
-    yi, mi, di = (p.try_cast("int") for p in (y, m, d))
-    yi = F.when(yi < 1300, yi + 1300).otherwise(yi)
-    return F.when(ok & (yi <= 9999), jalali_to_date(yi, mi, di))
+    text = _col(col)
+    cut = re.escape(delimiter)
+    ok = text.rlike(f"^[0-9]+{cut}[0-9]+{cut}([0-9]{{1,3}}|[0-9]{{5,}})$")
+    y, m, d = (F.split_part(text, F.lit(delimiter), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    y = y + F.when(y < 1300, 1300).otherwise(0)
+    return F.when(ok & (y <= 9999), jalali_to_date(y, m, d))
 
 
 def us_week(d: Column) -> Column:
@@ -95,45 +128,60 @@ def us_week(d: Column) -> Column:
     return _div(F.dayofyear(d) + first_weekday - 2, 7) + 1
 
 
-def time_flags(ts: str | Column) -> dict[str, Column]:
-    """The 29 named calendar and clock flags of a timestamp, each as text."""
-    ts = _col(ts)
-    d = F.to_date(ts)
-    stamp = ts.cast("timestamp_ntz")
-    jy, jm, jd = _jalali_parts(d)
-    jalali = F.concat_ws("/", jy.cast("string"), _pad2(jm), _pad2(jd))
-    since_new_year = F.datediff(d, jalali_to_date(jy, F.lit(1), F.lit(1)))
-    saturday_first = F.dayofweek(d) % 7  # 0 = Saturday .. 6 = Friday
-    j_quarter = _div(jm - 1, 3)
-    clock = F.date_format(stamp, "HH:mm:ss.SSSSSS")
-
-    def pick(names, index):
-        return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
-
-    flags = {
-        "GR_DATE": F.date_format(d, "yyyy/MM/dd"),
-        "JL_DATE": jalali,
-        "GR_YEAR_NUM": F.year(d).cast("string"),
-        "JL_YEAR_NUM": jy.cast("string"),
-        "GR_MONTH_NUM": _pad2(F.month(d)),
-        "JL_MONTH_NUM": _pad2(jm),
-        "GR_MONTH_NAME": F.date_format(d, "MMMM"),
-        "JL_MONTH_NAME": pick(JALALI_MONTHS, jm - 1),
-        "GR_DAYOFMONTH_NUM": _pad2(F.dayofmonth(d)),
-        "JL_DAYOFMONTH_NUM": _pad2(jd),
-        "GR_DAYOFYEAR_NUM": _pad2(F.dayofyear(d)),
-        "JL_DAYOFYEAR_NUM": _pad2(since_new_year),
-        "GR_WEEKOFYEAR_NUM": _pad2(us_week(d)),
-        "JL_WEEKOFYEAR_NUM": _pad2(_div(F.abs(since_new_year), 7)),
-        "GR_DAYOFWEEK_NUM": _pad2(F.dayofweek(d)),
-        "JL_DAYOFWEEK_NUM": _pad2(saturday_first + 1),
-        "GR_DAYOFWEEK_NAME": F.date_format(d, "EEEE"),
-        "JL_DAYOFWEEK_NAME": pick(JALALI_WEEKDAYS, saturday_first),
-        "GR_QUARTER_NUM": _pad2(F.quarter(d)),
-        "JL_QUARTER_NUM": _pad2(j_quarter + 1),
-        "GR_QUARTER_NAME": F.concat(F.lit("Q"), F.quarter(d).cast("string")),
-        "JL_QUARTER_NAME": pick(JALALI_QUARTERS, j_quarter),
-        "ISLEAPYEAR": F.when(is_leap(F.year(d)), "1").otherwise("0"),
+FLAGS = [
+    "GR_DATE", "JL_DATE", "GR_YEAR_NUM", "JL_YEAR_NUM", "GR_MONTH_NUM", "JL_MONTH_NUM", "GR_MONTH_NAME",
+    "JL_MONTH_NAME", "GR_DAYOFMONTH_NUM", "JL_DAYOFMONTH_NUM", "GR_DAYOFYEAR_NUM", "JL_DAYOFYEAR_NUM",
+    "GR_WEEKOFYEAR_NUM", "JL_WEEKOFYEAR_NUM", "GR_DAYOFWEEK_NUM", "JL_DAYOFWEEK_NUM", "GR_DAYOFWEEK_NAME",
+    "JL_DAYOFWEEK_NAME", "GR_QUARTER_NUM", "JL_QUARTER_NUM", "GR_QUARTER_NAME", "JL_QUARTER_NAME",
+    "ISLEAPYEAR", "TIME_FULL", "TIME_HHMMSS", "TIME_HHMM", "HOUR", "MINUTE", "SECOND",
+]
+
+
+def _pick(names: list[str], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
+
+
+def add_time_flags(df: DataFrame, ts: str, names: list[str] | None = None) -> DataFrame:
+    """Calendar and clock flags of a timestamp as text columns named in lower case.
+
+    Steps are kept apart as in ``add_jalali``; a null timestamp gives null flags.
+    """
+    stamp = F.col(ts).cast("timestamp_ntz")
+    out = add_jalali(df.withColumn("_g", F.to_date(ts)), "_g", prefix="_j")
+    out = out.withColumns(
+        {
+            "_since": F.datediff("_g", jalali_to_date(F.col("_jyear"), F.lit(1), F.lit(1))),
+            "_sat": F.dayofweek("_g") % 7,  # 0 = Saturday .. 6 = Friday
+            "_jq": _div(F.col("_jmonth") - 1, 3),
+            "_clock": F.date_format(stamp, "HH:mm:ss.SSSSSS"),
+        }
+    )
+    g, jm, sat, jq, clock = (F.col(c) for c in ("_g", "_jmonth", "_sat", "_jq", "_clock"))
+    known = g.isNotNull()
+    values = {
+        "GR_DATE": F.date_format(g, "yyyy/MM/dd"),
+        "JL_DATE": F.col("_jtext"),
+        "GR_YEAR_NUM": F.year(g).cast("string"),
+        "JL_YEAR_NUM": F.col("_jyear").cast("string"),
+        "GR_MONTH_NUM": _two(F.month(g)),
+        "JL_MONTH_NUM": _two(jm),
+        "GR_MONTH_NAME": F.date_format(g, "MMMM"),
+        "JL_MONTH_NAME": _pick(JALALI_MONTHS, jm - 1),
+        "GR_DAYOFMONTH_NUM": _two(F.dayofmonth(g)),
+        "JL_DAYOFMONTH_NUM": _two(F.col("_jday")),
+        "GR_DAYOFYEAR_NUM": F.when(known, _pad2(F.dayofyear(g))),
+        "JL_DAYOFYEAR_NUM": F.when(known, _pad2(F.col("_since"))),
+        "GR_WEEKOFYEAR_NUM": _two(us_week(g)),
+        "JL_WEEKOFYEAR_NUM": _two(_div(F.abs("_since"), 7)),
+        "GR_DAYOFWEEK_NUM": _two(F.dayofweek(g)),
+        "JL_DAYOFWEEK_NUM": _two(sat + 1),
+        "GR_DAYOFWEEK_NAME": F.date_format(g, "EEEE"),
+        "JL_DAYOFWEEK_NAME": _pick(JALALI_WEEKDAYS, sat),
+        "GR_QUARTER_NUM": _two(F.quarter(g)),
+        "JL_QUARTER_NUM": _two(jq + 1),
+        "GR_QUARTER_NAME": F.concat(F.lit("Q"), F.quarter(g).cast("string")),
+        "JL_QUARTER_NAME": _pick(JALALI_QUARTERS, jq),
+        "ISLEAPYEAR": F.when(known, is_leap(F.year(g)).cast("int").cast("string")),
         "TIME_FULL": F.concat(clock, F.lit("0")),
         "TIME_HHMMSS": F.substring(clock, 1, 8),
         "TIME_HHMM": F.substring(clock, 1, 5),
@@ -141,17 +189,17 @@ def time_flags(ts: str | Column) -> dict[str, Column]:
         "MINUTE": F.substring(clock, 4, 2),
         "SECOND": F.substring(clock, 7, 2),
     }
-    return {name: F.when(ts.isNotNull(), value) for name, value in flags.items()}
-
-
-def add_time_flags(df: DataFrame, ts: str, names: list[str] | None = None) -> DataFrame:
-    flags = time_flags(ts)
-    return df.withColumns({n.lower(): flags[n] for n in (names or flags)})
+    wanted = [n for n in FLAGS if names is None or n in names]
+    out = out.withColumns({n.lower(): values[n] for n in wanted})
+    return out.drop("_g", "_since", "_sat", "_jq", "_clock", "_jyear", "_jmonth", "_jday", "_jtext")
 
 
-def time_flag(ts: str | Column, braced_name: str) -> Column:
+def time_flag(df: DataFrame, ts: str, braced_name: str, out: str) -> DataFrame:
     """One flag by its braced name, for example ``{%JL_DATE%}``; unknown names give null."""
-    return time_flags(ts).get(braced_name.strip("{}%"), F.lit(None).cast("string"))
+    name = braced_name.strip("{}%")
+    if name not in FLAGS:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    return add_time_flags(df, ts, [name]).withColumnRenamed(name.lower(), out)
 
 
 def calendar_dim(bounds: DataFrame, first: str, last: str) -> DataFrame:

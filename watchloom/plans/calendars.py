@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchloom.functions.calendar import JALALI_MONTHS, JALALI_QUARTERS, JALALI_WEEKDAYS, add_time_flags, calendar_dim, from_jalali, to_jalali, ts_key
+from watchloom.functions.calendar import JALALI_MONTHS, JALALI_QUARTERS, JALALI_WEEKDAYS, add_jalali, add_time_flags, calendar_dim, from_jalali, ts_key
 from watchloom.plans.registry import query
 from watchloom.session import load
 
@@ -89,8 +89,8 @@ def q_time_flags(spark, sf):
     """,
 )
 def q_orders_by_jalali_month(spark, sf):
-    o = load(spark, sf, "orders").withColumn("j", to_jalali("o_orderdate"))
-    return o.groupBy(F.col("j.year").alias("jalali_year"), F.col("j.month").alias("jalali_month")).agg(
+    o = add_jalali(load(spark, sf, "orders"), "o_orderdate")
+    return o.groupBy("jalali_year", "jalali_month").agg(
         F.count(F.lit(1)).alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents")
     )
 
@@ -105,13 +105,13 @@ def q_orders_by_jalali_month(spark, sf):
     """,
 )
 def q_jalali_roundtrip(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderkey", to_jalali("o_orderdate", "-").alias("j"))
-    year_last = F.concat_ws("-", F.col("j.day").cast("string"), F.col("j.month").cast("string"), F.col("j.year").cast("string"))
+    o = add_jalali(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "-", "j_")
+    o = o.withColumn("j_last", F.concat_ws("-", F.col("j_day").cast("string"), F.col("j_month").cast("string"), F.col("j_year").cast("string")))
     return o.select(
         "o_orderkey",
-        F.col("j.text").alias("jalali"),
-        from_jalali(F.col("j.text"), "-").alias("back"),
-        from_jalali(year_last, "-").alias("year_last"),
+        F.col("j_text").alias("jalali"),
+        from_jalali("j_text", "-").alias("back"),
+        from_jalali("j_last", "-").alias("year_last"),
     )
 
 

@@ -19,7 +19,7 @@ from watchloom.plans.adapters import (
     report_xml,
 )
 from watchloom.plans.registry import query
-from watchloom.session import load, scratch_path
+from watchloom.session import load, scratch_path, spread
 from watchloom.sources.captures import capture_from_text, normalise_block_reports, read_event_capture
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 30, 23, 59, 59)
@@ -98,7 +98,7 @@ def q_block_reports(spark, sf):
 def q_event_fields(spark, sf):
     from watchloom.functions.events import parse_event
 
-    rows = ev_xml(spark, sf).select("event_id", parse_event("xml").alias("event"))
+    rows = spread(ev_xml(spark, sf)).select("event_id", parse_event("xml").alias("event"))
     spec = {
         "duration": ("data", "duration", "long"),
         "error_number": ("data", "error_number", "int"),

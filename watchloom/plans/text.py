@@ -20,7 +20,7 @@ from watchloom.functions.text import (
     split_rows,
     strip_chars,
 )
-from watchloom.functions.calendar import time_flags
+from watchloom.functions.calendar import add_time_flags
 from watchloom.operators.aggregates import concat_rows, group_incidents
 from watchloom.plans.registry import query
 from watchloom.session import load, scratch_path
@@ -199,7 +199,7 @@ TEMPLATE_VARS = [
     """,
 )
 def q_render_paths(spark, sf):
-    flags = time_flags("o_orderdate")
+    used = ["GR_YEAR_NUM", "GR_MONTH_NUM", "GR_DAYOFMONTH_NUM", "JL_DATE"]
     source = F.concat(F.lit("x:\\in\\o"), F.col("o_orderkey").cast("string"), F.lit(".bak"))
     values = {
         "BACKUP_TYPE": F.col("o_orderstatus"),
@@ -207,13 +207,13 @@ def q_render_paths(spark, sf):
         "SERVER_NAME": F.col("o_orderpriority"),
         "FILE_NAME": file_name(source),
         "FILE_EXTENSION": file_extension(source),
-        **{n: flags[n] for n in ("GR_YEAR_NUM", "GR_MONTH_NUM", "GR_DAYOFMONTH_NUM", "JL_DATE")},
+        **{n: F.col(n.lower()) for n in used},
     }
     template = (
         "D:/{%SERVER_NAME%}/{%GR_YEAR_NUM%}_{%GR_MONTH_NUM%}/{%GR_DAYOFMONTH_NUM%}/"
         "{%BACKUP_TYPE%}_{%DBNAME%}_{%FILE_NAME%}.{%FILE_EXTENSION%}_{%NO_SUCH_SOURCE%}_{%UNREGISTERED%}"
     )
-    orders = load(spark, sf, "orders").withColumn("template", F.lit(template))
+    orders = add_time_flags(load(spark, sf, "orders").withColumn("template", F.lit(template)), "o_orderdate", used)
     return render_template(orders, "template", values, TEMPLATE_VARS, "path").select("o_orderkey", "path")
 
 

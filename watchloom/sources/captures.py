@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.events import EVENT_SCHEMA, data_field, parse_event
+from watchloom.session import spread
 
 REPORT_SCHEMA = (
     "_monitorLoop string, "
@@ -22,9 +23,10 @@ def event_time(text: Column, offset_min: int = 0) -> Column:
     return utc + F.expr(f"INTERVAL '{int(offset_min)}' MINUTE") if offset_min else utc
 
 
-def _shape(events: DataFrame, offset_min: int) -> DataFrame:
-    stamped = events.withColumn("log_ts", event_time(F.col("event._timestamp"), offset_min))
-    return stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", F.col("event._name").alias("category"), "event")
+def _head(xml: str, attribute: str) -> Column:
+    """An attribute of the event element, read from the raw text without parsing it."""
+    value = F.regexp_extract(F.col(xml), rf"^\s*<event[^>]*\s{attribute}=[\"']([^\"']*)[\"']", 1)
+    return F.nullif(value, F.lit(""))
 
 
 def read_event_capture(
@@ -44,8 +46,9 @@ def read_event_capture(
     """
     if whole_files:
         raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(glob)
-        shaped = _shape(raw.select(F.struct("*").alias("event")), offset_min)
-        return shaped.where(F.col("category").isin(list(categories))) if categories else shaped
+        stamped = raw.select(event_time(F.col("_timestamp"), offset_min).alias("log_ts"), F.col("_name").alias("category"), F.struct("*").alias("event"))
+        stamped = stamped.where(F.col("category").isin(list(categories))) if categories else stamped
+        return stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", "event")
     reader = spark.readStream if streaming else spark.read
     chunks = reader.option("lineSep", END_TAG).text(glob)
     # a chunk is what follows the last end tag: perhaps a prologue or events without
@@ -58,12 +61,16 @@ def read_event_capture(
 def capture_from_text(df: DataFrame, xml_col: str, offset_min: int = 0, categories: list[str] | None = None) -> DataFrame:
     """The same shape from a text column holding one event per row.
 
-    The category is tested on the raw text first, so unwanted events are never parsed.
+    Category and time come from the raw head of the event: later filters on them, time
+    windows above all, run before the one parse of the whole event.
     """
+    events = df.select(
+        event_time(_head(xml_col, "timestamp"), offset_min).alias("log_ts"), _head(xml_col, "name").alias("category"), F.col(xml_col).alias("_xml")
+    )
     if categories:
-        head = F.regexp_extract(F.col(xml_col), r"^\s*<event[^>]*\bname=\"([^\"]*)\"", 1)
-        df = df.where(head.isin(list(categories)))
-    return _shape(df.select(parse_event(xml_col).alias("event")), offset_min)
+        events = events.where(F.col("category").isin(list(categories)))
+    events = spread(events)
+    return events.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", parse_event("_xml").alias("event"))
 
 
 def normalise_block_reports(df: DataFrame, kind: str, xml: str = "xml", end_time: str | None = None) -> DataFrame:
