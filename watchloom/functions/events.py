@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def event_fields(df: DataFrame, spec: dict[str, tuple], event: str = "event", ke
     return df.select(*(keep or []), *cols)
 
 
+def parsed_rows(df: DataFrame, columns: dict[str, Column], keep: Callable[[Column], Column], carry: list[str] | None = None) -> DataFrame:
+    """Columns taken from a parsed document, only for rows where ``keep`` holds.
+
+    A plain filter on such columns would be pushed below the parse and repeat it; a filter
+    inside the row array is applied to what has been parsed already.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*(carry or []), F.inline(F.filter(F.array(row), keep)))
+
+
 def params_to_columns(df: DataFrame, col: str, names: dict[str, str]) -> DataFrame:
     """``/root/param[@name]`` entries of a connection document as typed columns."""
     parsed = F.from_xml(F.col(col), "param array<struct<_name: string, _VALUE: string>>")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.functions.events import action_field, data_field, event_fields
+from watchloom.functions.events import action_field, data_field, event_fields, parsed_rows
 from watchloom.operators.aggregates import day_pivot, group_incidents
 from watchloom.operators.filters import in_window
 
@@ -89,10 +89,12 @@ def suspicious_detail(events: DataFrame, as_of: datetime, start=None, end=None)
 
 def failover_history(events: DataFrame, as_of: datetime, start=None, end=None, error_number: int = 1480) -> DataFrame:
     """Role-change messages; default range is the last year."""
-    lo = start or as_of.replace(year=as_of.year - 1) if (as_of.month, as_of.day) != (2, 29) else start or as_of - timedelta(days=366)
-    rows = in_window(events.where(F.col("category") == "error_reported"), "log_ts", as_of, lo, end or as_of)
-    rows = rows.withColumn("error_number", data_field("event", "error_number", "int")).where(F.col("error_number") == error_number)
-    return rows.select("log_ts", "error_number", data_field("event", "message").alias("message"))
+    if start is None:
+        leap_day = (as_of.month, as_of.day) == (2, 29)
+        start = as_of.replace(year=as_of.year - 1, day=28 if leap_day else as_of.day)
+    rows = in_window(events.where(F.col("category") == "error_reported"), "log_ts", as_of, start, end or as_of)
+    columns = {"error_number": data_field("event", "error_number", "int"), "message": data_field("event", "message")}
+    return parsed_rows(rows, columns, lambda x: x["error_number"] == error_number, ["log_ts"])
 
 
 def successful_logins(events: DataFrame) -> DataFrame:
@@ -113,10 +115,12 @@ DEADLOCK = "deadlock struct<`process-list`: struct<process: array<struct<inputbu
 
 def block_incidents(events: DataFrame) -> DataFrame:
     """Blocking incidents grouped by the statements of both sides."""
-    rows = events.where(F.col("category") == "blocked_process_report").select(
-        data_field("event", "duration", "long").alias("duration"), data_field("event", "blocked_process").alias("payload")
+    rows = parsed_rows(
+        events.where(F.col("category") == "blocked_process_report"),
+        {"duration": data_field("event", "duration", "long"), "payload": data_field("event", "blocked_process")},
+        lambda x: x["payload"].isNotNull(),
     )
-    rows = rows.where(F.col("payload").isNotNull()).withColumn("r", F.from_xml("payload", BLOCK_SIDES))
+    rows = rows.withColumn("r", F.from_xml("payload", BLOCK_SIDES))
     sides = [F.coalesce(F.col(f"r.`{s}-process`.process.inputbuf"), F.lit("")) for s in ("blocked", "blocking")]
     return group_incidents(rows.withColumn("factors", F.concat_ws("|", *sides)), "factors", "duration", "payload")
 
@@ -127,5 +131,6 @@ def deadlock_incidents(events: DataFrame) -> DataFrame:
     rows = rows.select(F.get(F.col("event.data"), F.lit(0))["value"].alias("payload"))
     rows = rows.withColumn("d", F.from_xml(F.concat(F.lit("<v>"), F.col("payload"), F.lit("</v>")), DEADLOCK))
     parts = F.transform(F.col("d.deadlock.`process-list`.process"), lambda p: p["inputbuf"])
-    rows = rows.withColumn("factors", F.array_join(F.filter(parts, lambda x: x.isNotNull()), "|")).where("factors <> ''")
+    factors = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "|")
+    rows = parsed_rows(rows, {"factors": factors, "payload": F.col("payload")}, lambda x: x["factors"] != "")
     return group_incidents(rows, "factors", None, "payload")

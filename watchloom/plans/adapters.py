@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.session import load
+from watchloom.session import load, spread
 
 EVENTS_AS_OF = datetime(2024, 1, 31)
 ORDERS_AS_OF = datetime(2001, 12, 1)
@@ -19,9 +19,13 @@ def micros(value: str = "value") -> F.Column:
 
 def events_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Event fields as plain columns; the XML adapter renders exactly these."""
+    return wide(load(spark, sf, "events"))
+
+
+def wide(events: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", '"k": ([0-9]+)', 1)
     uid, eid = F.col("user_id"), F.col("event_id")
-    return load(spark, sf, "events").select(
+    return events.select(
         "event_id",
         "ts",
         "event_type",
@@ -59,7 +63,7 @@ def _node(kind: str, name: str, value: F.Column) -> F.Column:
 
 def ev_xml(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, xml): one captured event document per source event."""
-    e = events_wide(spark, sf)
+    e = wide(spread(load(spark, sf, "events")))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     data = [_node("data", n, F.col(n)) for n in ("duration", "error_number", "message", "database_id")]
     severity = F.concat(F.lit('<data name="category"><value>2</value><text>'), F.col("event_type"), F.lit("</text></data>"))
@@ -73,7 +77,7 @@ def report_xml(spark: SparkSession, sf: str) -> DataFrame:
 
     Every fifth lacks the monitor loop, every seventh the blocking side.
     """
-    e = load(spark, sf, "events")
+    e = spread(load(spark, sf, "events"))
     eid, uid = F.col("event_id"), F.col("user_id")
     loop = F.when(eid % 5 != 0, F.concat(F.lit(' monitorLoop="'), F.dayofyear("ts").cast("string"), F.lit('"'))).otherwise("")
 

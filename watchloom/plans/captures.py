@@ -20,13 +20,20 @@ from watchloom.plans.adapters import (
 )
 from watchloom.plans.registry import query
 from watchloom.session import load, scratch_path, spread
-from watchloom.sources.captures import capture_from_text, normalise_block_reports, read_event_capture
+from watchloom.sources.captures import normalise_block_reports, read_event_capture
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 30, 23, 59, 59)
 
 
+def written(docs, label="capture"):
+    """Capture files of an (event_id, xml) frame, one event per document."""
+    path = scratch_path(docs.sparkSession, label)
+    docs.select("xml").write.text(path)
+    return path
+
+
 def parsed(spark, sf, categories=None):
-    return capture_from_text(ev_xml(spark, sf), "xml", 0, categories)
+    return read_event_capture(spark, written(ev_xml(spark, sf)), 0, categories)
 
 
 @query(
@@ -38,9 +45,7 @@ def parsed(spark, sf, categories=None):
     """,
 )
 def q_event_capture(spark, sf):
-    path = scratch_path(spark, "capture")
-    ev_xml(spark, sf).select("xml").write.text(path)
-    cap = read_event_capture(spark, path, 210, ["error", "purchase"])
+    cap = read_event_capture(spark, written(ev_xml(spark, sf)), 210, ["error", "purchase"])
     return cap.select(
         F.col("log_date").cast("string").alias("log_date"),
         "log_ts",
@@ -98,7 +103,7 @@ def q_block_reports(spark, sf):
 def q_event_fields(spark, sf):
     from watchloom.functions.events import parse_event
 
-    rows = spread(ev_xml(spark, sf)).select("event_id", parse_event("xml").alias("event"))
+    rows = ev_xml(spark, sf).select("event_id", parse_event("xml").alias("event"))
     spec = {
         "duration": ("data", "duration", "long"),
         "error_number": ("data", "error_number", "int"),
@@ -206,7 +211,7 @@ def q_failover_history(spark, sf):
     """,
 )
 def q_group_incidents(spark, sf):
-    return R.block_incidents(capture_from_text(block_event_xml(spark, sf), "xml"))
+    return R.block_incidents(read_event_capture(spark, written(block_event_xml(spark, sf), "blocks")))
 
 
 @query(
@@ -236,8 +241,8 @@ def q_deadlock_incidents(spark, sf):
         listed,
         F.lit("</process-list></deadlock></value></data></event>"),
     )
-    cap = capture_from_text(load(spark, sf, "events").select(xml.alias("xml")), "xml")
-    return R.deadlock_incidents(cap).drop("sample")
+    docs = spread(load(spark, sf, "events")).select(xml.alias("xml"))
+    return R.deadlock_incidents(read_event_capture(spark, written(docs, "deadlocks"))).drop("sample")
 
 
 RULES_SQL = f"""

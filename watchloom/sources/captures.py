@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.functions.events import EVENT_SCHEMA, data_field, parse_event
+from watchloom.functions.events import EVENT_SCHEMA, data_field, parse_event, parsed_rows
 from watchloom.session import spread
 
 REPORT_SCHEMA = (
@@ -98,17 +98,12 @@ def normalise_block_reports(df: DataFrame, kind: str, xml: str = "xml", end_time
         )
     else:
         raise ValueError(f"unknown report kind {kind!r}")
+    side = {s: f"r.`{s}-process`.process" for s in ("blocked", "blocking")}
     last_resort = F.lit("unknown") if kind == "document" else F.md5(F.col("_report").cast("binary"))
     r = src.withColumn("r", F.from_xml(F.col("_report"), REPORT_SCHEMA))
-    side = {s: f"r.`{s}-process`.process" for s in ("blocked", "blocking")}
-    out = r.select(
-        F.coalesce(F.col("r._monitorLoop"), F.date_format("end_time", "yyyy-MM-dd HH:mm:ss"), last_resort).alias("monitorloop"),
-        "end_time",
-        *[
-            F.col(f"{side[s]}._{part}").try_cast("int").alias(f"{s}_{part}")
-            for s in ("blocked", "blocking")
-            for part in ("spid", "ecid")
-        ],
-        F.col("_report").alias("report"),
-    )
-    return out.where(F.col("blocked_spid").isNotNull() & F.col("blocking_spid").isNotNull())
+    spids = {
+        f"{s}_{part}": F.col(f"{side[s]}._{part}").try_cast("int") for s in ("blocked", "blocking") for part in ("spid", "ecid")
+    }
+    loop = F.coalesce(F.col("r._monitorLoop"), F.date_format("end_time", "yyyy-MM-dd HH:mm:ss"), last_resort)
+    columns = {"monitorloop": loop, "end_time": F.col("end_time"), **spids, "report": F.col("_report")}
+    return parsed_rows(r, columns, lambda x: x["blocked_spid"].isNotNull() & x["blocking_spid"].isNotNull())
