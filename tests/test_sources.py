@@ -153,5 +153,5 @@ def test_scratch_follows_the_cluster_setting(spark):
 
 def test_materialised_tables_live_in_the_scratch_folder(spark):
     df, n, path = W.materialize_counted(spark.range(7), "t")
-    assert n == 7 and df.count() == 7 and path.startswith(f"{W.scratch_root(spark)}/t-")
+    assert n == 7 and df.count() == 7 and path.startswith(f"{W.scratch_root(spark)}/watchloom-{spark.sparkContext.applicationId}/t-")
     assert "LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString()

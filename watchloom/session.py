@@ -37,7 +37,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work when the scan has fewer tasks than cores.
 
-    Only then is there a shuffle; a scan of many files, the normal case, is left alone.
+    Only then is there a shuffle; a scan of many files, the normal case, is left alone. For
+    plain scans only: asking a plan with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
@@ -63,7 +64,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path; all paths of one application share a folder, to be purged after it."""
+    return f"{scratch_root(spark)}/watchloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def read_like(spark: SparkSession, paths: list[str], schema) -> DataFrame:

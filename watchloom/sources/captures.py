@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.events import EVENT_SCHEMA, data_field, parse_event, parsed_rows
-from watchloom.session import spread
 
 REPORT_SCHEMA = (
     "_monitorLoop string, "
@@ -69,7 +68,6 @@ def capture_from_text(df: DataFrame, xml_col: str, offset_min: int = 0, categori
     )
     if categories:
         events = events.where(F.col("category").isin(list(categories)))
-    events = spread(events)
     return events.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", parse_event("_xml").alias("event"))
 
 

@@ -55,10 +55,15 @@ def stream_daily_kpi(stream: DataFrame, ts: str, category: str, lateness: str) -
     return counts.select(day.alias("log_date"), "category", "occurrence_per_day")
 
 
-def stream_dedup(stream: DataFrame, ts: str, fingerprint: Column, within: str) -> DataFrame:
-    """First event of each fingerprint within the watermark delay."""
+def stream_dedup(stream: DataFrame, ts: str, fingerprint: Column, within: str, salts: int = 32) -> DataFrame:
+    """First event of each fingerprint within the watermark delay.
+
+    Two steps: per (fingerprint, salt) first, so that a fingerprint holding a third of the
+    stream is spread over ``salts`` tasks, then per fingerprint over what is left.
+    """
     stamped = stream.withColumns({STAMP: event_stamp(ts), "incident_id": fingerprint}).withWatermark(STAMP, within)
-    return stamped.dropDuplicatesWithinWatermark(["incident_id"])
+    salted = stamped.withColumn("_salt", F.pmod(F.xxhash64(STAMP), F.lit(salts)))
+    return salted.dropDuplicatesWithinWatermark(["incident_id", "_salt"]).dropDuplicatesWithinWatermark(["incident_id"]).drop("_salt")
 
 
 def history_writer(path: str, ts: str, days: int, as_of: datetime) -> Callable:
