@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.operators import graph as G
 
 
@@ -49,7 +50,7 @@ def test_builtin_objects_count_as_level_one(spark):
 def test_forest_orders_by_number(spark):
     rep = [("L", 9, 0, 1, 0), ("L", 10, 0, 1, 0), ("L", 11, 2, 9, 0)]
     df = spark.createDataFrame(rep, "monitorloop string, blocked_spid int, blocked_ecid int, blocking_spid int, blocking_ecid int")
-    out = G.blocking_forest(df.withColumn("end_time", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))).collect()
+    out = G.blocking_forest(df.withColumn("end_time", ntz("2024-01-01 10:00:00"))).collect()
     assert [(r.spid, r.level, r.chain, r.blocking_tree, r.trace_time) for r in out] == [
         (1, 0, "/1.0/", "1", "Lead"),
         (9, 1, "/1.0/9.0/", "    9", "2024-01-01 10:00:00"),

@@ -60,3 +60,13 @@ def test_events_are_parsed_once(spark):
     cap = read_event_capture(spark, written(block_event_xml(spark, SMALL)))
     plan = physical(block_incidents(cap))
     assert len(re.findall(r"from_xml\(", plan)) == 2  # the event and the report inside it
+
+
+@pytest.mark.parametrize("name", ["daily_kpi", "text_log", "slow_ops", "quiet_alerts", "stale_entities"])
+def test_results_do_not_depend_on_the_session_zone(spark, name):
+    seen = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.append(sorted(map(str, QUERIES[name](spark, SMALL).collect())))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1]

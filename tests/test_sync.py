@@ -2,6 +2,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
+
 from conftest import SMALL
 from watchloom.operators import sync as S
 from watchloom.plans.sync import TAGS, publisher_items, subscriber_items
@@ -73,7 +75,7 @@ def test_replay_needs_every_base(spark):
 
 
 def test_soft_delete_touches_only_its_rows(spark):
-    t = spark.range(4).select("id", F.lit(True).alias("is_enabled"), F.lit(datetime(2020, 1, 1)).cast("timestamp_ntz").alias("update_date"))
+    t = spark.range(4).select("id", F.lit(True).alias("is_enabled"), ntz(datetime(2020, 1, 1)).alias("update_date"))
     out = S.soft_delete(t, t.where("id = 2"), ["id"], NOW).orderBy("id").collect()
     assert [r.is_enabled for r in out] == [True, True, False, True] and out[2].update_date == NOW
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.session import materialize
 from watchloom.sources.alerts import alert_rows
 
@@ -52,13 +53,13 @@ def breaches(samples: DataFrame, spec: list[tuple], metric: str = "metric", valu
 
 def second_of(ts: str | Column) -> Column:
     """Whole seconds since 1970 of a zone-less timestamp."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    epoch = ntz("1970-01-01 00:00:00")
     return F.timestamp_diff("SECOND", epoch, F.col(ts) if isinstance(ts, str) else ts)
 
 
 def time_of(second: str) -> Column:
     """Zone-less timestamp of whole seconds since 1970."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(second).cast("decimal(18,6)"))
+    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=F.col(second).cast("decimal(18,6)"))
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
+
 # Wait types that only say a background worker is idle.
 BENIGN_WAITS = [
     "BROKER_EVENTHANDLER", "BROKER_RECEIVE_WAITFOR", "BROKER_TASK_STOP", "BROKER_TO_FLUSH",
@@ -43,7 +45,7 @@ def in_window(df: DataFrame, ts: str, as_of: datetime, start=None, end=None, par
     ``partition`` names a date partition column to prune with the same bounds.
     """
     lo, hi = default_window(as_of, start, end)
-    out = df.where(F.col(ts).between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+    out = df.where(F.col(ts).between(ntz(lo), ntz(hi)))
     if partition:
         out = out.where(F.col(partition).between(F.lit(lo.date()), F.lit(hi.date())))
     return out
@@ -59,7 +61,7 @@ def long_running(df: DataFrame, start: str, as_of: datetime, secs: int, state: s
     Seconds are counted in crossed boundaries; the bound is a literal that reaches the scan.
     """
     limit = as_of.replace(microsecond=0) - timedelta(seconds=secs - 1)
-    cond = F.col(start) < F.lit(limit).cast("timestamp_ntz")
+    cond = F.col(start) < ntz(limit)
     if state:
         cond = cond & (F.col(state) != "sleeping")
     if is_user:
@@ -90,7 +92,7 @@ def idle_entities(
     """
     last = F.greatest(F.col(last_start), F.col(last_end)).cast("timestamp_ntz")
     # counted in crossed minute boundaries
-    idle = F.timestamp_diff("MINUTE", F.date_trunc("minute", last), F.date_trunc("minute", F.lit(as_of)).cast("timestamp_ntz"))
+    idle = F.timestamp_diff("MINUTE", F.date_trunc("minute", last).cast("timestamp_ntz"), ntz(as_of.replace(second=0, microsecond=0)))
     cond = idle >= minutes
     if except_active:
         cond &= F.col(state) == "sleeping"

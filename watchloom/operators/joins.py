@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.functions.numbers import pages_kb
 from watchloom.functions.text import slice_statement
 from watchloom.operators.filters import long_running
@@ -33,7 +34,7 @@ def only_kind_recently(df: DataFrame, key: str, kind: Column, ts: str, days: int
 
     One conditional aggregate instead of a correlated NOT EXISTS.
     """
-    since = F.lit(as_of - timedelta(days=days)).cast("timestamp_ntz")
+    since = ntz(as_of - timedelta(days=days))
     recent = df.where(F.col(ts) >= since)
     return (
         recent.groupBy(key)
@@ -59,7 +60,7 @@ def assign_range(df: DataFrame, col: str, bounds: list, right: bool = True, out:
     value, dtype = F.col(col), df.schema[col].dataType
     number = F.lit(1)
     for b in sorted(bounds):
-        edge = F.lit(b).cast(dtype)
+        edge = ntz(b).cast(dtype) if isinstance(b, datetime) else F.lit(b).cast(dtype)
         number = number + (value >= edge if right else value > edge).cast("int")
     return df.withColumn(out, number)
 
@@ -102,7 +103,7 @@ def activity_snapshot(
             "memory_usage_kb": pages_kb("memory_usage"),
             "statement_section": slice_statement("sql_text", "start_offset", "end_offset"),
             "head_blocker": head,
-            "log_time": F.lit(as_of).cast("timestamp_ntz"),
+            "log_time": ntz(as_of),
         }
     ).drop("_blocks", "reads", "writes", "logical_reads", "memory_usage", "start_offset", "end_offset")
 
@@ -114,11 +115,11 @@ def late_entities(
 
     Only the last ``scan_days`` days of the log are read.
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
-    since = F.lit(as_of - timedelta(days=scan_days)).cast("timestamp_ntz")
+    now = ntz(as_of)
+    since = ntz(as_of - timedelta(days=scan_days))
     recent = log.where(F.col(ts).between(since, now) & (F.length(key) > 0))
     latest = first_per_key(recent, [key], [F.col(ts).desc()])
-    limit = F.lit(as_of - timedelta(hours=hours)).cast("timestamp_ntz")
+    limit = ntz(as_of - timedelta(hours=hours))
     return inventory.join(latest, key, "left").where(F.col(ts).isNull() | (F.col(ts) < limit))
 
 
@@ -128,7 +129,7 @@ def late_alert(late: DataFrame, source: str, as_of: datetime) -> DataFrame:
     return n.select(
         F.lit(source).alias("event_source"),
         F.lit("DisasterLatencies").alias("module"),
-        F.lit(as_of).cast("timestamp_ntz").alias("event_time"),
+        ntz(as_of).alias("event_time"),
         F.lit("WRN").alias("severity"),
         F.concat(F.lit("Number of unsynced databases are: "), F.col("n").cast("string")).alias("description"),
         F.when(F.col("n") > 0, 1).otherwise(0).alias("is_sms"),

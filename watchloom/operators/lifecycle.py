@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.functions.text import file_name
 from watchloom.operators.ranking import first_per_key, with_group_max
 
@@ -26,7 +27,7 @@ def expired(sets: DataFrame, media: DataFrame, as_of: datetime) -> DataFrame:
     literal that reaches the scan.
     """
     midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
-    old = sets.where(F.col("expiration_date") < F.lit(midnight).cast("timestamp_ntz"))
+    old = sets.where(F.col("expiration_date") < ntz(midnight))
     return (
         media.join(old.select("media_set_id", "expiration_date"), "media_set_id")
         .groupBy("media_family_id")
@@ -50,7 +51,7 @@ def pending_transfers(
     then met by their media families. ``sets`` without a description are not selectable,
     as in a plain NOT LIKE.
     """
-    since = F.lit(as_of - timedelta(hours=hours)).cast("timestamp_ntz")
+    since = ntz(as_of - timedelta(hours=hours))
     s = sets.where(
         F.col("finish").isNotNull()
         & (F.col("start") >= since)
@@ -80,7 +81,7 @@ def pending_transfers(
 def schedule_deletes(ledger: DataFrame, as_of: datetime, days: int | None = None, instance: str | None = None) -> DataFrame:
     """Give a delete date to live rows without one: ``days`` ahead, or by kind (logs 2, others 1)."""
     span = F.lit(days) if days is not None else F.when(F.col("backup_type") == "L", 2).otherwise(1)
-    due = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(days=span)
+    due = ntz(as_of) + F.make_dt_interval(days=span)
     open_ = F.col("delete_date").isNull() & ~F.col("is_deleted")
     if instance is not None:
         open_ &= F.col("instance_name") == instance
@@ -88,7 +89,7 @@ def schedule_deletes(ledger: DataFrame, as_of: datetime, days: int | None = None
 
 
 def due(ledger: DataFrame, as_of: datetime, instance: str | None = None) -> DataFrame:
-    out = ledger.where((F.col("delete_date") <= F.lit(as_of).cast("timestamp_ntz")) & ~F.col("is_deleted"))
+    out = ledger.where((F.col("delete_date") <= ntz(as_of)) & ~F.col("is_deleted"))
     return out.where(F.col("instance_name") == instance) if instance is not None else out
 
 

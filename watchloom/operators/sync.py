@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.functions.text import has_any_tag
 from watchloom.session import materialize
 
@@ -71,7 +72,7 @@ def update_watermarks(marks: DataFrame, tables: dict[str, tuple[DataFrame, str,
     """
     spark = marks.sparkSession
     old = {r["table_name"]: r["last_version"] for r in marks.collect()}
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = ntz(as_of)
     found = None
     for name, (rows, version, order) in tables.items():
         newer = rows.where(F.col(version) >= F.lit(old.get(name) or 0))
@@ -117,7 +118,7 @@ def publish_items(target: DataFrame, incoming: DataFrame, as_of: datetime, repla
     asked = incoming.join(latest, "item_name", "left") if replace else incoming.withColumn("_latest", F.lit(None).cast("string"))
     asked = asked.withColumn("item_version", F.coalesce("item_version", "_latest", F.lit("1.0"))).drop("_latest")
     m = merge_frames(target, asked, ["item_name", "item_version"])
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = ntz(as_of)
     in_t, in_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     cols = []
     for c in target.columns:
@@ -136,7 +137,7 @@ def soft_delete(target: DataFrame, gone: DataFrame, keys: list[str], as_of: date
     """Deleted rows stay, disabled and touched."""
     hit = gone.select(*keys).distinct().withColumn("_gone", F.lit(True))
     out = target.join(hit, keys, "left")
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = ntz(as_of)
     return out.withColumns(
         {
             enabled: F.when(F.col("_gone"), F.lit(False)).otherwise(F.col(enabled)),

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.operators.aggregates import union_all
 from watchloom.operators.joins import (
     assign_range,
@@ -35,7 +36,7 @@ from watchloom.session import load
 )
 def q_new_entities(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
-    cut = F.lit(datetime(2001, 1, 1)).cast("timestamp_ntz")
+    cut = ntz(datetime(2001, 1, 1))
     now, before = lines.where(F.col("l_shipdate") >= cut), lines.where(F.col("l_shipdate") < cut)
     key = ["l_partkey", "l_suppkey"]
     return new_entities(now.select(*key).distinct(), before, key)

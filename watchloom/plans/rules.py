@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.operators.aggregates import non_uniform
 from watchloom.operators.rule_packs import policy_pack, posture_pack
 from watchloom.operators.rules import Rule, constraint_rules, dictionary_match, rule_details, run_rules, secret_candidates, table_advisor
@@ -102,7 +103,7 @@ def inventory(spark, sf):
             (key % 4 == 1).alias("is_auto_close"),
             (key % 3 == 0).alias("is_encrypted"),
             F.when(key % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"),
-            F.lit("1999-01-01").cast("timestamp_ntz").alias("created"),
+            ntz("1999-01-01").alias("created"),
         ),
         "logins": c.select(
             server,

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.operators.alerting import breaches, code_alerts, quiet_alerts
 from watchloom.operators.filters import capture_rules
 from watchloom.plans.adapters import EVENTS_AS_OF, events_wide
@@ -26,9 +27,9 @@ def replay(spark, df, run):
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
         if lo is not None:
-            part = part.where(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+            part = part.where(F.col("ts") >= ntz(lo))
         if hi is not None:
-            part = part.where(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+            part = part.where(F.col("ts") < ntz(hi))
         part.write.mode("append").parquet(src)
         stream = spark.readStream.schema(df.schema).parquet(src)
         run(stream)

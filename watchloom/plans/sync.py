@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.operators import sync as S
 from watchloom.plans.adapters import ORDERS_AS_OF
 from watchloom.plans.registry import query
@@ -94,7 +95,7 @@ def q_watermarks(spark, sf):
         .unionByName(spark.range(1).select(F.lit("retired").alias("table_name"), F.lit(42).cast("long").alias("last_version")))
         .withColumns({
             "table_order": F.when(F.col("table_name") == "retired", 9).otherwise(2),
-            "updated": F.lit("2001-11-01").cast("timestamp_ntz"),
+            "updated": ntz("2001-11-01"),
         })
     )
     tables = {
@@ -143,7 +144,7 @@ def q_publish_items(spark, sf):
     part = load(spark, sf, "part")
     name = F.concat(F.col("p_name"), F.lit("#"), F.floor(key / 3).cast("string")).alias("item_name")
     version = F.concat((key % 3).cast("string"), F.lit(".0"))
-    old = F.lit("2001-01-01").cast("timestamp_ntz")
+    old = ntz("2001-01-01")
     target = part.where("p_partkey % 2 = 0").select(
         name, version.alias("item_version"), F.col("p_type").alias("item_type"), F.col("p_brand").alias("tags"),
         old.alias("create_date"), old.alias("update_date"),
@@ -167,7 +168,7 @@ def q_publish_items(spark, sf):
 )
 def q_soft_delete(spark, sf):
     part = load(spark, sf, "part").select("p_partkey", "p_brand")
-    target = part.select("p_partkey", F.lit(True).alias("is_enabled"), F.lit("2001-01-01").cast("timestamp_ntz").alias("update_date"))
+    target = part.select("p_partkey", F.lit(True).alias("is_enabled"), ntz("2001-01-01").alias("update_date"))
     return S.soft_delete(target, part.where(F.col("p_brand").isin("Brand#3", "Brand#4")), ["p_partkey"], ORDERS_AS_OF)
 
 

@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
+
 
 def alert_rows(df: DataFrame, alert_type: str, alert_text: str, instance: str | Column, alert_time: str | datetime | Column) -> DataFrame:
     """(alert_time, alert_type, alert_text): nulls get placeholders, the instance is prefixed."""
     inst = F.lit(instance) if isinstance(instance, str) else instance
-    when = F.col(alert_time) if isinstance(alert_time, str) else F.lit(alert_time).cast("timestamp_ntz")
+    when = F.col(alert_time) if isinstance(alert_time, str) else ntz(alert_time)
     body = F.coalesce(F.col(alert_text), F.lit("<UNKNOWN/>"))
     return df.select(
         when.alias("alert_time"),

@@ -7,12 +7,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
 from watchloom.functions.calendar import ts_key
 
 
 def stamp_snapshot(df: DataFrame, as_of: datetime) -> DataFrame:
     """Add one log time, its 14-digit snapshot id and the ``log_date`` partition column."""
-    at = F.lit(as_of).cast("timestamp_ntz")
+    at = ntz(as_of)
     return df.withColumns({"log_time": at, "snapshot_id": ts_key(at, 14), "log_date": F.to_date(at)})
 
 
@@ -22,7 +23,7 @@ def append_snapshot(df: DataFrame, path: str, as_of: datetime) -> None:
 
 def purge_expired(df: DataFrame, ts: str, days: int, as_of: datetime) -> DataFrame:
     """Rows at or after ``as_of`` minus ``days`` days; only strictly older rows go."""
-    limit = F.lit(as_of - timedelta(days=days)).cast("timestamp_ntz")
+    limit = ntz(as_of - timedelta(days=days))
     return df.where(F.col(ts) >= limit)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.functions.times import ntz
+
 # Fixed format: "2024-01-31 10:20:30.12 spid51      message"
 LINE_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(\S+)\s+(.*)$"
 
@@ -32,9 +34,9 @@ def read_text_log(
     """
     df = parse_log_lines(spark.read.text(source)) if isinstance(source, str) else source
     if start is not None:
-        df = df.where(F.col("log_date") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col("log_date") >= ntz(start))
     if end is not None:
-        df = df.where(F.col("log_date") <= F.lit(end).cast("timestamp_ntz"))
+        df = df.where(F.col("log_date") <= ntz(end))
     if where is not None:
         df = df.where(where)
     if order is None:

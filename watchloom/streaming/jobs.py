@@ -12,6 +12,8 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from watchloom.functions.times import ntz
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from watchloom.operators.alerting import breaches, quiet_alerts, second_of, time_of
@@ -24,7 +26,7 @@ STAMP = "event_time"
 def event_stamp(ts: str = "ts") -> Column:
     """Instant of a zone-less timestamp read as UTC, whatever the session zone: watermarks
     need a timestamp with an instant."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    epoch = ntz("1970-01-01 00:00:00")
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
 
 
