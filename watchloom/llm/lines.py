@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.llm.binding import bound
 from watchloom.session import materialize
 
 #: A line goes if it stands on more than this share of its host's pages ...
@@ -58,8 +59,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     hits = F.array_intersect(_line_hashes(body), "__bad")
     marked = joined.withColumn("__hits", F.when(F.col("__bad").isNotNull(), F.coalesce(hits, F.array().cast("array<long>"))))
     key = lambda x: F.btrim(x, F.lit(_SPACES))
-    bad_line = lambda x: (key(x) != "") & F.array_contains(F.col("__hits"), F.xxhash64(key(x)))
-    kept = F.filter(F.split(body, "\n"), lambda x: ~bad_line(x))
+    bad_line = lambda x, hs: (key(x) != "") & F.array_contains(hs, F.xxhash64(key(x)))
+    kept = bound(F.col("__hits"), lambda hs: F.filter(F.split(body, "\n"), lambda x: ~bad_line(x, hs)))
     some = F.size("__hits") > 0
     cut = marked.withColumn("__kept", F.when(some, kept))
     n_lines = F.size(F.split(body, "\n"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "lines")
+MODULES = ("quality", "lines", "simhash", "winnow", "bpe")
 
 
 def load_all() -> tuple[dict, dict]:
