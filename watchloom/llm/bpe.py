@@ -205,8 +205,8 @@ def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
     return encode, decode
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests per row: number of ids, SHA-256 of the ids and of the bytes that they decode to."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per row the number of ids, SHA-256 of the ids and of the bytes they decode to, and the ids if asked."""
     encode, decode = codec(docs.sparkSession, path, pattern)
     ids = docs.select(docs[f"`{id_col}`"].alias("doc_id"), encode(docs[f"`{text}`"]).alias("ids"))
     return ids.select("doc_id", "ids", decode(F.col("ids")).alias("data")).select(
@@ -214,6 +214,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
+        *["ids"] * keep_ids,
     )
 
 

@@ -10,7 +10,8 @@ Defined results: a page is a distinct text of a host, so exact copies count once
 split at ``\\n`` and compared without ASCII spaces at their ends; blank lines are never counted or
 dropped. A null text stays null and is no page; a text whose lines all go becomes empty; a
 row without a host has no site and stays as it is. Lines and pages are compared by 64-bit hashes.
-Repeated rows are treated alike, other columns pass through.
+Repeated rows are treated alike, other columns pass through; ``__n_lines`` and ``__n_dropped`` replace
+columns of those names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.binding import bound
+from watchloom.llm.binding import bound, restore, shield
 from watchloom.session import materialize
 
 #: A line goes if it stands on more than this share of its host's pages ...
@@ -35,43 +36,41 @@ def _line_hashes(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``__host``, ``__bad``: the hashes of each host's boilerplate lines."""
-    base = docs.select(docs[f"`{host}`"].alias("__host"), docs[f"`{text}`"].cast("string").alias("t")).filter("__host is not null and t is not null")
+    """``site``, ``bad``: the hashes of each host's boilerplate lines."""
+    base = docs.select(docs[f"`{host}`"].alias("site"), docs[f"`{text}`"].cast("string").alias("t")).filter("site is not null and t is not null")
     # The page itself rides along as one more "line", so that one pass counts pages and lines.
     hashes = F.array_distinct(F.filter(_line_hashes(F.col("t")), lambda h: h.isNotNull()))
     tagged = F.concat(
         F.transform(hashes, lambda h: F.struct(F.lit(False).alias("whole"), h.alias("h"))),
         F.array(F.struct(F.lit(True).alias("whole"), F.lit(0).cast("long").alias("h"))),
     )
-    seen = base.select("__host", F.xxhash64("t").alias("page"), F.explode(tagged).alias("x")).select("__host", "page", "x.*")
-    n = seen.distinct().groupBy("__host", "whole", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("whole") | (F.col("n") >= min_pages))
+    seen = base.select("site", F.xxhash64("t").alias("page"), F.explode(tagged).alias("x")).select("site", "page", "x.*")
+    n = seen.distinct().groupBy("site", "whole", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("whole") | (F.col("n") >= min_pages))
     n = materialize(n, "line-counts")
-    pages = n.filter("whole").select("__host", F.col("n").alias("pages"))
-    over = n.filter("not whole").join(pages, "__host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return over.groupBy("__host").agg(F.sort_array(F.collect_list("h")).alias("__bad"))
+    pages = n.filter("whole").select("site", F.col("n").alias("pages"))
+    over = n.filter("not whole").join(pages, "site").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+    return over.groupBy("site").agg(F.sort_array(F.collect_list("h")).alias("bad"))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, and ``__n_lines``, ``__n_dropped``."""
     bad = materialize(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    joined = docs.withColumn("__host", docs[f"`{host}`"]).join(bad, "__host", "left")
-    body = F.col(f"`{text}`").cast("string")
-    hits = F.array_intersect(_line_hashes(body), "__bad")
-    marked = joined.withColumn("__hits", F.when(F.col("__bad").isNotNull(), F.coalesce(hits, F.array().cast("array<long>"))))
+    inner, at = shield(docs)
+    body = at[text].cast("string")
+    joined = inner.join(bad, at[host] == bad["site"], "left")
+    # Few of a host's lines stand on one page: the page's own share of the list is looked through.
+    marked = joined.withColumn("hits", F.coalesce(F.array_intersect(_line_hashes(body), "bad"), F.array().cast("array<long>")))
     key = lambda x: F.btrim(x, F.lit(_SPACES))
-    bad_line = lambda x, hs: (key(x) != "") & F.array_contains(hs, F.xxhash64(key(x)))
-    kept = bound(F.col("__hits"), lambda hs: F.filter(F.split(body, "\n"), lambda x: ~bad_line(x, hs)))
-    some = F.size("__hits") > 0
-    cut = marked.withColumn("__kept", F.when(some, kept))
-    n_lines = F.size(F.split(body, "\n"))
-    out = cut.withColumns(
-        {
-            "__n_lines": F.when(body.isNull(), 0).otherwise(n_lines),
-            "__n_dropped": F.when(F.coalesce(some, F.lit(False)) & body.isNotNull(), n_lines - F.size("__kept")).otherwise(0),
-            text: F.when(F.coalesce(some, F.lit(False)), F.array_join("__kept", "\n")).otherwise(F.col(f"`{text}`")),
-        }
-    )
-    return out.drop("__host", "__bad", "__hits", "__kept")
+    stays = lambda hs: F.filter(F.split(body, "\n"), lambda x: (key(x) == "") | ~F.array_contains(hs, F.xxhash64(key(x))))
+    some = F.size("hits") > 0
+    cut = marked.withColumn("kept", F.when(some, bound(F.col("hits"), stays)))
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n")))
+    results = {
+        text: F.when(some, F.array_join("kept", "\n")).otherwise(body),
+        "__n_lines": n_lines,
+        "__n_dropped": F.when(some, n_lines - F.size("kept")).otherwise(0),
+    }
+    return restore(cut, at, **results)
 
 
 def op3_line_frequency(spark, sf_dir: str) -> DataFrame:

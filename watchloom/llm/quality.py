@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watchloom.llm.binding import restore, shield
+
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "dup_line_chars", "n_letters", "n_upper",
@@ -134,10 +136,8 @@ def counts(text: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one column per count."""
-    own = [docs[f"`{c}`"] for c in docs.columns if c not in COUNTS]
-    return docs.select(*own, counts(docs[f"`{text}`"]).alias("__counts")).select(
-        *[f"`{c}`" for c in docs.columns if c not in COUNTS], *[f"__counts.{c}" for c in COUNTS]
-    )
+    inner, at = shield(docs)
+    return restore(inner.withColumn("found", counts(at[text])), at, **{c: F.col(f"found.{c}") for c in COUNTS})
 
 
 def fail_mask(rules: tuple[Rule, ...] = RULES, struct: str = "") -> Column:
@@ -184,9 +184,9 @@ def ablation(judged: DataFrame, policies: list[Policy], rules: tuple[Rule, ...]
 
 def keep_good(docs: DataFrame, text: str = "text", policy: Policy = CURRENT) -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, unchanged."""
-    fields = docs.withColumn("__counts", counts(docs[f"`{text}`"]))
-    judged = fields.withColumn("__mask", fail_mask(RULES, "__counts"))
-    return judged.filter(passes(policy, "__mask")).drop("__counts", "__mask")
+    inner, at = shield(docs)
+    judged = inner.withColumn("found", counts(at[text])).withColumn("mask", fail_mask(RULES, "found"))
+    return restore(judged.filter(passes(policy, "mask")), at)
 
 
 def op1_quality_ledger(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "simhash", "winnow", "bpe")
+MODULES = ("quality", "lines", "simhash", "winnow", "bpe", "revisits", "quotes", "ecoc", "packing", "licenses")
 
 
 def load_all() -> tuple[dict, dict]:

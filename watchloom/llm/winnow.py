@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.binding import bound
+from watchloom.llm.binding import bound, restore, shield
 from watchloom.session import materialize
 
 #: A shared run of this many words is contamination.
@@ -119,8 +119,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window, unchanged."""
-    dirty = materialize(contamination(docs, items, text), "contaminated").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", F.sha2(docs[f"`{text}`"].cast("string"), 256)).join(dirty, "__key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    dirty = materialize(contamination(docs, items, text), "contaminated")
+    inner, at = shield(docs)
+    return restore(inner.join(dirty, F.sha2(at[text].cast("string"), 256) == dirty["key"], "left_anti"), at)
 
 
 def op10_winnowing(spark, sf_dir: str) -> DataFrame:
