@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LONG_PIECE = 512
 #: Pieces handled at once, known pieces kept, ids decoded at once; largest vocabulary file.
-SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 400_000, 1_000_000, 16 << 20
+SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 300_000, 250_000, 16 << 20
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
@@ -47,9 +47,9 @@ with recursive state(word, round, toks) as (
 select word, arg_max(toks, round) ids from state group by word order by word
 """
 _DECODE = """
-select doc, string_agg(v.hex, '' order by place) hex
-from (select doc, unnest(ids) id, unnest(range(len(ids))) place from lists) t join vocabulary v using (id)
-group by doc
+select doc, array_to_string(list(v.chars order by place), '') chars
+from tokens t join vocabulary v using (id)
+group by doc order by doc
 """
 
 
@@ -67,14 +67,16 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern)
-        self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.known: dict[str, bytes] = {}  # ids as their int32 bytes
+        self.vocabulary = np.zeros(max(ranks.values()) + 1, bool)
+        self.vocabulary[list(ranks.values())] = True
         pairs = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = ([p[k] for p in pairs] for k in range(3))
         self.merges = dict(zip(zip(left, right, strict=True), merged, strict=True))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), id=pa.array(merged, pa.int32()))
-        self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
+        self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), chars=pa.array([t.decode("latin-1") for t in ranks]))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         given = pa.table(columns)
@@ -82,16 +84,18 @@ class Codec:
         self.con.execute(f"create table {name} as select * from given")
         self.con.unregister("given")
 
-    def _contract(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        toks = pa.array([[self.byte[c] for c in p] for p in pieces], pa.list_(pa.int32()))
-        self.con.register("fresh", pa.table({"word": pa.array(range(len(pieces)), pa.int32()), "toks": toks}))
+    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+        toks = pa.ListArray.from_arrays(ends, self.byte[np.frombuffer(b"".join(pieces), np.uint8)])
+        self.con.register("fresh", pa.table({"word": pa.array(np.arange(len(pieces), dtype=np.int32)), "toks": toks}))
         ids = self.con.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("fresh")
-        flat, ends = ids.flatten().to_pylist(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).tolist()
-        return [tuple(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        raw = ids.flatten().to_numpy().astype("<i4").tobytes()
+        cuts = (4 * np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy()]))).tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
-    def _contract_long(self, piece: bytes) -> tuple[int, ...]:
-        toks, n = [self.byte[c] for c in piece], len(piece)
+    def _contract_long(self, piece: bytes) -> bytes:
+        toks, n = self.byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), n
         heap = [(m, i, toks[i], toks[i + 1]) for i in range(n - 1) if (m := self.merges.get((toks[i], toks[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -106,14 +110,14 @@ class Codec:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b != end and (m := self.merges.get((toks[a], toks[b]))) is not None:
                     heapq.heappush(heap, (m, a, toks[a], toks[b]))
-        return tuple(t for t in toks if t >= 0)
+        return np.array([t for t in toks if t >= 0], "<i4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
         fresh, data = [], []
         for p in pieces:
             raw = p.encode()
             if raw in self.ranks:
-                self.known[p] = (self.ranks[raw],)
+                self.known[p] = self.ranks[raw].to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
                 self.known[p] = self._contract_long(raw)
             else:
@@ -148,7 +152,7 @@ class Codec:
                 self.known.clear()
             self._learn(set(chain.from_iterable(p for _, p in held)).difference(self.known))
             for k, pieces in held:
-                parts[k].append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32))
+                parts[k].append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<i4"))
             held.clear()
         return [np.concatenate(p) if p else np.empty(0, np.int32) for p in parts]
 
@@ -168,14 +172,16 @@ class Codec:
         return [None if ids is None else b"".join(out[k]) for k, ids in enumerate(lists)]
 
     def _decode_into(self, out: list[list[bytes]], held: list[np.ndarray], places: list[int]) -> None:
-        flat = np.concatenate(held)
-        if len(flat) and (bad := np.setdiff1d(flat, np.fromiter(self.ranks.values(), np.int64))).size:
-            raise ValueError(f"not in the vocabulary: {bad[0]}")
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-        self.con.register("lists", pa.table({"doc": pa.array(range(len(held)), pa.int32()), "ids": pa.ListArray.from_arrays(offsets, flat)}))
-        for doc, hexed in sorted(self.con.execute(_DECODE).fetchall()):
-            out[places[doc]].append(bytes.fromhex(hexed))
-        self.con.unregister("lists")
+        flat = np.concatenate(held).astype(np.int32)
+        if flat.min() < 0 or flat.max() >= len(self.vocabulary) or not self.vocabulary[flat].all():
+            raise ValueError("ids that are not in the vocabulary")
+        docs = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+        self.con.register("tokens", pa.table({"doc": docs, "place": np.arange(len(flat), dtype=np.int32), "id": flat}))
+        found = self.con.sql(_DECODE).to_arrow_table()
+        self.con.unregister("tokens")
+        data = [x.encode("latin-1") for x in found.column("chars").to_pylist()]
+        for doc, x in zip(found.column("doc").to_pylist(), data, strict=True):
+            out[places[doc]].append(x)
 
 
 def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
@@ -189,7 +195,7 @@ def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
         return here[0]
 
     def encode_batch(texts: pa.Array) -> pa.Array:
-        found = own().encode(texts.to_pylist())
+        found = [x for k in range(0, len(texts), 500) for x in own().encode(texts.slice(k, 500).to_pylist())]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
 
