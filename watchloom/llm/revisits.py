@@ -104,13 +104,20 @@ def captures(pages: DataFrame) -> DataFrame:
     header = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
     base = pages.select("page_id", "url", at.alias("at"), etag.alias("etag"), F.length("html").alias("size"))
     weak = F.concat(F.when(F.col("page_id") % 5 == 0, "W/").otherwise(""), F.col("etag"))
+    no = F.lit(None).cast("string")
+    fields = ("int", "string", "bigint", "string", "string")
+
+    def case(*values) -> Column:
+        return F.struct(*[v.cast(t).alias(n) for v, t, n in zip(values, fields, ("k", "kind", "ts", "tag", "modified"), strict=True)])
+
+    late = F.when(F.col("page_id") % 3 != 0, F.col("at").cast("string")).when(F.col("page_id") % 2 == 0, (F.col("at") - 1).cast("string"))
     cases = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("response").alias("kind"), F.col("at").alias("ts"), F.col("etag").alias("tag"), F.col("at").cast("string").alias("modified")),
-        F.struct(F.lit(1), F.lit("revisit"), F.col("at") + 86400, weak, F.lit(None).cast("string")),
-        F.struct(F.lit(2), F.lit("revisit"), F.col("at") - 3600, F.col("etag"), F.lit(None).cast("string")),
-        F.struct(F.lit(3), F.lit("revisit"), F.col("at") + 172800, F.lit(None).cast("string"), F.when(F.col("page_id") % 3 != 0, F.col("at").cast("string")).when(F.col("page_id") % 2 == 0, F.col("ts0"))),
+        case(F.lit(0), F.lit("response"), F.col("at"), F.col("etag"), F.col("at")),
+        case(F.lit(1), F.lit("revisit"), F.col("at") + 86400, weak, no),
+        case(F.lit(2), F.lit("revisit"), F.col("at") - 3600, F.col("etag"), no),
+        case(F.lit(3), F.lit("revisit"), F.col("at") + 172800, no, late),
     )
-    each = base.withColumn("ts0", (F.col("at") - 1).cast("string")).select("page_id", "url", "size", F.explode(cases).alias("c")).select("page_id", "url", "size", "c.*")
+    each = base.select("page_id", "url", "size", F.explode(cases).alias("c")).select("page_id", "url", "size", "c.*")
     full = F.array(header("Content-Type", F.lit("text/html")), header("ETag", F.col("tag")), header("Date", F.col("ts")), header("Content-Length", F.col("size")))
     short = F.array(header("date", F.col("ts")), header("Cache-Control", F.lit("max-age=60")), header("Content-Length", F.lit("0")), header("Set-Cookie", F.lit("a=1")))
     return each.select(
