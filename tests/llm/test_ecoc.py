@@ -57,4 +57,5 @@ def test_awkward_rows(spark):
     for given, want in ((docs.limit(0), "und"), (docs.filter("lang = 'en'"), "en")):
         few = E.fit(given)
         assert docs.filter("length(text) > 300").select(E.predict(few, docs)["lang_pred"]).first()[0] == want
-    assert documents(spark, []).select(E.predict(model, documents(spark, []))).count() == 0
+    empty = documents(spark, [])
+    assert empty.select(E.predict(model, empty)).count() == 0
