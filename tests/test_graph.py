@@ -66,9 +66,31 @@ def test_chain_of_replacements(spark):
     assert out[n] == (None, "SUCCEED") and all(out[i] == (n, "CANCELED") for i in range(1, n))
 
 
-def test_tree_paths_leave_cycles_out(spark, rows):
-    df = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (8, 9, "x"), (9, 8, "y"), (10, 9, "z")], "id long, parent long, name string")
-    assert rows(G.tree_paths(df, "id", "parent", "name", "\\"), "id") == [(1, "a\\", 1), (2, "a\\b\\", 2), (3, "a\\b\\c\\", 3)]
+def test_branching_replacements_leave_one(spark):
+    log = [(1, None), (2, 1), (3, 1), (5, 2), (6, 2), (9, 77), (10, 9), (11, 11)]
+    df = spark.createDataFrame([(*r, "SUCCEED") for r in log], "r long, ref long, status string")
+    out = sorted((r.r, r.replaced_by) for r in G.collapse_chain(df, "r", "ref").collect())
+    assert out == [(1, 6), (2, 6), (3, 6), (5, 6), (6, None), (9, 10), (10, None), (11, None)]
+
+
+def test_tree_paths_mark_what_has_no_root(spark, rows):
+    nodes = [(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (8, 9, "x"), (9, 8, "y"), (10, 9, "z"), (20, 99, "d"), (21, 20, "e")]
+    out = rows(G.tree_paths(spark.createDataFrame(nodes, "id long, parent long, name string"), "id", "parent", "name", "\\"), "id")
+    assert out[:3] == [(1, "a\\", 1, "rooted"), (2, "a\\b\\", 2, "rooted"), (3, "a\\b\\c\\", 3, "rooted")]
+    assert out[3:6] == [(k, None, None, "cycle") for k in (8, 9, 10)]
+    assert out[6:] == [(20, "d\\", 1, "dangling"), (21, "d\\e\\", 2, "dangling")]
+
+
+def test_both_blockers_of_a_session_come_out(spark, rows):
+    e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 0)], "session_id", "blocking_session_id")
+    out = G.chain_up(e, spark.createDataFrame([(1,)], "s long"))
+    assert rows(out.select("level", "session_id", "blocking_session_id"), "session_id", "blocking_session_id") == [(0, 1, 2), (0, 1, 3), (1, 2, 4), (1, 3, 4)]
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    e = edges(spark, [(i, i + 1) for i in range(40)], "src", "dst")
+    out = G.reach(spark.createDataFrame([(0,)], "node long"), e)
+    assert out.agg(F.count("*"), F.max("level")).first()[:] == (41, 40)
 
 
 def test_reach_survives_cycles_and_hubs(spark):

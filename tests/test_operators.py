@@ -169,4 +169,3 @@ def test_posture_details_match_the_counts(spark):
 def test_pattern_cap_is_off_by_default(spark):
     df = spark.createDataFrame([(i, "g", "Exec(x)") for i in range(5)], "id int, g string, t string")
     assert FL.pattern_scan(df, "t", ["EXEC("]).count() == 5
-    assert FL.pattern_scan(df, "t", ["EXEC("], cap=2, group="g", order=["id"]).count() == 2

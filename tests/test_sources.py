@@ -9,7 +9,8 @@ from watchloom.operators.alerting import quiet_alerts
 from watchloom.operators.tables import clear_partition, copy_tables
 from watchloom.sources.alerts import alert_rows, write_alerts
 from watchloom.sources.captures import normalise_block_reports, read_event_capture
-from watchloom.sources.history import append_snapshot, purge_history, read_history
+from watchloom.sources.history import append_snapshot, purge_history, purge_stored, read_history
+from watchloom.sources.remote import fill_markers
 from watchloom.sources.remote import run_query, sql_literal
 from watchloom.sources.textlog import parse_log_lines
 
@@ -36,16 +37,25 @@ def test_large_capture_is_split_without_loss(spark, capture):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_capture_readers_agree(spark, capture):
-    def shape(**kw):
-        cap = read_event_capture(spark, capture, 210, ["e1", "bare"], **kw)
-        return sorted(tuple(r) for r in cap.select("log_date", "log_ts", "category", data_field("event", "n", "long").alias("n")).collect())
-
-    fast = shape()
-    assert fast == shape(whole_files=True) and len(fast) == 1668
+def test_capture_reader(spark, capture):
+    cap = read_event_capture(spark, capture, 210, ["e1", "bare"])
+    fast = sorted(tuple(r) for r in cap.select("log_date", "log_ts", "category", data_field("event", "n", "long").alias("n")).collect())
+    assert len(fast) == 1668
     assert fast[0][1] == datetime(2024, 1, 1, 3, 30) and str(fast[-1][0]) == "2024-01-02"
 
 
+def test_end_tag_inside_cdata_loses_nothing(spark, tmp_path):
+    def event(i, body):
+        return f'<event name="e" timestamp="2024-01-01T00:00:00Z"><data name="t"><value><![CDATA[{body}]]></value></data><data name="n"><value>{i}</value></data></event>'
+
+    (tmp_path / "odd.xml").write_text("<events>" + event(1, "plain") + event(2, "x </event> y") + event(3, "z") + "</events>")
+    (tmp_path / "even.xml").write_text("<events>" + event(4, "w") + "</events>")
+    cap = read_event_capture(spark, str(tmp_path / "*.xml"), 60)
+    got = cap.select(data_field("event", "n", "long").alias("n"), data_field("event", "t", "string").alias("t"), "log_ts").orderBy("n").collect()
+    assert [(r.n, r.t) for r in got] == [(1, "plain"), (2, "x </event> y"), (3, "z"), (4, "w")]
+    assert {r.log_ts for r in got} == {datetime(2024, 1, 1, 1)}
+
+
 def test_report_fallbacks(spark):
     report = '<blocked-process-report><blocked-process><process spid="5" ecid="0"/></blocked-process><blocking-process><process spid="6" ecid="1"/></blocking-process></blocked-process-report>'
     df = spark.createDataFrame([(report, datetime(2024, 1, 1)), (report, None), ("<blocked-process-report/>", None)], "x string, t timestamp_ntz")
@@ -134,6 +144,44 @@ def test_quiet_period_carries_over(spark):
     assert [r.fired_at for r in quiet_alerts(df, last).collect()] == [datetime(1970, 1, 1, 0, 2, 0)]
 
 
+def test_servers_do_not_silence_each_other(spark):
+    at = [datetime(2024, 1, 1, 0, 0, s) for s in (0, 10, 20)]
+    df = spark.createDataFrame([("A", "x", 60, at[0]), ("B", "x", 60, at[1]), ("A", "x", 60, at[2])], "server string, alert string, quiet int, ts timestamp_ntz")
+    assert sorted((r.server, r.fired_at) for r in quiet_alerts(df, by=["server"]).collect()) == [("A", at[0]), ("B", at[1])]
+
+
+def test_a_value_with_a_marker_stays_text():
+    assert fill_markers("a = :ab AND b = ':ab' AND c = :c::int", {"ab": ":c", "c": " OR 1=1 --"}) == "a = ':c' AND b = ':ab' AND c = ' OR 1=1 --'::int"
+    assert fill_markers("x = :x", {"x": "it's"}) == "x = 'it''s'"
+    with pytest.raises(KeyError):
+        fill_markers("x = :y", {})
+
+
+def test_purge_deletes_stored_rows(spark, tmp_path):
+    path = str(tmp_path / "h")
+    for day in (1, 5, 9):
+        for hour in (3, 12):
+            append_snapshot(spark.range(2), path, datetime(2024, 1, day, hour))
+    for _ in range(2):
+        purge_stored(spark, path, "log_time", 4, datetime(2024, 1, 9, 6))
+        left = sorted({(r.log_time.day, r.log_time.hour) for r in spark.read.parquet(path).collect()})
+        assert left == [(5, 12), (9, 3), (9, 12)] and not (tmp_path / "h" / "log_date=2024-01-01").exists()
+    purge_stored(spark, path, "log_time", 4, datetime(2024, 1, 9, 13))
+    assert not (tmp_path / "h" / "log_date=2024-01-05").exists() and spark.read.parquet(path).count() == 4
+
+
+def test_late_snapshots_come_out_marked(spark, tmp_path):
+    from watchloom.streaming.jobs import delta_writer
+
+    write = delta_writer(str(tmp_path / "out"), str(tmp_path / "state"), ["server", "e"], "snap", ["n"])
+    batches = [[("A", "x", 1, 10), ("B", "x", 1, 5), ("A", "x", 2, 13)], [("A", "x", 2, 11), ("A", "x", 3, 12), ("B", None, 3, 7)]]
+    for k, rows in enumerate(batches):
+        for _ in range(2):  # a replay changes nothing
+            write(spark.createDataFrame(rows, "server string, e string, snap long, n long"), k)
+    got = sorted(((r.server, r.e, r.snap, r.n, r.is_late, r.is_reset) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
+    assert got == sorted([("A", "x", 1, 10, False, False), ("A", "x", 2, 3, False, False), ("B", "x", 1, 5, False, False), ("A", "x", 2, None, True, False), ("A", "x", 3, -1, False, True), ("B", None, 3, 7, False, False)], key=repr)
+
+
 class FakeSession:
     """Only what ``scratch_root`` looks at."""
 

@@ -11,32 +11,42 @@ from watchloom.operators.filters import drop_benign
 from watchloom.session import materialize
 
 
-def share_profile(df: DataFrame, key: str, total_ms: str, part_ms: str, count: str, benign: list[str] | None = None) -> DataFrame:
+def share_profile(
+    df: DataFrame, key: str, total_ms: str, part_ms: str, count: str, benign: list[str] | None = None, by: list[str] | None = None
+) -> DataFrame:
     """Per category: seconds in total / resource / signal, count, share of the grand total, averages.
 
     The share is taken over everything but the benign categories, before categories without
-    occurrences are left out. The grand total is a scalar subquery, not an unpartitioned
-    window, so no task sees all categories.
+    occurrences are left out; with ``by`` (the server) each one has its own grand total.
+    Totals are one row per group, so no task sees all categories. Sums have room for any number
+    of rows: a total never turns into null.
     """
+    by = list(by or [])
+    wide = "decimal(20,0)"
     waits = drop_benign(df, key, benign)
-    waits = waits.groupBy(key).agg(
-        F.sum(total_ms).cast("decimal(20,0)").alias("_t"),
-        F.sum(part_ms).cast("decimal(20,0)").alias("_s"),
+    waits = waits.groupBy(*by, key).agg(
+        F.sum(F.col(total_ms).cast(wide)).cast("decimal(30,0)").alias("_t"),
+        F.sum(F.col(part_ms).cast(wide)).cast("decimal(30,0)").alias("_s"),
         F.sum(count).cast("long").alias("wait_count"),
     )
     # one row per category, kept so that the total and the rows share a single source scan
     waits = materialize(waits, "profile")
-    grand = waits.select(F.sum("_t")).scalar().cast("decimal(20,0)")
-    n = F.col("wait_count").cast("decimal(18,0)")
+    if by:
+        waits = waits.join(waits.groupBy(*by).agg(F.sum("_t").cast("decimal(30,0)").alias("_g")), by)
+        grand = F.col("_g")
+    else:
+        grand = waits.select(F.sum("_t")).scalar().cast("decimal(30,0)")
+    n = F.col("wait_count").cast(wide)
 
     def secs(ms: Column, scale: int, divide: Column | None = None) -> Column:
-        value = ms.cast("decimal(24,4)") / F.lit(1000)
-        return (value / divide if divide is not None else value).try_cast(f"decimal(14,{scale})")
+        value = ms.cast("decimal(30,0)") / F.lit(1000)
+        return (value / divide if divide is not None else value).cast(f"decimal(30,{scale})")
 
     t, s = F.col("_t"), F.col("_s")
     return (
         waits.where("wait_count <> 0")
         .select(
+            *by,
             key,
             secs(t, 2).alias("wait_sec"),
             secs(t - s, 2).alias("resource_sec"),
@@ -47,7 +57,7 @@ def share_profile(df: DataFrame, key: str, total_ms: str, part_ms: str, count: s
             secs(t - s, 4, n).alias("avg_res_sec"),
             secs(s, 4, n).alias("avg_sig_sec"),
         )
-        .orderBy(F.col("wait_sec").desc())
+        .orderBy(*by, F.col("wait_sec").desc())
     )
 
 
@@ -58,15 +68,25 @@ def daily_kpi(df: DataFrame, ts: str, category: str) -> DataFrame:
 
 
 def group_incidents(df: DataFrame, text: str, duration: str | None = None, payload: str | None = None) -> DataFrame:
-    """Identical incidents (same participant text) grouped: count, durations (µs in, ms out), a sample."""
-    aggs = [F.max(text).alias("factors"), F.count(F.lit(1)).alias("occurrence")]
+    """Identical incidents (same participant text) grouped: count, durations (µs in, ms out), a sample.
+
+    Rows shrink by hash aggregation over fixed-width values only. Text and sample of each
+    incident are fetched afterwards from its row with the smallest payload hash.
+    """
+    rows = df.withColumn("incident_id", F.md5(F.col(text).cast("binary")))
+    digest = F.conv(F.substring(F.md5(F.col(payload).cast("binary")), 1, 15), 16, 10).cast("long") if payload else F.xxhash64(*df.columns)
+    rows = rows.withColumn("_pick", F.coalesce(digest, F.lit(2**62)))
+    aggs = [F.min("_pick").alias("_pick"), F.count(F.lit(1)).alias("occurrence")]
     if duration:
         aggs.append(F.sum(duration).cast("long").alias("_us"))
         # absent durations do not count towards the mean
         aggs.append(F.count(duration).alias("_n"))
-    if payload:
-        aggs.append(F.max(payload).alias("sample"))
-    out = df.groupBy(F.md5(F.col(text).cast("binary")).alias("incident_id")).agg(*aggs)
+    groups = materialize(rows.groupBy("incident_id").agg(*aggs), "incidents")
+    fetched = [F.col(text).alias("factors"), *([F.col(payload).alias("sample")] if payload else [])]
+    wanted = rows.select("incident_id", "_pick", *fetched)
+    # The rows of a pick are equal in text and sample: any of them will do.
+    chosen = wanted.join(groups.select("incident_id", "_pick"), ["incident_id", "_pick"], "left_semi").dropDuplicates(["incident_id"])
+    out = groups.drop("_pick").join(chosen.drop("_pick"), "incident_id", "left")
     order = [F.col("occurrence").desc()]
     if duration:
         mean = F.expr("CASE WHEN _n > 0 THEN (_us div _n) div 1000 END")
@@ -172,46 +192,50 @@ def long_report(df: DataFrame, ids: list[str], items: dict[str, str | None]) ->
 
 
 def counter_delta(
-    history: DataFrame, snapshot_id: str, ts: str, keys: list[str], counters: list[str], partition: str | None = None
+    history: DataFrame,
+    snapshot_id: str,
+    ts: str,
+    keys: list[str],
+    counters: list[str],
+    partition: str | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """Counter growth between the last two snapshots.
+    """Counter growth between the last two snapshots of each ``by`` (the server).
 
     Entities new in the last snapshot keep their absolute values; entities gone from it are
-    left out. ``is_reset`` marks a counter that went backwards. One pass: the two ids come
-    from a tiny aggregate and are pushed into the scan as literals, then a single
-    aggregation per entity replaces the self joins. With a date ``partition`` column only
-    its two newest values are read at all: they hold two snapshots at least.
+    left out, and so is a server with a single snapshot. ``is_reset`` marks a counter that went
+    backwards. The two ids per server come from one aggregate over ids and times; joined
+    back with them, a single aggregation per entity replaces the self joins. A ``partition`` column
+    joins too, so that only the partitions of those snapshots are read.
     """
     from watchloom.operators.ranking import last_two
 
-    if partition:
-        newest = history.select(partition).distinct().orderBy(F.col(partition).desc()).limit(2).collect()
-        history = history.where(F.col(partition).isin([r[0] for r in newest]))
-    ids = last_two(history, snapshot_id, ts).first()
-    last, prev = ids["last_id"], ids["prev_id"]
-    if last is None or last == prev:
-        # no two snapshots, no report
-        rows = history.where(F.lit(False))
-    else:
-        rows = history.where(F.col(snapshot_id).isin(last, prev))
-    is_last = F.col(snapshot_id) == F.lit(last)
-    aggs = [F.max(F.when(is_last, 1)).alias("_now")]
+    by = list(by or [])
+    place = [partition] if partition else []
+    two = last_two(history, snapshot_id, ts, by, place)
+    rows = history.join(two, [*by, snapshot_id, *place])
+    is_last = F.col("_is_last")
+    aggs = [F.max(F.when(is_last, 1)).alias("_now"), F.max("duration_sec").alias("duration_sec")]
     for c in counters:
         now = F.sum(F.when(is_last, F.col(c)))
         before = F.sum(F.when(~is_last, F.col(c)))
         aggs.append((now - F.coalesce(before, F.lit(0))).cast("long").alias(c))
-    out = rows.groupBy(*keys).agg(*aggs).where("_now = 1").drop("_now")
+    names = [*by, *[k for k in keys if k not in by]]
+    out = rows.groupBy(*names).agg(*aggs).where("_now = 1").drop("_now")
     reset = F.greatest(*[F.col(c) < 0 for c in counters]) if len(counters) > 1 else F.col(counters[0]) < 0
-    seconds = int((ids["last_time"] - ids["prev_time"]).total_seconds()) if last is not None else 0
-    return out.withColumns({"is_reset": reset, "duration_sec": F.lit(seconds).cast("long")})
+    return out.select(*names, *counters, reset.alias("is_reset"), "duration_sec")
+
 
+def io_latency(history: DataFrame, files: DataFrame, keys: list[str], partition: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Latency report over the last two snapshots of IO counters, slowest writes first.
 
-def io_latency(history: DataFrame, files: DataFrame, keys: list[str], partition: str | None = None) -> DataFrame:
-    """Latency report over the last two snapshots of IO counters, slowest writes first."""
+    ``files`` are met by ``by`` (the server) and ``keys``.
+    """
     from watchloom.functions.numbers import safe_ratio
 
     counters = ["num_reads", "stall_read_ms", "num_writes", "stall_write_ms", "stall_ms", "bytes_read", "bytes_written"]
-    d = counter_delta(history, "snapshot_id", "log_time", keys, counters, partition).join(files, keys)
+    d = counter_delta(history, "snapshot_id", "log_time", keys, counters, partition, by)
+    d = d.join(files, [*(by or []), *keys])
     return d.withColumns(
         {
             "read_latency_ms": safe_ratio("stall_read_ms", "num_reads"),

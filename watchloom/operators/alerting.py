@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import ntz
-from watchloom.session import materialize
+from watchloom.session import materialize, materialize_counted
 from watchloom.sources.alerts import alert_rows
 
 # Fixed values: (alert, metric, comparison, bound, quiet seconds).
@@ -41,14 +37,16 @@ SEVERITY_ALERTS = [
 ]
 
 
-def breaches(samples: DataFrame, spec: list[tuple], metric: str = "metric", value: str = "value", ts: str = "ts") -> DataFrame:
-    """(alert, quiet, ts) of samples beyond an alert's bound; works on streams."""
+def breaches(
+    samples: DataFrame, spec: list[tuple], metric: str = "metric", value: str = "value", ts: str = "ts", by: list[str] | None = None
+) -> DataFrame:
+    """(by, alert, quiet, ts) of samples beyond an alert's bound; works on streams."""
     hits = []
     for name, m, op, bound, quiet in spec:
         beyond = F.col(value) > bound if op == ">" else F.col(value) < bound
         hits.append(F.when((F.col(metric) == m) & beyond, F.struct(F.lit(name).alias("alert"), F.lit(quiet).alias("quiet"))))
     fired = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return samples.select(F.inline(fired), F.col(ts).alias("ts"))
+    return samples.select(*(by or []), F.inline(fired), F.col(ts).alias("ts"))
 
 
 def second_of(ts: str | Column) -> Column:
@@ -62,54 +60,67 @@ def time_of(second: str) -> Column:
     return ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=F.col(second).cast("decimal(18,6)"))
 
 
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fires of sorted islands: the first second of each, then every first one past the quiet time.
+def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, alert, fired_at): breaches that fire, each followed by the alert's quiet time.
 
-    Rows stream by in (alert, island, sec) order; only the last fire is remembered.
-    """
-    current, last = None, 0
-    for pdf in frames:
-        keep = np.zeros(len(pdf), dtype=bool)
-        columns = (pdf[c].to_list() for c in ("alert", "island", "quiet", "sec"))
-        for n, (alert, island, quiet, sec) in enumerate(zip(*columns)):
-            if current != (alert, island) or sec >= last + quiet:
-                current, last = (alert, island), sec
-                keep[n] = True
-        yield pdf.loc[keep, ["alert", "sec"]]
-
-
-def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None) -> DataFrame:
-    """(alert, fired_at): breaches that fire, each followed by the alert's quiet time.
-
-    Alerts are evaluated once a second, so breaches shrink first to distinct seconds per
-    alert, however many rows one alert holds. A gap of a quiet time or more always fires
-    anew, which cuts an alert's seconds into independent islands; gaps are found inside
-    (alert, day) and stitched over day boundaries from one row per day. An island, at most
-    one row per second of its length, streams through one task in order without being
-    held. ``last_fires`` (alert, sec) silences breaches still inside an earlier quiet time.
+    Alerts are evaluated once a second and per ``by`` (the server), so breaches shrink first to
+    distinct seconds, however many rows one alert holds. A second after a gap of a quiet time or
+    more always fires. From there each fire points to the next one, the first second at or after its
+    quiet time, found inside (alert, day) and carried over day boundaries from one row per day.
+    Which seconds are on such a way is found by doubling: in round k the fires known so far add those
+    2**k fires later, so a breach that lasts for weeks takes a few rounds and no task follows it alone.
+    ``last_fires`` (by, alert, sec) silences breaches still inside an earlier quiet time.
     """
-    always = hits.where("quiet = 0").select("alert", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("fired_at")).distinct()
-    secs = hits.where("quiet > 0").select("alert", "quiet", second_of("ts").alias("sec")).distinct()
+    keys = [*(by or []), "alert"]
+    always = hits.where("quiet = 0").select(*keys, F.date_trunc("second", "ts").cast("timestamp_ntz").alias("fired_at")).distinct()
+    secs = hits.where("quiet > 0").select(*keys, "quiet", second_of("ts").alias("sec")).distinct()
     if last_fires is not None:
-        prior = last_fires.select("alert", F.col("sec").alias("_last"))
-        secs = secs.join(prior, "alert", "left").where(F.col("_last").isNull() | (F.col("sec") >= F.col("_last") + F.col("quiet"))).drop("_last")
-    # the distinct seconds feed three steps below, the samples are read once
-    secs = materialize(secs.withColumn("day", F.floor(F.col("sec") / 86400)), "seconds")
-    in_day = Window.partitionBy("alert", "day").orderBy("sec")
-    over_days = Window.partitionBy("alert").orderBy("day")
-    ends = secs.groupBy("alert", "day").agg(F.max("sec").alias("_end"))
-    ends = ends.select("alert", "day", F.lag("_end").over(over_days).alias("_prev_end"))
+        prior = last_fires.select(*keys, F.col("sec").alias("_last"))
+        secs = secs.join(prior, keys, "left").where(F.col("_last").isNull() | (F.col("sec") >= F.col("_last") + F.col("quiet"))).drop("_last")
+    # the distinct seconds feed the steps below, the samples are read once
+    secs = materialize(secs, "seconds")
+    fires, jumps = _heads(secs, keys), _next_fires(secs, keys)
+    fires, n, _ = materialize_counted(fires, "fires")
+    jumps = materialize(jumps, "jumps")
+    while n:
+        later = fires.join(jumps, [*keys, "sec"]).select(*keys, F.col("nxt").alias("sec"))
+        fires, more, _ = materialize_counted(fires.union(later).distinct(), "fires")
+        if more == n:
+            break
+        n = more
+        ahead = jumps.select(*keys, F.col("sec").alias("nxt"), F.col("nxt").alias("_far"))
+        jumps = materialize(jumps.join(ahead, [*keys, "nxt"]).select(*keys, "sec", F.col("_far").alias("nxt")), "jumps")
+    return fires.select(*keys, time_of("sec").alias("fired_at")).unionByName(always)
+
+
+def _day(second: str) -> Column:
+    return F.floor(F.col(second) / 86400)
+
+
+def _heads(secs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sec): seconds without another one inside the quiet time before them."""
+    dated = secs.withColumn("day", _day("sec"))
+    in_day = Window.partitionBy(*keys, "day").orderBy("sec")
+    ends = dated.groupBy(*keys, "day").agg(F.max("sec").alias("_end"))
+    ends = ends.select(*keys, "day", F.lag("_end").over(Window.partitionBy(*keys).orderBy("day")).alias("_prev_end"))
     prev = F.coalesce(F.lag("sec").over(in_day), F.col("_prev_end"))
-    marked = secs.join(ends, ["alert", "day"]).withColumn("_prev", prev)
-    marked = marked.withColumn("_head", F.when(F.col("_prev").isNull() | (F.col("sec") - F.col("_prev") >= F.col("quiet")), F.col("sec")))
-    heads = marked.groupBy("alert", "day").agg(F.max("_head").alias("_h"))
-    earlier = over_days.rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("alert", "day", F.max("_h").over(earlier).alias("_prev_head"))
-    running = F.max("_head").over(in_day.rowsBetween(Window.unboundedPreceding, 0))
-    islands = marked.join(heads, ["alert", "day"]).withColumn("island", F.coalesce(running, F.col("_prev_head")))
-    islands = islands.select("alert", "island", "quiet", "sec").repartition("alert", "island").sortWithinPartitions("alert", "island", "sec")
-    folded = islands.mapInPandas(_fold, "alert string, sec long")
-    return folded.select("alert", time_of("sec").alias("fired_at")).unionByName(always)
+    marked = dated.join(ends, [*keys, "day"]).withColumn("_prev", prev)
+    return marked.where(F.col("_prev").isNull() | (F.col("sec") - F.col("_prev") >= F.col("quiet"))).select(*keys, "sec")
+
+
+def _next_fires(secs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sec, nxt): for each second the first one at or after its quiet time, where there is one."""
+    here = secs.select(*keys, F.col("sec").alias("at"), F.col("sec").alias("target"), F.lit(None).cast("long").alias("sec"))
+    asked = secs.select(*keys, (F.col("sec") + F.col("quiet")).alias("at"), F.lit(None).cast("long").alias("target"), "sec")
+    both = here.union(asked).withColumn("day", _day("at"))
+    # walked backwards, the last target met is the next one; equal times put the target first
+    back = Window.partitionBy(*keys, "day").orderBy(F.col("at").desc(), F.col("target").isNull())
+    inside = F.last("target", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    days = both.groupBy(*keys, "day").agg(F.min("target").alias("_first"))
+    days_back = Window.partitionBy(*keys).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "day", F.last("_first", ignorenulls=True).over(days_back).alias("_later"))
+    met = both.withColumn("_inside", inside).where("sec IS NOT NULL").join(days, [*keys, "day"])
+    return met.select(*keys, "sec", F.coalesce("_inside", "_later").alias("nxt")).where("nxt IS NOT NULL")
 
 
 def code_alerts(

@@ -128,23 +128,15 @@ def capture_rules(category: str, duration: str, text: str, database_id: str, err
     }
 
 
-def pattern_scan(
-    df: DataFrame, text: str, patterns: list[str], out: str = "pattern", cap: int | None = None, group: str | None = None, order: list[str] | None = None
-) -> DataFrame:
+def pattern_scan(df: DataFrame, text: str, patterns: list[str], out: str = "pattern") -> DataFrame:
     """One row per (row, distinct pattern found in its text), ignoring case.
 
     Each text is lowered and scanned in place; ``patterns`` is a short literal list, so no
-    join is needed. ``cap`` keeps the first rows per ``group`` by ``order`` and is off
-    unless a capped listing is what is wanted.
+    join is needed.
     """
     low = F.lower(F.col(text))
     hits = F.filter(F.array(*[F.when(low.contains(p.lower()), F.lit(p)) for p in dict.fromkeys(patterns)]), lambda x: x.isNotNull())
-    found = df.withColumn(out, F.explode(hits))
-    if cap is None:
-        return found
-    from watchloom.operators.ranking import first_per_key
-
-    return first_per_key(found, [group], [F.col(c) for c in order], cap)
+    return df.withColumn(out, F.explode(hits))
 
 
 def only_issues(df: DataFrame, result: str = "result") -> DataFrame:

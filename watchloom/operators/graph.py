@@ -10,28 +10,30 @@ skew splitting.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.session import materialize, materialize_counted, read_like, scratch_path
+from watchloom.session import materialize, materialize_counted, read_like
 
 
-def fixpoint(
-    seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 10_000, label: str = "frontier"
-) -> DataFrame:
+#: Visited rows of so many rounds are written together, so that a round never opens many folders.
+_COMPACT = 16
+
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], label: str = "frontier") -> DataFrame:
     """All rows reachable from ``seed`` by ``step``; a row counts as known by its ``keys``.
 
-    Only the last frontier is joined in each round, and known rows never re-enter, so cycles end.
+    Only the last frontier is joined in each round. Known rows never re-enter, so cycles end
+    and the rounds stop by themselves, however deep the graph.
     """
     spark, cols = seed.sparkSession, seed.columns
     frontier, n, path = materialize_counted(seed.dropDuplicates(keys), label)
     schema, known = frontier.schema, [path]
-    for _ in range(max_rounds):
-        if n == 0:
-            break
+    while n:
+        if len(known) > _COMPACT:
+            known = [materialize_counted(read_like(spark, known, schema), label)[2]]
         seen = read_like(spark, known, schema).select(*keys)
         fresh = step(frontier).select(*cols).dropDuplicates(keys).join(seen, keys, "left_anti").select(*cols)
         frontier, n, path = materialize_counted(fresh, label)
@@ -70,8 +72,8 @@ def chain_up(edges: DataFrame, starts: DataFrame, id_col: str = "session_id", bl
     """Each start's chain of blockers as (start_id, level, session_id, blocking_session_id).
 
     The start's own row always comes out; a later session with no blocker (0) ends the chain
-    without a row of its own. A chain that runs into itself stops, and its closing row is
-    marked ``closes_cycle``.
+    without a row of its own. A session with several blockers has a row for each of them. A chain
+    that runs into itself stops, and its closing row is marked ``closes_cycle``.
     """
     e = materialize(edges.select(F.col(id_col).alias("session_id"), F.col(blocker).alias("blocking_session_id")).distinct(), "edges")
     seed = e.join(starts.toDF("session_id").distinct(), "session_id").select(
@@ -84,8 +86,9 @@ def chain_up(edges: DataFrame, starts: DataFrame, id_col: str = "session_id", bl
             "start_id", (F.col("level") + 1).alias("level"), F.col("_s").alias("session_id"), F.col("_b").alias("blocking_session_id")
         )
 
-    chain = fixpoint(seed, step, ["start_id", "session_id"], label="chain")
-    back = chain.select(F.col("start_id").alias("_i"), F.col("session_id").alias("_s"), F.col("level").alias("_l"))
+    chain = fixpoint(seed, step, ["start_id", "session_id", "blocking_session_id"], label="chain")
+    met = chain.groupBy("start_id", "session_id").agg(F.min("level").alias("_l"))
+    back = met.select(F.col("start_id").alias("_i"), F.col("session_id").alias("_s"), "_l")
     closing = (F.col("start_id") == F.col("_i")) & (F.col("blocking_session_id") == F.col("_s")) & (F.col("_l") <= F.col("level"))
     marked = chain.join(back, closing, "left").withColumn("closes_cycle", F.col("_s").isNotNull())
     return marked.drop("_i", "_s", "_l")
@@ -162,24 +165,27 @@ def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     indegree = materialize(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")), "indegree")
     roots = ids.join(indegree, "node", "left_anti").select("node", F.lit(0).alias("level"))
     frontier, n, path = materialize_counted(roots, "level")
-    schema, parts, hits_paths, hit_schema, level = frontier.schema, [], [], None, 0
+    schema, parts, level, waiting = frontier.schema, [], 0, None
     while n:
         parts.append(path)
         level += 1
-        reached = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"))
-        hits, n_hits, hit_path = materialize_counted(reached.agg(F.count(F.lit(1)).alias("got")), "hits")
-        hit_schema = hits.schema
-        if n_hits == 0:
-            break
-        hits_paths.append(hit_path)
-        # predecessors peeled so far, only for the nodes touched now
-        touched = read_like(spark, hits_paths, hit_schema).join(hits.select("node"), "node", "left_semi")
-        done = touched.groupBy("node").agg(F.sum("got").alias("got")).join(indegree, "node").where("got = need")
-        frontier, n, path = materialize_counted(done.select("node", F.lit(level).alias("level")), "level")
+        got = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"))
+        # Nodes met but not complete wait with one row each; a round touches those and its own hits.
+        fresh = got.join(indegree, "node") if waiting is None else _add(waiting, got, indegree)
+        state = materialize(fresh.withColumn("level", F.lit(level)), "hits")
+        waiting = state.where("got < need").select("node", "got", "need")
+        frontier, n, path = materialize_counted(state.where("got = need").select("node", "level"), "level")
     levels = read_like(spark, parts, schema) if parts else frontier
     return ids.join(levels, "node", "left").withColumn("in_cycle", F.col("level").isNull())
 
 
+def _add(waiting: DataFrame, got: DataFrame, indegree: DataFrame) -> DataFrame:
+    """``waiting`` with the hits of this round added; new nodes get their ``need``."""
+    old = waiting.select("node", F.col("got").alias("before"), "need")
+    known = old.join(got, "node", "left").select("node", (F.col("before") + F.coalesce("got", F.lit(0))).alias("got"), "need")
+    return known.unionByName(got.join(old.select("node"), "node", "left_anti").join(indegree, "node"))
+
+
 def topo_levels(edges: DataFrame, nodes: DataFrame, master: str = "master", slave: str = "slave") -> DataFrame:
     """Load order of tables: 0 for tables without foreign keys, else one more than the highest master."""
     return peel_levels(nodes, _edges(edges, master, slave)).orderBy("level", "node")
@@ -250,58 +256,66 @@ def dependency_closure(items: DataFrame, roots: DataFrame, include_roots: bool =
     return closure_pairs(edges.select("src", "dst"), roots, include_roots)
 
 
-def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column]], label: str) -> tuple[DataFrame, int]:
-    """Pointer doubling over (id, nxt, …): jump until no pointer can move.
+def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column]], label: str) -> DataFrame:
+    """Pointer doubling over (id, nxt, ...): each row ends at the last pointer of its way.
 
-    Returns the final pointers and the number still able to move, which is non-zero only
-    for pointers caught in a cycle. ``merge`` combines a carried column of the row with that
-    of the row it points to.
+    ``nxt`` of the result is null below a row that points nowhere, or the id that no row has.
+    ``merge`` combines a carried column of the row with that of the row it points to. Finished
+    rows are set aside, so a round only moves those still on their way. A way is at most as long as
+    there are rows; rows that are still moving after as many doublings are on or below a cycle:
+    they come out with ``in_cycle`` true and their carried columns null. Ids are unique.
     """
-    cur, n, _ = materialize_counted(links, label)
-    moving = n
-    rounds = max(1, math.ceil(math.log2(n + 1)) + 1)
-    carried = list(merge)
-    for _ in range(rounds):
-        a, b = cur.alias("a"), cur.alias("b")
-        joined = a.join(b, F.col("a.nxt") == F.col("b.id"), "left")
-        moved = F.col("b.id").isNotNull()
-        cols = [
+    spark, carried = links.sparkSession, list(merge)
+    moving, n, _ = materialize_counted(links.select("id", "nxt", *carried), label)
+    schema, done, reach_, rows = moving.schema, [], 1, n
+    ended = materialize_counted(moving.where("nxt IS NULL"), label)
+    moving, n, _ = materialize_counted(moving.where("nxt IS NOT NULL"), label)
+    done.append(ended[2])
+    while n and reach_ <= 2 * rows:
+        at = moving.withColumn("_end", F.lit(False)).unionByName(read_like(spark, done, schema).withColumn("_end", F.lit(True)))
+        joined = moving.alias("a").join(at.alias("b"), F.col("a.nxt") == F.col("b.id"), "left")
+        met = F.col("b.id").isNotNull()
+        step = joined.select(
             F.col("a.id").alias("id"),
-            F.when(moved, F.col("b.nxt")).otherwise(F.col("a.nxt")).alias("nxt"),
-            *[F.when(moved, merge[c](F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}")).alias(c) for c in carried],
-            moved.alias("_moved"),
-        ]
-        seen, path = Observation(), scratch_path(links.sparkSession, label)
-        nxt = joined.select(*cols).observe(seen, F.count(F.when(F.col("_moved"), 1)).alias("moving"))
-        schema = nxt.schema
-        nxt.write.parquet(path)
-        cur = read_like(links.sparkSession, [path], schema)
-        moving = int(seen.get["moving"])
-        if moving == 0:
-            break
-    return cur, moving
+            F.when(met, F.col("b.nxt")).otherwise(F.col("a.nxt")).alias("nxt"),
+            *[F.when(met, merge[c](F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}")).alias(c) for c in carried],
+            (F.coalesce("b._end", F.lit(True))).alias("_end"),
+        )
+        step = materialize(step, label)
+        done.append(materialize_counted(step.where("_end").drop("_end"), label)[2])
+        moving, n, _ = materialize_counted(step.where("NOT _end").drop("_end"), label)
+        reach_ *= 2
+    final = read_like(spark, done, schema).withColumn("in_cycle", F.lit(False))
+    lost = [F.lit(None).cast(schema[c].dataType).alias(c) for c in ("nxt", *carried)]
+    return final.unionByName(moving.select("id", *lost, F.lit(True).alias("in_cycle")))
 
 
 def collapse_chain(df: DataFrame, id_col: str, ref_col: str, status: str = "status", usable: Column | None = None) -> DataFrame:
-    """Replacement chains: the newest usable record replaces all it refers back to.
+    """Replacement chains: of all records that replace one another only the newest stays.
 
-    Adds ``replaced_by`` (null for records nothing replaces) and sets replaced records to
-    CANCELED. Records on a reference cycle are left as they are.
+    A usable record replaces the older record it refers to. Records tied together that way form
+    a tree; its deepest record, of several the one with the largest id, stays, and every other
+    one is CANCELED with that record in ``replaced_by``. One row per record comes out.
     """
+    ids = df.select(F.col(id_col).alias("ref"))
     valid = df.where(usable) if usable is not None else df
-    links = valid.where(F.col(id_col) > F.col(ref_col)).select(F.col(ref_col).alias("id"), F.col(id_col).alias("nxt"))
-    final, moving = _double(links, {}, "replace")
-    if moving:
-        final = final.where("NOT _moved")
-    final = final.select(F.col("id").alias(id_col), F.col("nxt").alias("replaced_by"))
-    out = df.join(final, id_col, "left")
+    up = valid.where(F.col(id_col) > F.col(ref_col)).select(F.col(id_col).alias("id"), F.col(ref_col).alias("ref"))
+    up = up.join(ids, "ref", "left_semi").select("id", F.col("ref").alias("nxt"))
+    links = df.select(F.col(id_col).alias("id")).join(up, "id", "left")
+    links = links.withColumns({"top": F.coalesce("nxt", "id"), "depth": F.col("nxt").isNotNull().cast("int")})
+    merge = {"top": lambda mine, above: above, "depth": lambda mine, above: mine + above}
+    placed = materialize(_double(links, merge, "replace").select("id", "top", "depth"), "trees")
+    last = placed.groupBy("top").agg(F.max(F.struct("depth", "id"))["id"].alias("replaced_by"))
+    beaten = placed.join(last, "top").where("id <> replaced_by").select(F.col("id").alias(id_col), "replaced_by")
+    out = df.join(beaten, id_col, "left")
     return out.withColumn(status, F.when(F.col("replaced_by").isNotNull(), "CANCELED").otherwise(F.col(status)))
 
 
 def tree_paths(df: DataFrame, id_col: str, parent: str, name: str, separator: str = "/") -> DataFrame:
-    """(id, path, depth): each node's full path from its root, root depth 1.
+    """(id, path, depth, placed): each node's full path from its root, root depth 1.
 
-    Nodes on or below a cycle have no root and are left out.
+    ``placed`` is ``rooted``; ``dangling`` for nodes under a parent that isn't there, whose path
+    begins at the topmost node present; ``cycle``, without path and depth, for nodes on or below a cycle.
     """
     links = df.select(
         F.col(id_col).alias("id"),
@@ -310,8 +324,8 @@ def tree_paths(df: DataFrame, id_col: str, parent: str, name: str, separator: st
         F.lit(1).alias("depth"),
     )
     merge = {"path": lambda mine, above: F.concat(above, mine), "depth": lambda mine, above: mine + above}
-    final, _ = _double(links, merge, "tree")
-    return final.where("nxt IS NULL").select(F.col("id").alias(id_col), "path", "depth")
+    placed = F.when(F.col("in_cycle"), "cycle").when(F.col("nxt").isNull(), "rooted").otherwise("dangling")
+    return _double(links, merge, "tree").select(F.col("id").alias(id_col), "path", "depth", placed.alias("placed"))
 
 
 def reachable_to(edges: DataFrame, targets: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

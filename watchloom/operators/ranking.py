@@ -32,9 +32,14 @@ def with_group_max(df: DataFrame, keys: list[str], col: str, out: str) -> DataFr
 
     Aggregate-then-join instead of a window: the aggregate combines on the map side and an
     adaptive join splits a hot key, where a window would sort the whole group in one task.
+    A null key is a group like any other.
     """
-    top = df.groupBy(*keys).agg(F.max(col).alias(out))
-    return df.join(top, keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    top = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.max(col).alias(out))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & df[k].eqNullSafe(top[n])
+    return df.join(top, same).drop(*names)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
@@ -69,14 +74,19 @@ def range_batches(df: DataFrame, key: str, rows_per_batch: int, out: str = "batc
     return numbered.withColumn(out, F.ceil(F.col("_pos") / rows_per_batch).cast("long")).drop("_pos")
 
 
-def last_two(df: DataFrame, snapshot_id: str, ts: str) -> DataFrame:
-    """One row: newest and second-newest snapshot id with their times (equal if only one)."""
-    two = df.groupBy(snapshot_id).agg(F.max(ts).alias("_ts")).orderBy(F.col(snapshot_id).desc()).limit(2)
-    return two.agg(
-        F.max(snapshot_id).alias("last_id"),
-        F.min(snapshot_id).alias("prev_id"),
-        F.max("_ts").alias("last_time"),
-        F.min("_ts").alias("prev_time"),
+def last_two(df: DataFrame, snapshot_id: str, ts: str, by: list[str], place: list[str] | None = None) -> DataFrame:
+    """The newest and second-newest snapshot of each ``by`` that has two.
+
+    (by, snapshot, place, _is_last, duration_sec): duration_sec lies between the two times.
+    """
+    place = list(place or [])
+    ids = df.groupBy(*by, snapshot_id, *place).agg(F.max(ts).alias("_ts"))
+    whole = Window.partitionBy(*by).orderBy(F.col(snapshot_id).desc())
+    two = ids.withColumn("_rank", F.row_number().over(whole)).where("_rank <= 2")
+    pair = Window.partitionBy(*by)  # two rows at most
+    ends = two.withColumns({"_prev": F.min("_ts").over(pair), "_last": F.max("_ts").over(pair), "_n": F.count(F.lit(1)).over(pair)})
+    return ends.where("_n = 2").select(
+        *by, snapshot_id, *place, (F.col("_rank") == 1).alias("_is_last"), F.timestamp_diff("SECOND", "_prev", "_last").alias("duration_sec")
     )
 
 

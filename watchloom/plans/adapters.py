@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.session import load, spread
+from watchloom.session import load
 
 EVENTS_AS_OF = datetime(2024, 1, 31)
 ORDERS_AS_OF = datetime(2001, 12, 1)
@@ -63,7 +63,7 @@ def _node(kind: str, name: str, value: F.Column) -> F.Column:
 
 def ev_xml(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, xml): one captured event document per source event."""
-    e = wide(spread(load(spark, sf, "events")))
+    e = wide(load(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     data = [_node("data", n, F.col(n)) for n in ("duration", "error_number", "message", "database_id")]
     severity = F.concat(F.lit('<data name="category"><value>2</value><text>'), F.col("event_type"), F.lit("</text></data>"))
@@ -77,7 +77,7 @@ def report_xml(spark: SparkSession, sf: str) -> DataFrame:
 
     Every fifth lacks the monitor loop, every seventh the blocking side.
     """
-    e = spread(load(spark, sf, "events"))
+    e = load(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism)
     eid, uid = F.col("event_id"), F.col("user_id")
     loop = F.when(eid % 5 != 0, F.concat(F.lit(' monitorLoop="'), F.dayofyear("ts").cast("string"), F.lit('"'))).otherwise("")
 

@@ -27,6 +27,7 @@ def waits(spark, sf):
     """(wait_type, wait_ms, signal_ms, tasks) sample rows; every ninth event counts no task."""
     ms = F.round(F.col("value") * 1000).cast("long")
     return load(spark, sf, "events").select(
+        F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("server"),
         F.concat(F.upper("event_type"), F.lit("_"), (F.col("user_id") % 10).cast("string")).alias("wait_type"),
         ms.alias("wait_ms"),
         F.floor(ms / 10).alias("signal_ms"),
@@ -38,22 +39,23 @@ def waits(spark, sf):
     "share_profile",
     """
     WITH w AS (
-      SELECT upper(event_type) || '_' || (user_id % 10) AS wait_type, sum(CAST(round(value * 1000) AS HUGEINT)) AS t,
+      SELECT 's' || (event_id % 2) AS server, upper(event_type) || '_' || (user_id % 10) AS wait_type, sum(CAST(round(value * 1000) AS HUGEINT)) AS t,
              sum(CAST(round(value * 1000) AS HUGEINT) // 10) AS s, sum(CASE WHEN user_id % 10 = 9 THEN 0 ELSE 1 END) AS n
-      FROM events WHERE upper(event_type) || '_' || (user_id % 10) NOT IN ('VIEW_0', 'CLICK_1') GROUP BY 1),
-    g AS (SELECT sum(t) AS g FROM w)
-    SELECT wait_type, CAST((t + 5) // 10 AS DOUBLE) / 100 AS wait_sec, CAST((t - s + 5) // 10 AS DOUBLE) / 100 AS resource_sec,
+      FROM events WHERE upper(event_type) || '_' || (user_id % 10) NOT IN ('VIEW_0', 'CLICK_1') GROUP BY 1, 2),
+    g AS (SELECT server, sum(t) AS g FROM w GROUP BY 1)
+    SELECT server, wait_type, CAST((t + 5) // 10 AS DOUBLE) / 100 AS wait_sec, CAST((t - s + 5) // 10 AS DOUBLE) / 100 AS resource_sec,
            CAST((s + 5) // 10 AS DOUBLE) / 100 AS signal_sec, CAST(n AS BIGINT) AS wait_count,
            CAST((t * 20000 + g) // (2 * g) AS DOUBLE) / 100 AS percentage,
            CAST((t * 20 + n) // (2 * n) AS DOUBLE) / 10000 AS avg_wait_sec,
            CAST(((t - s) * 20 + n) // (2 * n) AS DOUBLE) / 10000 AS avg_res_sec,
            CAST((s * 20 + n) // (2 * n) AS DOUBLE) / 10000 AS avg_sig_sec
-    FROM w, g WHERE n <> 0
+    FROM w JOIN g USING (server) WHERE n <> 0
     """,
 )
 def q_share_profile(spark, sf):
-    out = share_profile(waits(spark, sf), "wait_type", "wait_ms", "signal_ms", "tasks", ["VIEW_0", "CLICK_1"])
-    return out.select("wait_type", "wait_count", *[F.col(c).cast("double").alias(c) for c in out.columns if c not in ("wait_type", "wait_count")])
+    out = share_profile(waits(spark, sf), "wait_type", "wait_ms", "signal_ms", "tasks", ["VIEW_0", "CLICK_1"], ["server"])
+    kept = ("server", "wait_type", "wait_count")
+    return out.select(*kept, *[F.col(c).cast("double").alias(c) for c in out.columns if c not in kept])
 
 
 @query(

@@ -19,7 +19,7 @@ from watchloom.plans.adapters import (
     report_xml,
 )
 from watchloom.plans.registry import query
-from watchloom.session import load, scratch_path, spread
+from watchloom.session import load, scratch_path
 from watchloom.sources.captures import normalise_block_reports, read_event_capture
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 30, 23, 59, 59)
@@ -206,7 +206,8 @@ def q_failover_history(spark, sf):
       FROM events)
     SELECT md5(factors) AS incident_id, factors, count(*) AS occurrence,
            CAST(sum(duration) // 1000 AS BIGINT) AS total_ms,
-           CAST((sum(duration) // count(*)) // 1000 AS BIGINT) AS average_ms, max(payload) AS sample
+           CAST((sum(duration) // count(*)) // 1000 AS BIGINT) AS average_ms,
+           arg_min(payload, CAST('0x' || substring(md5(payload), 1, 15) AS BIGINT)) AS sample
     FROM r GROUP BY factors
     """,
 )
@@ -241,7 +242,7 @@ def q_deadlock_incidents(spark, sf):
         listed,
         F.lit("</process-list></deadlock></value></data></event>"),
     )
-    docs = spread(load(spark, sf, "events")).select(xml.alias("xml"))
+    docs = load(spark, sf, "events").repartition(spark.sparkContext.defaultParallelism).select(xml.alias("xml"))
     return R.deadlock_incidents(read_event_capture(spark, written(docs, "deadlocks"))).drop("sample")
 
 

@@ -11,19 +11,22 @@ from watchloom.session import load
 
 
 def chain_edges(spark, sf):
-    return load(spark, sf, "customer").select(
-        F.col("c_custkey").alias("session_id"), F.floor(F.col("c_custkey") / 7).alias("blocking_session_id")
-    )
+    """Every session waits for one other, each third one for a second one too."""
+    key = F.col("c_custkey")
+    e = load(spark, sf, "customer").select(key.alias("session_id"), F.explode(F.array(F.floor(key / 7), F.when(key % 3 == 0, F.floor(key / 5)))).alias("blocking_session_id"))
+    return e.where("blocking_session_id IS NOT NULL")
 
 
 @query(
     "blocking_chain",
     """
-    WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey // 7 AS b FROM customer),
+    WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey // 7 AS b FROM customer UNION SELECT c_custkey, c_custkey // 5 FROM customer WHERE c_custkey % 3 = 0),
     chain AS (
       SELECT s AS start_id, 0 AS level, s, b FROM e
-      UNION ALL SELECT c.start_id, c.level + 1, e.s, e.b FROM chain c JOIN e ON e.s = c.b WHERE e.b <> 0)
-    SELECT start_id, CAST(level AS INTEGER) AS level, s AS session_id, b AS blocking_session_id, s = b AS closes_cycle FROM chain
+      UNION SELECT c.start_id, c.level + 1, e.s, e.b FROM chain c JOIN e ON e.s = c.b WHERE e.b <> 0),
+    first AS (SELECT start_id, min(level) AS level, s, b FROM chain GROUP BY ALL)
+    SELECT start_id, CAST(level AS INTEGER) AS level, s AS session_id, b AS blocking_session_id,
+           EXISTS (SELECT 1 FROM first x WHERE x.start_id = first.start_id AND x.s = first.b AND x.level <= first.level) AS closes_cycle FROM first
     """,
 )
 def q_blocking_chain(spark, sf):
@@ -32,17 +35,16 @@ def q_blocking_chain(spark, sf):
 
 
 def block_reports(spark, sf):
-    e = load(spark, sf, "events").where("user_id > 0")
-    return e.groupBy(
+    return load(spark, sf, "events").groupBy(
         F.date_format("ts", "yyyy-MM-dd").alias("monitorloop"),
-        F.col("user_id").cast("int").alias("blocked_spid"),
-        F.floor(F.col("user_id") / 2).cast("int").alias("blocking_spid"),
+        (F.col("user_id") + 1).cast("int").alias("blocked_spid"),
+        F.floor((F.col("user_id") + 1) / 2).cast("int").alias("blocking_spid"),
     ).agg(F.min("ts").alias("end_time")).withColumns({"blocked_ecid": F.lit(0), "blocking_ecid": F.lit(0)})
 
 
 FOREST_SQL = """
-r AS (SELECT strftime(ts, '%Y-%m-%d') AS monitorloop, CAST(user_id AS INTEGER) AS blocked, CAST(user_id // 2 AS INTEGER) AS blocking, min(ts) AS end_time
-      FROM events WHERE user_id > 0 GROUP BY 1, 2, 3),
+r AS (SELECT strftime(ts, '%Y-%m-%d') AS monitorloop, CAST(user_id + 1 AS INTEGER) AS blocked, CAST((user_id + 1) // 2 AS INTEGER) AS blocking, min(ts) AS end_time
+      FROM events GROUP BY 1, 2, 3),
 heads AS (SELECT monitorloop, blocking AS spid FROM r EXCEPT SELECT monitorloop, blocked FROM r)
 """
 
@@ -101,8 +103,8 @@ def q_topo_levels(spark, sf):
 @query(
     "topo_cycles",
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS master, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS slave FROM supplier
-                         WHERE s_acctbal >= 0),
+    WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS master, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS slave FROM supplier WHERE s_acctbal >= 0
+                         UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier),
     f AS (SELECT * FROM e WHERE master <> slave),
     back AS (SELECT slave AS node, master AS anc FROM f UNION SELECT b.node, f.master FROM back b JOIN f ON f.slave = b.anc),
     oncycle AS (SELECT DISTINCT node FROM back WHERE node = anc),
@@ -116,7 +118,9 @@ def q_topo_levels(spark, sf):
 def q_topo_cycles(spark, sf):
     s = load(spark, sf, "supplier")
     n = s.agg(F.count(F.lit(1))).scalar()
-    edges = s.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("master"), ((F.col("s_suppkey") * 7 + 3) % n).alias("slave"))
+    key = F.col("s_suppkey")
+    slaves = F.explode(F.array(F.when(F.col("s_acctbal") >= 0, (key * 7 + 3) % n), F.floor(key / 3)))
+    edges = s.select(key.alias("master"), slaves.alias("slave")).where("slave IS NOT NULL")
     return G.topo_levels(edges, s.select("s_suppkey"))
 
 
@@ -211,11 +215,13 @@ def q_dependency_closure(spark, sf):
 @query(
     "collapse_chain",
     """
-    WITH RECURSIVE s AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 THEN o_orderkey - 100 END AS record_ref, o_orderstatus AS status FROM orders),
-    ok AS (SELECT * FROM s WHERE record_id % 13 <> 0 AND record_ref IS NOT NULL),
-    c AS (SELECT record_ref AS record_id, record_id AS nxt, 1 AS level FROM ok
-          UNION ALL SELECT c.record_id, ok.record_id, c.level + 1 FROM c JOIN ok ON ok.record_ref = c.nxt),
-    f AS (SELECT record_id, nxt AS replaced_by FROM c QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY level DESC) = 1)
+    WITH RECURSIVE s AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 THEN o_orderkey - 100
+                                WHEN o_orderkey % 7 = 0 THEN o_orderkey - 50 END AS record_ref, o_orderstatus AS status FROM orders),
+    up AS (SELECT record_id, record_ref FROM s WHERE record_id % 13 <> 0 AND record_ref IN (SELECT record_id FROM s)),
+    t AS (SELECT record_id, record_id AS top, 0 AS level FROM s WHERE record_id NOT IN (SELECT record_id FROM up)
+          UNION ALL SELECT up.record_id, t.top, t.level + 1 FROM t JOIN up ON up.record_ref = t.record_id),
+    last AS (SELECT top, record_id AS best FROM t QUALIFY row_number() OVER (PARTITION BY top ORDER BY level DESC, record_id DESC) = 1),
+    f AS (SELECT t.record_id, CASE WHEN best <> t.record_id THEN best END AS replaced_by FROM t JOIN last USING (top))
     SELECT s.record_id, s.record_ref, CASE WHEN f.replaced_by IS NOT NULL THEN 'CANCELED' ELSE s.status END AS status, f.replaced_by
     FROM s LEFT JOIN f USING (record_id)
     """,
@@ -224,7 +230,7 @@ def q_collapse_chain(spark, sf):
     key = F.col("o_orderkey")
     log = load(spark, sf, "orders").select(
         key.alias("record_id"),
-        F.when((key % 11 == 0) | (key % 5 == 0), key - 100).alias("record_ref"),
+        F.when((key % 11 == 0) | (key % 5 == 0), key - 100).when(key % 7 == 0, key - 50).alias("record_ref"),
         F.col("o_orderstatus").alias("status"),
     )
     return G.collapse_chain(log, "record_id", "record_ref", usable=F.col("record_id") % 13 != 0)
@@ -279,13 +285,16 @@ def q_clear_plan(spark, sf):
 @query(
     "tree_paths",
     """
-    WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent, p_name AS name FROM part),
-    p AS (SELECT id, name || '/' AS path, 1 AS depth FROM t WHERE parent IS NULL
-          UNION ALL SELECT t.id, p.path || t.name || '/', p.depth + 1 FROM t JOIN p ON t.parent = p.id)
-    SELECT id, path, CAST(depth AS INTEGER) AS depth FROM p
+    WITH RECURSIVE t AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 97 = 0 THEN p_partkey WHEN p_partkey % 50 = 1 THEN -1
+                                WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent FROM part),
+    p AS (SELECT id, name || '/' AS path, 1 AS depth, CASE WHEN parent IS NULL THEN 'rooted' ELSE 'dangling' END AS placed
+          FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t)
+          UNION ALL SELECT t.id, p.path || t.name || '/', p.depth + 1, p.placed FROM t JOIN p ON t.parent = p.id)
+    SELECT t.id, path, CAST(depth AS INTEGER) AS depth, coalesce(placed, 'cycle') AS placed FROM t LEFT JOIN p USING (id)
     """,
 )
 def q_tree_paths(spark, sf):
     key = F.col("p_partkey")
-    t = load(spark, sf, "part").select(key.alias("id"), F.when(key >= 4, F.floor(key / 4)).alias("parent"), F.col("p_name").alias("name"))
+    parent = F.when(key % 97 == 0, key).when(key % 50 == 1, F.lit(-1)).when(key >= 4, F.floor(key / 4))
+    t = load(spark, sf, "part").select(key.alias("id"), parent.alias("parent"), F.col("p_name").alias("name"))
     return G.tree_paths(t, "id", "parent", "name")

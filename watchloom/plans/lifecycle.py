@@ -10,7 +10,7 @@ from watchloom.operators import lifecycle as L
 from watchloom.plans.adapters import ORDERS_AS_OF
 from watchloom.plans.registry import query
 from watchloom.session import load
-from watchloom.sources.history import purge_history, purge_expired, read_history, append_snapshot
+from watchloom.sources.history import append_snapshot, purge_expired, purge_stored, read_history
 
 
 def backup_sets(spark, sf):
@@ -184,15 +184,18 @@ def q_snapshot_append(spark, sf):
 
 @query(
     "retention",
-    "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 5 DAY",
+    "SELECT event_id, ts, CAST(ts AS DATE) AS log_date FROM events WHERE ts >= TIMESTAMP '2024-01-31 10:30:00' - INTERVAL 5 DAY",
 )
 def q_retention(spark, sf):
+    """What a stored history holds after two purges, the second one in the middle of a day."""
     from watchloom.session import scratch_path
 
     path = scratch_path(spark, "events")
     e = load(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("log_date"))
     e.repartition("log_date").write.partitionBy("log_date").parquet(path)
-    return purge_history(read_history(spark, path), "ts", 5, datetime(2024, 1, 31)).select("event_id", "ts")
+    for at in (datetime(2024, 1, 20), datetime(2024, 1, 31, 10, 30)):
+        purge_stored(spark, path, "ts", 5, at)
+    return read_history(spark, path)
 
 
 @query(

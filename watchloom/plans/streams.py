@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def replay(spark, df, run):
         if lo is not None:
             part = part.where(F.col("ts") >= ntz(lo))
         if hi is not None:
-            part = part.where(F.col("ts") < ntz(hi))
+            part = part.where((F.col("ts") < ntz(hi)) | (F.lit(lo is None) & F.col("ts").isNull()))
         part.write.mode("append").parquet(src)
         stream = spark.readStream.schema(df.schema).parquet(src)
         run(stream)
@@ -85,12 +85,14 @@ def q_stream_daily_kpi(spark, sf):
     return J.latest_update(spark, out, ["log_date", "category"], "occurrence_per_day")
 
 
-@query("stream_history", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 15 DAY")
+@query("stream_history", "SELECT event_id, ts, CAST(ts AS DATE) AS log_date FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 15 DAY + INTERVAL 7 HOUR")
 def q_stream_history(spark, sf):
+    """The stored folder after a purge with each slice, the last one in the middle of a day."""
     out, ckpt = scratch_path(spark, "history"), scratch_path(spark, "history-ckpt")
+    moments = iter([*CUTS, EVENTS_AS_OF + timedelta(hours=7)])
 
     def run(stream):
-        J.run_available(stream, ckpt, each=J.history_writer(out, "ts", 15, EVENTS_AS_OF))
+        J.run_available(stream, ckpt, each=J.history_writer(out, "ts", 15, next(moments)))
 
     replay(spark, load(spark, sf, "events").select("event_id", "ts"), run)
     return spark.read.parquet(out).drop("batch_id")
@@ -114,22 +116,22 @@ def q_stream_dedup(spark, sf):
     WITH d AS (SELECT user_id, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS snapshot_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
                FROM events GROUP BY ALL)
     SELECT user_id, snapshot_id, n - lag(n, 1, 0) OVER w AS n, cents - lag(cents, 1, 0) OVER w AS cents,
-           n < lag(n, 1, 0) OVER w OR cents < lag(cents, 1, 0) OVER w AS is_reset
+           n < lag(n, 1, 0) OVER w OR cents < lag(cents, 1, 0) OVER w AS is_reset, false AS is_late
     FROM d WINDOW w AS (PARTITION BY user_id ORDER BY snapshot_id)
     """,
 )
 def q_stream_counter_delta(spark, sf):
-    out, ckpt = scratch_path(spark, "delta"), scratch_path(spark, "delta-ckpt")
+    out, state, ckpt = (scratch_path(spark, x) for x in ("delta", "delta-state", "delta-ckpt"))
     e = load(spark, sf, "events")
     snaps = e.groupBy("user_id", F.date_format("ts", "yyyyMMdd").cast("long").alias("snapshot_id")).agg(
         F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
     )
 
     def run(stream):
-        J.run_available(J.stream_counter_delta(stream, "user_id", "snapshot_id", ["n", "cents"]), ckpt, out)
+        J.run_available(stream, ckpt, each=J.delta_writer(out, state, ["user_id"], "snapshot_id", ["n", "cents"]))
 
     replay(spark, snaps, run)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 # Alerts over event values: (alert, metric, comparison, bound, quiet seconds).
@@ -143,25 +145,32 @@ VALUE_ALERTS = [
 QUIET_SQL = """
     WITH RECURSIVE spec(alert, metric, lo, hi, quiet) AS (VALUES ('HighError', 'error', 15.0, NULL, 7200), ('HighClick', 'click', 5.0, NULL, 3600),
       ('LowView', 'view', NULL, 20.0, 90000), ('AnyPurchase', 'purchase', 30.0, NULL, 1)),
-    b AS (SELECT DISTINCT alert, CAST(quiet AS BIGINT) AS quiet, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events JOIN spec ON metric = event_type
+    b AS (SELECT DISTINCT 's' || (user_id % 2) AS server, alert, CAST(quiet AS BIGINT) AS quiet, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events JOIN spec ON metric = event_type
           AND (value > lo::DOUBLE OR value < hi::DOUBLE)),
-    f AS (SELECT alert, quiet, min(sec) AS sec FROM b GROUP BY alert, quiet
-          UNION ALL SELECT b.alert, b.quiet, min(b.sec) FROM f JOIN b ON b.alert = f.alert AND b.sec >= f.sec + f.quiet GROUP BY b.alert, b.quiet)
-    SELECT alert, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * sec AS fired_at FROM f
+    f AS (SELECT server, alert, quiet, min(sec) AS sec FROM b GROUP BY ALL
+          UNION ALL SELECT b.server, b.alert, b.quiet, min(b.sec) FROM f JOIN b ON b.server = f.server AND b.alert = f.alert AND b.sec >= f.sec + f.quiet
+          GROUP BY b.server, b.alert, b.quiet)
+    SELECT server, alert, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * sec AS fired_at FROM f
 """
 
 
+def samples(spark, sf):
+    """Samples of two servers that breach the same alerts at the same time."""
+    server = F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string"))
+    return load(spark, sf, "events").select(server.alias("server"), "ts", "event_type", "value")
+
+
 @query("quiet_alerts", QUIET_SQL)
 def q_quiet_alerts(spark, sf):
-    return quiet_alerts(breaches(load(spark, sf, "events"), VALUE_ALERTS, "event_type"))
+    return quiet_alerts(breaches(samples(spark, sf), VALUE_ALERTS, "event_type", by=["server"]), by=["server"])
 
 
 @query("stream_quiet_alerts", QUIET_SQL)
 def q_stream_quiet_alerts(spark, sf):
-    out, ckpt = scratch_path(spark, "fires"), scratch_path(spark, "fires-ckpt")
+    out, state, ckpt = (scratch_path(spark, x) for x in ("fires", "fires-state", "fires-ckpt"))
 
     def run(stream):
-        J.run_available(stream, ckpt, each=J.alert_writer(VALUE_ALERTS, out, "event_type"))
+        J.run_available(stream, ckpt, each=J.alert_writer(VALUE_ALERTS, out, state, "event_type", by=["server"]))
 
-    replay(spark, load(spark, sf, "events").select("ts", "event_type", "value"), run)
+    replay(spark, samples(spark, sf), run)
     return spark.read.parquet(out).drop("batch_id")

@@ -29,27 +29,40 @@ def _head(xml: str, attribute: str) -> Column:
 
 
 def read_event_capture(
-    spark: SparkSession,
-    glob: str,
-    offset_min: int = 0,
-    categories: list[str] | None = None,
-    streaming: bool = False,
-    whole_files: bool = False,
+    spark: SparkSession, glob: str, offset_min: int = 0, categories: list[str] | None = None, streaming: bool = False
 ) -> DataFrame:
     """(log_date, log_ts, category, event) rows of XML capture files, in batch or as a stream.
 
     Files are read as text records ending in ``</event>``, so one large file is split
-    between tasks and unwanted categories are dropped before any XML is parsed. Use
-    ``whole_files`` for exports that carry that tag inside CDATA: the XML reader is exact
-    there but takes each file in one task.
+    between tasks and unwanted categories are dropped before any XML is parsed. That tag
+    inside CDATA would cut an event in two: a first pass over the text finds the files that hold
+    an open CDATA at a cut, and those alone are read whole by the XML reader. In a stream such a
+    file is an error.
     """
-    if whole_files:
-        raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(glob)
-        stamped = raw.select(event_time(F.col("_timestamp"), offset_min).alias("log_ts"), F.col("_name").alias("category"), F.struct("*").alias("event"))
-        stamped = stamped.where(F.col("category").isin(list(categories))) if categories else stamped
-        return stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", "event")
     reader = spark.readStream if streaming else spark.read
     chunks = reader.option("lineSep", END_TAG).text(glob)
+    if streaming:
+        stop = F.when(_open_cdata("value"), F.raise_error(F.lit("event end tag inside CDATA: read this capture in batch"))).otherwise(F.col("value"))
+        return _split_chunks(chunks.withColumn("value", stop), offset_min, categories)
+    named = chunks.withColumn("_file", F.input_file_name())
+    # names of odd files: a small fact that decides how each file is read
+    odd = [r[0] for r in named.where(_open_cdata("value")).select("_file").distinct().collect()]
+    if not odd:
+        return _split_chunks(chunks, offset_min, categories)
+    plain = _split_chunks(named.where(~F.col("_file").isin(odd)), offset_min, categories)
+    raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(",".join(odd))
+    stamped = raw.select(event_time(F.col("_timestamp"), offset_min).alias("log_ts"), F.col("_name").alias("category"), F.struct("*").alias("event"))
+    stamped = stamped.where(F.col("category").isin(list(categories))) if categories else stamped
+    return plain.unionByName(stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", "event"))
+
+
+def _open_cdata(text: str) -> Column:
+    """Whether the text ends inside a CDATA section."""
+    rest = F.substring_index(text, "<![CDATA[", -1)
+    return F.col(text).contains("<![CDATA[") & ~rest.contains("]]>")
+
+
+def _split_chunks(chunks: DataFrame, offset_min: int, categories: list[str] | None) -> DataFrame:
     # a chunk is what follows the last end tag: perhaps a prologue or events without
     # content, then one event lacking its end tag
     pieces = F.split(F.concat("value", F.lit(END_TAG)), r"(?=<event[\s/>])")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,9 +15,20 @@ def run_query(spark: SparkSession, sql: str, params: dict | None = None, source:
     """
     if source is None:
         return spark.sql(sql, args=params or {})
-    for name, value in sorted((params or {}).items(), key=lambda kv: -len(kv[0])):
-        sql = sql.replace(f":{name}", sql_literal(value))
-    return spark.read.format("jdbc").options(**source).option("query", sql).load()
+    return spark.read.format("jdbc").options(**source).option("query", fill_markers(sql, params or {})).load()
+
+
+def fill_markers(sql: str, params: dict) -> str:
+    """``sql`` with each ``:marker`` outside quotes replaced by its literal, in one pass.
+
+    A value is never looked at again, so one that holds a marker stays text. A marker
+    without a value is an error.
+    """
+
+    def put(m: re.Match) -> str:
+        return m[0] if m["name"] is None else sql_literal(params[m["name"]])
+
+    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|::|(?<!\w):(?P<name>[A-Za-z_]\w*)", put, sql)
 
 
 def sql_literal(value) -> str:

@@ -6,19 +6,17 @@ idempotent per micro-batch, so a replay after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import ntz
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
 from watchloom.operators.alerting import breaches, quiet_alerts, second_of, time_of
 from watchloom.operators.filters import event_rules
-from watchloom.sources.history import purge_expired, write_batch
+from watchloom.session import materialize
+from watchloom.sources.history import purge_expired, purge_stored, write_batch, write_dated_batch
 
 STAMP = "event_time"
 
@@ -68,11 +66,16 @@ def stream_dedup(stream: DataFrame, ts: str, fingerprint: Column, within: str, s
     return salted.dropDuplicatesWithinWatermark(["incident_id", "_salt"]).dropDuplicatesWithinWatermark(["incident_id"]).drop("_salt")
 
 
-def history_writer(path: str, ts: str, days: int, as_of: datetime) -> Callable:
-    """Micro-batch sink: rows still inside retention, one replaceable partition per batch."""
+def history_writer(path: str, ts: str, days: int, as_of: datetime | Callable[[], datetime]) -> Callable:
+    """Micro-batch sink of a dated history: adds the rows inside retention, then deletes stored rows outside.
+
+    ``as_of`` may be a function of no arguments, asked once per batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(purge_expired(batch, ts, days, as_of), path, batch_id)
+        now = as_of() if callable(as_of) else as_of
+        write_dated_batch(purge_expired(batch, ts, days, now), path, batch_id, ts)
+        purge_stored(batch.sparkSession, path, ts, days, now)
 
     return write
 
@@ -90,52 +93,61 @@ def latest_update(spark: SparkSession, path: str, keys: list[str], value: str) -
     return rows.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
 
 
-def stream_counter_delta(stream: DataFrame, entity: str, snapshot: str, counters: list[str]) -> DataFrame:
-    """Growth of each counter since the entity's previous snapshot, which is kept as state.
+def _state(spark: SparkSession, path: str, batch_id: int, first: DataFrame) -> DataFrame:
+    """The state table that the batch before wrote, or ``first``."""
+    return spark.read.schema(first.schema).parquet(f"{path}/batch_id={batch_id - 1}") if batch_id > 0 else first
+
 
-    The first snapshot of an entity reports absolute values.
+def delta_writer(out_path: str, state_path: str, keys: list[str], snapshot: str, counters: list[str]) -> Callable:
+    """Micro-batch sink of counter growth since each entity's previous snapshot.
+
+    The last snapshot of each entity is a table of its own, one version per batch, so a replayed
+    batch starts from the same state and replaces its own output. An entity's first snapshot
+    reports absolute values. A snapshot that isn't newer than the state comes out too, marked
+    ``is_late``, without growth.
     """
-    fields = ", ".join(f"{c} long" for c in counters)
-    out_schema = f"{entity} long, {snapshot} long, {fields}, is_reset boolean"
-    state_schema = f"{snapshot} long, {fields}"
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(snapshot)
-        last = state.get if state.exists else (None, *[0] * len(counters))
-        if last[0] is not None:
-            rows = rows[rows[snapshot] > last[0]]
-        if rows.empty:
-            return
-        now = rows[counters].astype("int64")
-        before = now.shift(1)
-        before.iloc[0] = [int(v) for v in last[1:]]
-        grown = (now - before).astype("int64")
-        grown.insert(0, snapshot, rows[snapshot].astype("int64"))
-        grown.insert(0, entity, int(key[0]))
-        grown["is_reset"] = (grown[counters] < 0).any(axis=1)
-        state.update((int(rows[snapshot].iloc[-1]), *[int(v) for v in now.iloc[-1]]))
-        yield grown
-
-    chosen = stream.select(F.col(entity).cast("long"), F.col(snapshot).cast("long"), *[F.col(c).cast("long") for c in counters])
-    return chosen.groupBy(entity).applyInPandasWithState(advance, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def alert_writer(spec: list[tuple], fires_path: str, metric: str = "metric", value: str = "value", ts: str = "ts") -> Callable:
-    """Micro-batch sink of threshold alerts with quiet periods.
-
-    State is the last fire per alert, taken from the fires of earlier batches, so a replayed
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = materialize(batch.select(*keys, snapshot, *counters), "snapshots")
+        last = _state(spark, state_path, batch_id, rows.limit(0))
+        old = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(snapshot).alias("_at"), *[F.col(c).alias(f"_old_{c}") for c in counters])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & rows[k].eqNullSafe(old[f"_k{i}"])
+        met = rows.join(old, same, "left").withColumn("is_late", F.coalesce(F.col(snapshot) <= F.col("_at"), F.lit(False)))
+        order = Window.partitionBy(*keys, "is_late").orderBy(snapshot)
+        grown = {c: F.col(c) - F.coalesce(F.lag(c).over(order), F.col(f"_old_{c}"), F.lit(0)) for c in counters}
+        new = met.select(*keys, snapshot, *[F.when(~F.col("is_late"), g).cast("long").alias(c) for c, g in grown.items()], "is_late")
+        reset = F.exists(F.array(*counters), lambda v: v < 0)
+        write_batch(new.withColumn("is_reset", F.coalesce(reset, F.lit(False))), out_path, batch_id)
+        newest = F.max_by(F.struct(snapshot, *counters), snapshot).alias("_s")
+        state = last.unionByName(rows).groupBy(*keys).agg(newest).select(*keys, "_s.*")
+        write_batch(state, state_path, batch_id)
+
+    return write
+
+
+def alert_writer(
+    spec: list[tuple], fires_path: str, state_path: str, metric: str = "metric", value: str = "value", ts: str = "ts", by: list[str] | None = None
+) -> Callable:
+    """Micro-batch sink of threshold alerts with quiet periods, per ``by`` (the server).
+
+    The last fire per server and alert is a table of its own, one version per batch: a replayed
     batch sees the same state and replaces the same output. Inside a batch the distributed
     batch operator does the work.
     """
+    keys = [*(by or []), "alert"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = None
-        if batch_id > 0:
-            done = spark.read.parquet(fires_path).where(F.col("batch_id") < batch_id)
-            last = done.groupBy("alert").agg(F.max(second_of("fired_at")).alias("sec"))
-        fired = quiet_alerts(breaches(batch, spec, metric, value, ts), last)
+        hits = breaches(batch, spec, metric, value, ts, by)
+        none = hits.select(*keys, F.lit(0).cast("long").alias("sec")).limit(0)
+        last = _state(spark, state_path, batch_id, none)
+        fired = materialize(quiet_alerts(hits, last, by), "fired")
         write_batch(fired, fires_path, batch_id)
+        newest = last.unionByName(fired.select(*keys, second_of("fired_at").alias("sec"))).groupBy(*keys).agg(F.max("sec").alias("sec"))
+        write_batch(newest, state_path, batch_id)
 
     return write
 
@@ -143,11 +155,11 @@ def alert_writer(spec: list[tuple], fires_path: str, metric: str = "metric", val
 __all__ = [
     "alert_writer",
     "batch_writer",
+    "delta_writer",
     "event_stamp",
     "history_writer",
     "latest_update",
     "run_available",
-    "stream_counter_delta",
     "stream_daily_kpi",
     "stream_dedup",
     "stream_rules",
