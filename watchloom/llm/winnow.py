@@ -28,6 +28,8 @@ WINDOW = 10
 #: Words per hashed gram.
 GRAM = 6
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The largest place that a packed mark can hold: more words than a string of 2 GB has.
+_PLACES = (1 << 30) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,13 +48,25 @@ def _gram_hashes(words: Column, size: int) -> Column:
 
 
 def _minima(hashes: Column, span: int) -> Column:
-    """Distinct (place, hash) of the smallest hash in every ``span`` consecutive ones, the last of equals."""
-    at = lambda hs, i: F.struct(F.get(hs, i).alias("h"), (-i).alias("p"))
-    least = lambda hs: F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.size(hs) - span), lambda i: F.least(*[at(hs, i + k) for k in range(span)]))
-    )
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    return bound(hashes, lambda hs: F.when(F.size(hs) >= span, least(hs)).otherwise(none))
+    """The smallest hash in every ``span`` consecutive ones, the last of equals, each place once.
+
+    Hash and place share a long: 33 bits of the hash above, the place counted down in the 30
+    bits below, so that one comparison settles both. Places of minima never go back, so only
+    neighbours can repeat.
+    """
+    packed = lambda hs: F.transform(hs, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 31), 30).bitwiseOR(F.lit(_PLACES) - i))
+    least = lambda ps: F.transform(F.sequence(F.lit(0), F.size(ps) - span), lambda i: F.least(*[F.get(ps, i + k) for k in range(span)]) if span > 1 else F.get(ps, i))
+    once = lambda ms: F.filter(ms, lambda m, i: (i == 0) | (m != F.get(ms, i - 1)))
+    none = F.array().cast("array<long>")
+    return bound(bound(hashes, packed), lambda ps: F.when(F.size(ps) >= span, bound(least(ps), once)).otherwise(none))
+
+
+def _hash_of(mark: Column) -> Column:
+    return F.shiftright(mark, 30)
+
+
+def _place_of(mark: Column) -> Column:
+    return (F.lit(_PLACES) - mark.bitwiseAND(F.lit(_PLACES))).cast("int")
 
 
 def _gram(words: Column, start: Column, size: Column) -> Column:
@@ -71,7 +85,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def _targets(words: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[int]]:
     """Hashes to look for with their run length, and the lengths under ``window`` (at most ``window - 1``)."""
-    long_items = words.filter(F.size("w") >= window).select(F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select(F.lit(gram).alias("size"), "x.h", F.lit(True).alias("winnowed"))
+    long_items = words.filter(F.size("w") >= window).select(F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select(F.lit(gram).alias("size"), _hash_of(F.col("x")).alias("h"), F.lit(True).alias("winnowed"))
     lengths = sorted(r[0] for r in words.filter(F.size("w") < window).select(F.size("w")).distinct().collect())
     found = long_items
     for m in lengths:
@@ -86,12 +100,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     body = docs.select(docs[f"`{text}`"].cast("string").alias("t")).filter("t is not null")
     split = body.select(F.sha2("t", 256).alias("key"), words_of(F.col("t")).alias("w")).filter(F.size("w") > 0)
 
-    marks = F.transform(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1), lambda x: F.struct(x["h"].alias("h"), (-x["p"]).alias("p"), F.lit(gram).alias("size"), F.lit(True).alias("winnowed")))
+    wanted = targets.select("h", "size", "winnowed")
+    seen = split.select("key", F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select("key", _hash_of(F.col("x")).alias("h"), _place_of(F.col("x")).alias("p"))
+    hits = seen.join(wanted.filter("winnowed"), "h", "left_semi").select("key", "p", F.lit(gram).alias("size"), F.lit(True).alias("winnowed"))
     for m in lengths:
-        hashes = _gram_hashes(F.col("w"), m)
-        marks = F.concat(marks, F.transform(hashes, lambda h, p, m=m: F.struct(h.alias("h"), p.alias("p"), F.lit(m).alias("size"), F.lit(False).alias("winnowed"))))
-    seen = split.select("key", F.explode(marks).alias("x")).select("key", "x.*")
-    hits = seen.join(targets, ["h", "size", "winnowed"], "left_semi")
+        runs = split.select("key", F.posexplode(_gram_hashes(F.col("w"), m)).alias("p", "h"))
+        short = runs.join(wanted.filter((F.col("size") == m) & ~F.col("winnowed")), "h", "left_semi")
+        hits = hits.union(short.select("key", "p", F.lit(m), F.lit(False)))
     # A text's hits are no more than its words.
     places = hits.groupBy("key").agg(F.collect_set(F.struct("p", "size", "winnowed")).alias("hits"))
     places = materialize(places, "hits")
