@@ -169,12 +169,12 @@ def gauge(df: DataFrame, predicate: Column, name: str) -> DataFrame:
     return df.agg(F.count(F.when(predicate, F.lit(1))).alias("value")).select(F.lit(name).alias("gauge"), "value")
 
 
-def column_profile(columns: DataFrame, key: str, flags: list[str], name: str = "column_name") -> DataFrame:
+def column_profile(columns: DataFrame, key: str | list[str], flags: list[str], name: str = "column_name") -> DataFrame:
     """Per entity: whether any column has each flag, and the (last by name) column that has it."""
     aggs = []
     for f in flags:
         aggs += [F.max(F.col(f).cast("int")).alias(f"has_{f}"), F.max(F.when(F.col(f), F.col(name))).alias(f"{f}_column")]
-    return columns.groupBy(key).agg(*aggs)
+    return columns.groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
 
 
 def long_report(df: DataFrame, ids: list[str], items: dict[str, str | None]) -> DataFrame:

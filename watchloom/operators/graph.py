@@ -68,40 +68,46 @@ def heads(edges: DataFrame, blocked: list[str], blocking: list[str], within: lis
     return out.select(*within, *[F.col(n).alias(c) for n, c in zip(names, blocking)])
 
 
-def chain_up(edges: DataFrame, starts: DataFrame, id_col: str = "session_id", blocker: str = "blocking_session_id") -> DataFrame:
-    """Each start's chain of blockers as (start_id, level, session_id, blocking_session_id).
+def chain_up(
+    edges: DataFrame, starts: DataFrame, id_col: str = "session_id", blocker: str = "blocking_session_id", by: list[str] | None = None
+) -> DataFrame:
+    """Each start's chain of blockers as (by, start_id, level, session_id, blocking_session_id).
+
+    Session ids are local to a server: with ``by``, whose columns come first in ``starts``, a chain
+    stays on its server.
 
     The start's own row always comes out; a later session with no blocker (0) ends the chain
     without a row of its own. A session with several blockers has a row for each of them. A chain
     that runs into itself stops, and its closing row is marked ``closes_cycle``.
     """
-    e = materialize(edges.select(F.col(id_col).alias("session_id"), F.col(blocker).alias("blocking_session_id")).distinct(), "edges")
-    seed = e.join(starts.toDF("session_id").distinct(), "session_id").select(
-        F.col("session_id").alias("start_id"), F.lit(0).alias("level"), "session_id", "blocking_session_id"
+    by = list(by or [])
+    e = materialize(edges.select(*by, F.col(id_col).alias("session_id"), F.col(blocker).alias("blocking_session_id")).distinct(), "edges")
+    seed = e.join(starts.toDF(*by, "session_id").distinct(), [*by, "session_id"]).select(
+        *by, F.col("session_id").alias("start_id"), F.lit(0).alias("level"), "session_id", "blocking_session_id"
     )
-    nxt = e.where("blocking_session_id <> 0").toDF("_s", "_b")
+    nxt = e.where("blocking_session_id <> 0").toDF(*by, "_s", "_b")
 
     def step(frontier):
-        return frontier.join(nxt, frontier["blocking_session_id"] == nxt["_s"]).select(
-            "start_id", (F.col("level") + 1).alias("level"), F.col("_s").alias("session_id"), F.col("_b").alias("blocking_session_id")
-        )
+        met = frontier.withColumnRenamed("blocking_session_id", "_s").join(nxt, [*by, "_s"])
+        return met.select(*by, "start_id", (F.col("level") + 1).alias("level"), F.col("_s").alias("session_id"), F.col("_b").alias("blocking_session_id"))
 
-    chain = fixpoint(seed, step, ["start_id", "session_id", "blocking_session_id"], label="chain")
-    met = chain.groupBy("start_id", "session_id").agg(F.min("level").alias("_l"))
-    back = met.select(F.col("start_id").alias("_i"), F.col("session_id").alias("_s"), "_l")
-    closing = (F.col("start_id") == F.col("_i")) & (F.col("blocking_session_id") == F.col("_s")) & (F.col("_l") <= F.col("level"))
-    marked = chain.join(back, closing, "left").withColumn("closes_cycle", F.col("_s").isNotNull())
-    return marked.drop("_i", "_s", "_l")
+    chain = fixpoint(seed, step, [*by, "start_id", "session_id", "blocking_session_id"], label="chain")
+    met = chain.groupBy(*by, "start_id", "session_id").agg(F.min("level").alias("_l"))
+    back = met.withColumnRenamed("session_id", "blocking_session_id")
+    closing = F.coalesce(F.col("_l") <= F.col("level"), F.lit(False))
+    marked = chain.join(back, [*by, "start_id", "blocking_session_id"], "left").withColumn("closes_cycle", closing)
+    return marked.select(*by, "start_id", "level", "session_id", "blocking_session_id", "closes_cycle")
 
 
-def blocking_forest(reports: DataFrame) -> DataFrame:
+def blocking_forest(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Blocking trees per monitor loop with path, level, indented label and report time.
 
-    ``reports``: (monitorloop, end_time, blocked_spid, blocked_ecid, blocking_spid,
+    With ``by`` (the server) loops of one name on two servers stay apart. ``reports``: (monitorloop, end_time, blocked_spid, blocked_ecid, blocking_spid,
     blocking_ecid) plus anything else to carry. Sorted by loop and true numeric path.
     """
     spark = reports.sparkSession
-    ids = ["monitorloop", "blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
+    loop = [*(by or []), "monitorloop"]
+    ids = [*loop, "blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
     e = materialize(reports.select(*ids).distinct(), "edges")
 
     def node(spid, ecid):
@@ -110,8 +116,8 @@ def blocking_forest(reports: DataFrame) -> DataFrame:
     def piece(spid, ecid):
         return F.concat(F.col(spid).cast("string"), F.lit("."), F.col(ecid).cast("string"), F.lit("/"))
 
-    top = heads(e, ids[1:3], ids[3:5], ["monitorloop"]).select(
-        "monitorloop",
+    top = heads(e, ids[-4:-2], ids[-2:], loop).select(
+        *loop,
         F.col("blocking_spid").alias("spid"),
         F.col("blocking_ecid").alias("ecid"),
         F.lit(0).alias("level"),
@@ -125,10 +131,10 @@ def blocking_forest(reports: DataFrame) -> DataFrame:
         f = frontier.withColumnsRenamed({"spid": "blocking_spid", "ecid": "blocking_ecid"})
         child = node("blocked_spid", "blocked_ecid")
         grown = (
-            f.join(e, ["monitorloop", "blocking_spid", "blocking_ecid"])
+            f.join(e, [*loop, "blocking_spid", "blocking_ecid"])
             .where(~F.array_contains(F.col("path"), child))
             .select(
-                "monitorloop",
+                *loop,
                 F.col("blocked_spid").alias("spid"),
                 F.col("blocked_ecid").alias("ecid"),
                 (F.col("level") + 1).alias("level"),
@@ -144,10 +150,10 @@ def blocking_forest(reports: DataFrame) -> DataFrame:
         F.col("spid").cast("string"),
         F.when(F.col("ecid") == 0, "").otherwise(F.concat(F.lit("("), F.col("ecid").cast("string"), F.lit(")"))),
     )
-    out = tree.join(detail, ["monitorloop", "spid", "ecid"], "left")
+    out = tree.join(detail, [*loop, "spid", "ecid"], "left")
     return out.withColumns(
         {"trace_time": F.coalesce(F.date_format("end_time", "yyyy-MM-dd HH:mm:ss"), F.lit("Lead")), "blocking_tree": shown}
-    ).orderBy("monitorloop", "path")
+    ).orderBy(*loop, "path")
 
 
 def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,9 +192,17 @@ def _add(waiting: DataFrame, got: DataFrame, indegree: DataFrame) -> DataFrame:
     return known.unionByName(got.join(old.select("node"), "node", "left_anti").join(indegree, "node"))
 
 
-def topo_levels(edges: DataFrame, nodes: DataFrame, master: str = "master", slave: str = "slave") -> DataFrame:
-    """Load order of tables: 0 for tables without foreign keys, else one more than the highest master."""
-    return peel_levels(nodes, _edges(edges, master, slave)).orderBy("level", "node")
+def topo_levels(edges: DataFrame, nodes: DataFrame, master: str = "master", slave: str = "slave", by: list[str] | None = None) -> DataFrame:
+    """Load order of tables: 0 for tables without foreign keys, else one more than the highest master.
+
+    ``nodes`` has the ``by`` columns (server, database) first, if any, then the node.
+    """
+    if not by:
+        return peel_levels(nodes, _edges(edges, master, slave)).orderBy("level", "node")
+    ids = nodes.toDF(*by, "node").select(F.struct(*by, "node").alias("node"))
+    ends = [F.struct(*by, F.col(c).alias("node")).alias(c) for c in (master, slave)]
+    levels = peel_levels(ids, _edges(edges.select(*ends), master, slave))
+    return levels.select(*[F.col(f"node.{c}").alias(c) for c in by], F.col("node.node").alias("node"), "level", "in_cycle").orderBy("level", *by, "node")
 
 
 def dependency_levels(

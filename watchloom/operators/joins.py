@@ -65,9 +65,9 @@ def assign_range(df: DataFrame, col: str, bounds: list, right: bool = True, out:
     return df.withColumn(out, number)
 
 
-def blocked_by(requests: DataFrame) -> DataFrame:
-    """Distinct sessions that block somebody."""
-    return requests.where("blocking_session_id <> 0").select(F.col("blocking_session_id").alias("session_id")).distinct()
+def blocked_by(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct sessions that block somebody on their server (``by``)."""
+    return requests.where("blocking_session_id <> 0").select(*(by or []), F.col("blocking_session_id").alias("session_id")).distinct()
 
 
 def activity_snapshot(
@@ -78,21 +78,25 @@ def activity_snapshot(
     grants: DataFrame,
     as_of: datetime,
     secs: int,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Wide rows of long-running user activity with waits, memory and a head-blocker flag.
 
-    Requests are filtered before any join; the blocker flag comes from a distinct id list,
-    so a session blocking many others still gives one row per request.
+    Session ids are local to a server: with ``by`` all tables meet on the server too. Requests
+    are filtered before any join; the blocker flag comes from a distinct id list, so a session
+    blocking many others still gives one row per request.
     """
-    blockers = blocked_by(requests).withColumn("_blocks", F.lit(True))
+    by = list(by or [])
+    session = [*by, "session_id"]
+    blockers = blocked_by(requests, by).withColumn("_blocks", F.lit(True))
     active = long_running(requests, "start_time", as_of, secs).withColumnRenamed("status", "request_status")
     users = sessions.where(F.col("is_user_process") & (F.col("status") != "sleeping"))
     out = (
-        users.join(connections, "session_id")
-        .join(active, "session_id")
-        .join(waits, "session_id", "left")
-        .join(grants, ["session_id", "request_id"], "left")
-        .join(blockers, "session_id", "left")
+        users.join(connections, session)
+        .join(active, session)
+        .join(waits, session, "left")
+        .join(grants, [*session, "request_id"], "left")
+        .join(blockers, session, "left")
     )
     head = F.when(F.col("_blocks") & (F.col("blocking_session_id") == 0), 1)
     return out.withColumns(

@@ -20,17 +20,19 @@ MAX_FILES = 64
 KINDS = {"FULL": "D", "LOG": "L", "DIFF": "I"}
 
 
-def expired(sets: DataFrame, media: DataFrame, as_of: datetime) -> DataFrame:
+def expired(sets: DataFrame, media: DataFrame, as_of: datetime, by: list[str] | None = None) -> DataFrame:
     """Media families whose newest expiry lies before today: their last path and expiry, newest first.
 
+    Media set ids are local to a server: with ``by`` sets and media meet on the server too.
     A set expires on a day before today, that is before today's midnight; the bound is a
     literal that reaches the scan.
     """
     midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
     old = sets.where(F.col("expiration_date") < ntz(midnight))
+    by = list(by or [])
     return (
-        media.join(old.select("media_set_id", "expiration_date"), "media_set_id")
-        .groupBy("media_family_id")
+        media.join(old.select(*by, "media_set_id", "expiration_date"), [*by, "media_set_id"])
+        .groupBy(*by, "media_family_id")
         .agg(F.max("path").alias("path"), F.max("expiration_date").alias("expiration_date"))
         .orderBy(F.col("expiration_date").desc())
     )
@@ -43,12 +45,12 @@ def kinds_of(requested: str) -> list[str]:
 
 
 def pending_transfers(
-    sets: DataFrame, media: DataFrame, entities: DataFrame, kinds: str, hours: int, as_of: datetime, suffix: str, server: str | None = None
+    sets: DataFrame, media: DataFrame, entities: DataFrame, kinds: str, hours: int, as_of: datetime, suffix: str, server: str | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Backup files still to be transferred, oldest first.
 
     Sets are filtered by entity, kind, completion, age and mark, reduced to one row each,
-    then met by their media families. ``sets`` without a description are not selectable,
+    then met by their media families; with ``by`` all three tables meet on the server too. ``sets`` without a description are not selectable,
     as in a plain NOT LIKE.
     """
     since = ntz(as_of - timedelta(hours=hours))
@@ -60,8 +62,10 @@ def pending_transfers(
     )
     if server is not None:
         s = s.where(F.col("server_name") == server)
-    s = s.join(entities.select("database").distinct(), "database", "left_semi")
-    one = s.groupBy("media_set_id").agg(
+    by = list(by or [])
+    place = [*by, "media_set_id"]
+    s = s.join(entities.select(*by, "database").distinct(), [*by, "database"], "left_semi")
+    one = s.groupBy(*place).agg(
         F.upper(F.max("machine_name")).alias("machine_name"),
         F.upper(F.max("server_name")).alias("instance_name"),
         F.max("database").alias("database"),
@@ -73,9 +77,9 @@ def pending_transfers(
         F.max("last_lsn").alias("last_lsn"),
     )
     files = media.where((F.col("mirror") == 0) & F.col("path").rlike("^.:"))
-    files = files.join(one, "media_set_id")
-    files = with_group_max(files, ["media_set_id"], "family", "max_family")
-    return files.withColumn("file_name", file_name("path")).orderBy("backup_start", "media_set_id")
+    files = files.join(one, place)
+    files = with_group_max(files, place, "family", "max_family")
+    return files.withColumn("file_name", file_name("path")).orderBy("backup_start", *place)
 
 
 def schedule_deletes(ledger: DataFrame, as_of: datetime, days: int | None = None, instance: str | None = None) -> DataFrame:

@@ -24,9 +24,15 @@ def choose_keys(index_cols: DataFrame) -> DataFrame:
     return choose_best(stats, "object_id", order)
 
 
-def table_inventory(columns: DataFrame, index_columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+def table_inventory(
+    columns: DataFrame, index_columns: DataFrame, foreign_keys: DataFrame, by: list[str] | None = None, rows_per_chunk: int | None = None
+) -> DataFrame:
     """One row per table: its columns, key flags and names, and its load order.
 
+    Object ids are local to a server or database: with ``by`` all three tables meet on it
+    too. The column list is a table's own definition and bounded by it; for lists without a bound
+    ``rows_per_chunk`` gives them in numbered chunks, one row each.
+
     ``columns``: (object_id, column_id, column_name, is_identity, is_rowguid, is_filestream,
     is_sparse, is_lob); ``index_columns``: (object_id, index_id, kind PK / UQ / UX,
     column_name, key_ordinal) without disabled or filtered indexes; ``foreign_keys``:
@@ -35,17 +41,19 @@ def table_inventory(columns: DataFrame, index_columns: DataFrame, foreign_keys:
     from watchloom.operators.aggregates import column_profile, concat_rows
     from watchloom.operators.graph import topo_levels
 
-    listed = concat_rows(columns, ["object_id"], "column_name", ",", ["column_id"], "table_columns")
+    by = list(by or [])
+    table = [*by, "object_id"]
+    listed = concat_rows(columns, table, "column_name", ",", ["column_id"], "table_columns", rows_per_chunk)
     flags = columns.withColumnsRenamed({f"is_{f}": f for f in ("identity", "rowguid", "filestream", "sparse", "lob")})
-    profile = column_profile(flags, "object_id", ["identity", "rowguid", "filestream", "sparse", "lob"]).drop("lob_column")
-    sets = concat_rows(index_columns, ["object_id", "kind", "index_id"], "column_name", ",", ["key_ordinal"], "cols")
-    keys = sets.groupBy("object_id").agg(
+    profile = column_profile(flags, table, ["identity", "rowguid", "filestream", "sparse", "lob"]).drop("lob_column")
+    sets = concat_rows(index_columns, [*table, "kind", "index_id"], "column_name", ",", ["key_ordinal"], "cols")
+    keys = sets.groupBy(*table).agg(
         *[F.min(F.when(F.col("kind") == k, F.col("cols"))).alias(name) for k, name in (("PK", "pk_columns"), ("UQ", "uq_columns"), ("UX", "ux_columns"))]
     )
-    levels = topo_levels(foreign_keys, columns.select("object_id").distinct()).select(
-        F.col("node").alias("object_id"), F.col("level").alias("table_order")
+    levels = topo_levels(foreign_keys, columns.select(*table).distinct(), by=by).select(
+        *by, F.col("node").alias("object_id"), F.col("level").alias("table_order")
     )
-    out = listed.join(profile, "object_id").join(keys, "object_id", "left").join(levels, "object_id", "left")
+    out = listed.join(profile, table).join(keys, table, "left").join(levels, table, "left")
     return out.withColumns(
         {f"has_{short}": F.col(c).isNotNull() for short, c in (("pk", "pk_columns"), ("uq", "uq_columns"), ("ux", "ux_columns"))}
     )
@@ -95,20 +103,22 @@ def clear_partition(spark: SparkSession, path: str, partition: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(part_path)
 
 
-def permission_report(members: DataFrame, grants: DataFrame, principals: DataFrame, logins: DataFrame) -> DataFrame:
-    """(database, principal, kind, name, state, object): role memberships and explicit grants.
+def permission_report(members: DataFrame, grants: DataFrame, principals: DataFrame, logins: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, database, principal, kind, name, state, object): role memberships and explicit grants.
+
+    Databases, principals and logins are local to a server: with ``by`` they meet on it too.
 
     ``principals``: (database, principal_id, name, type, sid). Only principals with a login
     count; the owner's memberships and plain connect rights are left out.
     """
-    p = principals.join(logins.select("sid").distinct(), "sid", "left_semi")
-    users = p.select("database", F.col("principal_id").alias("member_id"), F.col("name").alias("principal")).where("principal <> 'dbo'")
-    roles = principals.where("type = 'R'").select("database", F.col("principal_id").alias("role_id"), F.col("name").alias("name"))
-    by_role = members.join(users, ["database", "member_id"]).join(roles, ["database", "role_id"])
-    by_role = by_role.select(
-        "database", "principal", F.lit("ROLE").alias("kind"), "name", F.lit("MEMBER").alias("state"), F.lit(None).cast("string").alias("object")
-    )
-    grantees = p.select("database", F.col("principal_id").alias("grantee_id"), F.col("name").alias("principal"))
-    explicit = grants.where("type <> 'CO'").join(grantees, ["database", "grantee_id"])
-    explicit = explicit.select("database", "principal", F.lit("GRANT").alias("kind"), F.col("permission").alias("name"), "state", "object")
+    by = list(by or [])
+    db = [*by, "database"]
+    p = principals.join(logins.select(*by, "sid").distinct(), [*by, "sid"], "left_semi")
+    users = p.select(*db, F.col("principal_id").alias("member_id"), F.col("name").alias("principal")).where("principal <> 'dbo'")
+    roles = principals.where("type = 'R'").select(*db, F.col("principal_id").alias("role_id"), F.col("name").alias("name"))
+    by_role = members.join(users, [*db, "member_id"]).join(roles, [*db, "role_id"])
+    by_role = by_role.select(*db, "principal", F.lit("ROLE").alias("kind"), "name", F.lit("MEMBER").alias("state"), F.lit(None).cast("string").alias("object"))
+    grantees = p.select(*db, F.col("principal_id").alias("grantee_id"), F.col("name").alias("principal"))
+    explicit = grants.where("type <> 'CO'").join(grantees, [*db, "grantee_id"])
+    explicit = explicit.select(*db, "principal", F.lit("GRANT").alias("kind"), F.col("permission").alias("name"), "state", "object")
     return by_role.unionByName(explicit)

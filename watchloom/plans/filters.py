@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from watchloom.operators.filters import drop_benign, idle_entities, in_window, only_issues, pattern_scan, select_entities
 from watchloom.operators.joins import activity_snapshot, having_match
-from watchloom.plans.adapters import EVENTS_AS_OF, ORDERS_AS_OF
+from watchloom.plans.adapters import EVENTS_AS_OF, ORDERS_AS_OF, on_two_servers
 from watchloom.plans.registry import query
 from watchloom.session import load
 from watchloom.functions.text import match_tags
@@ -128,18 +128,18 @@ def q_tag_match(spark, sf):
     """
     WITH req AS (
       SELECT o_custkey AS session_id, o_orderkey AS request_id, o_orderdate AS start_time, lower(o_orderstatus) AS request_status,
-             o_custkey // 7 AS blocking_session_id, o_orderkey % 50 AS reads, o_orderkey % 20 AS writes
-      FROM orders),
-    blockers AS (SELECT DISTINCT blocking_session_id FROM req WHERE blocking_session_id <> 0),
+             CASE WHEN d = 0 THEN o_custkey // 7 ELSE 0 END AS blocking_session_id, o_orderkey % 50 AS reads, o_orderkey % 20 AS writes, server, d
+      FROM orders, (VALUES ('a', 0), ('b', 1)) v(server, d)),
+    blockers AS (SELECT DISTINCT server, blocking_session_id FROM req WHERE blocking_session_id <> 0),
     wt AS (SELECT l_orderkey, min(l_partkey) AS wait_ms FROM lineitem GROUP BY l_orderkey)
-    SELECT c.c_custkey AS session_id, r.request_id, r.start_time, r.request_status, r.reads * 8 AS reads_kb,
+    SELECT r.server, c.c_custkey AS session_id, r.request_id, r.start_time + INTERVAL 1 DAY * r.d AS start_time, r.request_status, r.reads * 8 AS reads_kb,
            r.writes * 8 AS writes_kb, CAST(c.c_nationkey AS BIGINT) * 8 AS memory_usage_kb,
            substr(c.c_name, 2, 6) AS statement_section, w.wait_ms AS wait_duration_ms,
            r.blocking_session_id, CASE WHEN b.blocking_session_id IS NOT NULL AND r.blocking_session_id = 0 THEN 1 END AS head_blocker
     FROM customer c JOIN req r ON r.session_id = c.c_custkey
     LEFT JOIN wt w ON w.l_orderkey = r.request_id
-    LEFT JOIN blockers b ON b.blocking_session_id = c.c_custkey
-    WHERE c.c_mktsegment <> 'HOUSEHOLD' AND c.c_acctbal >= 0 AND r.start_time <= TIMESTAMP '2001-12-01' - INTERVAL 1000 DAY
+    LEFT JOIN blockers b ON b.server = r.server AND b.blocking_session_id = c.c_custkey
+    WHERE c.c_mktsegment <> 'HOUSEHOLD' AND c.c_acctbal >= 0 AND r.start_time + INTERVAL 1 DAY * r.d <= TIMESTAMP '2001-12-01' - INTERVAL 1000 DAY
     """,
 )
 def q_activity_snapshot(spark, sf):
@@ -167,9 +167,13 @@ def q_activity_snapshot(spark, sf):
     # one waiting task per request
     tasks = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.min("l_partkey").alias("wait_duration_ms"))
     waits = o.select(F.col("o_custkey").alias("session_id")).distinct()
-    out = activity_snapshot(sessions, connections, requests, waits, tasks_as_grants(tasks, o), ORDERS_AS_OF, 1000 * 86400)
+    # the same session ids on both servers; nobody waits on the second one
+    idle = F.when(F.col("server") == "a", F.col("blocking_session_id")).otherwise(0)
+    two = [on_two_servers(t) for t in (sessions, connections, waits, tasks_as_grants(tasks, o))]
+    requests = on_two_servers(requests, "start_time").withColumn("blocking_session_id", idle)
+    out = activity_snapshot(two[0], two[1], requests, two[2], two[3], ORDERS_AS_OF, 1000 * 86400, ["server"])
     return out.select(
-        "session_id", "request_id", "start_time", "request_status", "reads_kb", "writes_kb", "memory_usage_kb",
+        "server", "session_id", "request_id", "start_time", "request_status", "reads_kb", "writes_kb", "memory_usage_kb",
         "statement_section", "wait_duration_ms", "blocking_session_id", "head_blocker",
     )
 

@@ -14,24 +14,28 @@ def chain_edges(spark, sf):
     """Every session waits for one other, each third one for a second one too."""
     key = F.col("c_custkey")
     e = load(spark, sf, "customer").select(key.alias("session_id"), F.explode(F.array(F.floor(key / 7), F.when(key % 3 == 0, F.floor(key / 5)))).alias("blocking_session_id"))
-    return e.where("blocking_session_id IS NOT NULL")
+    e = e.where("blocking_session_id IS NOT NULL").withColumn("server", F.lit("a"))
+    # the same sessions on another server wait for others
+    return e.unionByName(e.select((F.col("session_id") + 1).alias("session_id"), "blocking_session_id", F.lit("b").alias("server")))
 
 
 @query(
     "blocking_chain",
     """
-    WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey // 7 AS b FROM customer UNION SELECT c_custkey, c_custkey // 5 FROM customer WHERE c_custkey % 3 = 0),
+    WITH RECURSIVE one AS (SELECT c_custkey AS s, c_custkey // 7 AS b FROM customer UNION SELECT c_custkey, c_custkey // 5 FROM customer WHERE c_custkey % 3 = 0),
+    e AS (SELECT 'a' AS server, s, b FROM one UNION ALL SELECT 'b', s + 1, b FROM one),
     chain AS (
-      SELECT s AS start_id, 0 AS level, s, b FROM e
-      UNION SELECT c.start_id, c.level + 1, e.s, e.b FROM chain c JOIN e ON e.s = c.b WHERE e.b <> 0),
-    first AS (SELECT start_id, min(level) AS level, s, b FROM chain GROUP BY ALL)
-    SELECT start_id, CAST(level AS INTEGER) AS level, s AS session_id, b AS blocking_session_id,
-           EXISTS (SELECT 1 FROM first x WHERE x.start_id = first.start_id AND x.s = first.b AND x.level <= first.level) AS closes_cycle FROM first
+      SELECT server, s AS start_id, 0 AS level, s, b FROM e
+      UNION SELECT e.server, c.start_id, c.level + 1, e.s, e.b FROM chain c JOIN e ON e.server = c.server AND e.s = c.b WHERE e.b <> 0),
+    first AS (SELECT server, start_id, min(level) AS level, s, b FROM chain GROUP BY ALL)
+    SELECT server, start_id, CAST(level AS INTEGER) AS level, s AS session_id, b AS blocking_session_id,
+           EXISTS (SELECT 1 FROM first x WHERE x.server = first.server AND x.start_id = first.start_id AND x.s = first.b AND x.level <= first.level) AS closes_cycle
+    FROM first
     """,
 )
 def q_blocking_chain(spark, sf):
     e = chain_edges(spark, sf)
-    return G.chain_up(e, e.select("session_id"))
+    return G.chain_up(e, e.select("server", "session_id"), by=["server"])
 
 
 def block_reports(spark, sf):

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from watchloom.operators import lifecycle as L
-from watchloom.plans.adapters import ORDERS_AS_OF
+from watchloom.plans.adapters import ORDERS_AS_OF, on_two_servers
 from watchloom.plans.registry import query
 from watchloom.session import load
 from watchloom.sources.history import append_snapshot, purge_expired, purge_stored, read_history
@@ -44,38 +44,41 @@ def media(spark, sf):
 @query(
     "expired_artifacts",
     """
-    SELECT l_orderkey * 10 + l_linenumber AS media_family_id, 'D:\\b\\' || l_orderkey || '_' || l_linenumber || '.bak' AS path,
-           max(o_orderdate) + INTERVAL 30 DAY AS expiration_date
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-    WHERE CAST(o_orderdate + INTERVAL 30 DAY AS DATE) < DATE '1999-06-01'
-    GROUP BY l_orderkey, l_linenumber
+    SELECT server, l_orderkey * 10 + l_linenumber AS media_family_id, 'D:\\b\\' || l_orderkey || '_' || l_linenumber || '.bak' AS path,
+           max(o_orderdate) + INTERVAL 30 DAY + INTERVAL 1 DAY * d AS expiration_date
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('a', 0), ('b', 1)) v(server, d)
+    WHERE CAST(o_orderdate + INTERVAL 30 DAY + INTERVAL 1 DAY * d AS DATE) < DATE '1999-06-01'
+    GROUP BY server, d, l_orderkey, l_linenumber
     """,
 )
 def q_expired_artifacts(spark, sf):
     m = media(spark, sf).withColumn("media_family_id", F.col("media_set_id") * 10 + F.col("family"))
-    return L.expired(backup_sets(spark, sf), m, datetime(1999, 6, 1, 12))
+    sets = on_two_servers(backup_sets(spark, sf), "expiration_date")
+    return L.expired(sets, on_two_servers(m), datetime(1999, 6, 1, 12), ["server"])
 
 
 @query(
     "pending_transfers",
     """
-    WITH s AS (SELECT * FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderdate >= TIMESTAMP '2001-12-01' - INTERVAL 20000 HOUR
+    WITH o AS (SELECT * REPLACE (o_orderdate + INTERVAL 1 DAY * d AS o_orderdate) FROM orders, (VALUES ('a', 0), ('b', 1)) v(server, d)),
+    s AS (SELECT * FROM o WHERE o_orderkey % 23 <> 0 AND o_orderdate >= TIMESTAMP '2001-12-01' - INTERVAL 20000 HOUR
                  AND o_orderkey % 6 <> 0 AND o_orderstatus IN ('F', 'P') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)),
     m AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 7)
-    SELECT l_orderkey AS media_set_id, l_linenumber AS family, o_custkey AS database, 'SRV1' AS instance_name, 'NODE1' AS machine_name,
+    SELECT server, l_orderkey AS media_set_id, l_linenumber AS family, o_custkey AS database, 'SRV1' AS instance_name, 'NODE1' AS machine_name,
            o_orderdate AS backup_start, CASE o_orderstatus WHEN 'F' THEN 'D' ELSE 'L' END AS backup_type, o_orderkey * 10 AS first_lsn,
            o_orderkey * 10 + 9 AS last_lsn, l_orderkey || '_' || l_linenumber || '.bak' AS file_name,
-           max(l_linenumber) OVER (PARTITION BY l_orderkey) AS max_family
+           max(l_linenumber) OVER (PARTITION BY server, l_orderkey) AS max_family
     FROM m JOIN s ON o_orderkey = l_orderkey
     """,
 )
 def q_pending_transfers(spark, sf):
     entities = load(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("database"))
+    sets = on_two_servers(backup_sets(spark, sf), "start", "finish")
     out = L.pending_transfers(
-        backup_sets(spark, sf), media(spark, sf), entities, "FULL,LOG", 20000, ORDERS_AS_OF, "_Transferred", "srv1"
+        sets, on_two_servers(media(spark, sf)), on_two_servers(entities), "FULL,LOG", 20000, ORDERS_AS_OF, "_Transferred", "srv1", ["server"]
     )
     return out.select(
-        "media_set_id", "family", "database", "instance_name", "machine_name", "backup_start", "backup_type",
+        "server", "media_set_id", "family", "database", "instance_name", "machine_name", "backup_start", "backup_type",
         F.col("first_lsn").cast("long").alias("first_lsn"), F.col("last_lsn").cast("long").alias("last_lsn"), "file_name", "max_family",
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchloom.operators.tables import clear_partition, copy_tables, permission_report, table_inventory
+from watchloom.plans.adapters import on_two_servers
 from watchloom.plans.graphs import fk_edges
 from watchloom.plans.registry import query
 from watchloom.session import load, scratch_path
@@ -68,9 +69,9 @@ def q_clear_partition(spark, sf):
     keys AS (SELECT object_id, min(cols) FILTER (kind = 'PK') AS pk_columns, min(cols) FILTER (kind = 'UQ') AS uq_columns, min(cols) FILTER (kind = 'UX') AS ux_columns FROM sets GROUP BY object_id),
     fk AS (SELECT DISTINCT master, slave FROM (SELECT p_partkey // 10 AS master, p_partkey AS slave FROM part UNION ALL SELECT p_partkey // 3, p_partkey FROM part) WHERE master <> slave),
     lv AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT slave FROM fk) UNION SELECT fk.slave, lv.level + 1 FROM lv JOIN fk ON fk.master = lv.node)
-    SELECT object_id, table_columns, has_identity, identity_column, pk_columns, uq_columns, ux_columns, pk_columns IS NOT NULL AS has_pk,
-           (SELECT CAST(max(level) AS INTEGER) FROM lv WHERE node = object_id) AS table_order
-    FROM cols JOIN keys USING (object_id)
+    SELECT server, object_id, table_columns, has_identity, identity_column, pk_columns, uq_columns, ux_columns, pk_columns IS NOT NULL AS has_pk,
+           CASE WHEN server = 'a' THEN (SELECT CAST(max(level) AS INTEGER) FROM lv WHERE node = object_id) ELSE 0 END AS table_order
+    FROM cols JOIN keys USING (object_id), (VALUES ('a'), ('b')) v(server)
     """,
 )
 def q_table_inventory(spark, sf):
@@ -87,9 +88,11 @@ def q_table_inventory(spark, sf):
         F.col("l_partkey").alias("object_id"), F.when(which == 0, "PK").when(which == 1, "UQ").otherwise("UX").alias("kind"),
         F.col("l_suppkey").alias("index_id"), name.alias("column_name"), column_id.alias("key_ordinal"),
     ).distinct()
-    out = table_inventory(columns, indexes, fk_edges(spark, sf))
+    # the same object ids on a second server, without foreign keys there
+    keys = fk_edges(spark, sf).withColumn("server", F.lit("a"))
+    out = table_inventory(on_two_servers(columns), on_two_servers(indexes), keys, ["server"])
     return out.select(
-        "object_id", "table_columns", "has_identity", "identity_column", "pk_columns", "uq_columns", "ux_columns", "has_pk", "table_order"
+        "server", "object_id", "table_columns", "has_identity", "identity_column", "pk_columns", "uq_columns", "ux_columns", "has_pk", "table_order"
     )
 
 
@@ -97,11 +100,14 @@ def q_table_inventory(spark, sf):
     "permission_report",
     """
     WITH u AS (SELECT c_nationkey AS database, c_custkey AS id, c_name AS principal FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey <> 7)
-    SELECT u.database, u.principal, 'ROLE' AS kind, 'role' || (o_orderkey % 3) AS name, 'MEMBER' AS state, CAST(NULL AS VARCHAR) AS object
+    SELECT 'a' AS server, u.database, u.principal, 'ROLE' AS kind, 'role' || (o_orderkey % 3) AS name, 'MEMBER' AS state, CAST(NULL AS VARCHAR) AS object
     FROM orders JOIN u ON u.id = o_custkey WHERE o_orderstatus = 'F'
     UNION ALL
-    SELECT c_nationkey, CASE WHEN c_custkey = 7 THEN 'dbo' ELSE c_name END, 'GRANT', 'SELECT', 'GRANT', 't' || (o_orderkey % 10)
+    SELECT 'a', c_nationkey, CASE WHEN c_custkey = 7 THEN 'dbo' ELSE c_name END, 'GRANT', 'SELECT', 'GRANT', 't' || (o_orderkey % 10)
     FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND c_custkey % 5 <> 0
+    UNION ALL
+    SELECT 'b', c_nationkey, CASE WHEN c_custkey = 7 THEN 'dbo' ELSE c_name END, 'GRANT', 'SELECT', 'GRANT', 't' || (o_orderkey % 10)
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND c_custkey % 5 = 0
     """,
 )
 def q_permission_report(spark, sf):
@@ -124,7 +130,11 @@ def q_permission_report(spark, sf):
         F.lit("SELECT").alias("permission"), F.lit("GRANT").alias("state"), F.concat(F.lit("t"), (F.col("o_orderkey") % 10).cast("string")).alias("object"),
     )
     logins = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("sid"))
-    return permission_report(members, grants, users.unionByName(roles), logins)
+    # the same databases and principals on a second server, where the other logins exist and no role has members
+    there = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("sid"), F.lit("b").alias("server"))
+    logins = logins.withColumn("server", F.lit("a")).unionByName(there)
+    members = members.withColumn("server", F.lit("a"))
+    return permission_report(members, on_two_servers(grants), on_two_servers(users.unionByName(roles)), logins, ["server"])
 
 
 @query(
