@@ -22,16 +22,16 @@ def test_deny_list_size():
 
 def catalog(spark):
     names = [
-        ("master", True), ("model", True), ("tempdb", True), ("distribution", True), ("AdventureWorks", False), ("test1", False), ("other", False),
+        ("master", True), ("model", True), ("tempdb", True), ("depot", True), ("Sales", False), ("stock", False), ("other", False),
     ]
     cols = "name string, is_system boolean, is_mirror boolean, state string, is_snapshot boolean, is_read_only boolean, replica_role string"
     return spark.createDataFrame([(n, s, False, "ONLINE", False, False, None) for n, s in names], cols)
 
 
 def test_selector_example(spark):
-    expr = "<ALL_SYSTEM_DATABASES><INCLUDE:AdventureWorks,test1><EXCLUDE:model,distribution>"
+    expr = "<ALL_SYSTEM_DATABASES><INCLUDE:Sales><EXCLUDE:tempdb,depot>"
     out = {r.name for r in FL.select_entities(catalog(spark), expr).collect()}
-    assert out == {"master", "AdventureWorks", "test1"}
+    assert out == {"master", "model", "Sales"}
 
 
 def test_selector_plain_list(spark):
@@ -153,19 +153,58 @@ def test_rules_report_states(spark):
     assert run_rules(t, rules[:1], language="pt").first().result == "Possível problema encontrado (1)"
 
 
-def test_posture_details_match_the_counts(spark):
-    """No SQL twin: the detail rows of every rule must number what the report says."""
-    from conftest import SMALL
+def test_every_rule_hits_and_misses(spark):
+    """On the fixture each rule has offenders, is supported, explains itself, and leaves other rows alone."""
     from watchloom.operators.rule_packs import posture_pack
     from watchloom.plans.adapters import ORDERS_AS_OF
-    from watchloom.plans.rules import inventory, q_posture_details
+    from watchloom.plans.rules import inventory
 
-    report = run_rules(inventory(spark, SMALL), posture_pack(ORDERS_AS_OF), issues_only=False).collect()
-    counts = {r["code"]: r["count"] for r in q_posture_details(spark, SMALL).groupBy("code").count().collect()}
-    assert {r.code: r.issues for r in report if r.issues} == counts
-    assert len(report) == len(posture_pack(ORDERS_AS_OF)) and any(r.issues is None for r in report)
+    pack, tables = posture_pack(ORDERS_AS_OF), inventory(spark, "/root/testdata/sf0.01")
+    report = run_rules(tables, pack, issues_only=False).collect()
+    assert len(report) == len(pack) and {r.code for r in report if not r.issues} == set()
+    assert all(r.how_to_fix for r in report) and all(p.labels["pt"] for p in pack)
+    sizes = {t: df.count() for t, df in tables.items()}
+    rows = {p.code: sizes[p.table] for p in pack if p.table}
+    assert all(r.issues < rows[r.code] for r in report if r.code in rows)
 
 
-def test_pattern_cap_is_off_by_default(spark):
+def test_rules_stay_on_their_server(spark):
+    from watchloom.operators.rule_packs import policy_pack, posture_pack
+
+    pack = {r.code: r for r in posture_pack(datetime(2024, 1, 1))}
+    logins = spark.createDataFrame([("A", 1), ("B", 2)], "server string, sid long")
+    users = spark.createDataFrame([("A", "d", 9, "u", "S", "INSTANCE", 1), ("B", "d", 9, "u", "S", "INSTANCE", 1)], "server string, database string, user_id long, name string, type string, auth string, sid long")
+    assert [r.server for r in pack[102].build({"db_users": users, "logins": logins}).collect()] == ["B"]
+    grants = [("A", "boss", "Control server", "G", "SERVER", "x"), ("A", "mate", "IMPERSONATE", "G", "SERVER_PRINCIPAL", "boss"), ("B", "mate", "IMPERSONATE", "G", "SERVER_PRINCIPAL", "boss")]
+    perms = spark.createDataFrame(grants, "server string, grantee string, permission string, state string, class string, target string")
+    members = spark.createDataFrame([], "server string, database string, role string, member string")
+    out = pack[404].build({"server_permissions": perms, "role_members": members}).collect()
+    assert sorted((r.server, r.login) for r in out) == [("A", "boss"), ("A", "mate")]
+    servers = spark.createDataFrame([("A",), ("B",)], "server string")
+    flags = spark.createDataFrame([("A", 1118, True), ("B", 1118, False)], "server string, flag int, is_global boolean")
+    rule = next(r for r in policy_pack() if r.code == 1002)
+    assert [r.server for r in rule.build({"trace_flags": flags, "servers": servers}).collect()] == ["B"]
+
+
+def test_totals_have_room(spark):
+    df = spark.createDataFrame([("A", "w", 10**17, 0, 1)] * 3 + [("B", "w", 1000, 0, 1)], "server string, k string, t long, p long, n long")
+    out = {r.server: (int(r.wait_sec), int(r.percentage)) for r in share_profile(df, "k", "t", "p", "n", [], ["server"]).collect()}
+    assert out == {"A": (3 * 10**14, 100), "B": (1, 100)}
+
+
+def test_servers_keep_their_own_snapshots(spark):
+    at = [datetime(2024, 1, 1, 0, m, s) for m, s in ((0, 0), (30, 0), (0, 5), (30, 5))]
+    rows = [("A", 1, at[0], "f", 100), ("A", 2, at[1], "f", 150), ("B", 3, at[2], "f", 100), ("B", 4, at[3], "f", 170), ("C", 5, at[0], "f", 1)]
+    df = spark.createDataFrame(rows, "server string, snap int, ts timestamp_ntz, f string, n long")
+    out = counter_delta(df, "snap", "ts", ["f"], ["n"], by=["server"]).collect()
+    assert sorted((r.server, r.n, r.duration_sec) for r in out) == [("A", 50, 1800), ("B", 70, 1800)]
+
+
+def test_group_max_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 2)], "k string, v long")
+    assert sorted((tuple(r) for r in with_group_max(df, ["k"], "v", "m").collect()), key=repr) == sorted([(None, 1, 3), (None, 3, 3), ("a", 2, 2)], key=repr)
+
+
+def test_pattern_scan_reports_every_hit(spark):
     df = spark.createDataFrame([(i, "g", "Exec(x)") for i in range(5)], "id int, g string, t string")
     assert FL.pattern_scan(df, "t", ["EXEC("]).count() == 5

@@ -19,13 +19,14 @@ supported(version, latest_build).
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.operators.graph import reachable_to
-from watchloom.operators.joins import only_kind_recently, orphans
+from watchloom.operators.joins import only_kind_recently
 from watchloom.operators.aggregates import stale_having
 from watchloom.operators.rules import Rule, dictionary_match, secret_candidates
 
@@ -68,6 +69,94 @@ SETTING_CHECKS = [
     (204, "Programming", "external scripts enabled", 1),
 ]
 
+# What to do about an issue, by rule.
+HOW_TO_FIX = {
+    1: "Switch the trustworthy property off and sign the modules that relied on it.",
+    2: "Audit failed logins in the server properties.",
+    3: "Allow domain authentication only.",
+    4: "Switch the setting off and define linked servers for known sources.",
+    5: "Switch the setting off; grant rights on the objects of the other database.",
+    7: "Set page verification to checksums and rebuild the pages over time.",
+    8: "Switch the default trace on again.",
+    9: "Switch the scan off unless a known startup procedure needs it.",
+    10: "Switch database mail off where no job sends mail.",
+    11: "Switch the old mail procedures off.",
+    12: "Switch remote administrator connections on, so that a hanging server can be reached.",
+    13: "Switch remote access off.",
+    14: "Switch the management procedures on, or retire the tools that need them.",
+    15: "Review each server trigger and drop those without an owner.",
+    16: "Stop traces that nobody evaluates.",
+    17: "Stop event sessions that nobody evaluates.",
+    18: "Keep contained databases open.",
+    19: "Keep at least twelve error logs.",
+    20: "Give contained databases domain users instead of passwords.",
+    100: "Find the source of the attempts and block it or mend its configuration.",
+    101: "Disable or rename the default administrator login.",
+    102: "Link the user to a login or drop it.",
+    103: "Enforce policy and expiration for the login.",
+    104: "Change the password and let it expire.",
+    105: "Change the password to one that no word list holds.",
+    106: "Drop users without any right.",
+    107: "Register service principal names so that sessions use Kerberos.",
+    108: "Revoke the right from public and grant it by name.",
+    109: "Replace built-in groups by named domain groups.",
+    110: "Replace local groups by domain groups.",
+    111: "Revoke rights of public beyond the stock ones.",
+    112: "Name the users of each job proxy.",
+    200: "Switch the shell procedure off.",
+    201: "Switch automation procedures off.",
+    202: "Switch managed code off where no assembly needs it.",
+    203: "Rebuild assemblies with safe access.",
+    204: "Switch external scripts off.",
+    300: "Encrypt the database at rest.",
+    301: "Back the database up and repair its schedule.",
+    302: "Encrypt backups.",
+    303: "Back the log up or use simple recovery.",
+    304: "Use file extensions that malware doesn't look for.",
+    305: "Use a backup extension that malware doesn't look for.",
+    306: "Copy backups to another medium.",
+    400: "Revoke control-level rights; grant the few that are needed.",
+    401: "Remove members that don't administer the server.",
+    402: "Revoke the right to impersonate any login.",
+    403: "Revoke impersonation of logins that isn't used.",
+    404: "Break the chain of impersonations that leads to an administrator.",
+    405: "Remove members that don't own the database.",
+    406: "Revoke impersonation of users that isn't used.",
+    407: "Revoke the rights of the public role.",
+    408: "Revoke the rights of the guest user.",
+    409: "Revoke the right to load unsafe assemblies.",
+    410: "Revoke rights on extended procedures.",
+    500: "Let modules run as their caller.",
+    501: "Bind parameters instead of joining text, and quote names.",
+    502: "Move shell calls to jobs outside the database.",
+    503: "Replace automation objects.",
+    504: "Review startup procedures and clear the flag.",
+    505: "Grant rights by deployment scripts.",
+    506: "Map linked-server logins to the caller.",
+    605: "Move to a supported version.",
+    606: "Install the latest build.",
+    607: "Drop sample databases.",
+}
+TITLES_PT = {
+    1: "Bancos confiáveis", 2: "Falhas de login sem auditoria", 3: "Logins com senha aceitos", 4: "Consultas distribuídas ad hoc",
+    5: "Encadeamento de propriedade entre bancos", 7: "Bancos sem checksum de página", 8: "Rastreamento padrão desligado", 9: "Procedimentos de inicialização",
+    10: "Correio do banco ligado", 11: "Correio antigo ligado", 12: "Conexão administrativa remota desligada", 13: "Acesso remoto ligado",
+    14: "Procedimentos de gerência desligados", 15: "Gatilhos de servidor", 16: "Rastreamentos extras", 17: "Sessões de eventos extras",
+    18: "Bancos contidos que se fecham", 19: "Poucos logs de erro guardados", 20: "Usuários com senha em bancos contidos",
+    100: "Tentativas de login falhas", 101: "Login administrador padrão ativo", 102: "Usuários sem login", 103: "Logins sem política de senha",
+    104: "Senhas antigas", 105: "Senhas adivinháveis", 106: "Usuários sem direitos", 107: "Sessões de domínio sem Kerberos",
+    108: "Todos veem todos os bancos", 109: "Grupos internos como logins", 110: "Grupos locais como logins", 111: "Direitos de public", 112: "Proxies abertos a public",
+    200: "Shell ligado", 201: "Automação ligada", 202: "Código gerenciado ligado", 203: "Assemblies inseguros", 204: "Scripts externos ligados",
+    300: "Bancos sem criptografia", 301: "Bancos sem backup recente", 302: "Backups sem criptografia", 303: "Recuperação completa sem backup de log",
+    304: "Extensões padrão de arquivos", 305: "Extensão padrão de backup", 306: "Backups só em disco",
+    400: "Direitos de controle do servidor", 401: "Membros de papéis administrativos", 402: "Pode personificar qualquer login", 403: "Pode personificar um login",
+    404: "Pode tornar-se administrador", 405: "Donos de banco", 406: "Pode personificar um usuário", 407: "Direitos do papel public",
+    408: "Direitos do usuário guest", 409: "Pode carregar assemblies inseguros", 410: "Direitos em procedimentos estendidos",
+    500: "Módulos que executam como outro", 501: "Módulos com comandos dinâmicos", 502: "Módulos que chamam o shell", 503: "Módulos com automação",
+    504: "Procedimentos de inicialização", 505: "Módulos que concedem direitos", 506: "Servidores vinculados com usuário fixo",
+    605: "Versão sem suporte", 606: "Versão desatualizada", 607: "Bancos de exemplo instalados",
+}
+
 
 def _in(col: str, values: list[str]) -> str:
     listed = ", ".join("'" + v.lower().replace("'", "''") + "'" for v in values)
@@ -79,11 +168,16 @@ def _contains_any(col: str, words: list[str]) -> str:
 
 
 def privileged_logins(tables: dict[str, DataFrame]) -> DataFrame:
-    """(node): logins with control rights or in an admin role."""
+    """(node): (server, login) with control rights or in an admin role of that server."""
     rights = [*CONTROL_RIGHTS, "IMPERSONATE ANY LOGIN"]
     granted = tables["server_permissions"].where(f"class = 'SERVER' AND state IN ('G', 'W') AND {_in('permission', rights)}")
     members = tables["role_members"].where("database IS NULL AND " + _in("role", ADMIN_ROLES))
-    return granted.select(F.col("grantee").alias("node")).unionByName(members.select(F.col("member").alias("node"))).distinct()
+    return granted.select(_login("grantee").alias("node")).union(members.select(_login("member").alias("node"))).distinct()
+
+
+def _login(name: str) -> Column:
+    """A login is known by its server and name."""
+    return F.struct("server", F.col(name).alias("login"))
 
 
 def posture_pack(as_of: datetime) -> list[Rule]:
@@ -125,7 +219,8 @@ def posture_pack(as_of: datetime) -> list[Rule]:
 
     def orphan_users(t):
         users = t["db_users"].where("type = 'S' AND user_id > 4 AND auth = 'INSTANCE'").where("NOT startswith(name, '##MS_')")
-        return orphans(users, t["logins"], "sid", "sid")
+        known = t["logins"].where("sid IS NOT NULL").select("server", "sid").distinct()
+        return users.where("sid IS NOT NULL").join(known, ["server", "sid"], "left_anti")
 
     frame(102, usr, "Users without a login", ["db_users", "logins"], orphan_users, "server", "database", "name")
     active = "type = 'S' AND NOT is_disabled"
@@ -206,10 +301,10 @@ def posture_pack(as_of: datetime) -> list[Rule]:
     row(403, per, "May impersonate a login", "server_permissions", f"{impersonate} AND state = 'G'", "server", "grantee", "target")
 
     def escalation(t):
-        edges = t["server_permissions"].where(impersonate).select("grantee", "target")
-        return reachable_to(edges, privileged_logins(t), src="grantee", dst="target").withColumnRenamed("node", "login")
+        edges = t["server_permissions"].where(impersonate).select(_login("grantee").alias("src"), _login("target").alias("dst"))
+        return reachable_to(edges, privileged_logins(t)).select("node.*")
 
-    frame(404, per, "Can become an administrator", ["server_permissions", "role_members"], escalation, "login")
+    frame(404, per, "Can become an administrator", ["server_permissions", "role_members"], escalation, "server", "login")
     owners = "database IS NOT NULL AND role IN ('db_owner', 'db_securityadmin') AND member NOT IN ('dbo', 'RSExecRole')"
     row(405, per, "Database owners and security admins", "role_members", owners, "server", "database", "member", "role")
     row(406, per, "May impersonate a user", "db_permissions", "permission = 'IMPERSONATE' AND state = 'G'", "server", "database", "grantee")
@@ -240,17 +335,17 @@ def posture_pack(as_of: datetime) -> list[Rule]:
     frame(605, ins, "Version out of support", ["servers", "supported"], against_catalog(False), "server", "version")
     frame(606, ins, "Not the latest build", ["servers", "supported"], against_catalog(True), "server", "build")
     row(607, ins, "Sample databases installed", "databases", _in("name", SAMPLE_DATABASES), "server", "name")
-    return sorted(rules, key=lambda r: r.code)
+    return [replace(r, how_to_fix=HOW_TO_FIX[r.code], labels={"pt": TITLES_PT[r.code]}) for r in sorted(rules, key=lambda r: r.code)]
 
 
-def policy_pack() -> list[Rule]:
-    """File, trace-flag and property policies."""
+def policy_pack(version_property: str = "version") -> list[Rule]:
+    """File, trace-flag and property policies; exists rules are judged server by server."""
     from watchloom.operators.rules import exists_rule, range_rule
 
     sized = "max_size_kb = -1 OR max_size_kb > 83886080 OR growth_type = 'Percent'"
     return [
         Rule(1001, "Policy", "Data file size limits", "data_files", sized, detail=("server", "path")),
         exists_rule(1002, "Policy", "Required trace flag on", "trace_flags", "flag = 1118 AND is_global"),
-        exists_rule(1003, "Policy", "Version property present", "properties", "name = '_DataTeam' OR name = 'version'"),
+        exists_rule(1003, "Policy", "Version property present", "properties", "name = '" + version_property.replace("'", "''") + "'"),
         range_rule(1004, "Policy", "Autogrowth step within limits", "data_files", {"growth_mb": (64, 1024)}, ("server", "path")),
     ]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.numbers import tier
 from watchloom.operators.filters import only_issues
-from watchloom.session import materialize
 
 # Result wording per report language.
 LABELS = {
@@ -113,13 +112,14 @@ def rule_details(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
     return out
 
 
-def exists_rule(code: int, category: str, title: str, table: str, condition: str, detail=()) -> Rule:
-    """Violated when no row of the table meets the condition; the detail row says so."""
+def exists_rule(code: int, category: str, title: str, table: str, condition: str, servers: str = "servers") -> Rule:
+    """Violated by each server of the ``servers`` table without a row of ``table`` that meets the condition."""
 
     def build(tables):
-        return tables[table].agg(F.count_if(F.expr(condition)).alias("matching_rows")).where("matching_rows = 0")
+        held = tables[table].where(condition).select("server").distinct()
+        return tables[servers].select("server").distinct().join(held, "server", "left_anti")
 
-    return Rule(code, category, title, build=build, needs=(table,), detail=("matching_rows",))
+    return Rule(code, category, title, build=build, needs=(table, servers), detail=("server",))
 
 
 def range_rule(code: int, category: str, title: str, table: str, checks: dict[str, tuple], detail=()) -> Rule:
@@ -246,8 +246,3 @@ def table_advisor(stats: DataFrame, detect_huge: bool = True) -> DataFrame:
             "sample": F.when((F.col("rows") > 100) & (F.col("modified") > 0), sample),
         }
     )
-
-
-def held(df: DataFrame, label: str) -> DataFrame:
-    """A table several set rules read, written once."""
-    return materialize(df, label)

@@ -72,147 +72,222 @@ def q_rule_details(spark, sf):
     return rule_details(driver_tables(spark, sf), data_rules())
 
 
-SETTING_NAMES = [
-    "Ad Hoc Distributed Queries", "cross db ownership chaining", "default trace enabled", "xp_cmdshell",
-    "clr enabled", "remote admin connections",
+# (code, setting, value that is an issue); the place sets the fixture's values.
+SETTINGS = [
+    (4, "Ad Hoc Distributed Queries", 1), (5, "cross db ownership chaining", 1), (8, "default trace enabled", 0), (9, "scan for startup procs", 1),
+    (10, "Database Mail XPs", 1), (11, "SQL Mail XPs", 1), (12, "remote admin connections", 0), (13, "remote access", 1), (14, "SMO and DMO XPs", 0),
+    (200, "xp_cmdshell", 1), (201, "Ole Automation Procedures", 1), (202, "clr enabled", 1), (204, "external scripts enabled", 1),
 ]
 
 
+def text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def inventory(spark, sf):
-    """A fleet's inventory made from the driver tables: one server per nation."""
-    c, s, o, e = (load(spark, sf, t) for t in ("customer", "supplier", "orders", "events"))
-    key = F.col("c_custkey")
-    server = F.concat(F.lit("srv"), F.col("c_nationkey").cast("string")).alias("server")
-    name = F.concat(F.lit("db"), key.cast("string"))
-    login = F.concat(F.lit("Login"), key.cast("string"))
-    number = F.col("s_suppkey")
-    settings = s.select(
-        F.concat(F.lit("srv"), number.cast("string")).alias("server"),
-        F.posexplode(F.array(*[F.lit(n) for n in SETTING_NAMES])).alias("i", "name"),
-    ).withColumn("value", ((F.col("i") + F.length("server")) % 2).cast("int"))
+    """A fleet's inventory made from the driver tables: servers share login, database and user names."""
+    c, s, o, e, p, n, r = (load(spark, sf, t) for t in ("customer", "supplier", "orders", "events", "part", "nation", "region"))
+    key, sup, order, nat = F.col("c_custkey"), F.col("s_suppkey"), F.col("o_orderkey"), F.col("n_nationkey")
+    home, three, of_order = text("srv", F.col("c_nationkey")), text("srv", sup % 3), text("srv", order % 3)
+    login = F.when(key % 17 == 0, text("BUILTIN/", key)).when(key % 19 == 0, text(F.upper(home), "/", key)).otherwise(text("Login", key))
     secret = F.when(key % 7 == 0, "dragon").when(key % 7 == 1, F.reverse(login)).when(key % 7 == 2, F.upper(login)).when(key % 7 == 3, "7777")
+    owned = o.join(c.select(F.col("c_custkey").alias("o_custkey"), home.alias("server")), "o_custkey")
+    db, kind = text("db", F.col("o_custkey")), sup % 10
+    settings = s.select(text("srv", sup).alias("server"), F.posexplode(F.array(*[F.lit(name) for _, name, _ in SETTINGS])).alias("i", "name"))
+    server_roles = s.select(
+        three.alias("server"), F.lit(None).cast("string").alias("database"), F.when(sup % 25 == 1, "sysadmin").otherwise("bulkadmin").alias("role"), text("Login", sup).alias("member")
+    )
+    db_roles = o.select(
+        of_order.alias("server"), db.alias("database"), F.when(order % 4 == 0, "db_owner").otherwise("db_datareader").alias("role"),
+        F.when(order % 10 == 0, "dbo").otherwise(text("u", order - order % 2)).alias("member"),
+    )
+    marks = [(10, " Execute(@q)"), (13, " xp_cmdshell"), (17, " sp_OACreate"), (19, " GRANT x")]
     return {
-        "settings": settings.drop("i"),
+        "settings": settings.select("server", "name", ((F.col("i") + F.length("server")) % 2).cast("int").alias("value")),
+        "servers": n.select(
+            text("srv", nat).alias("server"), (10 + nat % 6).cast("int").alias("version"), (nat * 100).cast("int").alias("build"),
+            F.when(nat % 3 != 0, nat.cast("int")).alias("error_logs"), (nat % 2 == 0).alias("windows_auth_only"), (nat % 4).cast("int").alias("audit_level"),
+        ),
+        "supported": r.select((10 + F.col("r_regionkey")).cast("int").alias("version"), F.lit(1000).alias("latest_build")),
+        "server_objects": s.select(
+            three.alias("server"), F.when(sup % 3 == 0, "TRIGGER").when(sup % 3 == 1, "TRACE").otherwise("EVENT_SESSION").alias("kind"),
+            F.when(sup % 6 == 2, "system_health").otherwise(F.col("s_name")).alias("name"),
+            (sup % 2 == 0).alias("is_default"), (sup % 5 == 0).alias("is_disabled"), (sup % 7 == 0).alias("is_shipped"),
+        ),
         "databases": c.select(
-            server,
-            name.alias("name"),
-            F.when(F.col("c_acctbal") < 0, "OFFLINE").otherwise("ONLINE").alias("state"),
-            (key % 8 == 0).alias("is_trustworthy"),
-            F.when(key % 9 == 0, "NONE").otherwise("CHECKSUM").alias("page_verify"),
-            (key % 6 % 2).cast("int").alias("containment"),
-            (key % 4 == 1).alias("is_auto_close"),
-            (key % 3 == 0).alias("is_encrypted"),
-            F.when(key % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"),
-            ntz("1999-01-01").alias("created"),
+            home.alias("server"), F.when(key % 31 == 0, "Northwind").otherwise(text("db", key)).alias("name"),
+            F.when(F.col("c_acctbal") < 0, "OFFLINE").otherwise("ONLINE").alias("state"), (key % 8 == 0).alias("is_trustworthy"),
+            F.when(key % 9 == 0, "NONE").otherwise("CHECKSUM").alias("page_verify"), (key % 6 % 2).cast("int").alias("containment"),
+            (key % 4 == 1).alias("is_auto_close"), (key % 3 == 0).alias("is_encrypted"),
+            F.when(key % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"), ntz("1999-01-01").alias("created"),
         ),
         "logins": c.select(
-            server,
-            (key + 1).alias("login_id"),
-            login.alias("name"),
-            F.when(key % 5 == 0, "G").otherwise("S").alias("type"),
-            (key % 11 == 0).alias("is_disabled"),
-            (key % 2 == 0).alias("is_policy_checked"),
-            (key % 3 == 0).alias("is_expiration_checked"),
-            F.when(key % 13 == 0, 10).alias("days_until_expiration"),
-            F.date_sub(F.lit("2001-12-01").cast("date"), (key % 400).cast("int")).alias("password_set"),
-            F.sha2(F.coalesce(secret, F.concat(F.lit("s3cret!"), key.cast("string"))), 256).alias("password_hash"),
-            key.alias("sid"),
+            home.alias("server"), key.alias("login_id"), login.alias("name"), F.when(key % 5 == 0, "G").otherwise("S").alias("type"),
+            (key % 11 == 0).alias("is_disabled"), (key % 2 == 0).alias("is_policy_checked"), (key % 3 == 0).alias("is_expiration_checked"),
+            F.when(key % 13 == 0, 10).alias("days_until_expiration"), F.date_sub(F.lit("2001-12-01").cast("date"), (key % 400).cast("int")).alias("password_set"),
+            F.sha2(F.coalesce(secret, text("s3cret!", key)), 256).alias("password_hash"), key.alias("sid"),
         ),
         "db_users": o.select(
-            F.lit("srv1").alias("server"),
-            F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("database"),
-            F.col("o_orderkey").alias("user_id"),
-            F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("name"),
-            F.lit("S").alias("type"),
-            F.lit("INSTANCE").alias("auth"),
-            (F.col("o_orderkey") % 4000).alias("sid"),
-            F.lit(False).alias("is_fixed_role"),
+            of_order.alias("server"), db.alias("database"), order.alias("user_id"), text("u", order).alias("name"), F.lit("S").alias("type"),
+            F.when(order % 7 == 0, "DATABASE").otherwise("INSTANCE").alias("auth"), F.col("o_custkey").alias("sid"), (order % 11 == 0).alias("is_fixed_role"),
         ),
         "server_permissions": s.select(
-            F.lit("srv1").alias("server"),
-            F.concat(F.lit("Login"), ((number * 7 + 3) % 90).cast("string")).alias("grantee"),
-            F.when(number % 10 == 0, "Control Server").otherwise("IMPERSONATE").alias("permission"),
-            F.lit("G").alias("state"),
-            F.when(number % 10 == 0, "SERVER").otherwise("SERVER_PRINCIPAL").alias("class"),
-            F.concat(F.lit("Login"), number.cast("string")).alias("target"),
+            three.alias("server"), F.when(kind == 1, "public").otherwise(text("Login", (sup * 7 + 3) % 90)).alias("grantee"),
+            F.when(kind == 0, "Control Server").when(sup % 20 == 1, "VIEW ANY DATABASE").when(kind == 1, "ALTER TRACE").when(kind == 2, "IMPERSONATE ANY LOGIN")
+            .when(kind == 3, "UNSAFE ASSEMBLY").otherwise("IMPERSONATE").alias("permission"),
+            F.lit("G").alias("state"), F.when(kind < 4, "SERVER").otherwise("SERVER_PRINCIPAL").alias("class"), text("Login", sup).alias("target"),
         ),
-        "role_members": s.where("s_suppkey % 25 = 1").select(
-            F.lit("srv1").alias("server"),
-            F.lit(None).cast("string").alias("database"),
-            F.lit("sysadmin").alias("role"),
-            F.concat(F.lit("Login"), number.cast("string")).alias("member"),
+        "role_members": server_roles.unionByName(db_roles),
+        "db_permissions": o.select(
+            of_order.alias("server"), F.when(order % 50 == 0, "master").otherwise(db).alias("database"),
+            F.when(order % 20 == 0, "public").when(order % 20 == 1, "guest").when(order % 3 == 0, text("u", order)).otherwise(text("y", order)).alias("grantee"),
+            F.when(order % 5 == 0, "CONNECT").when(order % 5 == 1, "IMPERSONATE").otherwise("SELECT").alias("permission"),
+            F.when(order % 6 == 0, "D").otherwise("G").alias("state"),
+            F.when(order % 100 == 0, "xp_cmd").when(order % 100 == 50, "xp_msver").otherwise("tbl").alias("object_name"),
         ),
         "modules": load(spark, sf, "documents").select(
-            F.lit("srv1").alias("server"),
-            F.col("source").alias("database"),
-            F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("name"),
-            F.concat(F.col("text"), F.when(F.col("doc_id") % 10 == 0, " Execute(@q)").otherwise("")).alias("definition"),
-            (F.col("doc_id") % 20 == 0).alias("is_shipped"),
-            (F.col("doc_id") % 100 == 3).alias("is_auto_executed"),
+            F.lit("srv1").alias("server"), F.col("source").alias("database"), text("p", F.col("doc_id")).alias("name"),
+            F.concat("text", *[F.when(F.col("doc_id") % m == 0, t).otherwise("") for m, t in marks]).alias("definition"),
+            (F.col("doc_id") % 20 == 0).alias("is_shipped"), (F.col("doc_id") % 100 == 3).alias("is_auto_executed"),
             F.when(F.col("doc_id") % 50 == 7, "dbo").when(F.col("doc_id") % 50 == 8, "owner").alias("execute_as"),
         ),
-        "backups": o.select(
-            F.concat(F.lit("srv"), (F.col("o_custkey") % 1).cast("string")).alias("server"),
-            F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("database"),
-            F.when(F.col("o_orderstatus") == "P", "L").otherwise("D").alias("type"),
-            F.col("o_orderdate").alias("start"),
-            F.col("o_orderdate").alias("finish"),
-            F.when(F.col("o_orderstatus") == "O", 7).otherwise(2).alias("device_type"),
-            F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".bak").otherwise(".saf")).alias("path"),
-            (F.col("o_orderkey") % 3 == 0).alias("is_encrypted"),
+        "assemblies": p.select(
+            F.lit("srv0").alias("server"), text("db", F.col("p_partkey") % 10).alias("database"), text("a", F.col("p_partkey")).alias("name"),
+            (F.col("p_partkey") % 2 == 0).alias("is_user_defined"), F.when(F.col("p_partkey") % 3 == 0, "SAFE_ACCESS").otherwise("UNSAFE_ACCESS").alias("permission_set"),
+        ),
+        "files": p.select(
+            F.lit("srv0").alias("server"), text("db", F.col("p_partkey") % 10).alias("database"),
+            text("/d/", F.col("p_partkey"), F.element_at(F.array(*[F.lit(x) for x in (".mdf", ".LDF", ".dat", ".ndf")]), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("path"),
+        ),
+        "backups": owned.select(
+            "server", db.alias("database"), F.when(F.col("o_orderstatus") == "P", "L").otherwise("D").alias("type"), F.col("o_orderdate").alias("start"),
+            F.col("o_orderdate").alias("finish"), F.when(F.col("o_orderstatus") == "O", 7).otherwise(2).alias("device_type"),
+            text(order, F.when(order % 2 == 0, ".bak").otherwise(".saf")).alias("path"), (order % 3 == 0).alias("is_encrypted"),
         ),
+        "sessions": e.select(
+            text("srv", F.col("user_id") % 3).alias("server"), text("L", F.col("user_id")).alias("login"),
+            F.when(F.col("event_id") % 2 == 0, "WINDOWS_LOGIN").otherwise("SQL_LOGIN").alias("login_type"),
+            F.when(F.col("event_id") % 3 == 0, "KERBEROS").otherwise("NTLM").alias("auth_scheme"), F.lit("TCP").alias("net_transport"),
+        ),
+        "linked_servers": s.select(three.alias("server"), F.col("s_name").alias("name"), (sup % 2 == 0).alias("is_linked"), (sup % 4 == 0).alias("uses_self_credential")),
+        "proxies": s.select(three.alias("server"), F.col("s_name").alias("name"), F.when(sup % 9 == 0, "public").otherwise("svc").alias("principal")),
         "log": e.select(
-            F.lit("srv1").alias("server"),
-            F.col("ts").alias("log_date"),
-            F.lit("Logon").alias("process"),
+            F.lit("srv1").alias("server"), F.col("ts").alias("log_date"), F.lit("Logon").alias("process"),
             F.when(F.col("event_type") == "error", "Login FAILED for user").otherwise("fine").alias("text"),
         ),
-    }
+    }
+
+
+POSTURE_CTES = f"""
+    st AS (SELECT 'srv' || s_suppkey AS server, name, CAST((i + length('srv' || s_suppkey)) % 2 AS INTEGER) AS value
+           FROM supplier, (VALUES {", ".join(f"('{name}', {i})" for i, (_, name, _) in enumerate(SETTINGS))}) t(name, i)),
+    sv AS (SELECT 'srv' || n_nationkey AS server, CAST(10 + n_nationkey % 6 AS INTEGER) AS version, CAST(n_nationkey * 100 AS INTEGER) AS build,
+                  CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey AS INTEGER) END AS logs, n_nationkey AS n FROM nation),
+    d AS (SELECT 'srv' || c_nationkey AS server, CASE WHEN c_custkey % 31 = 0 THEN 'Northwind' ELSE 'db' || c_custkey END AS name, c_custkey AS k, c_acctbal >= 0 AS online FROM customer),
+    lg AS (SELECT 'srv' || c_nationkey AS server, c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'BUILTIN/' || c_custkey WHEN c_custkey % 19 = 0 THEN 'SRV' || c_nationkey || '/' || c_custkey
+                  ELSE 'Login' || c_custkey END AS name, c_custkey % 5 <> 0 AS sql_login, c_custkey % 11 <> 0 AS enabled FROM customer),
+    live AS (SELECT server, name FROM lg WHERE k > 10 AND enabled),
+    u AS (SELECT 'srv' || (o_orderkey % 3) AS server, 'db' || o_custkey AS database, 'u' || o_orderkey AS name, o_orderkey AS k, o_custkey AS sid FROM orders),
+    g AS (SELECT 'srv' || (s_suppkey % 3) AS server, CASE WHEN s_suppkey % 10 = 1 THEN 'public' ELSE 'Login' || ((s_suppkey * 7 + 3) % 90) END AS grantee,
+                 CASE WHEN s_suppkey % 10 = 0 THEN 'Control Server' WHEN s_suppkey % 20 = 1 THEN 'VIEW ANY DATABASE' WHEN s_suppkey % 10 = 1 THEN 'ALTER TRACE'
+                      WHEN s_suppkey % 10 = 2 THEN 'IMPERSONATE ANY LOGIN' WHEN s_suppkey % 10 = 3 THEN 'UNSAFE ASSEMBLY' ELSE 'IMPERSONATE' END AS permission,
+                 'Login' || s_suppkey AS target, s_suppkey AS k FROM supplier),
+    sr AS (SELECT 'srv' || (s_suppkey % 3) AS server, 'Login' || s_suppkey AS member FROM supplier WHERE s_suppkey % 25 = 1),
+    dr AS (SELECT 'srv' || (o_orderkey % 3) AS server, 'db' || o_custkey AS database, CASE WHEN o_orderkey % 10 = 0 THEN 'dbo' ELSE 'u' || (o_orderkey - o_orderkey % 2) END AS member,
+                  CASE WHEN o_orderkey % 4 = 0 THEN 'db_owner' ELSE 'db_datareader' END AS role FROM orders),
+    dp AS (SELECT 'srv' || (o_orderkey % 3) AS server, CASE WHEN o_orderkey % 50 = 0 THEN 'master' ELSE 'db' || o_custkey END AS database,
+                  CASE WHEN o_orderkey % 20 = 0 THEN 'public' WHEN o_orderkey % 20 = 1 THEN 'guest' WHEN o_orderkey % 3 = 0 THEN 'u' || o_orderkey ELSE 'y' || o_orderkey END AS grantee,
+                  CASE WHEN o_orderkey % 5 = 0 THEN 'CONNECT' WHEN o_orderkey % 5 = 1 THEN 'IMPERSONATE' ELSE 'SELECT' END AS permission, o_orderkey % 6 <> 0 AS granted,
+                  CASE WHEN o_orderkey % 100 = 0 THEN 'xp_cmd' WHEN o_orderkey % 100 = 50 THEN 'xp_msver' ELSE 'tbl' END AS object_name FROM orders),
+    m AS (SELECT 'srv1' AS server, source AS database, 'p' || doc_id AS name, doc_id AS k, lower(text || CASE WHEN doc_id % 10 = 0 THEN ' Execute(@q)' ELSE '' END
+                 || CASE WHEN doc_id % 13 = 0 THEN ' xp_cmdshell' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN ' sp_OACreate' ELSE '' END
+                 || CASE WHEN doc_id % 19 = 0 THEN ' GRANT x' ELSE '' END) AS body FROM documents),
+    b AS (SELECT 'srv' || c_nationkey AS server, 'db' || o_custkey AS database, o_orderkey AS k, o_orderdate AS at_, o_orderstatus AS status,
+                 o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.bak' ELSE '.saf' END AS path FROM orders JOIN customer ON c_custkey = o_custkey),
+    newest AS (SELECT server, database AS name, max(at_) AS seen, max(at_) FILTER (status = 'P') AS log_seen FROM b GROUP BY ALL),
+    boss AS (SELECT server, grantee AS login FROM g WHERE k % 10 IN (0, 2) OR permission = 'ALTER TRACE' UNION SELECT server, member FROM sr
+             UNION SELECT g.server, g.grantee FROM boss JOIN g ON g.server = boss.server AND g.target = boss.login AND g.permission = 'IMPERSONATE'),
+    so AS (SELECT 'srv' || (s_suppkey % 3) AS server, s_name AS name, s_suppkey AS k FROM supplier),
+    pt AS (SELECT 'srv0' AS server, 'db' || (p_partkey % 10) AS database, p_partkey AS k FROM part)
+"""
 
 
-REPORTED = (1, 4, 5, 7, 8, 12, 18, 100, 101, 102, 103, 104, 105, 200, 202, 300, 302, 305, 404, 500, 501, 504, 600)
+def _j(*cols):
+    return "json_object(" + ", ".join(f"'{c.split(' ')[-1]}', {c.rsplit(' AS ', 1)[0]}" for c in cols) + ")"
+
+
+_SN, _SDN = _j("server", "name"), _j("server", "database", "name")
+POSTURE = {code: f"SELECT {_j('server', 'name', 'value')} FROM st WHERE name = '{name}' AND value = {bad}" for code, name, bad in SETTINGS} | {
+    1: f"SELECT {_SN} FROM d WHERE k % 8 = 0",
+    2: f"SELECT {_j('server', 'n % 4 AS audit_level')} FROM sv WHERE n % 4 < 2",
+    3: f"SELECT {_j('server')} FROM sv WHERE n % 2 = 1",
+    7: f"SELECT {_SN} FROM d WHERE k % 9 = 0 AND online",
+    15: f"SELECT {_SN} FROM so WHERE k % 3 = 0 AND k % 7 <> 0 AND k % 5 <> 0",
+    16: f"SELECT {_SN} FROM so WHERE k % 3 = 1 AND k % 2 = 1",
+    17: f"SELECT {_SN} FROM so WHERE k % 6 = 5",
+    18: f"SELECT {_SN} FROM d WHERE k % 6 % 2 = 1 AND k % 4 = 1",
+    19: f"SELECT CASE WHEN logs IS NULL THEN {_j('server')} ELSE {_j('server', 'logs AS error_logs')} END FROM sv WHERE coalesce(logs, 0) < 12",
+    20: f"SELECT {_SDN} FROM u WHERE k % 7 = 0 AND EXISTS (SELECT 1 FROM d WHERE d.server = u.server AND d.name = u.database AND d.k % 6 % 2 = 1)",
+    100: "SELECT json_object('server', 'srv1', 'log_date', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'text', 'Login FAILED for user') FROM events WHERE event_type = 'error'",
+    101: f"SELECT {_SN} FROM lg WHERE k = 1",
+    102: f"SELECT {_SDN} FROM u WHERE k > 4 AND k % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.server = u.server AND lg.k = u.sid)",
+    103: f"SELECT {_SN} FROM lg WHERE sql_login AND enabled AND (k % 2 <> 0 OR k % 3 <> 0)",
+    104: f"SELECT {_j('server', 'name', "strftime(DATE '2001-12-01' - CAST(k % 400 AS INTEGER), '%Y-%m-%d') AS password_set")} FROM lg WHERE sql_login AND enabled AND k % 3 <> 0 AND k % 13 <> 0 AND k % 400 > 180",
+    105: f"SELECT {_j('server', 'name', "CASE k % 7 WHEN 0 THEN 'dragon' WHEN 1 THEN reverse(name) WHEN 2 THEN upper(name) ELSE '7777' END AS word")} FROM lg WHERE sql_login AND k % 7 < 4",
+    106: f"SELECT {_SDN} FROM u WHERE k > 4 AND k % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM dr WHERE dr.server = u.server AND dr.database = u.database AND dr.member = u.name) "
+    "AND NOT EXISTS (SELECT 1 FROM dp WHERE dp.server = u.server AND dp.database = u.database AND dp.grantee = u.name AND granted AND permission <> 'CONNECT')",
+    107: "SELECT json_object('server', 'srv' || (user_id % 3), 'login', 'L' || user_id) FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0",
+    108: f"SELECT {_j('server')} FROM g WHERE permission = 'VIEW ANY DATABASE'",
+    109: f"SELECT {_SN} FROM lg WHERE k % 17 = 0",
+    110: f"SELECT {_SN} FROM lg WHERE NOT sql_login AND k % 17 <> 0 AND k % 19 = 0",
+    111: f"SELECT {_j('server', 'permission')} FROM g WHERE permission = 'ALTER TRACE'",
+    112: f"SELECT {_SN} FROM so WHERE k % 9 = 0",
+    203: f"SELECT {_j('server', 'database', "'a' || k AS name")} FROM pt WHERE k % 2 = 0 AND k % 3 <> 0",
+    300: f"SELECT {_SN} FROM d WHERE k % 3 <> 0 AND online",
+    301: f"SELECT {_j('server', 'name', 'age AS days_since')} FROM (SELECT d.server, d.name, CAST(date_diff('day', CAST(coalesce(seen, TIMESTAMP '1999-01-01') AS DATE), DATE '2001-12-01') AS INTEGER) AS age "
+    "FROM d LEFT JOIN newest USING (server, name) WHERE online) WHERE age > 7",
+    302: f"SELECT {_j('server', 'database', 'path')} FROM b WHERE k % 3 <> 0",
+    303: f"SELECT CASE WHEN log_seen IS NULL THEN {_j('d.server AS server', 'd.name AS name')} ELSE {_j('d.server AS server', 'd.name AS name', "strftime(log_seen, '%Y-%m-%dT%H:%M:%S.%g') AS last_seen")} END "
+    "FROM d LEFT JOIN newest USING (server, name) WHERE online AND k % 2 = 0 AND (log_seen IS NULL OR date_diff('day', CAST(log_seen AS DATE), DATE '2001-12-01') > 1)",
+    304: f"SELECT {_j('server', 'database', "'/d/' || k || CASE k % 4 WHEN 0 THEN '.mdf' WHEN 1 THEN '.LDF' ELSE '.ndf' END AS path")} FROM pt WHERE k % 4 <> 2",
+    305: f"SELECT {_j('server', 'path')} FROM b WHERE status <> 'O' AND k % 2 = 0 AND at_ >= TIMESTAMP '2001-11-24'",
+    306: f"SELECT {_j('server', 'database', 'count(*) AS record_count')} FROM b WHERE at_ >= TIMESTAMP '2001-11-24' GROUP BY server, database HAVING count(*) FILTER (status = 'O') = 0",
+    400: f"SELECT {_j('server', 'grantee', 'permission')} FROM g WHERE (k % 10 = 0 OR permission = 'ALTER TRACE') AND EXISTS (SELECT 1 FROM live WHERE live.server = g.server AND live.name = g.grantee)",
+    401: f"SELECT {_j('server', 'member', "'sysadmin' AS role")} FROM sr WHERE EXISTS (SELECT 1 FROM live WHERE live.server = sr.server AND live.name = sr.member)",
+    402: f"SELECT {_j('server', 'grantee')} FROM g WHERE k % 10 = 2",
+    403: f"SELECT {_j('server', 'grantee', 'target')} FROM g WHERE permission = 'IMPERSONATE'",
+    404: f"SELECT {_j('server', 'login')} FROM boss",
+    405: f"SELECT {_j('server', 'database', 'member', 'role')} FROM dr WHERE role = 'db_owner' AND member <> 'dbo'",
+    406: f"SELECT {_j('server', 'database', 'grantee')} FROM dp WHERE permission = 'IMPERSONATE' AND granted",
+    407: f"SELECT {_j('server', 'database', 'permission')} FROM dp WHERE grantee = 'public' AND granted",
+    408: f"SELECT {_j('server', 'database', 'permission')} FROM dp WHERE grantee = 'guest' AND granted",
+    409: f"SELECT {_j('server', 'grantee')} FROM g WHERE k % 10 = 3",
+    410: f"SELECT {_j('server', 'grantee', 'object_name')} FROM dp WHERE database = 'master' AND object_name = 'xp_cmd' AND granted",
+    500: f"SELECT {_SDN} FROM m WHERE k % 50 = 8 AND k % 20 <> 0",
+    501: f"SELECT {_SDN} FROM m WHERE k % 20 <> 0 AND (contains(body, 'exec (') OR contains(body, 'exec(') OR contains(body, 'execute (') OR contains(body, 'execute(') OR contains(body, 'sp_executesql'))",
+    502: f"SELECT {_SDN} FROM m WHERE k % 20 <> 0 AND contains(body, 'xp_cmdshell')",
+    503: f"SELECT {_SDN} FROM m WHERE k % 20 <> 0 AND (contains(body, 'sp_oacreate') OR contains(body, 'sp_oamethod') OR contains(body, 'sp_oagetproperty'))",
+    504: f"SELECT {_SDN} FROM m WHERE k % 100 = 3",
+    505: f"SELECT {_SDN} FROM m WHERE k % 20 <> 0 AND contains(body, 'grant ')",
+    506: f"SELECT {_SN} FROM so WHERE k % 4 = 2",
+    605: f"SELECT {_j('server', 'version')} FROM sv WHERE version NOT IN (SELECT 10 + r_regionkey FROM region)",
+    606: f"SELECT {_j('server', 'build')} FROM sv WHERE version IN (SELECT 10 + r_regionkey FROM region) AND build < 1000",
+    607: f"SELECT {_SN} FROM d WHERE k % 31 = 0",
+}
 
 
 @query(
     "posture_report",
-    """
-    WITH RECURSIVE st AS (
-      SELECT name, CAST((i - 1 + length('srv' || s_suppkey)) % 2 AS INTEGER) AS value FROM supplier, (VALUES ('Ad Hoc Distributed Queries', 1),
-        ('cross db ownership chaining', 2), ('default trace enabled', 3), ('xp_cmdshell', 4), ('clr enabled', 5), ('remote admin connections', 6)) t(name, i)),
-    g AS (SELECT 'Login' || (s_suppkey * 7 + 3) % 90 AS grantee, 'Login' || s_suppkey AS target, s_suppkey % 10 = 0 AS control FROM supplier),
-    r AS (SELECT grantee AS node FROM g WHERE control UNION SELECT 'Login' || s_suppkey FROM supplier WHERE s_suppkey % 25 = 1
-          UNION SELECT g.grantee FROM r JOIN g ON g.target = r.node AND NOT g.control)
-    SELECT 1 AS code, (SELECT count(*) FROM customer WHERE c_custkey % 8 = 0) AS issues
-    UNION ALL SELECT 4, (SELECT count(*) FROM st WHERE name = 'Ad Hoc Distributed Queries' AND value = 1)
-    UNION ALL SELECT 5, (SELECT count(*) FROM st WHERE name = 'cross db ownership chaining' AND value = 1)
-    UNION ALL SELECT 7, (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0 AND c_acctbal >= 0)
-    UNION ALL SELECT 8, (SELECT count(*) FROM st WHERE name = 'default trace enabled' AND value = 0)
-    UNION ALL SELECT 12, (SELECT count(*) FROM st WHERE name = 'remote admin connections' AND value = 0)
-    UNION ALL SELECT 18, (SELECT count(*) FROM customer WHERE c_custkey % 6 % 2 = 1 AND c_custkey % 4 = 1)
-    UNION ALL SELECT 100, (SELECT count(*) FROM events WHERE event_type = 'error')
-    UNION ALL SELECT 101, (SELECT count(*) FROM customer WHERE c_custkey = 0 AND c_custkey % 11 <> 0)
-    UNION ALL SELECT 102, (SELECT count(*) FROM orders WHERE o_orderkey > 4 AND o_orderkey % 4000 NOT IN (SELECT c_custkey FROM customer))
-    UNION ALL SELECT 103, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND (c_custkey % 2 <> 0 OR c_custkey % 3 <> 0))
-    UNION ALL SELECT 104, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 400 > 180)
-    UNION ALL SELECT 105, (SELECT count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 IN (0, 1, 2, 3))
-    UNION ALL SELECT 200, (SELECT count(*) FROM st WHERE name = 'xp_cmdshell' AND value = 1)
-    UNION ALL SELECT 202, (SELECT count(*) FROM st WHERE name = 'clr enabled' AND value = 1)
-    UNION ALL SELECT 300, (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal >= 0)
-    UNION ALL SELECT 302, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0)
-    UNION ALL SELECT 305, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 2 = 0 AND o_orderdate >= TIMESTAMP '2001-11-24')
-    UNION ALL SELECT 404, (SELECT count(*) FROM r)
-    UNION ALL SELECT 500, (SELECT count(*) FROM documents WHERE doc_id % 50 = 8 AND doc_id % 20 <> 0)
-    UNION ALL SELECT 501, (SELECT count(*) FROM (SELECT lower(text || CASE WHEN doc_id % 10 = 0 THEN ' Execute(@q)' ELSE '' END) AS d FROM documents WHERE doc_id % 20 <> 0)
-       WHERE contains(d, 'exec (') OR contains(d, 'exec(') OR contains(d, 'execute (') OR contains(d, 'execute(') OR contains(d, 'sp_executesql'))
-    UNION ALL SELECT 504, (SELECT count(*) FROM documents WHERE doc_id % 100 = 3)
-    """,
+    f"WITH RECURSIVE {POSTURE_CTES} " + " UNION ALL ".join(f"SELECT {c} AS code, (SELECT count(*) FROM ({q}) t) AS issues" for c, q in sorted(POSTURE.items())),
 )
 def q_posture_report(spark, sf):
-    pack = [r for r in posture_pack(ORDERS_AS_OF) if r.code in REPORTED]
-    return run_rules(inventory(spark, sf), pack, issues_only=False).select("code", "issues")
+    return run_rules(inventory(spark, sf), posture_pack(ORDERS_AS_OF), issues_only=False).select("code", "issues")
 
 
-@query("posture_details")
+@query(
+    "posture_details",
+    f"WITH RECURSIVE {POSTURE_CTES} " + " UNION ALL ".join(f"SELECT {c} AS code, CAST(j AS VARCHAR) AS detail FROM ({q}) t(j)" for c, q in sorted(POSTURE.items())),
+)
 def q_posture_details(spark, sf):
     return rule_details(inventory(spark, sf), posture_pack(ORDERS_AS_OF))
 
@@ -222,23 +297,28 @@ def q_posture_details(spark, sf):
     """
     WITH f AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN -1 ELSE p_partkey * 50000 END AS m, CASE WHEN p_size % 6 = 0 THEN 'Percent' ELSE 'KB' END AS g, p_size * 30 AS mb FROM part)
     SELECT 1001 AS code, (SELECT count(*) FROM f WHERE m = -1 OR m > 83886080 OR g = 'Percent') AS issues
-    UNION ALL SELECT 1002, (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM supplier WHERE s_suppkey + 1100 = 1118 AND s_acctbal > 1e12)
-    UNION ALL SELECT 1003, (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM nation WHERE n_name = 'version')
+    UNION ALL SELECT 1002, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT s_suppkey % 25 FROM supplier WHERE s_suppkey % 3 = 0 AND s_acctbal > 0))
+    UNION ALL SELECT 1003, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0))
     UNION ALL SELECT 1004, (SELECT count(*) FROM f WHERE mb < 64 OR mb > 1024)
     """,
 )
 def q_policy_checks(spark, sf):
-    key = F.col("p_partkey")
+    key, number = F.col("p_partkey"), F.col("s_suppkey")
     tables = {
+        "servers": load(spark, sf, "nation").select(text("srv", F.col("n_nationkey")).alias("server")),
         "data_files": load(spark, sf, "part").select(
             F.lit("srv1").alias("server"),
-            F.concat(F.lit("D:\\"), key.cast("string")).alias("path"),
+            text("D:\\", key).alias("path"),
             F.when(key % 9 == 0, -1).otherwise(key * 50000).alias("max_size_kb"),
             F.when(F.col("p_size") % 6 == 0, "Percent").otherwise("KB").alias("growth_type"),
             (F.col("p_size") * 30).alias("growth_mb"),
         ),
-        "trace_flags": load(spark, sf, "supplier").select((F.col("s_suppkey") + 1100).alias("flag"), (F.col("s_acctbal") > 1e12).alias("is_global")),
-        "properties": load(spark, sf, "nation").select(F.col("n_name").alias("name")),
+        "trace_flags": load(spark, sf, "supplier").select(
+            text("srv", number % 25).alias("server"), F.when(number % 3 == 0, 1118).otherwise(1204).alias("flag"), (F.col("s_acctbal") > 0).alias("is_global")
+        ),
+        "properties": load(spark, sf, "region").select(
+            text("srv", F.col("r_regionkey")).alias("server"), F.when(F.col("r_regionkey") % 2 == 0, "version").otherwise("owner").alias("name")
+        ),
     }
     return run_rules(tables, policy_pack(), issues_only=False).select("code", "issues")
 
