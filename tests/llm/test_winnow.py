@@ -38,6 +38,15 @@ def test_equals_brute_force(spark):
     assert sorted(map(repr, (x["text"] for x in kept.collect()))) == sorted(repr(r[1]) for r in docs if not contaminated(r[1], ITEMS)[1])
 
 
+def test_blocks_of_a_long_text_lose_nothing(spark, monkeypatch):
+    docs = documents(spark, given())
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(map(tuple, W.contamination(docs, items).collect()))
+    for block in (1, 7, 16):
+        monkeypatch.setattr(W, "BLOCK", block)
+        assert sorted(map(tuple, W.contamination(docs, items).collect())) == want
+
+
 def test_any_gram_length_gives_the_same(spark):
     docs = documents(spark, given())
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -2,8 +2,9 @@
 
 Only DataFrame functions. A text's fingerprints are the smallest hash in each window of
 ``WINDOW - GRAM + 1`` consecutive word ``GRAM``-grams, so any shared run of ``WINDOW`` words has a
-fingerprint in common. Fingerprints of documents meet those of the benchmark in an equi-join;
-only around hits are the covering word windows cut out and compared in full.
+fingerprint in common. Fingerprints of documents, each with the few words around it, meet
+those of the benchmark in an equi-join; hits are extended to the word windows that cover them, and these
+are compared in full. Texts are read once and never shuffled.
 An item shorter than the window is one window of its own length, met by the hash of that many words.
 
 Words, not row numbers, decide, so results are found per distinct text (by its SHA-256) and
@@ -28,8 +29,9 @@ WINDOW = 10
 #: Words per hashed gram.
 GRAM = 6
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The largest place that a packed mark can hold: more words than a string of 2 GB has.
-_PLACES = (1 << 30) - 1
+#: Longer texts are looked through in blocks of so many words, which bounds what a row holds.
+BLOCK = 1 << 16
+_PLACES = (1 << 17) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,11 +52,11 @@ def _gram_hashes(words: Column, size: int) -> Column:
 def _minima(hashes: Column, span: int) -> Column:
     """The smallest hash in every ``span`` consecutive ones, the last of equals, each place once.
 
-    Hash and place share a long: 33 bits of the hash above, the place counted down in the 30
+    Hash and place share a long: 46 bits of the hash above, the place counted down in the 17
     bits below, so that one comparison settles both. Places of minima never go back, so only
     neighbours can repeat.
     """
-    packed = lambda hs: F.transform(hs, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 31), 30).bitwiseOR(F.lit(_PLACES) - i))
+    packed = lambda hs: F.transform(hs, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 18), 17).bitwiseOR(F.lit(_PLACES) - i))
     least = lambda ps: F.transform(F.sequence(F.lit(0), F.size(ps) - span), lambda i: F.least(*[F.get(ps, i + k) for k in range(span)]) if span > 1 else F.get(ps, i))
     once = lambda ms: F.filter(ms, lambda m, i: (i == 0) | (m != F.get(ms, i - 1)))
     none = F.array().cast("array<long>")
@@ -62,13 +64,19 @@ def _minima(hashes: Column, span: int) -> Column:
 
 
 def _hash_of(mark: Column) -> Column:
-    return F.shiftright(mark, 30)
+    return F.shiftright(mark, 17)
 
 
 def _place_of(mark: Column) -> Column:
     return (F.lit(_PLACES) - mark.bitwiseAND(F.lit(_PLACES))).cast("int")
 
 
+def _blocks(words: Column, window: int) -> Column:
+    """The words in blocks of bounded length: every run of ``window`` words lies inside one."""
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0)), F.lit(BLOCK))
+    return bound(words, lambda w: F.transform(starts(w), lambda b: F.struct(b.alias("base"), F.slice(w, b + 1, BLOCK + window - 1).alias("w"))))
+
+
 def _gram(words: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, size), " ")
 
@@ -98,29 +106,31 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     grams, item_words = item_windows(items, item_id, item_text, window)
     targets, lengths = _targets(item_words, window, gram)
     body = docs.select(docs[f"`{text}`"].cast("string").alias("t")).filter("t is not null")
-    split = body.select(F.sha2("t", 256).alias("key"), words_of(F.col("t")).alias("w")).filter(F.size("w") > 0)
+    split = body.select(F.sha2("t", 256).alias("key"), F.explode(_blocks(words_of(F.col("t")), window)).alias("b")).select("key", "b.*").filter(F.size("w") > 0)
+
+    # A fingerprint takes along the words around it: all windows that cover its gram.
+    side = window - gram
 
+    def around(w, mark):
+        first = F.greatest(_place_of(mark) - side, F.lit(0))
+        return F.struct(_hash_of(mark).alias("h"), first.alias("s"), _gram(w, first, F.lit(side + window) - F.greatest(F.lit(side) - _place_of(mark), F.lit(0))).alias("near"))
+
+    marks = F.transform(_minima(_gram_hashes(F.col("w"), gram), side + 1), lambda m: around(F.col("w"), m))
     wanted = targets.select("h", "size", "winnowed")
-    seen = split.select("key", F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select("key", _hash_of(F.col("x")).alias("h"), _place_of(F.col("x")).alias("p"))
-    hits = seen.join(wanted.filter("winnowed"), "h", "left_semi").select("key", "p", F.lit(gram).alias("size"), F.lit(True).alias("winnowed"))
+    seen = split.select("key", "base", F.explode(marks).alias("x")).select("key", "x.h", (F.col("base") + F.col("x.s")).alias("s"), "x.near")
+    hits = seen.join(wanted.filter("winnowed"), "h", "left_semi").select("key", "s", F.split("near", " ").alias("near"), F.lit(window).alias("size"))
     for m in lengths:
-        runs = split.select("key", F.posexplode(_gram_hashes(F.col("w"), m)).alias("p", "h"))
-        short = runs.join(wanted.filter((F.col("size") == m) & ~F.col("winnowed")), "h", "left_semi")
-        hits = hits.union(short.select("key", "p", F.lit(m), F.lit(False)))
-    # A text's hits are no more than its words.
-    places = hits.groupBy("key").agg(F.collect_set(F.struct("p", "size", "winnowed")).alias("hits"))
-    places = materialize(places, "hits")
-
-    n = F.size("w")
-    around = lambda x: F.sequence(F.greatest(x["p"] - (window - gram), F.lit(0)), F.least(x["p"], n - window))
-    starts = F.flatten(
-        F.transform(
-            F.col("hits"),
-            lambda x: F.when(~x["winnowed"], F.array(F.struct(x["p"].alias("s"), x["size"].alias("size")))).otherwise(F.transform(around(x), lambda s: F.struct(s.alias("s"), F.lit(window).alias("size")))),
-        )
+        runs = F.transform(_gram_hashes(F.col("w"), m), _run_of(m))
+        found = split.select("key", "base", F.explode(runs).alias("x")).select("key", "x.h", (F.col("base") + F.col("x.s")).alias("s"), "x.near")
+        short = found.join(wanted.filter((F.col("size") == m) & ~F.col("winnowed")), "h", "left_semi")
+        hits = hits.union(short.select("key", "s", F.split("near", " "), F.lit(m)))
+
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("near") - F.col("size")),
+        lambda i: F.struct((F.col("s") + i).alias("s"), _gram(F.col("near"), i, F.col("size")).alias("gram")),
     )
-    again = body.select(F.sha2("t", 256).alias("key"), "t").join(places, "key").select("key", words_of(F.col("t")).alias("w"), "hits")
-    cut = again.select("key", "w", F.explode(F.array_distinct(starts)).alias("x")).select("key", "x.s", "x.size", _gram(F.col("w"), F.col("x.s"), F.col("x.size")).alias("gram"))
+    some = F.when(F.size("near") >= F.col("size"), windows)
+    cut = hits.select("key", "size", F.explode(some).alias("x")).select("key", "size", "x.*")
     met = cut.join(grams, ["gram", "size"]).select("key", "s", "size", "items", "unnamed")
     runs = met.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "size"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda i: i.cast("string")))))).alias("items"), F.max("unnamed").alias("unnamed"))
     covered = F.aggregate(
@@ -132,9 +142,14 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     return runs.select("key", covered.cast("long").alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), "items")
 
 
+def _run_of(size: int):
+    return lambda h, i: F.struct(h.alias("h"), i.alias("s"), _gram(F.col("w"), i, F.lit(size)).alias("near"))
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window, unchanged."""
-    dirty = materialize(contamination(docs, items, text), "contaminated")
+    # The list of contaminated texts grows with the corpus: it is sorted and merged, never broadcast.
+    dirty = materialize(contamination(docs, items, text), "contaminated").select("key").hint("merge")
     inner, at = shield(docs)
     return restore(inner.join(dirty, F.sha2(at[text].cast("string"), 256) == dirty["key"], "left_anti"), at)
 
