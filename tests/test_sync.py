@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import ntz
@@ -84,3 +85,29 @@ def test_upsert(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(2, None), (3, "z")], "k int, v string")
     assert sorted(tuple(r) for r in S.upsert(a, b, ["k"]).collect()) == [(1, "x"), (2, None), (3, "z")]
+
+
+def test_changed_and_unknown_checksums_do_not_run(spark):
+    from watchloom.functions.numbers import fingerprint
+
+    df = spark.createDataFrame([(1, "a", True), (2, "b", True), (3, "c", True), (4, "d", False)], "i int, t string, e boolean")
+    df = df.withColumn("c", F.when(F.col("i") != 3, fingerprint("t"))).withColumn("t", F.when(F.col("i") == 2, "edited").otherwise(F.col("t")))
+    out = {r.i: (r.state, r.may_run) for r in S.checksum_drift(df, "c", ["t"], F.col("e")).collect()}
+    assert out == {1: ("MATCH", True), 2: ("CHANGED", False), 3: ("MISSING", False), 4: ("MATCH", False)}
+
+
+def test_copy_goes_on_after_a_failure(spark, tmp_path):
+    from watchloom.operators.tables import copy_tables
+
+    good = spark.range(10).withColumn("p", F.col("id") % 3)
+    bad = good.withColumn("x", F.when(F.col("p") == 2, F.raise_error(F.lit("broken"))).otherwise(1))
+    where = {"dst": str(tmp_path / "dst"), "ledger": str(tmp_path / "ledger"), "parallel": 1}
+    with pytest.raises(Exception, match="broken"):
+        copy_tables(spark, {"a": good.drop("p"), "b": bad.drop("p"), "c": bad}, partition_by={"c": ["p"]}, **where)
+    mended = good.withColumn("x", F.lit(1))
+    first = {r.object_name for r in spark.read.parquet(where["ledger"] + "/*").collect()}
+    assert "a" in first and "b" not in first
+    boom = spark.range(1).select(F.raise_error(F.lit("copied twice")).alias("id"))
+    report = copy_tables(spark, {"a": boom, "b": mended, "c": mended}, partition_by={"c": ["p"]}, **where).collect()
+    assert {r.object_name: r.row_count for r in report} == {"a": 10, "b": 10, "c": 10}
+    assert spark.read.parquet(where["dst"] + "/c").count() == 10 and spark.read.parquet(where["dst"] + "/a").count() == 10

@@ -25,11 +25,6 @@ def fingerprint(*cols: str | Column) -> Column:
     return F.md5(F.concat_ws("\u0001", *marked).cast("binary"))
 
 
-def row_hash(*cols: str | Column) -> Column:
-    """64-bit change-detection hash, cheaper than md5 and only for internal use."""
-    return F.xxhash64(*[_col(c) for c in cols])
-
-
 def tier(value: str | Column, bounds: list[float], labels: list[str]) -> Column:
     """Label of the band a value falls in: ``labels[i]`` while value <= ``bounds[i]``."""
     if len(labels) != len(bounds) + 1:

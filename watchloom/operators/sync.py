@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.numbers import fingerprint
 from watchloom.functions.times import ntz
 from watchloom.functions.text import has_any_tag
 from watchloom.session import materialize
@@ -186,6 +187,17 @@ def version_drift(log: DataFrame, declared: DataFrame) -> DataFrame:
     return out.withColumns({"state": label, "has_base": F.coalesce(F.col("_base") == 1, F.lit(False))}).drop("_base")
 
 
+def checksum_drift(items: DataFrame, stored: str, columns: list[str], enabled: Column | None = None) -> DataFrame:
+    """Each item's stored checksum against the one computed from its columns now.
+
+    Adds ``computed``, ``state`` (MATCH, CHANGED, or MISSING for items without a stored one) and
+    ``may_run``: enabled and unchanged since its checksum was stored.
+    """
+    state = F.when(F.col(stored).isNull(), "MISSING").when(F.col(stored) == F.col("computed"), "MATCH").otherwise("CHANGED")
+    out = items.withColumn("computed", fingerprint(*columns)).withColumn("state", state)
+    return out.withColumn("may_run", (enabled if enabled is not None else F.lit(True)) & (F.col("state") == "MATCH"))
+
+
 def drift_actions(log: DataFrame, drift: DataFrame) -> DataFrame:
     """Records to CANCEL (database ahead) or REPLAY (database behind and its base present).
 

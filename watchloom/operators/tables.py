@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,34 +71,74 @@ def copy_tables(
     sort_keys: dict[str, list[str]] | None = None,
     partition_by: dict[str, list[str]] | None = None,
     batch_rows: int = 10_000,
+    ledger: str | None = None,
+    parallel: int = 4,
 ) -> DataFrame:
     """Copy tables to ``dst`` and report (object_name, columns, row_count, batch_count, size_kb).
 
-    The loop is over tables, never rows. Computed and row-version columns named in
-    ``skip_columns`` stay behind. Files are sorted on the table's best key inside each task:
-    narrow value ranges per file without a shuffle. Row counts come from the copying job.
+    The loop is over tables and partitions, never rows; up to ``parallel`` tables are copied at a
+    time. Computed and row-version columns named in ``skip_columns`` stay behind. Files are
+    sorted on the table's best key inside each task: narrow value ranges per file without a
+    shuffle. Row counts come from the copying job.
+
+    With a ``ledger`` folder every finished piece is recorded there: a table, or one value of
+    the first partition column of a partitioned table. A repeated call goes on after the pieces
+    already recorded, and a piece that was interrupted is replaced as a whole.
     """
-    report = []
-    for name, df in sources.items():
-        if name in except_:
-            continue
+    done = _ledger_rows(spark, ledger)
+
+    def copy(name: str) -> tuple:
+        df, by = sources[name], (partition_by or {}).get(name) or []
         kept = [c for c in df.columns if c not in (skip_columns or {}).get(name, [])]
-        out = df.select(*kept)
-        if (sort_keys or {}).get(name):
-            out = out.sortWithinPartitions(*sort_keys[name])
-        seen = Observation()
-        writer = out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-        if (partition_by or {}).get(name):
-            writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(f"{dst}/{name}")
-        rows = int(seen.get["n"])
+        # number of partitions, not rows
+        values = [r[0] for r in df.select(by[0]).distinct().collect()] if ledger and by else [None]
+        rows = 0
+        for value in values:
+            part = "" if not (ledger and by) else str(value)
+            if (name, part) in done:
+                rows += done[name, part]
+                continue
+            piece = df.where(F.col(by[0]).eqNullSafe(F.lit(value))) if ledger and by else df
+            n = _copy_piece(piece.select(*kept), f"{dst}/{name}", by, (sort_keys or {}).get(name), bool(ledger and by))
+            rows += n
+            if ledger:
+                spark.createDataFrame([(name, part, n)], _LEDGER).coalesce(1).write.parquet(f"{ledger}/{uuid.uuid4().hex}")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
         size = files.load(f"{dst}/{name}").agg(F.sum("length")).first()[0]
         batches = -(-rows // batch_rows) if batch_rows > 0 else 1
-        report.append((name, ",".join(kept), rows, batches, (size or 0) // 1024))
+        return (name, ",".join(kept), rows, batches, (size or 0) // 1024)
+
+    names = [n for n in sources if n not in except_]
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        report = list(pool.map(copy, names))
     return spark.createDataFrame(report, "object_name string, columns string, row_count long, batch_count long, size_kb long")
 
 
+_LEDGER = "object_name string, piece string, row_count long"
+
+
+def _ledger_rows(spark: SparkSession, ledger: str | None) -> dict[tuple[str, str], int]:
+    """(table, piece) to rows of the pieces copied so far; each has a folder of its own, so copies don't meet."""
+    if not ledger:
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {(r["object_name"], r["piece"]): r["row_count"] for r in spark.read.schema(_LEDGER).parquet(f"{ledger}/*").collect()}
+
+
+def _copy_piece(df: DataFrame, path: str, by: list[str], sort: list[str] | None, replace_piece: bool) -> int:
+    out = df.sortWithinPartitions(*sort) if sort else df
+    seen = Observation()
+    writer = out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    if by:
+        writer = writer.partitionBy(*by)
+    if replace_piece:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+    return int(seen.get["n"])
+
+
 def clear_partition(spark: SparkSession, path: str, partition: str) -> None:
     """Empty one ``column=value`` partition of a partitioned table, leaving the others alone."""
     part_path = f"{path}/{partition}"

@@ -62,6 +62,7 @@ def q_event_capture(spark, sf):
       SELECT *, CASE WHEN event_id % 5 <> 0 THEN CAST(dayofyear(ts) AS VARCHAR) END AS loop FROM events WHERE event_id % 7 <> 0),
     k AS (
       SELECT 'table' AS kind, date_trunc('second', ts) AS end_time, * EXCLUDE (ts) FROM r
+      UNION ALL SELECT 'file', date_trunc('second', ts), * EXCLUDE (ts) FROM r
       UNION ALL SELECT 'session', ts, * EXCLUDE (ts) FROM r
       UNION ALL SELECT 'document', date_trunc('second', ts), * EXCLUDE (ts) FROM r)
     SELECT kind, coalesce(loop, strftime(end_time, '%Y-%m-%d %H:%M:%S')) AS monitorloop, end_time,
@@ -74,6 +75,12 @@ def q_block_reports(spark, sf):
     reports = report_xml(spark, sf)
     second = F.date_trunc("second", "ts").cast("timestamp_ntz")
     table = normalise_block_reports(reports.withColumn("end_time", second), "table", "report", "end_time")
+    # the same reports as an exported trace file: one tab-separated line each
+    path = scratch_path(spark, "reports")
+    reports.select(F.concat_ws("\t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "report")).write.text(path)
+    cells = F.split("value", "\t", 2)
+    exported = spark.read.text(path).select(cells[0].alias("end_time"), cells[1].alias("report"))
+    file = normalise_block_reports(exported, "file", "report", "end_time")
     session = normalise_block_reports(block_event_xml(spark, sf), "session")
     escaped = F.replace(F.replace(F.col("report"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     doc = F.concat(
@@ -85,7 +92,7 @@ def q_block_reports(spark, sf):
     )
     document = normalise_block_reports(reports.select(doc.alias("xml")), "document")
     out = None
-    for kind, df in (("table", table), ("session", session), ("document", document)):
+    for kind, df in (("table", table), ("file", file), ("session", session), ("document", document)):
         df = df.drop("report").withColumn("kind", F.lit(kind))
         out = df if out is None else out.unionByName(df)
     return out

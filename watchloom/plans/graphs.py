@@ -170,8 +170,9 @@ def q_dependency_levels(spark, sf):
     "dependent_objects",
     f"""
     WITH RECURSIVE {OBJECTS_SQL},
-    c AS (SELECT referencing AS root, referenced AS node FROM dep UNION SELECT c.root, dep.referenced FROM c JOIN dep ON dep.referencing = c.node)
-    SELECT root AS object_id, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS dependent_objects FROM c GROUP BY root
+    c AS (SELECT referencing AS root, referenced AS node FROM dep UNION SELECT c.root, dep.referenced FROM c JOIN dep ON dep.referencing = c.node),
+    n AS (SELECT root, node, (row_number() OVER (PARTITION BY root ORDER BY node) + 99) // 100 AS chunk_no FROM c)
+    SELECT root AS object_id, chunk_no, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS dependent_objects FROM n GROUP BY root, chunk_no
     """,
 )
 def q_dependent_objects(spark, sf):
@@ -181,7 +182,7 @@ def q_dependent_objects(spark, sf):
         e = e.join(ids.withColumnRenamed("object_id", side), side, "left_semi")
     pairs = G.closure_pairs(e.select(F.col("referencing").alias("src"), F.col("referenced").alias("dst")), ids)
     pairs = pairs.select(F.col("root").alias("object_id"), "node", F.col("node").cast("string").alias("t"))
-    return concat_rows(pairs, ["object_id"], "t", ",", ["node"], "dependent_objects")
+    return concat_rows(pairs, ["object_id"], "t", ",", ["node"], "dependent_objects", rows_per_chunk=100)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchloom.functions.numbers import fingerprint
 from watchloom.functions.times import ntz
 from watchloom.operators import sync as S
 from watchloom.plans.adapters import ORDERS_AS_OF
@@ -215,6 +216,22 @@ def q_version_drift(spark, sf):
     return S.version_drift(*drift_inputs(spark, sf))
 
 
+@query(
+    "checksum_drift",
+    """
+    WITH i AS (SELECT p_partkey, md5('v' || p_name || chr(1) || 'v' || p_type) AS stored,
+                      md5('v' || p_name || CASE WHEN p_partkey % 7 = 0 THEN ' -- edited' ELSE '' END || chr(1) || 'v' || p_type) AS computed FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'MISSING' WHEN stored = computed THEN 'MATCH' ELSE 'CHANGED' END AS state,
+           p_partkey % 2 = 0 AND p_partkey % 11 <> 0 AND stored = computed AS may_run FROM i
+    """,
+)
+def q_checksum_drift(spark, sf):
+    key = F.col("p_partkey")
+    items = load(spark, sf, "part").withColumn("checksum", F.when(key % 11 != 0, fingerprint("p_name", "p_type")))
+    items = items.withColumn("p_name", F.concat("p_name", F.when(key % 7 == 0, " -- edited").otherwise("")))
+    return S.checksum_drift(items, "checksum", ["p_name", "p_type"], key % 2 == 0).select("p_partkey", "state", "may_run")
+
+
 @query(
     "drift_actions",
     f"""

@@ -37,6 +37,7 @@ def q_copy_report(spark, sf):
         sort_keys={t: [k] for t, k in keys.items()},
         partition_by={"part": ["p_brand"]},
         batch_rows=1000,
+        ledger=scratch_path(spark, "copy-ledger"),
     )
     sums = None
     for t, k in keys.items():

@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/watchloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def purge_scratch(spark: SparkSession) -> None:
+    """Delete all intermediates of this application; frames that still read them fail afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/watchloom-{spark.sparkContext.applicationId}")
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def read_like(spark: SparkSession, paths: list[str], schema) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 
