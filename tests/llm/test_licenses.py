@@ -43,6 +43,16 @@ def test_altered_copies_equal_brute_force(scanner):
     assert wanted > 200 and missed <= 0.02 * wanted and wrong == 0
 
 
+def test_neighbours_and_slices_do_not_matter(scanner, monkeypatch):
+    r = random.Random(9)
+    pool = [*L.TEMPLATES.values(), None, "", "few words", prose(1, 300), prose(2, 40)]
+    batch = [(f"{prose(k, r.randrange(40))} {r.choice(pool) or ''} {prose(k + 1, r.randrange(40))}" if r.random() < 0.5 else r.choice(pool)) for k in range(120)]
+    want = [scanner.scan(t) for t in batch]
+    assert scanner.scan_all(batch) == want and sum(map(len, want)) > 50
+    monkeypatch.setattr(L, "SLICE", 37)
+    assert scanner.scan_all(batch) == want
+
+
 def test_band_settings_reach_the_certainty():
     for likeness in (0.1, 0.3, 0.5, 0.8, 0.95, 1.0):
         bands, rows = L.band_settings(likeness)

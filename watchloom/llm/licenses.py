@@ -32,6 +32,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 CERTAINTY = 0.99
 MAX_WORDS = 1_000_000
+#: Shingles looked through at once.
+SLICE = 100_000
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,10 +107,13 @@ def band_settings(likeness: float, certainty: float = CERTAINTY) -> tuple[int, i
     """(bands, rows): sets of Jaccard ``likeness`` share a band with probability ``certainty`` or more.
 
     Of one to three rows the most that need 16 bands at most; else one row, as many bands as it takes.
+    Equal sets share every band, so one of one row will do.
     """
+    if likeness >= 1:
+        return 1, 1
     for rows in (3, 2, 1):
         p = likeness**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - certainty) / math.log(1 - p))
+        bands = math.ceil(math.log(1 - certainty) / math.log(1 - p))
         if bands <= 16 or rows == 1:
             return bands, rows
     raise AssertionError
@@ -143,6 +148,7 @@ class Scanner:
             raise ValueError(f"templates under {SHINGLE} words: {short}")
         self.shingles = {name: self._strings(w) for name, w in self.words.items()}
         self.classes = self._classes()
+        self.widest = max([c.size for c in self.classes], default=0)
         top = max([c.bands * c.rows for c in self.classes], default=0)
         random = np.random.default_rng(7)
         self.mix = random.integers(1, 1 << 63, top, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,53 +191,60 @@ class Scanner:
             keys.append(key)
         return keys
 
-    def _signature(self, h: np.ndarray, c: WindowClass) -> np.ndarray:
-        """Minima per hash function and window; windows start at every block, the last ones end with the text."""
-        starts = np.arange(0, len(h), c.step)
-        n = max(1, len(starts) - c.blocks + 1)
-        out = np.empty((c.bands * c.rows, n), np.uint64)
-        for k in range(c.bands * c.rows):
-            low = np.minimum.reduceat(self._mixed(h, k), starts) if c.step > 1 else self._mixed(h, k)
-            done = 1
-            while done < min(c.blocks, len(starts)):  # minima of runs of blocks, doubling
-                more = min(done, min(c.blocks, len(starts)) - done)
-                low = np.minimum(low[: len(low) - more], low[more:])
-                done += more
-            out[k] = low[:n]
+    def _signatures(self, h: np.ndarray) -> list[np.ndarray]:
+        """Per class the minima of each hash function over each window; windows start at every block."""
+        out = [np.empty((c.bands * c.rows, max(0, -(-len(h) // c.step) - c.blocks + 1)), np.uint64) for c in self.classes]
+        for k in range(len(self.mix)):
+            mixed = self._mixed(h, k)
+            for c, signature in zip(self.classes, out, strict=True):
+                if k >= len(signature) or not signature.shape[1]:
+                    continue
+                low = np.minimum.reduceat(mixed, np.arange(0, len(h), c.step)) if c.step > 1 else mixed
+                done = 1
+                while done < c.blocks:  # minima of runs of blocks, doubling
+                    more = min(done, c.blocks - done)
+                    low = np.minimum(low[: len(low) - more], low[more:])
+                    done += more
+                signature[k] = low
         return out
 
+    def _candidates(self, h: np.ndarray):
+        """(template, first shingle, end) of windows that share a band with a template, a window wider on either side."""
+        # Windows never end with a text: what follows it in the row of texts, or nothing, fills them up.
+        h = np.concatenate([h, np.full(self.widest, np.iinfo(np.uint64).max, np.uint64)])
+        for c, signature in zip(self.classes, self._signatures(h), strict=True):
+            for table, keys in zip(c.tables, self._band_keys(signature, c), strict=True):
+                hits = [np.flatnonzero(keys == key) for key in table] if len(table) <= 4 else [np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table))))]
+                for k in np.concatenate(hits).tolist():
+                    for name in table[int(keys[k])]:
+                        yield name, (k - c.blocks) * c.step, (k + 2 * c.blocks) * c.step
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, words) of each template found, by name."""
-        words = words_of(text) if text else []
-        h = shingle_hashes(words, self.hashes)
-        best: dict[str, tuple[float, int, int]] = {}
-        for c in self.classes if len(h) else []:
-            places: dict[str, set[int]] = {}
-            for table, keys in zip(c.tables, self._band_keys(self._signature(h, c), c), strict=True):
-                for k in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
-                    for name in table[int(keys[k])]:
-                        places.setdefault(name, set()).add(int(k))
-            for name, windows in places.items():
-                for a, b in self._spans(sorted(windows), c, len(h)):
-                    here = self._verify(name, words, a, b)
-                    if here and (name not in best or (-here[0], here[1]) < (-best[name][0], best[name][1])):
-                        best[name] = here
-        return [(name, *found) for name, found in sorted(best.items())]
-
-    def _spans(self, windows: list[int], c: WindowClass, n: int):
-        """Shingle ranges of overlapping candidate windows, widened by a window on either side."""
-        a = b = -1
-        for k in windows:
-            x, y = max(0, (k - c.blocks) * c.step), min(n, (k + 2 * c.blocks) * c.step)
-            if a < 0:
-                a, b = x, y
-            elif x <= b:
-                b = y
-            else:
-                yield a, b
-                a, b = x, y
-        if a >= 0:
-            yield a, b
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """``scan`` of each text. Texts are looked through one after the other in slices of bounded length."""
+        best: list[dict[str, tuple[float, int, int]]] = [{} for _ in texts]
+        words = [words_of(t) if t else [] for t in texts]
+        hashes = [shingle_hashes(w, self.hashes) for w in words]
+        ends = np.cumsum([len(h) for h in hashes])
+        row = np.concatenate([np.empty(0, np.uint64), *hashes])
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for start in range(0, len(row) if self.classes else 0, SLICE):
+            for name, a, b in self._candidates(row[start : start + SLICE + self.widest]):
+                a, b = max(0, start + a), min(len(row), start + b)
+                doc = int(np.searchsorted(ends, a, "right"))
+                while a < b:  # a window may lie over several texts
+                    base, end = int(ends[doc]) - len(hashes[doc]), int(ends[doc])
+                    spans.setdefault((doc, name), []).append((a - base, min(b, end) - base))
+                    a, doc = end, doc + 1
+        for (doc, name), found in spans.items():
+            for a, b in _merged(found):
+                here = self._verify(name, words[doc], a, b)
+                if here and (name not in best[doc] or (-here[0], here[1]) < (-best[doc][name][0], best[doc][name][1])):
+                    best[doc][name] = here
+        return [[(name, *found) for name, found in sorted(b.items())] for b in best]
 
     def _verify(self, name: str, words: list[str], a: int, b: int) -> tuple[float, int, int] | None:
         """Best run of template-long windows in shingles a to b: exact share of the template's shingles."""
@@ -252,6 +265,16 @@ class Scanner:
         return (share, top[1], top[2]) if share >= self.threshold else None
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
 def scan_column(docs: DataFrame, templates: dict[str, str], text: str = "text", threshold: float = THRESHOLD) -> Column:
     """Array of (template, containment, first_word, n_words) for ``text``."""
     own: list[Scanner] = []
@@ -263,7 +286,8 @@ def scan_column(docs: DataFrame, templates: dict[str, str], text: str = "text",
     def batch(texts: pa.Array) -> pa.Array:
         if not own:
             own.append(Scanner(templates, threshold))
-        return pa.array([[dict(zip(names, m, strict=True)) for m in own[0].scan(x.as_py())] for x in texts], row)
+        found = [f for k in range(0, len(texts), 200) for f in own[0].scan_all(texts.slice(k, 200).to_pylist())]
+        return pa.array([[dict(zip(names, m, strict=True)) for m in f] for f in found], row)
 
     return F.arrow_udf(batch, kind).asNondeterministic()(docs[f"`{text}`"].cast("string"))
 
