@@ -67,8 +67,8 @@ def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None, by: list[
     distinct seconds, however many rows one alert holds. A second after a gap of a quiet time or
     more always fires. From there each fire points to the next one, the first second at or after its
     quiet time, found inside (alert, day) and carried over day boundaries from one row per day.
-    Which seconds are on such a way is found by doubling: in round k the fires known so far add those
-    2**k fires later, so a breach that lasts for weeks takes a few rounds and no task follows it alone.
+    Which seconds are on such a way is found by doubling: in round k the fires known so far add all those
+    up to 4**k fires later, so a breach that lasts for weeks takes a few rounds and no task follows it alone.
     ``last_fires`` (by, alert, sec) silences breaches still inside an earlier quiet time.
     """
     keys = [*(by or []), "alert"]
@@ -83,16 +83,25 @@ def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None, by: list[
     fires, n, _ = materialize_counted(fires, "fires")
     jumps = materialize(jumps, "jumps")
     while n:
-        later = fires.join(jumps, [*keys, "sec"]).select(*keys, F.col("nxt").alias("sec"))
-        fires, more, _ = materialize_counted(fires.union(later).distinct(), "fires")
+        twice = _after(jumps, jumps, keys)
+        near = fires.union(_hop(fires, jumps, keys)).distinct()
+        fires, more, _ = materialize_counted(near.union(_hop(near, twice, keys)).distinct(), "fires")
         if more == n:
             break
         n = more
-        ahead = jumps.select(*keys, F.col("sec").alias("nxt"), F.col("nxt").alias("_far"))
-        jumps = materialize(jumps.join(ahead, [*keys, "nxt"]).select(*keys, "sec", F.col("_far").alias("nxt")), "jumps")
+        jumps = materialize(_after(twice, twice, keys), "jumps")
     return fires.select(*keys, time_of("sec").alias("fired_at")).unionByName(always)
 
 
+def _hop(fires: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    return fires.join(jumps, [*keys, "sec"]).select(*keys, F.col("nxt").alias("sec"))
+
+
+def _after(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
+    ahead = then.select(*keys, F.col("sec").alias("nxt"), F.col("nxt").alias("_far"))
+    return first.join(ahead, [*keys, "nxt"]).select(*keys, "sec", F.col("_far").alias("nxt"))
+
+
 def _day(second: str) -> Column:
     return F.floor(F.col(second) / 86400)
 

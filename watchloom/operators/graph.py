@@ -169,19 +169,18 @@ def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.toDF("node").unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node")))
     ids = materialize(ids.distinct(), "nodes")
     indegree = materialize(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")), "indegree")
-    roots = ids.join(indegree, "node", "left_anti").select("node", F.lit(0).alias("level"))
-    frontier, n, path = materialize_counted(roots, "level")
-    schema, parts, level, waiting = frontier.schema, [], 0, None
+    complete = "got = need"
+    roots = ids.join(indegree, "node", "left_anti").select("node", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("need"), F.lit(0).alias("level"))
+    state, n, path = materialize_counted(roots, "level", complete)
+    schema, parts, level = state.schema, [path], 0
     while n:
-        parts.append(path)
         level += 1
-        got = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"))
+        got = state.where(complete).join(edges, F.col("node") == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"))
         # Nodes met but not complete wait with one row each; a round touches those and its own hits.
-        fresh = got.join(indegree, "node") if waiting is None else _add(waiting, got, indegree)
-        state = materialize(fresh.withColumn("level", F.lit(level)), "hits")
-        waiting = state.where("got < need").select("node", "got", "need")
-        frontier, n, path = materialize_counted(state.where("got = need").select("node", "level"), "level")
-    levels = read_like(spark, parts, schema) if parts else frontier
+        fresh = _add(state.where("got < need"), got, indegree).select("node", "got", "need", F.lit(level).alias("level"))
+        state, n, path = materialize_counted(fresh, "level", complete)
+        parts.append(path)
+    levels = read_like(spark, parts, schema).where(complete).select("node", "level")
     return ids.join(levels, "node", "left").withColumn("in_cycle", F.col("level").isNull())
 
 
@@ -280,28 +279,29 @@ def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column
     they come out with ``in_cycle`` true and their carried columns null. Ids are unique.
     """
     spark, carried = links.sparkSession, list(merge)
-    moving, n, _ = materialize_counted(links.select("id", "nxt", *carried), label)
-    schema, done, reach_, rows = moving.schema, [], 1, n
-    ended = materialize_counted(moving.where("nxt IS NULL"), label)
-    moving, n, _ = materialize_counted(moving.where("nxt IS NOT NULL"), label)
-    done.append(ended[2])
-    while n and reach_ <= 2 * rows:
-        at = moving.withColumn("_end", F.lit(False)).unionByName(read_like(spark, done, schema).withColumn("_end", F.lit(True)))
+    rows = links.select("id", "nxt", *carried, F.col("nxt").isNull().alias("_end"))
+    step, n, path = materialize_counted(rows, label)
+    schema, steps, most, far = step.schema, [path], n, 1
+    while far <= 2 * most:
+        # rows finished in any round, and those of the last one that are still moving
+        done, moving = read_like(spark, steps, schema).where("_end"), step.where("NOT _end")
+        at = done.unionByName(moving)
         joined = moving.alias("a").join(at.alias("b"), F.col("a.nxt") == F.col("b.id"), "left")
         met = F.col("b.id").isNotNull()
-        step = joined.select(
+        jumped = joined.select(
             F.col("a.id").alias("id"),
             F.when(met, F.col("b.nxt")).otherwise(F.col("a.nxt")).alias("nxt"),
             *[F.when(met, merge[c](F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}")).alias(c) for c in carried],
-            (F.coalesce("b._end", F.lit(True))).alias("_end"),
+            F.coalesce("b._end", F.lit(True)).alias("_end"),
         )
-        step = materialize(step, label)
-        done.append(materialize_counted(step.where("_end").drop("_end"), label)[2])
-        moving, n, _ = materialize_counted(step.where("NOT _end").drop("_end"), label)
-        reach_ *= 2
-    final = read_like(spark, done, schema).withColumn("in_cycle", F.lit(False))
+        step, n, path = materialize_counted(jumped, label, "NOT _end")
+        steps.append(path)
+        far *= 2
+        if n == 0:
+            break
+    final = read_like(spark, steps, schema).where("_end").drop("_end").withColumn("in_cycle", F.lit(False))
     lost = [F.lit(None).cast(schema[c].dataType).alias(c) for c in ("nxt", *carried)]
-    return final.unionByName(moving.select("id", *lost, F.lit(True).alias("in_cycle")))
+    return final.unionByName(step.where("NOT _end").select("id", *lost, F.lit(True).alias("in_cycle")))
 
 
 def collapse_chain(df: DataFrame, id_col: str, ref_col: str, status: str = "status", usable: Column | None = None) -> DataFrame:

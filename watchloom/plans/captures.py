@@ -25,11 +25,18 @@ from watchloom.sources.captures import normalise_block_reports, read_event_captu
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 30, 23, 59, 59)
 
 
+_files: dict[tuple, str] = {}
+
+
 def written(docs, label="capture"):
-    """Capture files of an (event_id, xml) frame, one event per document."""
-    path = scratch_path(docs.sparkSession, label)
-    docs.select("xml").write.text(path)
-    return path
+    """Capture files of an (event_id, xml) frame, one event per document; the same frame is written once per application."""
+    rows = docs.select("xml")
+    key = (docs.sparkSession.sparkContext.applicationId, label, rows.semanticHash())
+    if key not in _files:
+        path = scratch_path(docs.sparkSession, label)
+        rows.write.text(path)
+        _files[key] = path
+    return _files[key]
 
 
 def parsed(spark, sf, categories=None):

@@ -75,10 +75,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return materialize_counted(df, label)[0]
 
 
-def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int, str]:
-    """As ``materialize``; the row count comes from the same job."""
+def materialize_counted(df: DataFrame, label: str, where: str | None = None) -> tuple[DataFrame, int, str]:
+    """As ``materialize``; the number of rows, or of those meeting ``where``, comes from the same job."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    met = F.lit(1) if where is None else F.when(F.expr(where), 1)
+    df.observe(seen, F.count(met).alias("n")).write.parquet(path)
     return read_like(spark, [path], df.schema), int(seen.get["n"]), path
