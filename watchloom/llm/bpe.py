@@ -19,7 +19,9 @@ encoded alike; other columns don't matter.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import sys
 from itertools import chain, islice
 
 import duckdb
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 LONG_PIECE = 512
 #: Pieces handled at once, known pieces kept, ids decoded at once; largest vocabulary file.
-SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 300_000, 250_000, 16 << 20
+SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 200_000, 250_000, 16 << 20
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
@@ -69,6 +71,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids as their int32 bytes
+        self.older: dict[str, bytes] = {}
         self.vocabulary = np.zeros(max(ranks.values()) + 1, bool)
         self.vocabulary[list(ranks.values())] = True
         pairs = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -148,9 +151,12 @@ class Codec:
             if x:
                 held.append(x)
                 continue
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self._learn(set(chain.from_iterable(p for _, p in held)).difference(self.known))
+            if len(self.known) > KNOWN:  # the generation before stays at hand for a while
+                self.known, self.older = {}, self.known
+            fresh = set(chain.from_iterable(p for _, p in held)).difference(self.known)
+            again = fresh.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in again)
+            self._learn(fresh - again)
             for k, pieces in held:
                 parts[k].append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<i4"))
             held.clear()
@@ -186,13 +192,17 @@ class Codec:
 
 def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
     """Column functions ``encode(text) -> array<int>`` and ``decode(ids) -> binary`` of a vocabulary."""
-    shared = spark.sparkContext.broadcast(read_ranks(path))
-    here: list[Codec] = []
+    ranks = read_ranks(path)
+    shared = spark.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def own() -> Codec:
-        if not here:
-            here.append(Codec(shared.value, pattern))
-        return here[0]
+        # One codec per worker process: functions are unpickled for every task, the process goes on.
+        codecs = sys.__dict__.setdefault("_byte_bpe_codecs", {})
+        if key not in codecs:
+            codecs.clear()
+            codecs[key] = Codec(shared.value, pattern)
+        return codecs[key]
 
     def encode_batch(texts: pa.Array) -> pa.Array:
         found = [x for k in range(0, len(texts), 500) for x in own().encode(texts.slice(k, 500).to_pylist())]
