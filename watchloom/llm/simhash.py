@@ -17,10 +17,13 @@ rows stay, each with the same result; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import components
@@ -57,6 +60,18 @@ def fingerprint(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     return F.arrow_udf(batch, "long").asNondeterministic()(text.cast("string"))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For a job inside: fewer rows at once between JVM and Python, as each may hold a long text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -145,7 +160,8 @@ def component_names(prints: DataFrame, radius: int = 4, segments: int | None = N
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp`` (signed), ``name`` of its group."""
     prints = docs.select(docs[f"`{id_col}`"].alias("id"), fingerprint(docs[f"`{text}`"], shingle).alias("fp"))
-    prints = materialize(prints, "fingerprints")
+    with _small_batches(docs.sparkSession):
+        prints = materialize(prints, "fingerprints")
     return prints.join(component_names(prints, radius), "fp").select("id", "fp", "name")
 
 
@@ -153,7 +169,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radi
     """One row of each group of near duplicates: a row with the group's smallest id, nulls last."""
     cols = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*cols, docs[f"`{id_col}`"].alias("id"), fingerprint(docs[f"`{text}`"]).alias("fp"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows, "rows")  # fixes the row numbers
+    with _small_batches(docs.sparkSession):
+        rows = materialize(rows, "rows")  # fixes the row numbers
     slim = rows.select("id", "fp", "row")
     names = component_names(slim, radius)
     first = slim.join(names, "fp").filter(F.col("id").eqNullSafe(F.col("name"))).groupBy("root").agg(F.min("row").alias("row"))
