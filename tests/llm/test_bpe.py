@@ -47,6 +47,7 @@ def test_slices_do_not_matter(codec, monkeypatch):
     want = [x.tolist() for x in codec.encode(every)]
     monkeypatch.setattr(bpe, "SLICE", 60)
     monkeypatch.setattr(bpe, "KNOWN", 20)
+    monkeypatch.setattr(bpe, "CONTRACTED", 500)
     codec.known, codec.older = {}, {}
     monkeypatch.setattr(bpe, "DECODED", 40)
     small = [t for t in every if not t or len(t) < 500]

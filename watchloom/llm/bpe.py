@@ -31,9 +31,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LONG_PIECE = 512
+LONG_PIECE = 256
+#: Token positions over all rounds of one recursive query, at most.
+CONTRACTED = 8_000_000
 #: Pieces handled at once, known pieces kept, ids decoded at once; largest vocabulary file.
-SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 200_000, 250_000, 16 << 20
+SLICE, KNOWN, DECODED, MAX_VOCABULARY = 60_000, 100_000, 60_000, 16 << 20
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
@@ -77,7 +79,7 @@ class Codec:
         pairs = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = ([p[k] for p in pairs] for k in range(3))
         self.merges = dict(zip(zip(left, right, strict=True), merged, strict=True))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), id=pa.array(merged, pa.int32()))
         self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), chars=pa.array([t.decode("latin-1") for t in ranks]))
 
@@ -116,7 +118,7 @@ class Codec:
         return np.array([t for t in toks if t >= 0], "<i4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        fresh, data = [], []
+        fresh, data, size = [], [], 0
         for p in pieces:
             raw = p.encode()
             if raw in self.ranks:
@@ -126,6 +128,10 @@ class Codec:
             else:
                 fresh.append(p)
                 data.append(raw)
+                size += len(raw) ** 2  # the query keeps a word's tokens of every round
+                if size > CONTRACTED:
+                    self.known.update(zip(fresh, self._contract(data), strict=True))
+                    fresh, data, size = [], [], 0
         if fresh:
             self.known.update(zip(fresh, self._contract(data), strict=True))
 
