@@ -73,6 +73,8 @@ def test_digests(spark):
 
 
 def test_columns_pass_nulls(spark):
-    encode, decode = bpe.codec(spark, PATH, P.PATTERN)
+    encode, decode, _ = bpe.codec(spark, PATH, P.PATTERN)
     row = spark.createDataFrame([(None,)], "ids array<int>").select(decode(F.col("ids")).alias("d")).first()
     assert row["d"] is None
+    text = spark.createDataFrame([("two words",), (None,)], "t string").select(encode(F.col("t")).alias("ids"))
+    assert [bytes(r["d"]) for r in text.select(decode(F.col("ids")).alias("d")).collect()] == [b"two words", b""]

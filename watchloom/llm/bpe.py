@@ -197,7 +197,8 @@ class Codec:
 
 
 def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
-    """Column functions ``encode(text) -> array<int>`` and ``decode(ids) -> binary`` of a vocabulary."""
+    """Column functions ``encode(text) -> array<int>`` and ``decode(ids) -> binary`` of a vocabulary, and both in one
+    worker: ``both(text) -> struct<ids, data>``."""
     ranks = read_ranks(path)
     shared = spark.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
@@ -210,11 +211,21 @@ def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
             codecs[key] = Codec(shared.value, pattern)
         return codecs[key]
 
-    def encode_batch(texts: pa.Array) -> pa.Array:
-        found = [x for k in range(0, len(texts), 500) for x in own().encode(texts.slice(k, 500).to_pylist())]
+    def encoded(texts: pa.Array) -> list[np.ndarray]:
+        return [x for k in range(0, len(texts), 500) for x in own().encode(texts.slice(k, 500).to_pylist())]
+
+    def lists(found: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
 
+    def encode_batch(texts: pa.Array) -> pa.Array:
+        return lists(encoded(texts))
+
+    def both_batch(texts: pa.Array) -> pa.Array:
+        found = encoded(texts)
+        data = pa.array(own().decode(found), pa.binary())
+        return pa.StructArray.from_arrays([lists(found), data], ["ids", "data"])
+
     def decode_batch(lists: pa.Array) -> pa.Array:
         return pa.array(own().decode([x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in lists]), pa.binary())
 
@@ -224,14 +235,17 @@ def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
     def decode(ids: Column) -> Column:
         return F.arrow_udf(decode_batch, "binary").asNondeterministic()(ids.cast("array<int>"))
 
-    return encode, decode
+    def both(text: Column) -> Column:
+        return F.arrow_udf(both_batch, "ids array<int>, data binary").asNondeterministic()(text.cast("string"))
+
+    return encode, decode, both
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per row the number of ids, SHA-256 of the ids and of the bytes they decode to, and the ids if asked."""
-    encode, decode = codec(docs.sparkSession, path, pattern)
-    ids = docs.select(docs[f"`{id_col}`"].alias("doc_id"), encode(docs[f"`{text}`"]).alias("ids"))
-    return ids.select("doc_id", "ids", decode(F.col("ids")).alias("data")).select(
+    _, _, both = codec(docs.sparkSession, path, pattern)
+    coded = docs.select(docs[f"`{id_col}`"].alias("doc_id"), both(docs[f"`{text}`"]).alias("x")).select("doc_id", "x.*")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
