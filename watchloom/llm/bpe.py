@@ -35,7 +35,7 @@ LONG_PIECE = 256
 #: Token positions over all rounds of one recursive query, at most.
 CONTRACTED = 8_000_000
 #: Pieces handled at once, known pieces kept, ids decoded at once; largest vocabulary file.
-SLICE, KNOWN, DECODED, MAX_VOCABULARY = 60_000, 100_000, 60_000, 16 << 20
+SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 150_000, 250_000, 16 << 20
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
