@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm import winnow as W
 
-from .fixtures import contaminated, documents, rows
+from .fixtures import contaminated, documents, prose, rows
 
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (1, "one two three four five six seven eight nine ten eleven twelve"), (None, "a b a b a b a b a b a b"), (3, "Short One"), (4, None), (5, " .!? "), (6, "ÉCOLE école x" * 4), (70, "w w w w w w w w w w w"), (8, "p q r s t u v w x")]
 
@@ -47,6 +47,31 @@ def test_blocks_of_a_long_text_lose_nothing(spark, monkeypatch):
         assert sorted(map(tuple, W.contamination(docs, items).collect())) == want
 
 
+def passages(spark, item: str, places: list[int]):
+    """Documents that each hold twelve words of the item, and what looking everywhere finds."""
+    words = item.split()
+    docs = [(k, " ".join(["before", *words[p : p + 12], "after"]), "en", "s", 1, "x", None, k, "r", "h", 1) for k, p in enumerate(places)]
+    return documents(spark, docs)
+
+
+def test_blocks_of_a_long_item_lose_nothing(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(300))
+    docs = passages(spark, item, list(range(0, 288, 7)))
+    monkeypatch.setattr(W, "BLOCK", 16)
+    monkeypatch.setattr(W, "_PLACES", 31)
+    items = spark.createDataFrame([(1, item), (2, "w250 w251 other words")], "item_id long, text string")
+    found = {r["key"]: (r["n_hit"], r["n_items"], r["items"]) for r in W.contamination(docs, items).collect()}
+    for r in docs.select("text", F.sha2("text", 256).alias("key")).collect():
+        assert found[r["key"]] == contaminated(r["text"], [(1, item), (2, "w250 w251 other words")])[1:]
+
+
+def test_passages_far_inside_an_item_are_met(spark):
+    item = prose(77, 140_000)
+    places = [5, 65_530, 131_050, 131_066, 131_080, 135_000, 139_980]
+    found = W.contamination(passages(spark, item, places), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r["n_hit"] for r in found.collect()] == [12] * len(places)
+
+
 def test_any_gram_length_gives_the_same(spark):
     docs = documents(spark, given())
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

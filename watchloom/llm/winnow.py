@@ -29,7 +29,7 @@ WINDOW = 10
 #: Words per hashed gram.
 GRAM = 6
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Longer texts are looked through in blocks of so many words, which bounds what a row holds.
+#: Longer texts and items are looked through in blocks of so many words, which bounds what a row holds.
 BLOCK = 1 << 16
 _PLACES = (1 << 17) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,7 +93,8 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def _targets(words: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[int]]:
     """Hashes to look for with their run length, and the lengths under ``window`` (at most ``window - 1``)."""
-    long_items = words.filter(F.size("w") >= window).select(F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select(F.lit(gram).alias("size"), _hash_of(F.col("x")).alias("h"), F.lit(True).alias("winnowed"))
+    blocks = words.filter(F.size("w") >= window).select(F.explode(_blocks(F.col("w"), window)).alias("b")).select("b.w")
+    long_items = blocks.select(F.explode(_minima(_gram_hashes(F.col("w"), gram), window - gram + 1)).alias("x")).select(F.lit(gram).alias("size"), _hash_of(F.col("x")).alias("h"), F.lit(True).alias("winnowed"))
     lengths = sorted(r[0] for r in words.filter(F.size("w") < window).select(F.size("w")).distinct().collect())
     found = long_items
     for m in lengths:
