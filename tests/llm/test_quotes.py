@@ -30,6 +30,24 @@ def test_levels_rewrapping_and_partial_quotes(spark):
     assert got[1, 1]["text"] == "I agree" and got[1, 2]["text"] == "So do I" and got[1, 3]["text"] == "no quotes"
 
 
+def test_trimmed_quotes(spark):
+    given = [
+        (1, 0, "One line here.\nA second  line\nand the third\n\nLast words of it"),
+        (1, 1, "> a second line\n> and the third\n\nmine"),
+        (1, 2, "> second line\n> and the\nof that"),
+        (1, 3, "> and the third\n> Last words\nnot one passage"),
+        (1, 4, "> Last words\n\n> of of it\nends"),
+        (1, 5, "and words: a second line and the third, again"),
+        (1, 6, "> One line here. A second\n\n> a second line\n\n> line and the third,\nyes"),
+        (1, 6, "twice"),
+        (2, 1, "> second line\n> and the\nelsewhere"),
+    ]
+    got = Q.reply_order(talk(spark, given)).filter("turn != 6 or text = 'yes'").collect()
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"], r["n_linked"]) for r in got}
+    assert got[1, 1] == (0, 1, 1) and got[1, 2] == (0, 1, 1) and got[1, 3] == (None, 1, 0) and got[1, 4] == (0, 2, 1)
+    assert got[1, 6] == (5, 3, 3) and got[2, 1] == (None, 1, 0)
+
+
 def test_latest_earlier_source_and_own_words_only(spark):
     given = [(1, 0, "same words"), (1, 1, "same words"), (1, 2, "> same words\nmine"), (1, 3, "> mine\n> > same words"), (1, 4, "> same words"), (1, 1, "same words")]
     got = result(spark, given)

@@ -4,8 +4,10 @@ Only DataFrame functions. A line's quote level is its number of leading ``>``. N
 of one level make a passage; blank lines and changes of level end it. A passage is compared by
 the hash of its words in lower case, single-spaced, so re-wrapping, case and quote marks don't
 matter. Every quoted passage looks up the latest earlier message of its conversation that has
-it as a passage or as a line of its own (unquoted) words. A message replies to the source of its
-shallowest linked quote, of several to the latest.
+it as a passage or as a line of its own (unquoted) words. A passage without one was trimmed: it looks
+up the latest earlier message that has its words as a run inside an own passage, be it some of the
+lines or a part of one. A message replies to the source of its shallowest linked quote, of several to
+the latest.
 
 Defined results: a null or empty text has no passages and stays as it is; a quote without words
 is dropped and links nothing; a quote whose source isn't found is dropped from the text all the
@@ -44,8 +46,8 @@ def _norm(body: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(body), r"\s+", " "))
 
 
-def _passages(lines: Column) -> Column:
-    """Array of (level, h): the passages with a word, in order."""
+def _worded(lines: Column) -> Column:
+    """Array of (level, norm): the passages with a word, in order."""
 
     def piece(ls, x, i):
         before = F.get(ls, i - 1)
@@ -57,17 +59,21 @@ def _passages(lines: Column) -> Column:
         F.split(joined, _CUT),
         lambda p: F.struct(F.substring_index(p, _PART, 1).try_cast("int").alias("level"), _norm(F.substring_index(p, _PART, -1)).alias("norm")),
     )
-    worded = F.filter(split, lambda p: (p["norm"] != "") & p["level"].isNotNull())
-    return F.transform(worded, lambda p: F.struct(p["level"].alias("level"), F.md5(p["norm"]).alias("h")))
+    return F.filter(split, lambda p: (p["norm"] != "") & p["level"].isNotNull())
+
+
+def _passages(lines: Column) -> Column:
+    """Array of (level, h, m): hash and number of words of the passages with a word, in order."""
+    return F.transform(_worded(lines), lambda p: F.struct(p["level"].alias("level"), F.md5(p["norm"]).alias("h"), F.size(F.split(p["norm"], " ")).alias("m")))
 
 
 def _marks(text: Column) -> Column:
-    """Distinct (level, h, passage): own passages and own lines at level 0, quoted passages above, one row each."""
+    """Distinct (level, h, m, passage): own passages and own lines at level 0, quoted passages above, one row each."""
 
     def of(ls):
-        own_lines = F.transform(F.filter(ls, lambda x: (x["level"] == 0) & (_norm(x["body"]) != "")), lambda x: F.struct(F.lit(0).alias("level"), F.md5(_norm(x["body"])).alias("h")))
+        own_lines = F.transform(F.filter(ls, lambda x: (x["level"] == 0) & (_norm(x["body"]) != "")), lambda x: F.struct(F.lit(0).alias("level"), F.md5(_norm(x["body"])).alias("h"), F.size(F.split(_norm(x["body"]), " ")).alias("m")))
         both = bound(_passages(ls), lambda ps: F.concat(F.filter(ps, lambda p: p["level"] > 0), F.array_distinct(F.concat(F.filter(ps, lambda p: p["level"] == 0), own_lines))))
-        return F.transform(both, lambda p, i: F.struct(p["level"].alias("level"), p["h"].alias("h"), i.alias("k")))
+        return F.transform(both, lambda p, i: F.struct(p["level"].alias("level"), p["h"].alias("h"), p["m"].alias("m"), i.alias("k")))
 
     return bound(_lines(text), of)
 
@@ -81,11 +87,34 @@ def unquoted(text: Column) -> Column:
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``conv``, ``turn``, ``k``, ``level``, ``source``: each quoted passage and the turn that it comes from, or null."""
     base = messages.select(messages[f"`{conv}`"].alias("conv"), messages[f"`{turn}`"].alias("turn"), messages[f"`{text}`"].cast("string").alias("t"))
-    marks = base.filter("conv is not null and turn is not null and t is not null").select("conv", "turn", F.explode(_marks(F.col("t"))).alias("m")).select("conv", "turn", "m.*")
+    base = base.filter("conv is not null and turn is not null and t is not null")
+    marks = base.select("conv", "turn", F.explode(_marks(F.col("t"))).alias("m")).select("conv", "turn", "m.*")
     # At one turn quotes come first: a message is a source for later turns only. The passage's
     # place and level make rows of one message apart.
     rows = marks.withColumns({"side": (F.col("level") == 0).cast("int"), "at": F.col("turn")})
     seen = last_before(rows, ["conv", "h"], ["turn", "side", "level", "k"], F.col("level") == 0, "at")
+    quotes = seen.filter("level > 0").select("conv", "turn", "k", "level", "h", "m", F.col("found").alias("source"))
+    trimmed, n, _ = materialize_counted(quotes.filter("source is null").drop("source"), "trimmed")
+    found = quotes.filter("source is not null").select("conv", "turn", "k", "level", "source")
+    return found.union(_trimmed_links(base, trimmed)) if n else found
+
+
+def _trimmed_links(base: DataFrame, trimmed: DataFrame) -> DataFrame:
+    """``conv``, ``turn``, ``k``, ``level``, ``source`` of the passages that no message has as a whole.
+
+    Own passages of their conversations are cut into the runs of as many words as such a passage
+    has; only runs that a passage asks for are kept.
+    """
+    lengths = trimmed.select("conv", "m").distinct().groupBy("conv").agg(F.collect_list("m").alias("ms"))
+    own = base.join(lengths, "conv").select("conv", "turn", "ms", F.explode(F.filter(_worded(_lines(F.col("t"))), lambda p: p["level"] == 0)).alias("p"))
+    words = own.select("conv", "turn", "ms", F.split("p.norm", " ").alias("w"))
+    sized = words.select("conv", "turn", "w", F.explode(F.filter("ms", lambda m: m <= F.size("w"))).alias("m"))
+    starts = sized.select("conv", "turn", "w", "m", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)).alias("i"))
+    runs = starts.select("conv", "turn", F.md5(F.array_join(F.slice("w", F.col("i"), F.col("m")), " ")).alias("h"))
+    sources = runs.join(trimmed.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct()
+    both = trimmed.select("conv", "turn", "h", "level", "k").union(sources.select("conv", "turn", "h", F.lit(0), F.lit(0)))
+    rows = both.withColumns({"side": (F.col("level") == 0).cast("int"), "at": F.col("turn")})
+    seen = last_before(rows, ["conv", "h"], ["turn", "side", "level", "k"], F.col("level") == 0, "at")
     return seen.filter("level > 0").select("conv", "turn", "k", "level", F.col("found").alias("source"))
 
 
