@@ -153,13 +153,14 @@ def test_rules_report_states(spark):
     assert run_rules(t, rules[:1], language="pt").first().result == "Possível problema encontrado (1)"
 
 
-def test_every_rule_hits_and_misses(spark):
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_every_rule_hits_and_misses(spark, sf):
     """On the fixture each rule has offenders, is supported, explains itself, and leaves other rows alone."""
     from watchloom.operators.rule_packs import posture_pack
-    from watchloom.plans.adapters import ORDERS_AS_OF
+    from watchloom.plans.adapters import orders_as_of
     from watchloom.plans.rules import inventory
 
-    pack, tables = posture_pack(ORDERS_AS_OF), inventory(spark, "/root/testdata/sf0.01")
+    pack, tables = posture_pack(orders_as_of(spark, sf)), inventory(spark, sf)
     report = run_rules(tables, pack, issues_only=False).collect()
     assert len(report) == len(pack) and {r.code for r in report if not r.issues} == set()
     assert all(r.how_to_fix for r in report) and all(p.labels["pt"] for p in pack)

@@ -48,7 +48,9 @@ def test_end_tag_inside_cdata_loses_nothing(spark, tmp_path):
     def event(i, body):
         return f'<event name="e" timestamp="2024-01-01T00:00:00Z"><data name="t"><value><![CDATA[{body}]]></value></data><data name="n"><value>{i}</value></data></event>'
 
-    (tmp_path / "odd.xml").write_text("<events>" + event(1, "plain") + event(2, "x </event> y") + event(3, "z") + "</events>")
+    tmp_path = tmp_path / "cap dir+1,2"
+    tmp_path.mkdir()
+    (tmp_path / "odd one, 100%+.xml").write_text("<events>" + event(1, "plain") + event(2, "x </event> y") + event(3, "z") + "</events>")
     (tmp_path / "even.xml").write_text("<events>" + event(4, "w") + "</events>")
     cap = read_event_capture(spark, str(tmp_path / "*.xml"), 60)
     got = cap.select(data_field("event", "n", "long").alias("n"), data_field("event", "t", "string").alias("t"), "log_ts").orderBy("n").collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,12 @@ EVENTS_AS_OF = datetime(2024, 1, 31)
 ORDERS_AS_OF = datetime(2001, 12, 1)
 
 
+def orders_as_of(spark: SparkSession, sf: str) -> datetime:
+    """Midnight after the newest order, so that the last days of the table are recent."""
+    newest = load(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]
+    return datetime(newest.year, newest.month, newest.day) + timedelta(days=1)
+
+
 def on_two_servers(df: DataFrame, *dates: str, server: str = "server") -> DataFrame:
     """The rows once for server ``a`` and again, with the same ids, for ``b`` a day later."""
     later = df.withColumns({c: F.col(c) + F.expr("INTERVAL '1' DAY") for c in dates}) if dates else df

@@ -10,7 +10,7 @@ from watchloom.operators.rule_packs import policy_pack, posture_pack
 from watchloom.operators.rules import Rule, constraint_rules, dictionary_match, rule_details, run_rules, secret_candidates, table_advisor
 from watchloom.operators.rules import COMMON_SECRETS
 from watchloom.operators.joins import orphans
-from watchloom.plans.adapters import ORDERS_AS_OF
+from watchloom.plans.adapters import orders_as_of
 from watchloom.plans.registry import query
 from watchloom.session import load
 
@@ -88,14 +88,15 @@ def inventory(spark, sf):
     """A fleet's inventory made from the driver tables: servers share login, database and user names."""
     c, s, o, e, p, n, r = (load(spark, sf, t) for t in ("customer", "supplier", "orders", "events", "part", "nation", "region"))
     key, sup, order, nat = F.col("c_custkey"), F.col("s_suppkey"), F.col("o_orderkey"), F.col("n_nationkey")
-    home, three, of_order = text("srv", F.col("c_nationkey")), text("srv", sup % 3), text("srv", order % 3)
-    login = F.when(key % 17 == 0, text("BUILTIN/", key)).when(key % 19 == 0, text(F.upper(home), "/", key)).otherwise(text("Login", key))
+    home, three, of_order, of_login = text("srv", F.col("c_nationkey")), text("srv", sup % 3), text("srv", order % 3), text("srv", key % 3)
+    as_of = orders_as_of(spark, sf)
+    login = F.when(key % 17 == 0, text("BUILTIN/", key)).when(key % 19 == 0, text(F.upper(of_login), "/", key)).otherwise(text("Login", key))
     secret = F.when(key % 7 == 0, "dragon").when(key % 7 == 1, F.reverse(login)).when(key % 7 == 2, F.upper(login)).when(key % 7 == 3, "7777")
     owned = o.join(c.select(F.col("c_custkey").alias("o_custkey"), home.alias("server")), "o_custkey")
     db, kind = text("db", F.col("o_custkey")), sup % 10
-    settings = s.select(text("srv", sup).alias("server"), F.posexplode(F.array(*[F.lit(name) for _, name, _ in SETTINGS])).alias("i", "name"))
+    settings = s.select(text("srv", sup).alias("server"), (sup % 2).alias("odd"), F.posexplode(F.array(*[F.lit(name) for _, name, _ in SETTINGS])).alias("i", "name"))
     server_roles = s.select(
-        three.alias("server"), F.lit(None).cast("string").alias("database"), F.when(sup % 25 == 1, "sysadmin").otherwise("bulkadmin").alias("role"), text("Login", sup).alias("member")
+        three.alias("server"), F.lit(None).cast("string").alias("database"), F.when(sup % 25 == 1, "sysadmin").otherwise("bulkadmin").alias("role"), text("Login", sup + 12).alias("member")
     )
     db_roles = o.select(
         of_order.alias("server"), db.alias("database"), F.when(order % 4 == 0, "db_owner").otherwise("db_datareader").alias("role"),
@@ -103,7 +104,7 @@ def inventory(spark, sf):
     )
     marks = [(10, " Execute(@q)"), (13, " xp_cmdshell"), (17, " sp_OACreate"), (19, " GRANT x")]
     return {
-        "settings": settings.select("server", "name", ((F.col("i") + F.length("server")) % 2).cast("int").alias("value")),
+        "settings": settings.select("server", "name", ((F.col("i") + F.col("odd")) % 2).cast("int").alias("value")),
         "servers": n.select(
             text("srv", nat).alias("server"), (10 + nat % 6).cast("int").alias("version"), (nat * 100).cast("int").alias("build"),
             F.when(nat % 3 != 0, nat.cast("int")).alias("error_logs"), (nat % 2 == 0).alias("windows_auth_only"), (nat % 4).cast("int").alias("audit_level"),
@@ -122,9 +123,9 @@ def inventory(spark, sf):
             F.when(key % 2 == 0, "FULL").otherwise("SIMPLE").alias("recovery_model"), ntz("1999-01-01").alias("created"),
         ),
         "logins": c.select(
-            home.alias("server"), key.alias("login_id"), login.alias("name"), F.when(key % 5 == 0, "G").otherwise("S").alias("type"),
+            of_login.alias("server"), key.alias("login_id"), login.alias("name"), F.when(key % 5 == 0, "G").otherwise("S").alias("type"),
             (key % 11 == 0).alias("is_disabled"), (key % 2 == 0).alias("is_policy_checked"), (key % 3 == 0).alias("is_expiration_checked"),
-            F.when(key % 13 == 0, 10).alias("days_until_expiration"), F.date_sub(F.lit("2001-12-01").cast("date"), (key % 400).cast("int")).alias("password_set"),
+            F.when(key % 13 == 0, 10).alias("days_until_expiration"), F.date_sub(F.lit(as_of.date()), (key * 7 % 400).cast("int")).alias("password_set"),
             F.sha2(F.coalesce(secret, text("s3cret!", key)), 256).alias("password_hash"), key.alias("sid"),
         ),
         "db_users": o.select(
@@ -132,10 +133,10 @@ def inventory(spark, sf):
             F.when(order % 7 == 0, "DATABASE").otherwise("INSTANCE").alias("auth"), F.col("o_custkey").alias("sid"), (order % 11 == 0).alias("is_fixed_role"),
         ),
         "server_permissions": s.select(
-            three.alias("server"), F.when(kind == 1, "public").otherwise(text("Login", (sup * 7 + 3) % 90)).alias("grantee"),
-            F.when(kind == 0, "Control Server").when(sup % 20 == 1, "VIEW ANY DATABASE").when(kind == 1, "ALTER TRACE").when(kind == 2, "IMPERSONATE ANY LOGIN")
+            three.alias("server"), F.when(kind.isin(1, 9), "public").otherwise(text("Login", (sup * 7 + 36) % 90)).alias("grantee"),
+            F.when(kind == 0, "Control Server").when(kind == 9, "VIEW ANY DATABASE").when(kind == 1, "ALTER TRACE").when(kind == 2, "IMPERSONATE ANY LOGIN")
             .when(kind == 3, "UNSAFE ASSEMBLY").otherwise("IMPERSONATE").alias("permission"),
-            F.lit("G").alias("state"), F.when(kind < 4, "SERVER").otherwise("SERVER_PRINCIPAL").alias("class"), text("Login", sup).alias("target"),
+            F.lit("G").alias("state"), F.when((kind < 4) | (kind == 9), "SERVER").otherwise("SERVER_PRINCIPAL").alias("class"), text("Login", sup).alias("target"),
         ),
         "role_members": server_roles.unionByName(db_roles),
         "db_permissions": o.select(
@@ -179,20 +180,21 @@ def inventory(spark, sf):
 
 
 POSTURE_CTES = f"""
-    st AS (SELECT 'srv' || s_suppkey AS server, name, CAST((i + length('srv' || s_suppkey)) % 2 AS INTEGER) AS value
+    now AS (SELECT CAST(max(o_orderdate) AS DATE) + 1 AS d FROM orders),
+    st AS (SELECT 'srv' || s_suppkey AS server, name, CAST((i + s_suppkey) % 2 AS INTEGER) AS value
            FROM supplier, (VALUES {", ".join(f"('{name}', {i})" for i, (_, name, _) in enumerate(SETTINGS))}) t(name, i)),
     sv AS (SELECT 'srv' || n_nationkey AS server, CAST(10 + n_nationkey % 6 AS INTEGER) AS version, CAST(n_nationkey * 100 AS INTEGER) AS build,
                   CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey AS INTEGER) END AS logs, n_nationkey AS n FROM nation),
     d AS (SELECT 'srv' || c_nationkey AS server, CASE WHEN c_custkey % 31 = 0 THEN 'Northwind' ELSE 'db' || c_custkey END AS name, c_custkey AS k, c_acctbal >= 0 AS online FROM customer),
-    lg AS (SELECT 'srv' || c_nationkey AS server, c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'BUILTIN/' || c_custkey WHEN c_custkey % 19 = 0 THEN 'SRV' || c_nationkey || '/' || c_custkey
+    lg AS (SELECT 'srv' || (c_custkey % 3) AS server, c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'BUILTIN/' || c_custkey WHEN c_custkey % 19 = 0 THEN 'SRV' || (c_custkey % 3) || '/' || c_custkey
                   ELSE 'Login' || c_custkey END AS name, c_custkey % 5 <> 0 AS sql_login, c_custkey % 11 <> 0 AS enabled FROM customer),
     live AS (SELECT server, name FROM lg WHERE k > 10 AND enabled),
     u AS (SELECT 'srv' || (o_orderkey % 3) AS server, 'db' || o_custkey AS database, 'u' || o_orderkey AS name, o_orderkey AS k, o_custkey AS sid FROM orders),
-    g AS (SELECT 'srv' || (s_suppkey % 3) AS server, CASE WHEN s_suppkey % 10 = 1 THEN 'public' ELSE 'Login' || ((s_suppkey * 7 + 3) % 90) END AS grantee,
-                 CASE WHEN s_suppkey % 10 = 0 THEN 'Control Server' WHEN s_suppkey % 20 = 1 THEN 'VIEW ANY DATABASE' WHEN s_suppkey % 10 = 1 THEN 'ALTER TRACE'
+    g AS (SELECT 'srv' || (s_suppkey % 3) AS server, CASE WHEN s_suppkey % 10 IN (1, 9) THEN 'public' ELSE 'Login' || ((s_suppkey * 7 + 36) % 90) END AS grantee,
+                 CASE WHEN s_suppkey % 10 = 0 THEN 'Control Server' WHEN s_suppkey % 10 = 9 THEN 'VIEW ANY DATABASE' WHEN s_suppkey % 10 = 1 THEN 'ALTER TRACE'
                       WHEN s_suppkey % 10 = 2 THEN 'IMPERSONATE ANY LOGIN' WHEN s_suppkey % 10 = 3 THEN 'UNSAFE ASSEMBLY' ELSE 'IMPERSONATE' END AS permission,
                  'Login' || s_suppkey AS target, s_suppkey AS k FROM supplier),
-    sr AS (SELECT 'srv' || (s_suppkey % 3) AS server, 'Login' || s_suppkey AS member FROM supplier WHERE s_suppkey % 25 = 1),
+    sr AS (SELECT 'srv' || (s_suppkey % 3) AS server, 'Login' || (s_suppkey + 12) AS member FROM supplier WHERE s_suppkey % 25 = 1),
     dr AS (SELECT 'srv' || (o_orderkey % 3) AS server, 'db' || o_custkey AS database, CASE WHEN o_orderkey % 10 = 0 THEN 'dbo' ELSE 'u' || (o_orderkey - o_orderkey % 2) END AS member,
                   CASE WHEN o_orderkey % 4 = 0 THEN 'db_owner' ELSE 'db_datareader' END AS role FROM orders),
     dp AS (SELECT 'srv' || (o_orderkey % 3) AS server, CASE WHEN o_orderkey % 50 = 0 THEN 'master' ELSE 'db' || o_custkey END AS database,
@@ -232,7 +234,7 @@ POSTURE = {code: f"SELECT {_j('server', 'name', 'value')} FROM st WHERE name = '
     101: f"SELECT {_SN} FROM lg WHERE k = 1",
     102: f"SELECT {_SDN} FROM u WHERE k > 4 AND k % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM lg WHERE lg.server = u.server AND lg.k = u.sid)",
     103: f"SELECT {_SN} FROM lg WHERE sql_login AND enabled AND (k % 2 <> 0 OR k % 3 <> 0)",
-    104: f"SELECT {_j('server', 'name', "strftime(DATE '2001-12-01' - CAST(k % 400 AS INTEGER), '%Y-%m-%d') AS password_set")} FROM lg WHERE sql_login AND enabled AND k % 3 <> 0 AND k % 13 <> 0 AND k % 400 > 180",
+    104: f"SELECT {_j('server', 'name', "strftime((SELECT d FROM now) - CAST(k * 7 % 400 AS INTEGER), '%Y-%m-%d') AS password_set")} FROM lg WHERE sql_login AND enabled AND k % 3 <> 0 AND k % 13 <> 0 AND k * 7 % 400 > 180",
     105: f"SELECT {_j('server', 'name', "CASE k % 7 WHEN 0 THEN 'dragon' WHEN 1 THEN reverse(name) WHEN 2 THEN upper(name) ELSE '7777' END AS word")} FROM lg WHERE sql_login AND k % 7 < 4",
     106: f"SELECT {_SDN} FROM u WHERE k > 4 AND k % 11 <> 0 AND NOT EXISTS (SELECT 1 FROM dr WHERE dr.server = u.server AND dr.database = u.database AND dr.member = u.name) "
     "AND NOT EXISTS (SELECT 1 FROM dp WHERE dp.server = u.server AND dp.database = u.database AND dp.grantee = u.name AND granted AND permission <> 'CONNECT')",
@@ -244,14 +246,14 @@ POSTURE = {code: f"SELECT {_j('server', 'name', 'value')} FROM st WHERE name = '
     112: f"SELECT {_SN} FROM so WHERE k % 9 = 0",
     203: f"SELECT {_j('server', 'database', "'a' || k AS name")} FROM pt WHERE k % 2 = 0 AND k % 3 <> 0",
     300: f"SELECT {_SN} FROM d WHERE k % 3 <> 0 AND online",
-    301: f"SELECT {_j('server', 'name', 'age AS days_since')} FROM (SELECT d.server, d.name, CAST(date_diff('day', CAST(coalesce(seen, TIMESTAMP '1999-01-01') AS DATE), DATE '2001-12-01') AS INTEGER) AS age "
+    301: f"SELECT {_j('server', 'name', 'age AS days_since')} FROM (SELECT d.server, d.name, CAST(date_diff('day', CAST(coalesce(seen, TIMESTAMP '1999-01-01') AS DATE), (SELECT d FROM now)) AS INTEGER) AS age "
     "FROM d LEFT JOIN newest USING (server, name) WHERE online) WHERE age > 7",
     302: f"SELECT {_j('server', 'database', 'path')} FROM b WHERE k % 3 <> 0",
     303: f"SELECT CASE WHEN log_seen IS NULL THEN {_j('d.server AS server', 'd.name AS name')} ELSE {_j('d.server AS server', 'd.name AS name', "strftime(log_seen, '%Y-%m-%dT%H:%M:%S.%g') AS last_seen")} END "
-    "FROM d LEFT JOIN newest USING (server, name) WHERE online AND k % 2 = 0 AND (log_seen IS NULL OR date_diff('day', CAST(log_seen AS DATE), DATE '2001-12-01') > 1)",
+    "FROM d LEFT JOIN newest USING (server, name) WHERE online AND k % 2 = 0 AND (log_seen IS NULL OR date_diff('day', CAST(log_seen AS DATE), (SELECT d FROM now)) > 1)",
     304: f"SELECT {_j('server', 'database', "'/d/' || k || CASE k % 4 WHEN 0 THEN '.mdf' WHEN 1 THEN '.LDF' ELSE '.ndf' END AS path")} FROM pt WHERE k % 4 <> 2",
-    305: f"SELECT {_j('server', 'path')} FROM b WHERE status <> 'O' AND k % 2 = 0 AND at_ >= TIMESTAMP '2001-11-24'",
-    306: f"SELECT {_j('server', 'database', 'count(*) AS record_count')} FROM b WHERE at_ >= TIMESTAMP '2001-11-24' GROUP BY server, database HAVING count(*) FILTER (status = 'O') = 0",
+    305: f"SELECT {_j('server', 'path')} FROM b WHERE status <> 'O' AND k % 2 = 0 AND at_ >= (SELECT d - 7 FROM now)",
+    306: f"SELECT {_j('server', 'database', 'count(*) AS record_count')} FROM b WHERE at_ >= (SELECT d - 7 FROM now) GROUP BY server, database HAVING count(*) FILTER (status = 'O') = 0",
     400: f"SELECT {_j('server', 'grantee', 'permission')} FROM g WHERE (k % 10 = 0 OR permission = 'ALTER TRACE') AND EXISTS (SELECT 1 FROM live WHERE live.server = g.server AND live.name = g.grantee)",
     401: f"SELECT {_j('server', 'member', "'sysadmin' AS role")} FROM sr WHERE EXISTS (SELECT 1 FROM live WHERE live.server = sr.server AND live.name = sr.member)",
     402: f"SELECT {_j('server', 'grantee')} FROM g WHERE k % 10 = 2",
@@ -281,7 +283,7 @@ POSTURE = {code: f"SELECT {_j('server', 'name', 'value')} FROM st WHERE name = '
     f"WITH RECURSIVE {POSTURE_CTES} " + " UNION ALL ".join(f"SELECT {c} AS code, (SELECT count(*) FROM ({q}) t) AS issues" for c, q in sorted(POSTURE.items())),
 )
 def q_posture_report(spark, sf):
-    return run_rules(inventory(spark, sf), posture_pack(ORDERS_AS_OF), issues_only=False).select("code", "issues")
+    return run_rules(inventory(spark, sf), posture_pack(orders_as_of(spark, sf)), issues_only=False).select("code", "issues")
 
 
 @query(
@@ -289,7 +291,7 @@ def q_posture_report(spark, sf):
     f"WITH RECURSIVE {POSTURE_CTES} " + " UNION ALL ".join(f"SELECT {c} AS code, CAST(j AS VARCHAR) AS detail FROM ({q}) t(j)" for c, q in sorted(POSTURE.items())),
 )
 def q_posture_details(spark, sf):
-    return rule_details(inventory(spark, sf), posture_pack(ORDERS_AS_OF))
+    return rule_details(inventory(spark, sf), posture_pack(orders_as_of(spark, sf)))
 
 
 @query(

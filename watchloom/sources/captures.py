@@ -44,13 +44,13 @@ def read_event_capture(
     if streaming:
         stop = F.when(_open_cdata("value"), F.raise_error(F.lit("event end tag inside CDATA: read this capture in batch"))).otherwise(F.col("value"))
         return _split_chunks(chunks.withColumn("value", stop), offset_min, categories)
-    named = chunks.withColumn("_file", F.input_file_name())
+    named = chunks.withColumn("_file", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
     # names of odd files: a small fact that decides how each file is read
     odd = [r[0] for r in named.where(_open_cdata("value")).select("_file").distinct().collect()]
     if not odd:
         return _split_chunks(chunks, offset_min, categories)
     plain = _split_chunks(named.where(~F.col("_file").isin(odd)), offset_min, categories)
-    raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(",".join(odd))
+    raw = spark.read.format("xml").option("rowTag", "event").schema(EVENT_SCHEMA).load(odd)
     stamped = raw.select(event_time(F.col("_timestamp"), offset_min).alias("log_ts"), F.col("_name").alias("category"), F.struct("*").alias("event"))
     stamped = stamped.where(F.col("category").isin(list(categories))) if categories else stamped
     return plain.unionByName(stamped.select(F.to_date("log_ts").alias("log_date"), "log_ts", "category", "event"))
