@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import bpe, lines, near, quality, winnow
+from watchloom.llm import bpe, lines, quality, simhash, winnow
 from watchloom.session import load, read_like, scratch_path
 
 
@@ -28,8 +28,8 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word runs, similarity 0.8) its first document stays."""
-    return near.keep_first(docs)
+    """Of each group of near duplicates (fingerprints of four-word runs at 4 bits) its first document stays."""
+    return simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
