@@ -21,6 +21,8 @@ print("fine")
 def test_workers_need_no_copy_of_the_library(tmp_path):
     """Started from another folder, with the library on the driver's path only."""
     repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    # Folders of other packages stay: only this repository's own entries go.
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.realpath(p).startswith(os.path.realpath(repo))]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(paths)}
     out = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "fine" in out.stdout, out.stderr[-1500:]

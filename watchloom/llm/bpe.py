@@ -18,7 +18,6 @@ encoded alike; other columns don't matter.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import heapq
 import sys
@@ -31,11 +30,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.llm.ranks import read_ranks
+
 LONG_PIECE = 256
 #: Token positions over all rounds of one recursive query, at most.
 CONTRACTED = 8_000_000
-#: Pieces handled at once, known pieces kept, ids decoded at once; largest vocabulary file.
-SLICE, KNOWN, DECODED, MAX_VOCABULARY = 200_000, 150_000, 250_000, 16 << 20
+#: Pieces handled at once, known pieces kept, ids decoded at once.
+SLICE, KNOWN, DECODED = 200_000, 150_000, 250_000
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
@@ -57,15 +58,6 @@ group by doc order by doc
 """
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Tokens and ranks of a tiktoken file."""
-    with open(path, "rb") as file:
-        data = file.read(MAX_VOCABULARY + 1)
-    if len(data) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary over {MAX_VOCABULARY} bytes: {path}")
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-
-
 class Codec:
     """Encoder and decoder of one worker process."""
 

@@ -98,6 +98,13 @@ class Model:
         self.scale = np.ones(self.code.shape[1])
         self.trust = np.full(self.code.shape, 1.0 / self.code.shape[1])
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """A model from its ``vars``: those are plain data, which a worker can load without the library."""
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        return model
+
     def margins(self, counts: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(counts)
         return (counts[some] @ self.weights[some]) / counts.sum() / self.scale
@@ -125,10 +132,8 @@ def sample(docs: DataFrame, id_col: str, lang: str, per_lang: int = PER_LANG) ->
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     steps = 1 << 30
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(steps))
-    below = F.lit(False)
-    for lang_value, n in sizes:
-        below = below | ((F.col(lang) == F.lit(lang_value)) & (draw < F.lit(min(steps, steps * per_lang // n))))
-    return own.filter(below)
+    bounds = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(steps, steps * per_lang // n))]) if sizes else F.lit(None).cast("map<string,long>")
+    return own.filter(draw < F.element_at(bounds, F.col(lang).cast("string") if not sizes else F.col(lang)))
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", buckets: int = BUCKETS) -> Model:
@@ -157,15 +162,15 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", buckets: in
     if len(langs) < 2:
         return model
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))
 
     def trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, seen, n_bits = Grams(buckets), {}, model_bits
+        grams, seen, n_bits, model = Grams(buckets), {}, model_bits, Model.of(shared.value)
         for batch in batches:
             for name, body in zip(batch.column(0), batch.column(1), strict=True):
                 if (found := grams(body.as_py())) is not None:
-                    m = shared.value.margins(found)
-                    right = shared.value.code[shared.value.langs.index(name.as_py())] * m > 0
+                    m = model.margins(found)
+                    right = model.code[model.langs.index(name.as_py())] * m > 0
                     old = seen.get(name.as_py(), np.zeros((3, n_bits)))
                     seen[name.as_py()] = old + np.array([right, np.abs(m), np.ones(n_bits)])
         for name, v in seen.items():
@@ -185,13 +190,13 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", buckets: in
 
 def predict(model: Model, docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> Column:
     """Struct ``lang_pred``, ``score``, ``second``, ``ambiguous`` for ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own: list[Grams] = []
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    own: list = []
 
     def batch(texts: pa.Array) -> pa.Array:
         if not own:
-            own.append(Grams(buckets))
-        rows = [shared.value.predict(own[0](x.as_py())) for x in texts]
+            own.extend((Grams(buckets), Model.of(shared.value)))
+        rows = [own[1].predict(own[0](x.as_py())) for x in texts]
         kinds = (pa.string(), pa.float64(), pa.string(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang_pred", "score", "second", "ambiguous"])
 

@@ -24,8 +24,8 @@ from watchloom.session import materialize
 
 #: A line goes if it stands on more than this share of its host's pages ...
 RATIO = 0.05
-#: ... and on at least so many of them: on a host of a few pages a share says nothing.
-MIN_PAGES = 5
+#: ... and on a second page at all: a line of one page repeats nowhere, however small its host.
+MIN_PAGES = 2
 _SPACES = " \t\r\x0b\x0c"
 
 

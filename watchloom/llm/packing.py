@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.bpe import read_ranks
+from watchloom.llm.ranks import read_ranks
 
 #: Tokens of a sequence, and tokens packed together.
 LENGTH = 2048

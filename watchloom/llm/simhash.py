@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm.components import components
+from watchloom.llm.sieve import without
 from watchloom.session import materialize, materialize_counted
 
 BITS = 64
@@ -166,7 +167,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """One row of each group of near duplicates: a row with the group's smallest id, nulls last."""
+    """One row of each group of near duplicates: a row with the group's smallest id, nulls last.
+
+    Only slim rows are shuffled; the whole rows that stay are written from where they are read.
+    """
     cols = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*cols, docs[f"`{id_col}`"].alias("id"), fingerprint(docs[f"`{text}`"]).alias("fp"), F.monotonically_increasing_id().alias("row"))
     with _small_batches(docs.sparkSession):
@@ -174,7 +178,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radi
     slim = rows.select("id", "fp", "row")
     names = component_names(slim, radius)
     first = slim.join(names, "fp").filter(F.col("id").eqNullSafe(F.col("name"))).groupBy("root").agg(F.min("row").alias("row"))
-    kept = rows.join(first.select("row"), "row", "left_semi")
+    gone, n, _ = materialize_counted(slim.select("row").join(first.select("row"), "row", "left_anti"), "copies")
+    kept = without(rows, F.col("row"), gone, n)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

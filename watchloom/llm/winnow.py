@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.binding import bound, restore, shield
-from watchloom.session import materialize
+from watchloom.llm.sieve import without
+from watchloom.session import materialize, materialize_counted
 
 #: A shared run of this many words is contamination.
 WINDOW = 10
@@ -82,12 +83,11 @@ def _gram(words: Column, start: Column, size: Column) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Tables of the benchmark: (``gram``, ``size``, ``items``) and (``h``, ``size``) to look for."""
+    """Tables of the benchmark: (``gram``, ``size``, ``item``), a row per item of a gram, and the items' words."""
     words = materialize(items.select(items[f"`{item_id}`"].alias("item"), words_of(items[f"`{text}`"].cast("string")).alias("w")).filter(F.size("w") > 0), "items")
     size = F.least(F.size("w"), F.lit(window))
     cut = words.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("s"))
-    # The items of one gram are those of equal words: as many as the benchmark repeats itself.
-    grams = cut.select("item", "size", _gram(F.col("w"), F.col("s"), F.col("size")).alias("gram")).groupBy("gram", "size").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
+    grams = cut.select("item", "size", _gram(F.col("w"), F.col("s"), F.col("size")).alias("gram")).distinct()
     return materialize(grams, "grams"), words
 
 
@@ -102,8 +102,8 @@ def _targets(words: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[
     return materialize(found.distinct(), "targets"), lengths
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per distinct contaminated text: ``key`` (SHA-256), ``n_hit``, ``n_items``, ``items`` (sorted strings)."""
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, named: bool = True) -> DataFrame:
+    """Per distinct contaminated text: ``key`` (SHA-256), ``n_hit`` and, if ``named``, ``n_items``, ``items`` (sorted strings)."""
     grams, item_words = item_windows(items, item_id, item_text, window)
     targets, lengths = _targets(item_words, window, gram)
     body = docs.select(docs[f"`{text}`"].cast("string").alias("t")).filter("t is not null")
@@ -132,15 +132,22 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     )
     some = F.when(F.size("near") >= F.col("size"), windows)
     cut = hits.select("key", "size", F.explode(some).alias("x")).select("key", "size", "x.*")
-    met = cut.join(grams, ["gram", "size"]).select("key", "s", "size", "items", "unnamed")
-    runs = met.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "size"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda i: i.cast("string")))))).alias("items"), F.max("unnamed").alias("unnamed"))
+    # Items come last: a gram that many items share is one row here, whatever it hits.
+    met = materialize(cut.join(grams.select("gram", "size").distinct(), ["gram", "size"]), "met")
+    runs = met.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "size"))).alias("runs"))
     covered = F.aggregate(
         "runs",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["s"] + x["size"] - F.greatest(a["end"], x["s"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["s"] + x["size"]).alias("end")),
         lambda a: a["n"],
     )
-    return runs.select("key", covered.cast("long").alias("n_hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), "items")
+    places = runs.select("key", covered.cast("long").alias("n_hit"))
+    if not named:
+        return places
+    # Texts that hold the same grams meet the same items; an item without an id is one row like any other.
+    items_met = met.select("key", "gram", "size").distinct().join(grams, ["gram", "size"]).select("key", "item").distinct()
+    names = items_met.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
+    return places.join(names, "key")
 
 
 def _run_of(size: int):
@@ -149,10 +156,9 @@ def _run_of(size: int):
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window, unchanged."""
-    # The list of contaminated texts grows with the corpus: it is sorted and merged, never broadcast.
-    dirty = materialize(contamination(docs, items, text), "contaminated").select("key").hint("merge")
+    dirty, n, _ = materialize_counted(contamination(docs, items, text, named=False).select("key"), "contaminated")
     inner, at = shield(docs)
-    return restore(inner.join(dirty, F.sha2(at[text].cast("string"), 256) == dirty["key"], "left_anti"), at)
+    return restore(without(inner, F.sha2(at[text].cast("string"), 256), dirty, n), at)
 
 
 def op10_winnowing(spark, sf_dir: str) -> DataFrame:
