@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "simhash", "winnow", "bpe", "revisits", "quotes", "ecoc", "packing", "licenses")
+MODULES = ("quality", "lines", "simhash", "winnow", "bpe", "revisits", "quotes", "ecoc", "packing", "licenses", "preference", "audit", "pivots")
 
 
 def load_all() -> tuple[dict, dict]:
