@@ -140,6 +140,33 @@ def test_quiet_periods_against_a_plain_loop(spark):
     assert got == {"hot": fold(hot, 300), "sparse": sparse, "each": sorted(set(hot[:50]))}
 
 
+@pytest.mark.parametrize("fan", [2, 32])
+def test_quiet_periods_over_years(spark, monkeypatch, fan):
+    """Stretches of stretches; quiet times of seconds, of days and longer than the gaps; null servers."""
+    import random
+
+    from watchloom.operators import quiet
+
+    monkeypatch.setattr(quiet, "FAN", fan)
+    rnd = random.Random(fan)
+    base = 1704067200
+    made = {
+        ("a", "dense", 7): [base + k for k in range(0, 90000, 3)],
+        ("b", "years", 200_000): [base + rnd.randrange(800 * 86400) for _ in range(3000)],
+        ("b", "dense", 90_001): [base + rnd.randrange(100 * 86400) for _ in range(2000)],
+        (None, "sparse", 60): [base + k * 40 * 86400 + d for k in range(9) for d in (0, 59, 60, 86399)],
+        ("a", "old", 3600): [-86400 * 3 + k * 1800 for k in range(50)],
+    }
+    rows = [(*k, s) for k, secs in made.items() for s in secs]
+    df = spark.createDataFrame(rows, "server string, alert string, quiet int, s long").select("server", "alert", "quiet", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    out = quiet_alerts(df.repartition(3), by=["server"]).select("server", "alert", F.unix_timestamp(F.col("fired_at").cast("timestamp")).alias("s")).collect()
+    got = {(r.server, r.alert): [] for r in out}
+    for r in out:
+        got[r.server, r.alert].append(r.s)
+    assert {k: sorted(v) for k, v in got.items()} == {k[:2]: fold(v, k[2]) for k, v in made.items()}
+    assert quiet_alerts(df.where("false"), by=["server"]).count() == 0
+
+
 def test_quiet_period_carries_over(spark):
     df = spark.createDataFrame([("a", 100, datetime(1970, 1, 1, 0, 0, 50)), ("a", 100, datetime(1970, 1, 1, 0, 2, 0))], "alert string, quiet int, ts timestamp_ntz")
     last = spark.createDataFrame([("a", 10)], "alert string, sec long")

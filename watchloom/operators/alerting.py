@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import ntz
-from watchloom.session import materialize, materialize_counted
+from watchloom.operators.quiet import fires
 from watchloom.sources.alerts import alert_rows
 
 # Fixed values: (alert, metric, comparison, bound, quiet seconds).
@@ -64,72 +64,23 @@ def quiet_alerts(hits: DataFrame, last_fires: DataFrame | None = None, by: list[
     """(by, alert, fired_at): breaches that fire, each followed by the alert's quiet time.
 
     Alerts are evaluated once a second and per ``by`` (the server), so breaches shrink first to
-    distinct seconds, however many rows one alert holds. A second after a gap of a quiet time or
-    more always fires. From there each fire points to the next one, the first second at or after its
-    quiet time, found inside (alert, day) and carried over day boundaries from one row per day.
-    Which seconds are on such a way is found by doubling: in round k the fires known so far add all those
-    up to 4**k fires later, so a breach that lasts for weeks takes a few rounds and no task follows it alone.
-    ``last_fires`` (by, alert, sec) silences breaches still inside an earlier quiet time.
+    distinct seconds, however many rows one alert holds; of different quiet times in one second the
+    longest counts. Which seconds fire is found by functions of whole days that are composed over time
+    (``operators.quiet``). ``last_fires`` (by, alert, sec) silences breaches still inside an earlier
+    quiet time.
     """
     keys = [*(by or []), "alert"]
     always = hits.where("quiet = 0").select(*keys, F.date_trunc("second", "ts").cast("timestamp_ntz").alias("fired_at")).distinct()
-    secs = hits.where("quiet > 0").select(*keys, "quiet", second_of("ts").alias("sec")).distinct()
+    secs = hits.where("quiet > 0").select(*keys, "quiet", second_of("ts").alias("sec")).where("sec IS NOT NULL")
+    secs = secs.groupBy(*keys, "sec").agg(F.max("quiet").alias("quiet"))
     if last_fires is not None:
-        prior = last_fires.select(*keys, F.col("sec").alias("_last"))
-        secs = secs.join(prior, keys, "left").where(F.col("_last").isNull() | (F.col("sec") >= F.col("_last") + F.col("quiet"))).drop("_last")
-    # the distinct seconds feed the steps below, the samples are read once
-    secs = materialize(secs, "seconds")
-    fires, jumps = _heads(secs, keys), _next_fires(secs, keys)
-    fires, n, _ = materialize_counted(fires, "fires")
-    jumps = materialize(jumps, "jumps")
-    while n:
-        twice = _after(jumps, jumps, keys)
-        near = fires.union(_hop(fires, jumps, keys)).distinct()
-        fires, more, _ = materialize_counted(near.union(_hop(near, twice, keys)).distinct(), "fires")
-        if more == n:
-            break
-        n = more
-        jumps = materialize(_after(twice, twice, keys), "jumps")
-    return fires.select(*keys, time_of("sec").alias("fired_at")).unionByName(always)
-
-
-def _hop(fires: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
-    return fires.join(jumps, [*keys, "sec"]).select(*keys, F.col("nxt").alias("sec"))
-
-
-def _after(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
-    ahead = then.select(*keys, F.col("sec").alias("nxt"), F.col("nxt").alias("_far"))
-    return first.join(ahead, [*keys, "nxt"]).select(*keys, "sec", F.col("_far").alias("nxt"))
-
-
-def _day(second: str) -> Column:
-    return F.floor(F.col(second) / 86400)
-
-
-def _heads(secs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sec): seconds without another one inside the quiet time before them."""
-    dated = secs.withColumn("day", _day("sec"))
-    in_day = Window.partitionBy(*keys, "day").orderBy("sec")
-    ends = dated.groupBy(*keys, "day").agg(F.max("sec").alias("_end"))
-    ends = ends.select(*keys, "day", F.lag("_end").over(Window.partitionBy(*keys).orderBy("day")).alias("_prev_end"))
-    prev = F.coalesce(F.lag("sec").over(in_day), F.col("_prev_end"))
-    marked = dated.join(ends, [*keys, "day"]).withColumn("_prev", prev)
-    return marked.where(F.col("_prev").isNull() | (F.col("sec") - F.col("_prev") >= F.col("quiet"))).select(*keys, "sec")
-
-
-def _next_fires(secs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sec, nxt): for each second the first one at or after its quiet time, where there is one."""
-    here = secs.select(*keys, F.col("sec").alias("at"), F.col("sec").alias("target"), F.lit(None).cast("long").alias("sec"))
-    asked = secs.select(*keys, (F.col("sec") + F.col("quiet")).alias("at"), F.lit(None).cast("long").alias("target"), "sec")
-    both = here.union(asked).withColumn("day", _day("at"))
-    # walked backwards, the last target met is the next one; equal times put the target first
-    back = Window.partitionBy(*keys, "day").orderBy(F.col("at").desc(), F.col("target").isNull())
-    inside = F.last("target", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    days = both.groupBy(*keys, "day").agg(F.min("target").alias("_first"))
-    days_back = Window.partitionBy(*keys).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*keys, "day", F.last("_first", ignorenulls=True).over(days_back).alias("_later"))
-    met = both.withColumn("_inside", inside).where("sec IS NOT NULL").join(days, [*keys, "day"])
-    return met.select(*keys, "sec", F.coalesce("_inside", "_later").alias("nxt")).where("nxt IS NOT NULL")
+        names = [f"_k{i}" for i in range(len(keys))]
+        prior = last_fires.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("sec").alias("_last"))
+        same = F.lit(True)
+        for k, n in zip(keys, names):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        secs = secs.join(prior, same, "left").where(F.col("_last").isNull() | (F.col("sec") >= F.col("_last") + F.col("quiet"))).drop("_last", *names)
+    return fires(secs, keys).select(*keys, time_of("sec").alias("fired_at")).unionByName(always)
 
 
 def code_alerts(

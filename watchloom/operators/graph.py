@@ -274,15 +274,15 @@ def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column
 
     ``nxt`` of the result is null below a row that points nowhere, or the id that no row has.
     ``merge`` combines a carried column of the row with that of the row it points to. Finished
-    rows are set aside, so a round only moves those still on their way. A way is at most as long as
-    there are rows; rows that are still moving after as many doublings are on or below a cycle:
-    they come out with ``in_cycle`` true and their carried columns null. Ids are unique.
+    rows are set aside, so a round only moves those still on their way. A row far from its end has others
+    at every shorter distance above it, so a round in which no row ends leaves only those on or below a
+    cycle: they come out with ``in_cycle`` true and their carried columns null. Ids are unique.
     """
     spark, carried = links.sparkSession, list(merge)
     rows = links.select("id", "nxt", *carried, F.col("nxt").isNull().alias("_end"))
-    step, n, path = materialize_counted(rows, label)
-    schema, steps, most, far = step.schema, [path], n, 1
-    while far <= 2 * most:
+    step, n, path = materialize_counted(rows, label, "NOT _end")
+    schema, steps = step.schema, [path]
+    while n:
         # rows finished in any round, and those of the last one that are still moving
         done, moving = read_like(spark, steps, schema).where("_end"), step.where("NOT _end")
         at = done.unionByName(moving)
@@ -294,11 +294,11 @@ def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column
             *[F.when(met, merge[c](F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}")).alias(c) for c in carried],
             F.coalesce("b._end", F.lit(True)).alias("_end"),
         )
-        step, n, path = materialize_counted(jumped, label, "NOT _end")
+        step, left, path = materialize_counted(jumped, label, "NOT _end")
         steps.append(path)
-        far *= 2
-        if n == 0:
+        if left == n:
             break
+        n = left
     final = read_like(spark, steps, schema).where("_end").drop("_end").withColumn("in_cycle", F.lit(False))
     lost = [F.lit(None).cast(schema[c].dataType).alias(c) for c in ("nxt", *carried)]
     return final.unionByName(step.where("NOT _end").select("id", *lost, F.lit(True).alias("in_cycle")))

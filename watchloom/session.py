@@ -77,9 +77,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def materialize_counted(df: DataFrame, label: str, where: str | None = None) -> tuple[DataFrame, int, str]:
     """As ``materialize``; the number of rows, or of those meeting ``where``, comes from the same job."""
+    met = F.lit(1) if where is None else F.when(F.expr(where), 1)
+    table, seen = materialize_observed(df, label, n=F.count(met))
+    return table, int(seen["n"]), seen["_path"]
+
+
+def materialize_observed(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with aggregates over the rows from the same job, and ``_path``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     seen = Observation()
-    met = F.lit(1) if where is None else F.when(F.expr(where), 1)
-    df.observe(seen, F.count(met).alias("n")).write.parquet(path)
-    return read_like(spark, [path], df.schema), int(seen.get["n"]), path
+    df.observe(seen, *[m.alias(name) for name, m in metrics.items()]).write.parquet(path)
+    return read_like(spark, [path], df.schema), dict(seen.get) | {"_path": path}
