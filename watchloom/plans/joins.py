@@ -21,6 +21,7 @@ from watchloom.operators.joins import (
 from watchloom.operators.ranking import choose_best, latest_per_key, ordinal, range_batches, top_n, with_group_max
 from watchloom.functions.text import extract_log_fields
 from watchloom.plans.adapters import EVENTS_AS_OF, ORDERS_AS_OF
+from watchloom.operators.ranges import assign_boundaries
 from watchloom.plans.registry import query
 from watchloom.plans.text import LOGLINES_SQL, RESTORE_FIELDS, loglines
 from watchloom.session import load
@@ -78,6 +79,26 @@ def q_range_assign(spark, sf):
     return assign_range(o, "o_orderkey", [100, 5000], right=False, out="left_no").drop("o_orderdate")
 
 
+@query(
+    "range_boundaries",
+    """
+    WITH b AS (SELECT DISTINCT o_custkey % 7 AS entity, o_orderdate AS edge FROM orders WHERE o_orderkey % 5 = 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY edge) AS k FROM b)
+    SELECT l.l_orderkey, l.l_linenumber, coalesce(r.k, 0) + 1 AS right_no, coalesce(s.k, 0) + 1 AS left_no
+    FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_linenumber END AS entity FROM lineitem) l
+    ASOF LEFT JOIN n r ON l.entity = r.entity AND l.l_shipdate >= r.edge
+    ASOF LEFT JOIN n s ON l.entity = s.entity AND l.l_shipdate > s.edge
+    """,
+)
+def q_range_boundaries(spark, sf):
+    """Boundaries of each entity from a table; a third of the rows belong to one entity."""
+    entity = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_linenumber")).cast("long").alias("entity")
+    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", entity, "l_shipdate")
+    edges = load(spark, sf, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 7).alias("entity"), F.col("o_orderdate").alias("boundary"))
+    rows = assign_boundaries(rows, "l_shipdate", edges, by=["entity"], out="right_no")
+    return assign_boundaries(rows, "l_shipdate", edges, by=["entity"], right=False, out="left_no").drop("entity", "l_shipdate")
+
+
 @query(
     "explode_nodes",
     """

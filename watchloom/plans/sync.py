@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from watchloom.functions.numbers import fingerprint
+from watchloom.functions.text import has_any_tag
 from watchloom.functions.times import ntz
 from watchloom.operators import sync as S
 from watchloom.plans.adapters import ORDERS_AS_OF
-from watchloom.plans.registry import query
+from watchloom.plans.registry import ORACLES, query
 from watchloom.session import load, scratch_path
 from watchloom.sources.items import ingest_items
+from watchloom.sources.store import create_table, publish_merge, read_table
 
 
 def publisher_items(spark, sf):
@@ -73,6 +75,27 @@ def q_sync_items(spark, sf):
     )
 
 
+def stored(spark, target, batch, keys, merge, also=None):
+    """``target`` published as a table of a few ranges, merged with ``batch`` twice, read back."""
+    path = scratch_path(spark, "stored")
+    create_table(target, path, keys, max(1, target.count() // 8))
+    for _ in range(2):
+        publish_merge(spark, path, batch, merge, also)
+    return read_table(spark, path)
+
+
+@query("stored_sync", ORACLES["sync_items"])
+def q_stored_sync(spark, sf):
+    wanted = has_any_tag(F.col("tags"), TAGS) & (F.col("publisher_name") == "PUB1")
+    offered = publisher_items(spark, sf).where(has_any_tag(F.col("tags"), TAGS))
+
+    def merge(target, source):
+        return S.sync_items(target, source, "PUB1", TAGS).where("action <> 'DELETE'").drop("action")
+
+    out = stored(spark, subscriber_items(spark, sf), offered, ["item_id"], merge, wanted)
+    return out.select("item_id", "item_name", "tags", "checksum", "publisher_name", "execution_result")
+
+
 @query("sync_actions", f"WITH {SYNC_SQL} SELECT action, publisher_name, count(*) AS items FROM res GROUP BY action, publisher_name")
 def q_sync_actions(spark, sf):
     return synced(spark, sf).groupBy("action", "publisher_name").agg(F.count(F.lit(1)).alias("items"))
@@ -141,6 +164,16 @@ def q_incremental_pull(spark, sf):
     """,
 )
 def q_publish_items(spark, sf):
+    return S.publish_items(*publishing(spark, sf), ORDERS_AS_OF)
+
+
+@query("stored_publish", ORACLES["publish_items"])
+def q_stored_publish(spark, sf):
+    # All versions of an item lie in one range, so the latest one is found there.
+    return stored(spark, *publishing(spark, sf), ["item_name"], lambda target, asked: S.publish_items(target, asked, ORDERS_AS_OF))
+
+
+def publishing(spark, sf):
     key = F.col("p_partkey")
     part = load(spark, sf, "part")
     name = F.concat(F.col("p_name"), F.lit("#"), F.floor(key / 3).cast("string")).alias("item_name")
@@ -156,7 +189,7 @@ def q_publish_items(spark, sf):
         F.when(F.col("p_size") % 2 == 0, "NEWTYPE").alias("item_type"),
         F.when(F.col("p_size") % 3 == 0, "NEWTAG").alias("tags"),
     )
-    return S.publish_items(target, incoming, ORDERS_AS_OF)
+    return target, incoming
 
 
 @query(
@@ -173,6 +206,14 @@ def q_soft_delete(spark, sf):
     return S.soft_delete(target, part.where(F.col("p_brand").isin("Brand#3", "Brand#4")), ["p_partkey"], ORDERS_AS_OF)
 
 
+@query("stored_soft_delete", ORACLES["soft_delete"])
+def q_stored_soft_delete(spark, sf):
+    part = load(spark, sf, "part").select("p_partkey", "p_brand")
+    target = part.select("p_partkey", F.lit(True).alias("is_enabled"), ntz("2001-01-01").alias("update_date"))
+    gone = part.where(F.col("p_brand").isin("Brand#3", "Brand#4"))
+    return stored(spark, target, gone, ["p_partkey"], lambda t, g: S.soft_delete(t, g, ["p_partkey"], ORDERS_AS_OF))
+
+
 DRIFT_SQL = """
 lg AS (SELECT o_custkey AS database, o_orderkey AS record_id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey - 100 END AS record_ref,
               o_orderdate < TIMESTAMP '2001-06-01' AS applied, o_orderkey % 13 <> 0 AS usable FROM orders),
@@ -256,10 +297,20 @@ def q_drift_actions(spark, sf):
     """,
 )
 def q_ledger_upsert(spark, sf):
+    return S.upsert(*ledgers(spark, sf), ["media_set_id", "family"])
+
+
+@query("stored_ledger", ORACLES["ledger_upsert"])
+def q_stored_ledger(spark, sf):
+    keys = ["media_set_id", "family"]
+    return stored(spark, *ledgers(spark, sf), keys, lambda ledger, batch: S.upsert(ledger, batch, keys))
+
+
+def ledgers(spark, sf):
     keys = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("media_set_id"), F.col("l_linenumber").alias("family")).distinct()
     ledger = keys.where("media_set_id % 3 <> 0").withColumn("transfer_status", F.lit("NONE"))
     batch = keys.where("media_set_id % 2 = 0").withColumn("transfer_status", F.lit("COPIED"))
-    return S.upsert(ledger, batch, ["media_set_id", "family"])
+    return ledger, batch
 
 
 @query(
