@@ -63,3 +63,9 @@ def test_repeated_rows_leave_one(spark):
     docs = documents(spark).filter(F.length("text") > 300)
     kept = C.near_duplicates(spark, docs.union(docs), SMALL)
     assert kept.groupBy("text").count().filter("count > 1").count() == 0
+
+
+def test_clashing_columns_pass_the_line_stage(spark):
+    docs = documents(spark).withColumnsRenamed({"fp": "__n_dropped", "row": "__n_lines"})
+    out = C.line_frequency(spark, docs, SMALL)
+    assert out.columns == docs.columns and {r["__n_lines"] for r in out.collect()} == {"r"}

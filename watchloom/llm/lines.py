@@ -26,6 +26,8 @@ from watchloom.session import materialize
 RATIO = 0.05
 #: ... and on a second page at all: a line of one page repeats nowhere, however small its host.
 MIN_PAGES = 2
+#: Column that tells, without counts, whether a row lost lines.
+CUT = "__watchloom_lines_cut"
 _SPACES = " \t\r\x0b\x0c"
 
 
@@ -52,8 +54,11 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
     return over.groupBy("site").agg(F.sort_array(F.collect_list("h")).alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text``, and ``__n_lines``, ``__n_dropped``."""
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text``, and ``__n_lines``, ``__n_dropped``.
+
+    Without ``counts`` all columns of ``docs`` stay, whatever their names, and ``CUT`` tells whether any line went.
+    """
     bad = materialize(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
     inner, at = shield(docs)
     body = at[text].cast("string")
@@ -65,12 +70,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     some = F.size("hits") > 0
     cut = marked.withColumn("kept", F.when(some, bound(F.col("hits"), stays)))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n")))
-    results = {
-        text: F.when(some, F.array_join("kept", "\n")).otherwise(body),
-        "__n_lines": n_lines,
-        "__n_dropped": F.when(some, n_lines - F.size("kept")).otherwise(0),
-    }
-    return restore(cut, at, **results)
+    dropped = F.when(some, n_lines - F.size("kept")).otherwise(0)
+    told = {"__n_lines": n_lines, "__n_dropped": dropped} if counts else {CUT: dropped > 0}
+    return restore(cut, at, **{text: F.when(some, F.array_join("kept", "\n")).otherwise(body)}, **told)
 
 
 def op3_line_frequency(spark, sf_dir: str) -> DataFrame:
