@@ -20,11 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; ``n_chars`` follows the text."""
-    out = lines.drop_boilerplate(docs)
+    out = lines.drop_boilerplate(docs, counts=False)
     if "n_chars" in docs.columns:
+        # Spelled by the text: a row whose lines all stay keeps the number it came with.
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(lines.CUT), length).otherwise(F.col("n_chars")))
+    return out.drop(lines.CUT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
