@@ -111,3 +111,48 @@ def test_copy_goes_on_after_a_failure(spark, tmp_path):
     report = copy_tables(spark, {"a": boom, "b": mended, "c": mended}, partition_by={"c": ["p"]}, **where).collect()
     assert {r.object_name: r.row_count for r in report} == {"a": 10, "b": 10, "c": 10}
     assert spark.read.parquet(where["dst"] + "/c").count() == 10 and spark.read.parquet(where["dst"] + "/a").count() == 10
+
+
+def test_a_stopped_copy_goes_on_after_its_last_piece(spark, tmp_path, monkeypatch):
+    from watchloom.operators import tables as T
+
+    dst, ledger = str(tmp_path / "dst"), str(tmp_path / "ledger")
+    rows = [(i, None if i % 5 == 4 else f"a/b {i % 5}#%") for i in range(50)]
+    source = spark.createDataFrame(rows, "id long, p string")
+    publish, moved = T._publish_piece, []
+
+    def stop(*args):
+        if len(moved) == 3:
+            raise KeyboardInterrupt
+        moved.append(args)
+        publish(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(T, "_publish_piece", stop)
+        with pytest.raises(KeyboardInterrupt):
+            T.copy_tables(spark, {"t": source}, dst, partition_by={"t": ["p"]}, ledger=ledger, parallel=1)
+    finished = {r.piece for r in spark.read.parquet(ledger + "/*").collect()}
+    assert len(finished) == 3 and spark.read.parquet(dst + "/t").count() == 30
+    again = F.coalesce(F.col("p"), F.lit("None")).isin(list(finished))
+    careful = source.withColumn("id", F.when(again, F.raise_error(F.lit("copied twice"))).otherwise(F.col("id")))
+    for given in (careful, careful.where("false")):
+        report = T.copy_tables(spark, {"t": given}, dst, partition_by={"t": ["p"]}, ledger=ledger).first()
+        assert report.row_count == 50
+        got = spark.read.schema("id long, p string").parquet(dst + "/t").collect()
+        assert sorted((r.id, r.p) for r in got) == sorted(rows, key=lambda r: r[0])
+    assert not (tmp_path / "dst" / "_staged" / "t").exists()
+
+
+def test_a_partitioned_copy_scans_its_source_once(spark, tmp_path):
+    from watchloom.operators.tables import copy_tables
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = spark.range(300).selectExpr("id", "id % 20 AS p").mapInArrow(count, "id long, p long")
+    copy_tables(spark, {"t": source}, str(tmp_path / "dst"), partition_by={"t": ["p"]}, ledger=str(tmp_path / "ledger"))
+    assert seen.value == 300

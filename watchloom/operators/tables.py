@@ -76,33 +76,30 @@ def copy_tables(
 ) -> DataFrame:
     """Copy tables to ``dst`` and report (object_name, columns, row_count, batch_count, size_kb).
 
-    The loop is over tables and partitions, never rows; up to ``parallel`` tables are copied at a
-    time. Computed and row-version columns named in ``skip_columns`` stay behind. Files are
+    The loop is over tables, never rows; up to ``parallel`` tables are copied at a time, each in one scan. Computed and row-version columns named in ``skip_columns`` stay behind. Files are
     sorted on the table's best key inside each task: narrow value ranges per file without a
     shuffle. Row counts come from the copying job.
 
     With a ``ledger`` folder every finished piece is recorded there: a table, or one value of
-    the first partition column of a partitioned table. A repeated call goes on after the pieces
-    already recorded, and a piece that was interrupted is replaced as a whole.
+    the first partition column of a partitioned table. A partitioned table is written aside whole, then
+    its pieces are moved into place one by one, each followed by its row of the ledger, by renames alone. A
+    repeated call filters the pieces already recorded at the scan, and a piece that was interrupted is
+    replaced as a whole. One copy of a table runs at a time.
     """
     done = _ledger_rows(spark, ledger)
 
     def copy(name: str) -> tuple:
         df, by = sources[name], (partition_by or {}).get(name) or []
         kept = [c for c in df.columns if c not in (skip_columns or {}).get(name, [])]
-        # number of partitions, not rows
-        values = [r[0] for r in df.select(by[0]).distinct().collect()] if ledger and by else [None]
-        rows = 0
-        for value in values:
-            part = "" if not (ledger and by) else str(value)
-            if (name, part) in done:
-                rows += done[name, part]
-                continue
-            piece = df.where(F.col(by[0]).eqNullSafe(F.lit(value))) if ledger and by else df
-            n = _copy_piece(piece.select(*kept), f"{dst}/{name}", by, (sort_keys or {}).get(name), bool(ledger and by))
-            rows += n
+        sort = (sort_keys or {}).get(name)
+        if ledger and by:
+            rows = _copy_pieces(spark, df, kept, name, dst, by, sort, ledger, {piece: n for (table, piece), n in done.items() if table == name})
+        elif (name, "") in done:
+            rows = done[name, ""]
+        else:
+            rows = _copy_whole(df.select(*kept), f"{dst}/{name}", by, sort)
             if ledger:
-                spark.createDataFrame([(name, part, n)], _LEDGER).coalesce(1).write.parquet(f"{ledger}/{uuid.uuid4().hex}")
+                spark.createDataFrame([(name, "", rows)], _LEDGER).coalesce(1).write.parquet(f"{ledger}/{uuid.uuid4().hex}")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
         size = files.load(f"{dst}/{name}").agg(F.sum("length")).first()[0]
         batches = -(-rows // batch_rows) if batch_rows > 0 else 1
@@ -115,6 +112,8 @@ def copy_tables(
 
 
 _LEDGER = "object_name string, piece string, row_count long"
+#: The piece of rows without a value.
+_NO_VALUE = "None"
 
 
 def _ledger_rows(spark: SparkSession, ledger: str | None) -> dict[tuple[str, str], int]:
@@ -127,18 +126,60 @@ def _ledger_rows(spark: SparkSession, ledger: str | None) -> dict[tuple[str, str
     return {(r["object_name"], r["piece"]): r["row_count"] for r in spark.read.schema(_LEDGER).parquet(f"{ledger}/*").collect()}
 
 
-def _copy_piece(df: DataFrame, path: str, by: list[str], sort: list[str] | None, replace_piece: bool) -> int:
+def _copy_whole(df: DataFrame, path: str, by: list[str], sort: list[str] | None) -> int:
     out = df.sortWithinPartitions(*sort) if sort else df
     seen = Observation()
     writer = out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-    if by:
-        writer = writer.partitionBy(*by)
-    if replace_piece:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return int(seen.get["n"])
 
 
+def _copy_pieces(
+    spark: SparkSession, df: DataFrame, kept: list[str], name: str, dst: str, by: list[str], sort: list[str] | None, ledger: str, done: dict[str, int]
+) -> int:
+    """Copy what the ledger doesn't hold yet in one scan; the number of rows of all pieces."""
+    column, kind = F.col(by[0]), df.schema[by[0]].dataType
+    values = [F.lit(piece).cast(kind) for piece in done if piece != _NO_VALUE]
+    rest = df.where(~column.isin(values) | (column.isNull() if _NO_VALUE not in done else F.lit(False))) if values else df
+    rest = rest.where(column.isNotNull()) if _NO_VALUE in done and not values else rest
+    root, fs = _place(spark, f"{dst}/_staged/{name}")
+    fs.delete(root, True)  # of a copy that was stopped
+    staged, rows = f"{dst}/_staged/{name}/rows", f"{dst}/_staged/{name}/ledger"
+    out = rest.select(*kept)
+    (out.sortWithinPartitions(*sort) if sort else out).write.partitionBy(*by).parquet(staged)
+    fs.mkdirs(_place(spark, f"{dst}/{name}")[0])
+    pieces = [f.getPath().getName() for f in fs.listStatus(_place(spark, staged)[0]) if f.isDirectory()]
+    total = sum(done.values())
+    if pieces:
+        schema = df.select(*kept).schema
+        written = spark.read.schema(schema).parquet(staged)
+        # Names of the ledger's folders are spelled as those of the pieces: both are the same value.
+        counts = written.groupBy(by[0]).agg(F.count(F.lit(1)).alias("row_count"))
+        piece = F.coalesce(column.cast("string"), F.lit(_NO_VALUE)).alias("piece")
+        counts.select(F.lit(name).alias("object_name"), piece, "row_count", column.alias("_piece")).coalesce(1).write.partitionBy("_piece").parquet(rows)
+        total += spark.read.parquet(rows).agg(F.sum("row_count")).first()[0]
+    for folder in pieces:
+        _publish_piece(spark, f"{staged}/{folder}", f"{dst}/{name}/{folder}", f"{rows}/_piece={folder.partition('=')[2]}", ledger)
+    fs.delete(root, True)
+    return total
+
+
+def _publish_piece(spark: SparkSession, staged: str, path: str, row: str, ledger: str) -> None:
+    """Move a piece into place, then its row into the ledger: stopped between the two, it is copied again."""
+    (target, fs), (folder, _) = _place(spark, path), _place(spark, ledger)
+    fs.delete(target, True)
+    fs.mkdirs(folder)
+    for source, to in ((staged, path), (row, f"{ledger}/{uuid.uuid4().hex}")):
+        if not fs.rename(_place(spark, source)[0], _place(spark, to)[0]):
+            raise OSError(f"{source} could not be moved to {to}")
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+
 def clear_partition(spark: SparkSession, path: str, partition: str) -> None:
     """Empty one ``column=value`` partition of a partitioned table, leaving the others alone."""
     part_path = f"{path}/{partition}"
