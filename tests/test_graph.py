@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from watchloom.functions.times import ntz
@@ -115,3 +116,48 @@ def test_clear_plan_order(spark):
     e = edges(spark, [(1, 2), (2, 3), (5, 6)], "master", "slave")
     plan = G.clear_plan(e, spark.createDataFrame([(1,)], "n long")).collect()
     assert [(r.step, r.object) for r in plan] == [(1, 2), (1, 3), (2, 3), (2, 2), (2, 1), (3, 2), (3, 3)]
+
+
+def longest(pairs, nodes):
+    """Levels by repeated relaxation, None on or behind cycles."""
+    into = {}
+    for a, b in set(pairs):
+        if a != b:
+            into.setdefault(b, set()).add(a)
+    level, todo = {}, set(nodes) | {x for p in pairs for x in p}
+    while True:
+        ready = {n for n in todo if all(p in level for p in into.get(n, ()))}
+        if not ready:
+            return level | dict.fromkeys(todo)
+        for n in ready:
+            level[n] = max((level[p] + 1 for p in into.get(n, ())), default=0)
+        todo -= ready
+
+
+PATH = [(i, i + 1) for i in range(5000)]
+BRANCHES = [(i, 10_000 + i) for i in range(0, 5000, 7)]
+JOINING = [(20_000 + i, i) for i in range(100, 5000, 11)] + [(30_000, 20_000 + 100)] + [(i, i + 3) for i in range(2000, 2030)]
+CIRCLE = [(5000, 40_000), (40_000, 40_001), (40_001, 40_000), (40_001, 40_002)]
+
+
+@pytest.mark.parametrize(("pairs", "most"), [(PATH + BRANCHES, 25), (PATH + BRANCHES + JOINING + CIRCLE, 60)])
+def test_deep_graphs_take_few_rounds(spark, monkeypatch, pairs, most):
+    """A path of 5,000 nodes with branches that leave it; also with roots that join it, shortcuts and a cycle behind it."""
+    rounds, count = [], G.materialize_counted
+    monkeypatch.setattr(G, "materialize_counted", lambda *a: rounds.append(1) or count(*a))
+    e = edges(spark, pairs, "master", "slave")
+    out = {r.node: r.level for r in G.topo_levels(e, e.select("master").distinct()).collect()}
+    assert out == longest(pairs, [])
+    assert len(rounds) <= most
+
+
+def test_levels_of_random_graphs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(G, "_PEELS", 1)
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = [(a, a + r.randrange(1, 4)) for a in range(60) for _ in range(r.choice([0, 1, 1, 2]))] + [(r.randrange(60), r.randrange(60)) for _ in range(seed)]
+        e = edges(spark, pairs, "master", "slave")
+        out = {x.node: x.level for x in G.topo_levels(e, spark.range(64)).collect()}
+        assert out == longest(pairs, range(64))

@@ -156,39 +156,112 @@ def blocking_forest(reports: DataFrame, by: list[str] | None = None) -> DataFram
     ).orderBy(*loop, "path")
 
 
+#: Rounds of peeling between two contractions.
+_PEELS = 6
+
+
 def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level, in_cycle): longest distance from the roots, found by peeling.
+    """(node, level, in_cycle): longest distance from the roots, found by peeling and contraction.
 
     A node is peeled in the round after its last predecessor, so its level is one more than
-    the highest of them. Every edge is followed once over all rounds. Nodes on or behind a
-    cycle are never peeled: they come out with a null level and ``in_cycle`` true.
+    the highest of them. What is left after ``_PEELS`` rounds is contracted: a node with one predecessor
+    left has the level ``max(b, level of that predecessor + w)``, such functions compose, and
+    doubling finds for all nodes of a way at once the function of the node it begins at. The nodes of ways are
+    set aside until that node has its level, so the rounds follow the branching of a graph and not its
+    depth. Nodes on or behind a cycle never get a level: they come out with a null one and ``in_cycle`` true.
 
     ``edges`` are distinct (src, dst) pairs without self references, ``nodes`` one column.
     """
     spark = nodes.sparkSession
     ids = nodes.toDF("node").unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node")))
-    ids = materialize(ids.distinct(), "nodes")
+    ids = every = materialize(ids.distinct(), "nodes")
+    edges = edges.select("src", "dst", F.lit(1).alias("w"))
+    base = None
+    levels, ways = [], []
+    while True:
+        found, finished = _peel(ids, edges, base)
+        levels.append(found)
+        if finished:
+            break
+        ids, edges, base, way = _contract(ids, edges, base, found)
+        ways.append(way)
+    known = levels[0]
+    for more in levels[1:]:
+        known = known.unionByName(more)
+    for way in reversed(ways):
+        start = known.select(F.col("node").alias("nxt"), "level")
+        placed = way.join(start, "nxt").select(F.col("id").alias("node"), F.greatest("f.b", F.col("level") + F.col("f.w")).alias("level"))
+        known = materialize(known.unionByName(placed), "levels")
+    return every.join(known, "node", "left").withColumn("in_cycle", F.col("level").isNull())
+
+
+def _peel(ids: DataFrame, edges: DataFrame, base: DataFrame | None) -> tuple[DataFrame, bool]:
+    """(node, level) peeled in ``_PEELS`` rounds, and whether that was all there is to peel.
+
+    ``edges`` (src, dst, w); ``base`` (node, level): what predecessors that are gone have left.
+    """
+    spark = ids.sparkSession
+    zero = F.lit(0).cast("long")
     indegree = materialize(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")), "indegree")
+    if base is None:
+        first = ids.join(indegree, "node", "left_anti").select("node", zero.alias("got"), zero.alias("need"), F.lit(0).alias("level"))
+    else:
+        # Nodes wait with what they have from before; those without any edge left are next.
+        met = ids.join(base, "node", "left").join(indegree, "node", "left").where("need IS NULL OR level IS NOT NULL")
+        first = met.select("node", zero.alias("got"), F.coalesce("need", zero).alias("need"), F.coalesce("level", F.lit(0)).alias("level"))
     complete = "got = need"
-    roots = ids.join(indegree, "node", "left_anti").select("node", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("need"), F.lit(0).alias("level"))
-    state, n, path = materialize_counted(roots, "level", complete)
-    schema, parts, level = state.schema, [path], 0
-    while n:
-        level += 1
-        got = state.where(complete).join(edges, F.col("node") == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"))
+    state, n, path = materialize_counted(first, "level", complete)
+    schema, parts = state.schema, [path]
+    for _ in range(_PEELS):
+        if not n:
+            break
+        out = state.where(complete).join(edges, F.col("node") == edges["src"])
+        got = out.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("w")).alias("level"))
         # Nodes met but not complete wait with one row each; a round touches those and its own hits.
-        fresh = _add(state.where("got < need"), got, indegree).select("node", "got", "need", F.lit(level).alias("level"))
+        fresh = _add(state.where("got < need"), got, indegree)
         state, n, path = materialize_counted(fresh, "level", complete)
         parts.append(path)
-    levels = read_like(spark, parts, schema).where(complete).select("node", "level")
-    return ids.join(levels, "node", "left").withColumn("in_cycle", F.col("level").isNull())
+    return read_like(spark, parts, schema).where(complete).select("node", "level"), not n
 
 
 def _add(waiting: DataFrame, got: DataFrame, indegree: DataFrame) -> DataFrame:
     """``waiting`` with the hits of this round added; new nodes get their ``need``."""
-    old = waiting.select("node", F.col("got").alias("before"), "need")
-    known = old.join(got, "node", "left").select("node", (F.col("before") + F.coalesce("got", F.lit(0))).alias("got"), "need")
-    return known.unionByName(got.join(old.select("node"), "node", "left_anti").join(indegree, "node"))
+    old = waiting.select("node", F.col("got").alias("before"), "need", F.col("level").alias("high"))
+    count = (F.col("before") + F.coalesce("got", F.lit(0))).alias("got")
+    known = old.join(got, "node", "left").select("node", count, "need", F.greatest("high", "level").alias("level"))
+    new = got.join(old.select("node"), "node", "left_anti").join(indegree, "node")
+    return known.unionByName(new.select("node", "got", "need", "level"))
+
+
+def _contract(ids: DataFrame, edges: DataFrame, base: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is left without the ``found`` nodes and without ways: nodes, edges, base, and the ways.
+
+    A way's rows are (id, nxt, f): the level of ``id`` is ``max(f.b, level of nxt + f.w)``.
+    """
+    ids = materialize(ids.join(found, "node", "left_anti"), "left")
+    open_edges = edges.join(ids.select(F.col("node").alias("dst")), "dst", "left_semi")
+    leveled = open_edges.join(found.select(F.col("node").alias("src"), F.col("level").alias("at")), "src", "left")
+    leveled = materialize(leveled.select("src", "dst", "w", "at"), "edges")
+    gone = leveled.where("at IS NOT NULL").select(F.col("dst").alias("node"), (F.col("at") + F.col("w")).alias("level"))
+    if base is not None:
+        gone = gone.unionByName(base.join(ids, "node", "left_semi").select("node", "level"))
+    base = materialize(gone.groupBy("node").agg(F.max("level").alias("level")), "base")
+    edges = leveled.where("at IS NULL").select("src", "dst", "w")
+    single = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("src").alias("nxt"), F.max("w").alias("w")).where("n = 1")
+    links = single.join(base.withColumnRenamed("node", "id"), "id", "left").select("id", "nxt", F.struct(F.col("level").alias("b"), "w").alias("f"))
+
+    def follow(mine: Column, above: Column) -> Column:
+        return F.struct(F.greatest(mine["b"], above["b"] + mine["w"]).alias("b"), (mine["w"] + above["w"]).alias("w"))
+
+    # Ways that run in a circle have no beginning: they stay in the graph and are never peeled.
+    way = materialize(_double(links, {"f": follow}, "way").where("NOT in_cycle").select("id", "nxt", "f"), "ways")
+    off = way.select(F.col("id").alias("src"), F.col("nxt").alias("begin"), "f")
+    rest = edges.join(way.select(F.col("id").alias("dst")), "dst", "left_anti").join(off, "src", "left")
+    rest = materialize(rest.select(F.coalesce("begin", "src").alias("src"), "dst", (F.col("w") + F.coalesce("f.w", F.lit(0))).alias("w"), (F.col("f.b") + F.col("w")).alias("b")), "rest")
+    ids = ids.join(way.select(F.col("id").alias("node")), "node", "left_anti")
+    left = base.join(way.select(F.col("id").alias("node")), "node", "left_anti").unionByName(rest.where("b IS NOT NULL").select(F.col("dst").alias("node"), F.col("b").alias("level")))
+    edges = rest.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    return materialize(ids, "left"), materialize(edges, "edges"), materialize(left.groupBy("node").agg(F.max("level").alias("level")), "base"), way
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame, master: str = "master", slave: str = "slave", by: list[str] | None = None) -> DataFrame:
