@@ -156,7 +156,7 @@ def blocking_forest(reports: DataFrame, by: list[str] | None = None) -> DataFram
     ).orderBy(*loop, "path")
 
 
-#: Rounds of peeling between two contractions.
+#: Least rounds of peeling between two contractions.
 _PEELS = 6
 
 
@@ -164,7 +164,7 @@ def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, in_cycle): longest distance from the roots, found by peeling and contraction.
 
     A node is peeled in the round after its last predecessor, so its level is one more than
-    the highest of them. What is left after ``_PEELS`` rounds is contracted: a node with one predecessor
+    the highest of them. What is left after ``_PEELS`` rounds, or once rounds stop growing, is contracted: a node with one predecessor
     left has the level ``max(b, level of that predecessor + w)``, such functions compose, and
     doubling finds for all nodes of a way at once the function of the node it begins at. The nodes of ways are
     set aside until that node has its level, so the rounds follow the branching of a graph and not its
@@ -196,7 +196,7 @@ def peel_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _peel(ids: DataFrame, edges: DataFrame, base: DataFrame | None) -> tuple[DataFrame, bool]:
-    """(node, level) peeled in ``_PEELS`` rounds, and whether that was all there is to peel.
+    """(node, level) peeled in ``_PEELS`` rounds or while they grow, and whether that was all there is to peel.
 
     ``edges`` (src, dst, w); ``base`` (node, level): what predecessors that are gone have left.
     """
@@ -212,9 +212,10 @@ def _peel(ids: DataFrame, edges: DataFrame, base: DataFrame | None) -> tuple[Dat
     complete = "got = need"
     state, n, path = materialize_counted(first, "level", complete)
     schema, parts = state.schema, [path]
-    for _ in range(_PEELS):
-        if not n:
-            break
+    before = rounds = 0
+    # As long as each round peels twice as many as the last, the rest can't be deep.
+    while n and (rounds < _PEELS or n >= 2 * before):
+        before, rounds = n, rounds + 1
         out = state.where(complete).join(edges, F.col("node") == edges["src"])
         got = out.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("w")).alias("level"))
         # Nodes met but not complete wait with one row each; a round touches those and its own hits.
