@@ -207,6 +207,8 @@ def test_late_snapshots_come_out_marked(spark, tmp_path):
     for k, rows in enumerate(batches):
         for _ in range(2):  # a replay changes nothing
             write(spark.createDataFrame(rows, "server string, e string, snap long, n long"), k)
+    write(spark.createDataFrame([], "server string, e string, snap long, n long"), 2)
+    assert sorted(p.name for p in (tmp_path / "state").glob("batch_id=*")) == ["batch_id=1", "batch_id=2"]
     got = sorted(((r.server, r.e, r.snap, r.n, r.is_late, r.is_reset) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
     assert got == sorted([("A", "x", 1, 10, False, False), ("A", "x", 2, 3, False, False), ("B", "x", 1, 5, False, False), ("A", "x", 2, None, True, False), ("A", "x", 3, -1, False, True), ("B", None, 3, 7, False, False)], key=repr)
 

@@ -14,11 +14,17 @@ from watchloom.plans.captures import RULES_SQL
 from watchloom.plans.registry import query
 from watchloom.session import load, scratch_path
 from watchloom.streaming import jobs as J
+from watchloom.streaming.stateful import counter_growth, quiet_period_alerts, rocksdb_state
 
 # Slice bounds of the replayed feed.
 CUTS = [datetime(2024, 1, 11), datetime(2024, 1, 21)]
 
 
+def heartbeat(spark):
+    """One row after all events: it moves the watermark past them and itself stays pending."""
+    return spark.range(1).select(ntz(EVENTS_AS_OF + timedelta(days=2)).alias("ts"))
+
+
 def replay(spark, df, run):
     """Append ``df`` slice by slice to a folder and let ``run`` catch up after each."""
     src = scratch_path(spark, "feed")
@@ -121,17 +127,19 @@ def q_stream_dedup(spark, sf):
     """,
 )
 def q_stream_counter_delta(spark, sf):
-    out, state, ckpt = (scratch_path(spark, x) for x in ("delta", "delta-state", "delta-ckpt"))
+    """Snapshots of a day, counted against the entity's day before; a heartbeat at the end passes the last day."""
+    out, ckpt = scratch_path(spark, "delta"), scratch_path(spark, "delta-ckpt")
     e = load(spark, sf, "events")
     snaps = e.groupBy("user_id", F.date_format("ts", "yyyyMMdd").cast("long").alias("snapshot_id")).agg(
         F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
     )
 
     def run(stream):
-        J.run_available(stream, ckpt, each=J.delta_writer(out, state, ["user_id"], "snapshot_id", ["n", "cents"]))
+        with rocksdb_state(spark):
+            J.run_available(counter_growth(stream, ["user_id"], "snapshot_id", "ts", ["n", "cents"], "1 hour"), ckpt, out)
 
-    replay(spark, snaps, run)
-    return spark.read.parquet(out).drop("batch_id")
+    replay(spark, snaps.unionByName(heartbeat(spark), allowMissingColumns=True), run)
+    return spark.read.parquet(out)
 
 
 # Alerts over event values: (alert, metric, comparison, bound, quiet seconds).
@@ -167,10 +175,11 @@ def q_quiet_alerts(spark, sf):
 
 @query("stream_quiet_alerts", QUIET_SQL)
 def q_stream_quiet_alerts(spark, sf):
-    out, state, ckpt = (scratch_path(spark, x) for x in ("fires", "fires-state", "fires-ckpt"))
+    out, ckpt = scratch_path(spark, "fires"), scratch_path(spark, "fires-ckpt")
 
     def run(stream):
-        J.run_available(stream, ckpt, each=J.alert_writer(VALUE_ALERTS, out, state, "event_type", by=["server"]))
+        with rocksdb_state(spark):
+            J.run_available(quiet_period_alerts(stream, VALUE_ALERTS, "1 hour", "event_type", by=["server"]), ckpt, out)
 
-    replay(spark, samples(spark, sf), run)
-    return spark.read.parquet(out).drop("batch_id")
+    replay(spark, samples(spark, sf).unionByName(heartbeat(spark), allowMissingColumns=True), run)
+    return spark.read.parquet(out).where("NOT is_late").drop("is_late")

@@ -98,8 +98,15 @@ def _state(spark: SparkSession, path: str, batch_id: int, first: DataFrame) -> D
     return spark.read.schema(first.schema).parquet(f"{path}/batch_id={batch_id - 1}") if batch_id > 0 else first
 
 
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the state that no replay can ask for any more: a replay starts from the batch before its own."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id - 2}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def delta_writer(out_path: str, state_path: str, keys: list[str], snapshot: str, counters: list[str]) -> Callable:
-    """Micro-batch sink of counter growth since each entity's previous snapshot.
+    """Micro-batch sink of counter growth since each entity's previous snapshot, for streams without a
+    watermark; with one, ``stateful.counter_growth`` keeps the state in the state store.
 
     The last snapshot of each entity is a table of its own, one version per batch, so a replayed
     batch starts from the same state and replaces its own output. An entity's first snapshot
@@ -124,6 +131,7 @@ def delta_writer(out_path: str, state_path: str, keys: list[str], snapshot: str,
         newest = F.max_by(F.struct(snapshot, *counters), snapshot).alias("_s")
         state = last.unionByName(rows).groupBy(*keys).agg(newest).select(*keys, "_s.*")
         write_batch(state, state_path, batch_id)
+        _forget(spark, state_path, batch_id)
 
     return write
 
@@ -131,7 +139,8 @@ def delta_writer(out_path: str, state_path: str, keys: list[str], snapshot: str,
 def alert_writer(
     spec: list[tuple], fires_path: str, state_path: str, metric: str = "metric", value: str = "value", ts: str = "ts", by: list[str] | None = None
 ) -> Callable:
-    """Micro-batch sink of threshold alerts with quiet periods, per ``by`` (the server).
+    """Micro-batch sink of threshold alerts with quiet periods, per ``by`` (the server), for streams
+    without a watermark; with one, ``stateful.quiet_period_alerts`` counts late breaches too.
 
     The last fire per server and alert is a table of its own, one version per batch: a replayed
     batch sees the same state and replaces the same output. Inside a batch the distributed
@@ -148,6 +157,7 @@ def alert_writer(
         write_batch(fired, fires_path, batch_id)
         newest = last.unionByName(fired.select(*keys, second_of("fired_at").alias("sec"))).groupBy(*keys).agg(F.max("sec").alias("sec"))
         write_batch(newest, state_path, batch_id)
+        _forget(spark, state_path, batch_id)
 
     return write
 
