@@ -2,8 +2,9 @@
 
 State lives in the RocksDB state store, one entry per key, and changes only when the watermark
 has passed a row's time, so rows count in the order of their times however they arrive. A task
-holds one Arrow frame of one key at a time. Keys and row values travel as JSON text, so any
-column type may be a key and nulls stay nulls.
+holds one Arrow frame of one key at a time, and a key's pending rows, those of one step of the watermark, when they
+fall due. Keys and row values travel as JSON text, so any column type may be a key and nulls
+stay nulls.
 
 A row that arrives when the watermark has passed its time isn't lost: it comes out marked
 ``is_late`` and changes no state. Rows without a time come out so, too.
@@ -56,15 +57,29 @@ def _fields(text: str, like: DataFrame, cols: list[str]) -> list[Column]:
     return [F.from_json(text, schema, _EXACT)[c].alias(c) for c in cols]
 
 
+def _due(pending, passed: int) -> tuple[list, list]:
+    """Pending rows up to a watermark in the order of their times (arrival, where equal), and the others."""
+    rows = list(pending.get()) if pending.exists() else []
+    return sorted((r for r in rows if r[0] <= passed), key=lambda r: r[0]), [r for r in rows if r[0] > passed]
+
+
+def _wait(handle: StatefulProcessorHandle, pending, rows: list) -> None:
+    if not rows:
+        pending.clear()
+        return
+    pending.put(rows)
+    handle.registerTimer(min(r[0] for r in rows))
+
+
 class _Growth(StatefulProcessor):
-    """Pending snapshots by time, and the last one that was counted."""
+    """Pending snapshots, and the last one that was counted. A timer stands at or before the first pending one."""
 
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "ms long", "snap string, counters string")
+        self.pending = handle.getListState("pending", "ms long, snap string, counters string")
         self.last = handle.getValueState("last", "ms long, counters string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -72,31 +87,39 @@ class _Growth(StatefulProcessor):
         if self.last.exists():
             passed = max(passed, self.last.get()[0])
         for frame in rows:
-            late = []
-            for ms, snap, counters in zip(frame["ms"], frame["snap"], frame["counters"]):
-                if pd.isna(ms) or ms <= passed or self.pending.containsKey((int(ms),)):
-                    late.append((key[0], snap, None, True))
-                    continue
-                self.pending.updateValue((int(ms),), (snap, counters))
-                self.handle.registerTimer(int(ms))
-            yield pd.DataFrame(late, columns=["key", "snap", "growth", "is_late"])
+            early = (frame["ms"] > passed).fillna(False)
+            new = frame[early]
+            if len(new):
+                self.pending.appendList([(int(ms), snap, counters) for ms, snap, counters in zip(new["ms"], new["snap"], new["counters"])])
+                self.handle.registerTimer(int(new["ms"].min()))
+            late = frame[~early]
+            yield pd.DataFrame({"key": key[0], "snap": late["snap"], "growth": None, "is_late": True}, index=late.index)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, waiting = _due(self.pending, passed)
         last = self.last.get() if self.last.exists() else None
-        if not self.pending.containsKey((ms,)):
-            if last is not None and self.idle_ms is not None and last[0] + self.idle_ms <= ms:
-                self.last.clear()
+        if last is not None and self.idle_ms is not None and not due and last[0] + self.idle_ms <= passed:
+            self.last.clear()
+        if not due:
             return
-        snap, counters = self.pending.getValue((ms,))
-        self.pending.removeKey((ms,))
-        new = json.loads(counters)
-        old = json.loads(last[1]) if last is not None else [0] * len(new)
-        grown = [None if n is None or o is None else n - o for n, o in zip(new, old)]
-        self.last.update((ms, counters))
+        out = []
+        for ms, snap, counters in due:
+            if last is not None and ms <= last[0]:
+                out.append((key[0], snap, None, True))
+                continue
+            if last is not None and self.idle_ms is not None and last[0] + self.idle_ms <= ms:
+                last = None
+            new = json.loads(counters)
+            old = json.loads(last[1]) if last is not None else [0] * len(new)
+            grown = [None if n is None or o is None else n - o for n, o in zip(new, old)]
+            out.append((key[0], snap, json.dumps(grown), False))
+            last = (ms, counters)
+        self.last.update(last)
+        _wait(self.handle, self.pending, waiting)
         if self.idle_ms is not None:
-            self.handle.registerTimer(ms + self.idle_ms)
-        yield pd.DataFrame([(key[0], snap, json.dumps(grown), False)], columns=["key", "snap", "growth", "is_late"])
+            self.handle.registerTimer(last[0] + self.idle_ms)
+        yield pd.DataFrame(out, columns=["key", "snap", "growth", "is_late"])
 
     def close(self) -> None:
         pass
@@ -124,43 +147,49 @@ def counter_growth(
 
 
 class _Quiet(StatefulProcessor):
-    """Seconds of pending breaches are timers; state is the last fire, until its quiet time is over.
-
-    Breach timers are whole seconds, and the timer that ends a quiet time is one millisecond past a
-    second, so the two are told apart.
-    """
+    """Pending seconds of breaches, and the last fire until its quiet time is over. A timer stands at or before the first of them."""
 
     def __init__(self, quiet: dict[str, int]) -> None:
         self.quiet = quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.pending = handle.getListState("pending", "ms long")
         self.last = handle.getValueState("last", "sec long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        quiet = max(self.quiet[key[1]], 1)
-        silent = self.last.get()[0] + quiet if self.last.exists() else None
+        silent = self._silent(key)
         for frame in rows:
-            late = []
-            for sec in frame["sec"].unique():
-                if pd.isna(sec) or sec * 1000 <= passed:
-                    late.append((key[0], key[1], None if pd.isna(sec) else int(sec), True))
-                elif silent is None or sec >= silent:
-                    self.handle.registerTimer(int(sec) * 1000)
-            yield pd.DataFrame(late, columns=["key", "alert", "sec", "is_late"]).astype({"sec": "Int64"})
+            secs = frame["sec"].drop_duplicates()
+            early = (secs * 1000 > passed).fillna(False)
+            new = [int(s) * 1000 for s in secs[early] if silent is None or s >= silent]
+            if new:
+                self.pending.appendList([(ms,) for ms in new])
+                self.handle.registerTimer(min(new))
+            late = secs[~early]
+            yield pd.DataFrame({"key": key[0], "alert": key[1], "sec": late.astype("Int64"), "is_late": True}, index=late.index)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sec, over = divmod(expiredTimerInfo.getExpiryTimeInMs(), 1000)
-        quiet = max(self.quiet[key[1]], 1)
-        silent = self.last.get()[0] + quiet if self.last.exists() else None
-        if over:
-            if silent is not None and silent <= sec:
-                self.last.clear()
-        elif silent is None or sec >= silent:
-            self.last.update((sec,))
-            self.handle.registerTimer((sec + quiet) * 1000 + 1)
-            yield pd.DataFrame([(key[0], key[1], sec, False)], columns=["key", "alert", "sec", "is_late"])
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, waiting = _due(self.pending, passed)
+        silent, out = self._silent(key), []
+        for (ms,) in due:
+            if silent is None or ms >= silent * 1000:
+                out.append((key[0], key[1], ms // 1000, False))
+                silent = ms // 1000 + max(self.quiet[key[1]], 1)
+        if out:
+            self.last.update((out[-1][2],))
+        if due:
+            _wait(self.handle, self.pending, waiting)
+        if silent is not None and silent * 1000 <= passed:
+            self.last.clear()
+        elif out:
+            self.handle.registerTimer(silent * 1000)
+        yield pd.DataFrame(out, columns=["key", "alert", "sec", "is_late"])
+
+    def _silent(self, key) -> int | None:
+        return self.last.get()[0] + max(self.quiet[key[1]], 1) if self.last.exists() else None
 
     def close(self) -> None:
         pass
