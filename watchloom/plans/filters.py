@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from watchloom.operators.filters import drop_benign, idle_entities, in_window, only_issues, pattern_scan, select_entities
 from watchloom.operators.joins import activity_snapshot, having_match
+from watchloom.operators.patterns import pattern_table_scan
 from watchloom.plans.adapters import EVENTS_AS_OF, ORDERS_AS_OF, on_two_servers
 from watchloom.plans.registry import query
 from watchloom.session import load
@@ -111,6 +112,21 @@ def q_pattern_scan(spark, sf):
     return pattern_scan(docs, "text", ["password", "License", "api_key", "http", "@"]).drop("text")
 
 
+@query(
+    "pattern_table",
+    """
+    WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS a FROM benchmark),
+    p AS (SELECT DISTINCT a[i] || ' ' || a[i + 1] AS pattern FROM (SELECT a, unnest(range(1, len(a))) AS i FROM w))
+    SELECT d.doc_id, p.pattern FROM documents d JOIN p ON contains(lower(d.text), p.pattern)
+    """,
+)
+def q_pattern_table(spark, sf):
+    """Which word pairs of the benchmark each document holds: thousands of patterns as a table."""
+    words = load(spark, sf, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))).alias("pattern"))
+    return pattern_table_scan(load(spark, sf, "documents"), ["doc_id"], "text", pairs)
+
+
 @query(
     "tag_match",
     """
