@@ -84,5 +84,18 @@ def test_wide_ids_are_refused_or_wide(spark):
     assert struct.unpack("<4I", row["ids"]) == (70_000, 9, 9, 9)
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date", "timestamp", "timestamp_ntz", "int", "boolean"])
+def test_ids_keep_their_type(spark, tmp_path, kind):
+    """Ids that are no numbers, numbers beyond a long, null ids; matrices hold them too."""
+    value = {"string": "'a-1'", "decimal(20,0)": "99999999999999999999", "date": "'2024-02-29'", "timestamp": "'2024-02-29 01:02:03.000004'", "timestamp_ntz": "'2024-02-29 01:02:03.000004'", "int": "7", "boolean": "true"}[kind]
+    docs = spark.sql(f"SELECT explode(array(CAST({value} AS {kind}), CAST(NULL AS {kind}))) AS doc_id, 'abc' AS text")
+    packed = K.pack(docs, codes, length=4, pad=9)
+    assert packed.schema["doc_ids"].dataType.simpleString() == f"array<{'bigint' if kind == 'int' else kind}>"
+    want = sorted((r["doc_id"] for r in docs.collect()), key=repr)
+    assert sorted((d for r in packed.collect() for d in r["doc_ids"]), key=repr) == want
+    K.write_matrices(packed, str(tmp_path / "m"))
+    assert sorted((d for m in spark.read.parquet(str(tmp_path / "m")).collect() for d in m["doc_ids"]), key=repr) == want
+
+
 def test_empty_table(spark):
     assert K.pack(documents(spark, []), codes).count() == 0

@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType, LongType
 
 from watchloom.llm.ranks import read_ranks
 
 #: Tokens of a sequence, and tokens packed together.
 LENGTH = 2048
 GROUP = 2_000_000
-PACKED = "doc_group string, row int, n_tokens int, doc_ids array<bigint>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
+#: Columns of packed sequences; whole-number ids come out as bigint, other ids in their own type.
+PACKED = "doc_group string, row int, n_tokens int, doc_ids array<{id}>, parts array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 class Rooms:
@@ -89,7 +92,7 @@ def split(ids: np.ndarray, length: int) -> list[np.ndarray]:
     return [ids[a : a + length] for a in range(0, len(ids), length)]
 
 
-def _sequences(name: str, pieces: list[tuple], length: int, pad: int, bits: int) -> pa.RecordBatch:
+def _sequences(name: str, pieces: list[tuple], length: int, pad: int, bits: int, id_type: pa.DataType) -> pa.RecordBatch:
     if max(length, pad, *(int(p[2].max()) for p in pieces)) >> bits:
         raise ValueError(f"ids need more than {bits} bits")
     cols: dict[str, list] = {x.split()[0]: [] for x in PACKED.split(", ")}
@@ -103,7 +106,7 @@ def _sequences(name: str, pieces: list[tuple], length: int, pad: int, bits: int)
         values = (name, row, int(ends[-1]), [pieces[k][0] for k in places], [pieces[k][1] for k in places], ends.tolist(), ids.astype(kind).tobytes(), positions.astype(kind).tobytes())
         for c, v in zip(cols, values, strict=True):
             cols[c].append(v)
-    types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+    types = (pa.string(), pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
     return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(cols.items(), types, strict=True)})
 
 
@@ -112,7 +115,12 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], id_c
 
     ``ids`` and ``positions`` are little-endian, ``bits`` (16 or 32) wide; a value that doesn't fit is an
     error. Positions start at 0 in each segment; ``parts`` counts the pieces of a document from 0.
+    Ids may be of any simple type and come out as they are (whole numbers as bigint, so a decimal without
+    a fraction stays a decimal); null ids stay null.
     """
+    own = docs.schema[id_col].dataType
+    kind = LongType() if isinstance(own, IntegralType) else own
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pieces, size, made = encode(), [], 0, 0
@@ -125,12 +133,12 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], id_c
                     pieces.append((doc.as_py(), part, ids))
                     size += len(ids)
                     if size >= group:
-                        yield _sequences(f"{task}-{made}", pieces, length, pad, bits)
+                        yield _sequences(f"{task}-{made}", pieces, length, pad, bits, id_type)
                         pieces, size, made = [], 0, made + 1
         if pieces:
-            yield _sequences(f"{task}-{made}", pieces, length, pad, bits)
+            yield _sequences(f"{task}-{made}", pieces, length, pad, bits, id_type)
 
-    return docs.select(docs[f"`{id_col}`"].cast("bigint"), docs[f"`{text}`"].cast("string")).mapInArrow(run, PACKED)
+    return docs.select(docs[f"`{id_col}`"].cast(kind), docs[f"`{text}`"].cast("string")).mapInArrow(run, PACKED.format(id=kind.simpleString()))
 
 
 def tiktoken_encoder(spark: SparkSession, path: str, pattern: str) -> Callable:
@@ -177,9 +185,10 @@ def write_matrices(packed: DataFrame, path: str, rows: int = 256) -> None:
         if held:
             yield made()
 
-    fields = "n_rows int, ids binary, positions binary, cu_seqlens array<int>, n_segments array<int>, doc_ids array<bigint>, parts array<int>"
+    kind = packed.schema["doc_ids"].dataType
+    fields = f"n_rows int, ids binary, positions binary, cu_seqlens array<int>, n_segments array<int>, doc_ids {kind.simpleString()}, parts array<int>"
     ints = pa.list_(pa.int32())
-    schema = pa.schema([("n_rows", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", ints), ("n_segments", ints), ("doc_ids", pa.list_(pa.int64())), ("parts", ints)])
+    schema = pa.schema([("n_rows", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", ints), ("n_segments", ints), ("doc_ids", to_arrow_type(kind)), ("parts", ints)])
     packed.mapInArrow(run, fields).write.parquet(path)
 
 
