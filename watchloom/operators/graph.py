@@ -324,13 +324,25 @@ def closure_pairs(edges: DataFrame, roots: DataFrame, include_roots: bool = Fals
 
 
 def dependency_closure(items: DataFrame, roots: DataFrame, include_roots: bool = True) -> DataFrame:
-    """Each root item with all items it needs, directly or not, once each.
+    """(root, node): each root item with all items it needs, directly or not, once each.
+
+    The pairs are listed from labels (``reachability``), so rounds don't follow the depth and no
+    round holds pairs; ``item_needs`` gives the labels to ask without listing any. For distances see ``closure_pairs``.
+    """
+    from watchloom.operators.reachability import reached_pairs
+
+    return reached_pairs(item_needs(items), roots, include_roots)
+
+
+def item_needs(items: DataFrame):
+    """Reachability labels of items: an item reaches what it needs.
 
     ``items``: (item_id, item_name, item_version, publisher_name, update_date, depends_on
     array<struct<name, version>>). Every dependency is resolved to the best item of the same
     publisher once, before the iteration.
     """
     from watchloom.operators.joins import resolve_items
+    from watchloom.operators.reachability import reach_labels
 
     wants = items.select("item_id", "publisher_name", F.explode("depends_on").alias("d"))
     distinct_wants = wants.select("publisher_name", F.col("d.name").alias("item_name"), F.col("d.version").alias("item_version")).distinct()
@@ -340,7 +352,7 @@ def dependency_closure(items: DataFrame, roots: DataFrame, include_roots: bool =
     edges = wants.select("request_id", F.col("item_id").alias("src")).join(
         best.select("request_id", F.col("item_id").alias("dst")), "request_id"
     )
-    return closure_pairs(edges.select("src", "dst"), roots, include_roots)
+    return reach_labels(edges.select("src", "dst"), items.select("item_id"))
 
 
 def _double(links: DataFrame, merge: dict[str, Callable[[Column, Column], Column]], label: str) -> DataFrame:
