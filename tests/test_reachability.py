@@ -39,7 +39,7 @@ def check(spark, pairs, alone=(), kind="long"):
 
 def test_random_graphs_with_cycles(spark):
     rnd = random.Random(7)
-    for n, m in ((40, 60), (25, 100)):
+    for n, m in ((25, 35), (12, 40)):
         pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)]
         pairs += [*pairs[:5], (None, 3), (3, None), (4, 4)]
         labels, nodes, want = check(spark, pairs, alone=(99,))
@@ -57,7 +57,7 @@ def test_followed_edges_only(spark):
 def test_neighbours_that_need_each_other_are_one_class(spark):
     ring = [(i, (i + 1) % 50) for i in range(50)]
     assert check(spark, ring)[0].spans.count() == 1
-    path = [(i, i + 1) for i in range(20)] + [(i + 1, i) for i in range(20)]
+    path = [(i, i + 1) for i in range(8)] + [(i + 1, i) for i in range(8)]
     assert check(spark, path)[0].members.select("class").distinct().count() == 1
 
 
