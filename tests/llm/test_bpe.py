@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -78,3 +79,15 @@ def test_columns_pass_nulls(spark):
     assert row["d"] is None
     text = spark.createDataFrame([("two words",), (None,)], "t string").select(encode(F.col("t")).alias("ids"))
     assert [bytes(r["d"]) for r in text.select(decode(F.col("ids")).alias("d")).collect()] == [b"two words", b""]
+
+
+def test_results_leave_a_worker_in_parts(spark):
+    """A batch is handed back ``ROWS`` rows at a time, whole and in order, and so are empty ones."""
+    batches = [pa.array([str(k) for k in range(3 * bpe.ROWS + 1)]), pa.array([], pa.string()), pa.array(["x", None])]
+    cut = list(bpe._parts(iter(batches)))
+    assert max(map(len, cut)) == bpe.ROWS and pa.concat_arrays(cut).to_pylist() == pa.concat_arrays(batches).to_pylist()
+    encode, decode, both = bpe.codec(spark, PATH, P.PATTERN)
+    docs = spark.range(3 * bpe.ROWS + 1).coalesce(1).selectExpr("id", "if(id % 7 = 0, null, concat('text ', id)) text")
+    got = docs.select("id", "text", both(docs["text"]).alias("x"), encode(docs["text"]).alias("ids")).select("*", decode(F.col("ids")).alias("data")).collect()
+    assert len(got) == 3 * bpe.ROWS + 1
+    assert all(bytes(r["x"]["data"]).decode() == bytes(r["data"]).decode() == (r["text"] or "") and r["x"]["ids"] == r["ids"] for r in got)

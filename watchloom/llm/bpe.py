@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import sys
+from collections.abc import Iterator
 from itertools import chain, islice
 
 import duckdb
@@ -37,6 +38,8 @@ LONG_PIECE = 256
 CONTRACTED = 8_000_000
 #: Pieces handled at once, known pieces kept, ids decoded at once.
 SLICE, KNOWN, DECODED = 200_000, 150_000, 250_000
+#: Rows whose ids and bytes a worker holds at once.
+ROWS = 500
 
 _ENCODE = """
 with recursive state(word, round, toks) as (
@@ -188,6 +191,13 @@ class Codec:
             out[places[doc]].append(x)
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches cut to ``ROWS`` rows: results go back part by part, so a worker never holds those of a whole batch."""
+    for batch in batches:
+        for k in range(0, len(batch), ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
     """Column functions ``encode(text) -> array<int>`` and ``decode(ids) -> binary`` of a vocabulary, and both in one
     worker: ``both(text) -> struct<ids, data>``."""
@@ -203,32 +213,31 @@ def codec(spark: SparkSession, path: str, pattern: str) -> tuple:
             codecs[key] = Codec(shared.value, pattern)
         return codecs[key]
 
-    def encoded(texts: pa.Array) -> list[np.ndarray]:
-        return [x for k in range(0, len(texts), 500) for x in own().encode(texts.slice(k, 500).to_pylist())]
-
     def lists(found: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
 
-    def encode_batch(texts: pa.Array) -> pa.Array:
-        return lists(encoded(texts))
+    def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _parts(batches):
+            yield lists(own().encode(texts.to_pylist()))
 
-    def both_batch(texts: pa.Array) -> pa.Array:
-        found = encoded(texts)
-        data = pa.array(own().decode(found), pa.binary())
-        return pa.StructArray.from_arrays([lists(found), data], ["ids", "data"])
+    def both_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _parts(batches):
+            found = own().encode(texts.to_pylist())
+            yield pa.StructArray.from_arrays([lists(found), pa.array(own().decode(found), pa.binary())], ["ids", "data"])
 
-    def decode_batch(lists: pa.Array) -> pa.Array:
-        return pa.array(own().decode([x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in lists]), pa.binary())
+    def decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in _parts(batches):
+            yield pa.array(own().decode([x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in ids]), pa.binary())
 
     def encode(text: Column) -> Column:
-        return F.arrow_udf(encode_batch, "array<int>").asNondeterministic()(text.cast("string"))
+        return F.arrow_udf(encode_batches, "array<int>").asNondeterministic()(text.cast("string"))
 
     def decode(ids: Column) -> Column:
-        return F.arrow_udf(decode_batch, "binary").asNondeterministic()(ids.cast("array<int>"))
+        return F.arrow_udf(decode_batches, "binary").asNondeterministic()(ids.cast("array<int>"))
 
     def both(text: Column) -> Column:
-        return F.arrow_udf(both_batch, "ids array<int>, data binary").asNondeterministic()(text.cast("string"))
+        return F.arrow_udf(both_batches, "ids array<int>, data binary").asNondeterministic()(text.cast("string"))
 
     return encode, decode, both
 
