@@ -81,3 +81,31 @@ def test_fit_is_the_minimum_of_the_pair_loss():
         return total + P.PULL / 2 * v @ v
 
     assert all(loss(w) <= loss(w + step) for step in 0.01 * r.normal(0, 1, (50, 3)))
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """Also where they are many more than any bound a draw would keep to."""
+    docs = spark.range(20_000).selectExpr("id doc_id", "if(id % 4 = 0, 'Some good words, in a line.', '### 77 $$ ###') text")
+    drawn, sizes = P.sample(docs, docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) quality"))
+    learned = P.Learned(drawn.selectExpr("doc_id __id", "__good", "cast(array_repeat(doc_id % 4, 18) as array<float>) m"))
+    assert drawn.count() == len(learned) == 20_000 and sizes == {0: 15_000, 1: 5_000} and learned.sizes == (5_000, 15_000)
+    pairs = learned.pairs(np.tile(np.arange(P.CUTS) / 4, (P.FEATURES, 1)), P.PARTNERS)
+    assert pairs.count() == 15_000 * P.PARTNERS
+    assert [r["count"] for r in pairs.groupBy("good").count().collect()] == [15_000 * P.PARTNERS]
+    model = P.fit(drawn, sizes)
+    assert {r[0]: r[1] > 0.3 for r in docs.select("text", P.predict(model, docs).alias("s")).distinct().collect()} == {"Some good words, in a line.": True, "### 77 $$ ###": False}
+
+
+def test_pairs_are_those_of_rows_in_memory(spark):
+    """The weights of stored pairs equal the weights of the same rows held in memory."""
+    r = np.random.default_rng(5)
+    for n_good, n_bad in ((40, 30), (9, 50)):
+        m = r.integers(0, P.CUTS + 1, (n_good + n_bad, P.FEATURES)).astype(float)
+        rows = [(k, int(k < n_good), x.tolist()) for k, x in enumerate(m)]
+        learned = P.Learned(spark.createDataFrame(rows, "__id long, __good int, m array<float>"))
+        cuts = np.tile(np.arange(P.CUTS) + 0.5, (P.FEATURES, 1))
+        kept = sorted(learned.frame.collect(), key=lambda x: x["place"])
+        good, bad = ((np.array([x["m"] for x in kept if x["__good"] == k])[:, :, None] > cuts[None]).reshape(-1, P.FEATURES * P.CUTS).astype(float) for k in (1, 0))
+        pairs = learned.pairs(cuts, P.PARTNERS)
+        got = P._newton(lambda w: P._spark_sums(pairs, w), P.FEATURES * P.CUTS, P.PARTNERS)
+        assert np.allclose(got, P._fit(good, bad), atol=1e-9)
