@@ -70,3 +70,17 @@ def test_results_do_not_depend_on_the_session_zone(spark, name):
         seen.append(sorted(map(str, QUERIES[name](spark, SMALL).collect())))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert seen[0] == seen[1]
+
+
+def test_captures_are_packed_and_cut(spark, monkeypatch):
+    """Capture files take a fraction of their text, none holds more than its share of events, and all events are read."""
+    from watchloom.plans import captures
+    from watchloom.sources.captures import read_event_capture
+
+    monkeypatch.setattr(captures, "EVENTS_PER_FILE", 1000)
+    event = "concat('<event name=\"e\" timestamp=\"2024-01-31T00:00:00.', id, 'Z\"><data name=\"d\"><value>', id, '</value></data></event>')"
+    path = captures.written(spark.range(5000).coalesce(1).selectExpr("id event_id", f"{event} xml"), "packed")
+    files = [(r[0], r[1]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]
+    assert len(files) == 5 and all(p.endswith(".gz") for p, _ in files) and sum(n for _, n in files) < 5000 * 40
+    got = read_event_capture(spark, path).selectExpr("count(*)", "count(distinct event.data[0].value)").first()
+    assert tuple(got) == (5000, 5000)

@@ -25,6 +25,7 @@ from watchloom.sources.captures import normalise_block_reports, read_event_captu
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 30, 23, 59, 59)
 
 
+EVENTS_PER_FILE = 250_000
 _files: dict[tuple, str] = {}
 
 
@@ -34,7 +35,8 @@ def written(docs, label="capture"):
     key = (docs.sparkSession.sparkContext.applicationId, label, rows.semanticHash())
     if key not in _files:
         path = scratch_path(docs.sparkSession, label)
-        rows.write.text(path)
+        # Packed, as tags repeat; such a file is read by one task, so each holds a bounded number of events.
+        rows.write.option("maxRecordsPerFile", EVENTS_PER_FILE).text(path, compression="gzip")
         _files[key] = path
     return _files[key]
 
