@@ -209,3 +209,14 @@ def test_group_max_keeps_null_keys(spark):
 def test_pattern_scan_reports_every_hit(spark):
     df = spark.createDataFrame([(i, "g", "Exec(x)") for i in range(5)], "id int, g string, t string")
     assert FL.pattern_scan(df, "t", ["EXEC("]).count() == 5
+
+
+def test_rows_are_dealt_by_key_before_they_are_listed(spark):
+    """Lists begin where all rows of a key are: no list is sent, only rows."""
+    from watchloom.operators.aggregates import concat_rows
+
+    df = spark.range(1000).selectExpr("id % 300 k", "id o", "concat('v', id) v")
+    out = concat_rows(df, ["k"], "v", ",", ["o"], "vs")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_collect_list") < plan.index("Exchange")
+    assert {r["k"]: r["vs"] for r in out.collect()} == {k: ",".join(f"v{i}" for i in range(k, 1000, 300)) for k in range(300)}

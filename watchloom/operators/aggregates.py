@@ -160,8 +160,16 @@ def concat_rows(
         df = ordinal(df, keys, order, "_pos")
         df = df.withColumn("chunk_no", F.ceil(F.col("_pos") / rows_per_chunk).cast("long"))
         keys, names = [*keys, "chunk_no"], ["_pos"]
-    listed = F.array_sort(F.collect_list(F.struct(*names, F.coalesce(F.col(col), F.lit("")).alias("_v"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda s: s["_v"]), delimiter).alias(out))
+    # Rows are dealt by key before they are listed: lists begun where keys are mixed would be sorted, spilled and sent for nothing.
+    dealt = df.repartition(*keys) if keys else df
+    return dealt.groupBy(*keys).agg(joined_values(col, delimiter, names).alias(out))
+
+
+def joined_values(col: str, delimiter: str, order: list[str]) -> Column:
+    """The aggregate behind ``concat_rows``: values of a group joined in order."""
+    # sort_array compares whole structs, where array_sort would call a comparator per pair.
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(F.col(col), F.lit("")).alias("_v"))))
+    return F.array_join(F.transform(listed, lambda s: s["_v"]), delimiter)
 
 
 def gauge(df: DataFrame, predicate: Column, name: str) -> DataFrame:
@@ -171,10 +179,15 @@ def gauge(df: DataFrame, predicate: Column, name: str) -> DataFrame:
 
 def column_profile(columns: DataFrame, key: str | list[str], flags: list[str], name: str = "column_name") -> DataFrame:
     """Per entity: whether any column has each flag, and the (last by name) column that has it."""
+    return columns.groupBy(*([key] if isinstance(key, str) else key)).agg(*profile_values(flags, name))
+
+
+def profile_values(flags: list[str], name: str = "column_name") -> list[Column]:
+    """The aggregates behind ``column_profile``."""
     aggs = []
     for f in flags:
         aggs += [F.max(F.col(f).cast("int")).alias(f"has_{f}"), F.max(F.when(F.col(f), F.col(name))).alias(f"{f}_column")]
-    return columns.groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
+    return aggs
 
 
 def long_report(df: DataFrame, ids: list[str], items: dict[str, str | None]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.operators.ranking import choose_best
+from watchloom.session import materialize
 
 
 def choose_keys(index_cols: DataFrame) -> DataFrame:
@@ -41,22 +42,32 @@ def table_inventory(
     column_name, key_ordinal) without disabled or filtered indexes; ``foreign_keys``:
     (master, slave). Tables on a key cycle keep their row with a null order.
     """
-    from watchloom.operators.aggregates import column_profile, concat_rows
+    from watchloom.operators.aggregates import column_profile, concat_rows, joined_values, profile_values
     from watchloom.operators.graph import topo_levels
 
     by = list(by or [])
     table = [*by, "object_id"]
-    listed = concat_rows(columns, table, "column_name", ",", ["column_id"], "table_columns", rows_per_chunk)
-    flags = columns.withColumnsRenamed({f"is_{f}": f for f in ("identity", "rowguid", "filestream", "sparse", "lob")})
-    profile = column_profile(flags, table, ["identity", "rowguid", "filestream", "sparse", "lob"]).drop("lob_column")
-    sets = concat_rows(index_columns, [*table, "kind", "index_id"], "column_name", ",", ["key_ordinal"], "cols")
+    names = ["identity", "rowguid", "filestream", "sparse", "lob"]
+    flags = columns.withColumnsRenamed({f"is_{f}": f for f in names})
+    if rows_per_chunk:
+        listed = concat_rows(columns, table, "column_name", ",", ["column_id"], "table_columns", rows_per_chunk)
+        listed = listed.join(column_profile(flags, table, names).drop("lob_column"), table)
+        ids = columns.select(*table).distinct()
+    else:
+        # List, flags and the tables themselves from one pass over the columns, written once.
+        # The id leads: rows of a task are sorted by it, and servers repeat in every row.
+        flags = flags.repartition(*table).groupBy("object_id", *by).agg(joined_values("column_name", ",", ["column_id"]).alias("table_columns"), *profile_values(names))
+        every = materialize(flags.select(*table, *[c for c in flags.columns if c not in (*table, "lob_column")]), "tables")
+        listed, ids = every.dropna(subset=table), every.select(*table)
+    # Dealt by table once, for the sets and for the choice among them.
+    sets = index_columns.repartition(*table).groupBy("object_id", "index_id", "kind", *by).agg(joined_values("column_name", ",", ["key_ordinal"]).alias("cols"))
     keys = sets.groupBy(*table).agg(
         *[F.min(F.when(F.col("kind") == k, F.col("cols"))).alias(name) for k, name in (("PK", "pk_columns"), ("UQ", "uq_columns"), ("UX", "ux_columns"))]
     )
-    levels = topo_levels(foreign_keys, columns.select(*table).distinct(), by=by).select(
+    levels = topo_levels(foreign_keys, ids, by=by).select(
         *by, F.col("node").alias("object_id"), F.col("level").alias("table_order")
     )
-    out = listed.join(profile, table).join(keys, table, "left").join(levels, table, "left")
+    out = listed.join(keys, table, "left").join(levels, table, "left")
     return out.withColumns(
         {f"has_{short}": F.col(c).isNotNull() for short, c in (("pk", "pk_columns"), ("uq", "uq_columns"), ("ux", "ux_columns"))}
     )
