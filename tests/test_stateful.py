@@ -81,3 +81,33 @@ def test_the_session_setting_comes_back(spark):
     with rocksdb_state(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == before
+
+
+def test_keys_in_time_send_no_frame():
+    """A key whose rows are all in time asks for its last snapshot once, and sends nothing back."""
+    import pandas as pd
+
+    from watchloom.streaming.stateful import _Growth
+
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def appendList(self, rows):
+            calls.append(rows)
+
+        def registerTimer(self, ms):
+            calls.append(ms)
+
+        def getCurrentWatermarkInMs(self):
+            return 10
+
+    grown = _Growth(None)
+    grown.handle = grown.pending = grown.last = State()
+    frame = pd.DataFrame({"ms": [30, 20], "snap": ["b", "a"], "counters": ["[2]", "[1]"]})
+    assert list(grown.handleInputRows(("k",), iter([frame]), State())) == []
+    assert calls == ["get", [(30, "b", "[2]"), (20, "a", "[1]")], 20]
+    (late,) = grown.handleInputRows(("k",), iter([pd.DataFrame({"ms": [None, 5, 40], "snap": ["x", "y", "z"], "counters": ["[1]"] * 3})]), State())
+    assert late["snap"].tolist() == ["x", "y"] and late["is_late"].all()

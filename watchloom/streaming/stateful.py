@@ -59,7 +59,7 @@ def _fields(text: str, like: DataFrame, cols: list[str]) -> list[Column]:
 
 def _due(pending, passed: int) -> tuple[list, list]:
     """Pending rows up to a watermark in the order of their times (arrival, where equal), and the others."""
-    rows = list(pending.get()) if pending.exists() else []
+    rows = list(pending.get())
     return sorted((r for r in rows if r[0] <= passed), key=lambda r: r[0]), [r for r in rows if r[0] > passed]
 
 
@@ -84,21 +84,24 @@ class _Growth(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        if self.last.exists():
-            passed = max(passed, self.last.get()[0])
+        last = self.last.get()
+        if last is not None:
+            passed = max(passed, last[0])
         for frame in rows:
-            early = (frame["ms"] > passed).fillna(False)
-            new = frame[early]
-            if len(new):
-                self.pending.appendList([(int(ms), snap, counters) for ms, snap, counters in zip(new["ms"], new["snap"], new["counters"])])
-                self.handle.registerTimer(int(new["ms"].min()))
-            late = frame[~early]
-            yield pd.DataFrame({"key": key[0], "snap": late["snap"], "growth": None, "is_late": True}, index=late.index)
+            # Most keys have a row or two a batch: plain lists, and a frame only where rows are late.
+            given = [(None if pd.isna(ms) else int(ms), snap, counters) for ms, snap, counters in zip(frame["ms"].tolist(), frame["snap"].tolist(), frame["counters"].tolist())]
+            new = [x for x in given if x[0] is not None and x[0] > passed]
+            if new:
+                self.pending.appendList(new)
+                self.handle.registerTimer(min(x[0] for x in new))
+            if len(new) < len(given):
+                late = [x[1] for x in given if x[0] is None or x[0] <= passed]
+                yield pd.DataFrame({"key": key[0], "snap": late, "growth": None, "is_late": True})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         due, waiting = _due(self.pending, passed)
-        last = self.last.get() if self.last.exists() else None
+        last = self.last.get()
         if last is not None and self.idle_ms is not None and not due and last[0] + self.idle_ms <= passed:
             self.last.clear()
         if not due:
